@@ -252,8 +252,10 @@ ORACLE["user_features_joined"] = ORACLE["user_features"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(QUERIES)
+    from . import queries_vectors as qv
+    return {**QUERIES, **qv.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLE)
+    from . import queries_vectors as qv
+    return {**ORACLE, **qv.ORACLE}
