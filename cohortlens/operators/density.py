@@ -73,3 +73,40 @@ def farthest_point_peaks(candidates: DataFrame, k_final: int, centre_col: str =
     return (cand.where(F.col(rank_col).isin(ranks))
             .withColumn("pick", F.element_at(pick, F.col(rank_col)))
             .withColumn("min_dist", F.element_at(mind, F.col(rank_col))))
+
+
+def coarse_k(k_final: int) -> int:
+    """Default coarse cluster count for a given number of peaks."""
+    return min(50, max(5 * k_final, 20))
+
+
+def density_peaks(df: DataFrame, k_final: int, k_coarse: int | None = None, *,
+                  id_col: str = "user", features_col: str = "features",
+                  prediction_col: str = "prediction", seed: int = 42, max_iter: int = 30,
+                  prepared: DataFrame | None = None):
+    """Density-peak approximation (C8): coarse k-means -> density -> peaks -> assignment.
+
+    Returns ``(labelled df, info)``; ``info`` holds the peaks, the coarse k
+    used and the peak centres.  Fewer peaks than ``k_final`` are possible when
+    the candidates run out; ``info['n_peaks']`` reports it.
+    """
+    from .geometry import assign_nearest
+    from .kmeans import fit_input, fit_kmeans
+
+    prepared = prepared if prepared is not None else fit_input(df, id_col, features_col)
+    n = prepared.count()
+    k_c = min(coarse_k(k_final) if k_coarse is None else k_coarse, n - 1)
+    if k_c < 2:
+        raise ValueError(f"too few rows ({n}) for a coarse clustering")
+    coarse = fit_kmeans(prepared, k_c, seed, max_iter)
+    pts = assign_nearest(prepared, coarse.centres, features_col, "_coarse", "_dist")
+    ranked = density_rank(pts, "_coarse", "_dist")
+    cand = density_candidates(ranked, k_final).withColumn(
+        "centre", F.element_at(matrix_literal(coarse.centres), F.col("cluster") + 1))
+    peaks = farthest_point_peaks(cand, k_final)
+    peak_rows = peaks.orderBy("pick").select("cluster", "centre", "min_dist").collect()
+    peak_centres = [list(r["centre"]) for r in peak_rows]
+    labelled = assign_nearest(df, peak_centres, features_col, prediction_col)
+    info = {"k_coarse": k_c, "n_peaks": len(peak_centres), "peak_centres": peak_centres,
+            "peak_clusters": [r["cluster"] for r in peak_rows], "coarse": coarse}
+    return labelled, info

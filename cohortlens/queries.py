@@ -252,10 +252,12 @@ ORACLE["user_features_joined"] = ORACLE["user_features"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import queries_analysis as qa
     from . import queries_vectors as qv
-    return {**QUERIES, **qv.QUERIES}
+    return {**QUERIES, **qv.QUERIES, **qa.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import queries_analysis as qa
     from . import queries_vectors as qv
-    return {**ORACLE, **qv.ORACLE}
+    return {**ORACLE, **qv.ORACLE, **qa.ORACLE}
