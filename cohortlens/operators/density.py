@@ -83,7 +83,7 @@ def coarse_k(k_final: int) -> int:
 def density_peaks(df: DataFrame, k_final: int, k_coarse: int | None = None, *,
                   id_col: str = "user", features_col: str = "features",
                   prediction_col: str = "prediction", seed: int = 42, max_iter: int = 30,
-                  prepared: DataFrame | None = None):
+                  prepared: DataFrame | None = None, n: int | None = None):
     """Density-peak approximation (C8): coarse k-means -> density -> peaks -> assignment.
 
     Returns ``(labelled df, info)``; ``info`` holds the peaks, the coarse k
@@ -93,8 +93,8 @@ def density_peaks(df: DataFrame, k_final: int, k_coarse: int | None = None, *,
     from .geometry import assign_nearest
     from .kmeans import fit_input, fit_kmeans
 
-    prepared = prepared if prepared is not None else fit_input(df, id_col, features_col)
-    n = prepared.count()
+    prepared = prepared if prepared is not None else fit_input(df, id_col, features_col, n=n)
+    n = prepared.count() if n is None else n
     k_c = min(coarse_k(k_final) if k_coarse is None else k_coarse, n - 1)
     if k_c < 2:
         raise ValueError(f"too few rows ({n}) for a coarse clustering")

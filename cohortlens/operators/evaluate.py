@@ -35,14 +35,14 @@ def evaluate(df: DataFrame, method: str, *, prediction_col: str = "prediction",
     distance to the density peaks); ``within_ss`` is the sum of squared
     distances to the cluster means, available for every method.
     """
-    stats = cluster_stats(df, prediction_col, features_col, dim).collect()
+    stats = cluster_stats(df, prediction_col, features_col, dim).orderBy("cluster").collect()
     sizes = {int(r["cluster"]): int(r["n"]) for r in stats}
     wss = sum(float(r["psi"]) - sum(v * v for v in r["y"]) / r["n"] for r in stats)
     if len(stats) < 2:
         sil = NO_SILHOUETTE
     else:
-        sil = silhouette_points(df, prediction_col, features_col, dim, "_s").agg(
-            F.avg("_s")).first()[0]
+        sil = silhouette_points(df, prediction_col, features_col, dim, "_s",
+                                stats=stats).agg(F.avg("_s")).first()[0]
     rec = {"method": method, "runtime_s": round(float(runtime), 2),
            "n_clusters": len(stats), "silhouette": round(float(sil), 4),
            "inertia": None if inertia is None else round(float(inertia), 2),

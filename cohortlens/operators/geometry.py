@@ -38,15 +38,19 @@ def centroids(df: DataFrame, group_col: str, features_col: str = "features",
 
 
 def collect_centres(centres: DataFrame, id_col: str, centre_col: str = "centre",
-                    max_doubles: int = MAX_LITERAL_DOUBLES) -> list[list[float]]:
-    """Centres ordered by id, ids required to be 0..k-1 (bounded collect)."""
-    k = centres.count()
-    if k == 0:
+                    max_doubles: int = MAX_LITERAL_DOUBLES,
+                    max_centres: int = 10_000) -> list[list[float]]:
+    """Centres ordered by id, ids required to be 0..k-1.
+
+    One job; at most ``max_centres + 1`` rows ever reach the driver, and the
+    total size is checked against ``max_doubles`` before use.
+    """
+    rows = (centres.select(id_col, centre_col).orderBy(id_col)
+            .limit(max_centres + 1).collect())
+    if not rows:
         raise ValueError("no centres")
-    first = centres.select(F.size(centre_col)).first()[0]
-    if k * first > max_doubles:
-        raise ValueError(f"{k} centres x {first} dims exceed {max_doubles} doubles")
-    rows = centres.select(id_col, centre_col).orderBy(id_col).collect()
+    if len(rows) > max_centres or len(rows) * len(rows[0][1]) > max_doubles:
+        raise ValueError(f"more than {max_centres} centres or {max_doubles} doubles")
     ids = [r[0] for r in rows]
     if ids != list(range(len(ids))):
         raise ValueError(f"centre ids must be 0..k-1, got {ids[:10]}...")

@@ -12,6 +12,7 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
@@ -19,9 +20,11 @@ from pyspark.sql import functions as F
 
 from ..plans.lineage import materialize
 from .geometry import assign_nearest, vector_dim
-from .metrics import NO_SILHOUETTE, silhouette
+from .metrics import NO_SILHOUETTE, silhouette_many
 
 VEC = "_features_vec"
+# Rows per partition of the fit input; the layout depends only on the data.
+ROWS_PER_PARTITION = 50_000
 
 
 @dataclass
@@ -33,15 +36,25 @@ class KMeansResult:
 
 
 def fit_input(df: DataFrame, id_col: str, features_col: str = "features",
-              partitions: int | None = None, keep=()) -> DataFrame:
-    """Id + features (+ MLlib vector, + ``keep`` columns) in a fixed layout, computed once."""
-    spark = df.sparkSession
-    p = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    laid = (df.select(id_col, features_col, *keep)
-            .repartitionByRange(p, id_col)
-            .sortWithinPartitions(id_col)
+              partitions: int | None = None, keep=(), n: int | None = None) -> DataFrame:
+    """Id + features (+ MLlib vector, + ``keep`` columns) in a fixed layout, computed once.
+
+    The partition count follows the row count (ROWS_PER_PARTITION), so the
+    same rows always give the same layout and the same fitted model.  The
+    result is checkpointed and also kept in memory for the repeated fits.
+    """
+    cols = df.select(id_col, features_col, *keep)
+    if partitions is None:
+        n = cols.count() if n is None else n
+        partitions = max(1, -(-n // ROWS_PER_PARTITION))
+    spread = (cols.repartitionByRange(partitions, id_col) if partitions > 1
+              else cols.repartition(1))
+    laid = (spread.sortWithinPartitions(id_col)
             .withColumn(VEC, array_to_vector(F.col(features_col))))
-    return materialize(laid)
+    stored = materialize(laid)
+    if stored.storageLevel == StorageLevel.NONE:
+        stored = stored.persist(StorageLevel.MEMORY_AND_DISK)
+    return stored
 
 
 def check_k(k: int, n: int) -> None:
@@ -59,10 +72,11 @@ def fit_kmeans(prepared: DataFrame, k: int, seed: int = 42, max_iter: int = 50)
 
 def kmeans(df: DataFrame, k: int, *, id_col: str = "user", features_col: str = "features",
            prediction_col: str = "prediction", seed: int = 42, max_iter: int = 50,
-           prepared: DataFrame | None = None) -> tuple[DataFrame, KMeansResult]:
+           prepared: DataFrame | None = None,
+           n: int | None = None) -> tuple[DataFrame, KMeansResult]:
     """Fixed-k k-means; returns ``df`` with ``prediction_col`` and the fit."""
-    prepared = prepared if prepared is not None else fit_input(df, id_col, features_col)
-    check_k(k, prepared.count())
+    prepared = prepared if prepared is not None else fit_input(df, id_col, features_col, n=n)
+    check_k(k, prepared.count() if n is None else n)
     res = fit_kmeans(prepared, k, seed, max_iter)
     return assign_nearest(df, res.centres, features_col, prediction_col), res
 
@@ -77,32 +91,32 @@ class SweepResult:
 
 def kmeans_sweep(df: DataFrame, k_range=range(2, 11), *, id_col: str = "user",
                  features_col: str = "features", seed: int = 42, max_iter: int = 50,
-                 parallelism: int = 1,
-                 prepared: DataFrame | None = None) -> tuple[DataFrame, SweepResult]:
+                 parallelism: int = 8,
+                 prepared: DataFrame | None = None, n: int | None = None,
+                 dim: int | None = None) -> tuple[DataFrame, SweepResult]:
     """Fit every k, score each by silhouette, keep the best (ties -> smaller k).
 
     Ks outside ``[2, n]`` are skipped.  ``parallelism > 1`` submits several
     fits at once from driver threads (Spark runs concurrent jobs); the choice
     is made afterwards in k order, so it equals the sequential result.
     """
-    prepared = prepared if prepared is not None else fit_input(df, id_col, features_col)
-    n = prepared.count()
+    prepared = prepared if prepared is not None else fit_input(df, id_col, features_col, n=n)
+    n = prepared.count() if n is None else n
     ks = [k for k in k_range if 2 <= k <= n]
     if not ks:
         raise ValueError(f"no k in {list(k_range)} fits {n} rows")
-    dim = vector_dim(prepared, features_col)
+    dim = vector_dim(prepared, features_col) if dim is None else dim
 
     def one(k):
-        res = fit_kmeans(prepared, k, seed, max_iter)
-        labelled = assign_nearest(prepared, res.centres, features_col, "_p")
-        s = silhouette(labelled, "_p", features_col, dim).first()[0]
-        return res, float(s)
+        return fit_kmeans(prepared, k, seed, max_iter)
 
     if parallelism > 1:
         with ThreadPoolExecutor(max_workers=parallelism) as pool:
-            results = list(pool.map(one, ks))
+            fits = list(pool.map(one, ks))
     else:
-        results = [one(k) for k in ks]
+        fits = [one(k) for k in ks]
+    sils = silhouette_many(prepared, [r.centres for r in fits], features_col, dim)
+    results = list(zip(fits, sils))
     best, best_s = None, NO_SILHOUETTE
     for res, s in results:
         if s > best_s:

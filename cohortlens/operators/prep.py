@@ -78,23 +78,40 @@ def column_types(df: DataFrame, id_col: str = "user", exclude=LABEL_COLUMNS,
 
 def detect_column_types(df: DataFrame, id_col: str = "user", exclude=LABEL_COLUMNS,
                         max_categories: int = MAX_CATEGORIES) -> tuple[list[str], list[str]]:
-    """(numerical, categorical) column names in schema order.
+    """(numerical, categorical) column names in schema order."""
+    numerical, categorical, _ = _scan_columns(df, id_col, exclude, max_categories)
+    return numerical, categorical
+
+
+def _scan_columns(df: DataFrame, id_col: str, exclude, max_categories: int):
+    """Column roles plus the label frequencies of the categorical ones.
 
     String columns are screened with HyperLogLog first (no distinct shuffle);
-    only columns whose estimate is near or below the bound get an exact count.
+    only columns whose estimate is near or below the bound are grouped by
+    value, which gives their exact distinct count (null included) and their
+    label frequencies in the same job.  Returns (numerical, categorical,
+    {column: [(value, count), ...]}).
     """
     skip = {id_col, *exclude}
     numerical = [f.name for f in df.schema.fields
                  if isinstance(f.dataType, T.NumericType) and f.name not in skip]
     strings = _string_cols(df, skip)
-    categorical: list[str] = []
+    freqs: dict[str, list] = {}
     if strings:
         approx = df.agg(*[F.approx_count_distinct(c, 0.01).alias(c) for c in strings]).first()
         near = [c for c in strings if approx[c] <= 2 * max_categories + 10]
         if near:
-            exact = {r["column"]: r["n_values"] for r in string_cardinality(df, near).collect()}
-            categorical = [c for c in strings if c in exact and exact[c] <= max_categories]
-    return numerical, categorical
+            pairs = F.explode(F.array(*[
+                F.struct(F.lit(i).alias("col"), F.col(c).alias("val"))
+                for i, c in enumerate(near)]))
+            counts = (df.select(pairs.alias("p")).select("p.col", "p.val")
+                      .groupBy("col", "val").count().collect())
+            for i, c in enumerate(near):
+                mine = [(r["val"], r["count"]) for r in counts if r["col"] == i]
+                if len(mine) <= max_categories:
+                    freqs[c] = mine
+    categorical = [c for c in strings if c in freqs]
+    return numerical, categorical, freqs
 
 
 def _valid(c: str) -> Column:
@@ -114,6 +131,7 @@ class FeatureModel:
     mean: list[float] = field(default_factory=list)
     std: list[float] = field(default_factory=list)
     features_col: str = "features"
+    n_rows: int = 0
 
     @property
     def dim_names(self) -> list[str]:
@@ -150,8 +168,12 @@ class FeatureModel:
 
 
 def fit_features(df: DataFrame, numerical: list[str], categorical: list[str],
-                 features_col: str = "features") -> FeatureModel:
-    """Fit imputation, label order and scaling statistics (two aggregation jobs)."""
+                 features_col: str = "features", freqs: dict | None = None) -> FeatureModel:
+    """Fit imputation, label order and scaling statistics.
+
+    One aggregation job for the numeric moments, one for the category
+    frequencies (skipped when ``freqs`` already holds them).
+    """
     aggs = [F.count(F.lit(1)).alias("_n")]
     for i, c in enumerate(numerical):
         v = _valid(c)
@@ -172,13 +194,16 @@ def fit_features(df: DataFrame, numerical: list[str], categorical: list[str],
 
     labels: dict[str, list[str]] = {}
     if categorical:
-        pairs = F.explode(F.array(*[
-            F.struct(F.lit(i).alias("col"), F.col(c).cast("string").alias("val"))
-            for i, c in enumerate(categorical)]))
-        counts = (df.select(pairs.alias("p")).select("p.col", "p.val")
-                  .groupBy("col", "val").count().collect())
-        for i, c in enumerate(categorical):
-            mine = [(r["val"], r["count"]) for r in counts if r["col"] == i]
+        if freqs is None or any(c not in freqs for c in categorical):
+            pairs = F.explode(F.array(*[
+                F.struct(F.lit(i).alias("col"), F.col(c).cast("string").alias("val"))
+                for i, c in enumerate(categorical)]))
+            counts = (df.select(pairs.alias("p")).select("p.col", "p.val")
+                      .groupBy("col", "val").count().collect())
+            freqs = {c: [(r["val"], r["count"]) for r in counts if r["col"] == i]
+                     for i, c in enumerate(categorical)}
+        for c in categorical:
+            mine = freqs[c]
             known = sorted([(v, k) for v, k in mine if v is not None], key=lambda t: (-t[1], t[0]))
             labels[c] = [v for v, _ in known]
             freq = [k for _, k in known] + [sum(k for v, k in mine if v is None)]
@@ -186,17 +211,24 @@ def fit_features(df: DataFrame, numerical: list[str], categorical: list[str],
                 p = k / n
                 mean.append(p)
                 std.append(math.sqrt(n * p * (1 - p) / (n - 1)) if n > 1 else 0.0)
-    return FeatureModel(numerical, categorical, surrogates, labels, mean, std, features_col)
+    return FeatureModel(numerical, categorical, surrogates, labels, mean, std, features_col, n)
 
 
 def prepare(df: DataFrame, id_col: str = "user", exclude=LABEL_COLUMNS,
             max_categories: int = MAX_CATEGORIES,
             features_col: str = "features") -> tuple[DataFrame, FeatureModel]:
-    """Detect column roles, fit, and transform."""
-    numerical, categorical = detect_column_types(df, id_col, exclude, max_categories)
+    """Detect column roles, fit, and transform.
+
+    The input is stored once first (checkpoint): fitting reads it twice and
+    the transform once more, and it is usually an expensive aggregate.
+    """
+    from ..plans.lineage import materialize
+
+    df = materialize(df)
+    numerical, categorical, freqs = _scan_columns(df, id_col, exclude, max_categories)
     if not numerical and not categorical:
         raise ValueError("no usable feature column (numeric, or string with few values)")
-    model = fit_features(df, numerical, categorical, features_col)
+    model = fit_features(df, numerical, categorical, features_col, freqs)
     return model.transform(df), model
 
 

@@ -18,7 +18,7 @@ from ..functions.vectors import matrix_literal, nearest_index
 from ..operators import features as feat
 from ..operators.density import coarse_k, density_peaks
 from ..operators.evaluate import evaluate, metrics_frame
-from ..operators.geometry import sse, vector_dim
+from ..operators.geometry import sse
 from ..operators.kmeans import fit_input, kmeans, kmeans_sweep
 from ..operators.prep import find_label_column, prepare
 from ..sources import files as src
@@ -46,7 +46,7 @@ def build_user_features(spark: SparkSession, data_dir: str, *, form: str = "aggr
 
 
 def run_analysis(features: DataFrame, *, id_col: str = "user", k_baseline: int = 5,
-                 k_min: int = 2, k_max: int = 10, seed: int = 42, parallelism: int = 1,
+                 k_min: int = 2, k_max: int = 10, seed: int = 42, parallelism: int = 8,
                  label_col: str | None = None, partitions: int | None = None):
     """Prepare, cluster three ways, evaluate.
 
@@ -58,13 +58,14 @@ def run_analysis(features: DataFrame, *, id_col: str = "user", k_baseline: int =
     label = label_col if label_col is not None else find_label_column(features)
     prepared_df, model = prepare(features, id_col)
     keep = [label] if label else []
-    base = fit_input(prepared_df, id_col, "features", partitions, keep)
+    n = model.n_rows
+    base = fit_input(prepared_df, id_col, "features", partitions, keep, n=n)
     try:
-        dim = vector_dim(base)
+        dim = len(model.mean)
         records = []
 
         t0 = time.time()
-        bl_df, bl = kmeans(base, k_baseline, id_col=id_col, seed=seed, prepared=base,
+        bl_df, bl = kmeans(base, k_baseline, id_col=id_col, seed=seed, prepared=base, n=n,
                            prediction_col="prediction_baseline")
         bl_rt = time.time() - t0
         records.append(evaluate(bl_df, "KMeans-Baseline", prediction_col="prediction_baseline",
@@ -72,14 +73,14 @@ def run_analysis(features: DataFrame, *, id_col: str = "user", k_baseline: int =
 
         t0 = time.time()
         bk_df, sweep = kmeans_sweep(base, range(k_min, k_max + 1), id_col=id_col, seed=seed,
-                                    parallelism=parallelism, prepared=base)
+                                    parallelism=parallelism, prepared=base, n=n, dim=dim)
         bk_rt = time.time() - t0
         records.append(evaluate(bk_df, f"KMeans-BestK(k={sweep.best_k})", label_col=label,
                                 inertia=sweep.best.cost, runtime=bk_rt, dim=dim))
 
         t0 = time.time()
         cd_df, info = density_peaks(base, sweep.best_k, coarse_k(sweep.best_k), id_col=id_col,
-                                    seed=seed, prepared=base)
+                                    seed=seed, prepared=base, n=n)
         cd_rt = time.time() - t0
         peak_cost = sse(cd_df, info["peak_centres"], "prediction").first()["inertia"]
         records.append(evaluate(cd_df, "CDPC-KNN-Approx", label_col=label, inertia=peak_cost,
@@ -101,7 +102,7 @@ def run_analysis(features: DataFrame, *, id_col: str = "user", k_baseline: int =
 
 
 def run_pipeline(spark: SparkSession, data_dir: str, output_dir: str, *, k_baseline: int = 5,
-                 k_min: int = 2, k_max: int = 10, seed: int = 42, parallelism: int = 1,
+                 k_min: int = 2, k_max: int = 10, seed: int = 42, parallelism: int = 8,
                  single_file: bool = False):
     """Read the sources, run the analysis, write labelled users and metrics."""
     from ..sources.sinks import write_labelled_users, write_metrics

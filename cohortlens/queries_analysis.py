@@ -69,40 +69,42 @@ def q_feature_matrix(spark, sf_dir):
 
 
 def _prepared(spark, sf_dir):
-    out, _ = prep.prepare(_features(spark, sf_dir), "user")
-    return out.select("user", "features")
+    out, model = prep.prepare(_features(spark, sf_dir), "user")
+    base = fit_input(out, "user", n=model.n_rows)
+    return base, model.n_rows, len(model.mean)
 
 
 def q_kmeans_baseline(spark, sf_dir):
-    df = _prepared(spark, sf_dir)
-    labelled, _ = kmeans(df, 5, id_col="user")
+    base, n, _ = _prepared(spark, sf_dir)
+    labelled, _ = kmeans(base, 5, id_col="user", prepared=base, n=n)
     return labelled.select("user", "prediction")
 
 
 def q_kmeans_sweep(spark, sf_dir):
-    df = _prepared(spark, sf_dir)
-    _, res = kmeans_sweep(df, range(2, 11), id_col="user", parallelism=3)
+    base, n, dim = _prepared(spark, sf_dir)
+    _, res = kmeans_sweep(base, range(2, 11), id_col="user", parallelism=8, prepared=base,
+                          n=n, dim=dim)
     return spark.createDataFrame(
         [(k, s, c, k == res.best_k) for k, s, c in res.scores],
         "k int, silhouette double, inertia double, chosen boolean")
 
 
 def q_density_peaks(spark, sf_dir):
-    df = _prepared(spark, sf_dir)
-    base = fit_input(df, "user")
-    _, res = kmeans_sweep(df, range(2, 11), id_col="user", parallelism=3, prepared=base)
-    labelled, _ = density_peaks(df, res.best_k, coarse_k(res.best_k), id_col="user",
-                                prepared=base)
+    base, n, dim = _prepared(spark, sf_dir)
+    _, res = kmeans_sweep(base, range(2, 11), id_col="user", parallelism=8, prepared=base,
+                          n=n, dim=dim)
+    labelled, _ = density_peaks(base, res.best_k, coarse_k(res.best_k), id_col="user",
+                                prepared=base, n=n)
     return labelled.select("user", "prediction")
 
 
 def q_compare_methods(spark, sf_dir):
-    _, metrics, _ = run_analysis(_features(spark, sf_dir), parallelism=3)
+    _, metrics, _ = run_analysis(_features(spark, sf_dir), parallelism=8)
     return metrics
 
 
 def q_attach_predictions(spark, sf_dir):
-    users, _, _ = run_analysis(_features(spark, sf_dir), parallelism=3)
+    users, _, _ = run_analysis(_features(spark, sf_dir), parallelism=8)
     return users
 
 
