@@ -25,9 +25,10 @@ ROLE_GLOBS = {
 }
 
 
-def _list(spark: SparkSession, data_dir: str, glob: str) -> list[str]:
+def _list(spark: SparkSession, data_dir: str, glob: str, recursive: bool = False) -> list[str]:
     listing = (spark.read.format("binaryFile")
                .option("pathGlobFilter", glob)
+               .option("recursiveFileLookup", str(recursive).lower())
                .load(data_dir)
                .select("path"))
     return sorted(r[0] for r in listing.collect())
@@ -38,7 +39,8 @@ def detect_sources(spark: SparkSession, data_dir: str) -> dict[str, list[str]]:
     found = {}
     for role, glob in ROLE_GLOBS.items():
         try:
-            paths = _list(spark, data_dir, glob)
+            # a Parquet table may be a folder of part files
+            paths = _list(spark, data_dir, glob, recursive=(role == "parquet"))
         except Exception as exc:  # missing directory
             if "PATH_NOT_FOUND" in str(exc) or "does not exist" in str(exc):
                 raise FileNotFoundError(data_dir) from exc
