@@ -11,7 +11,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, matrix_literal, sq_norm
@@ -163,26 +163,37 @@ def external_scores(df: DataFrame, label_col: str, pred_col: str) -> DataFrame:
     NMI uses the arithmetic mean of the two entropies (1.0 when both are 0);
     ARI is Hubert-Arabie's (1.0 when its denominator is 0); purity is
     ``sum_v max_u n_uv / n``.
+
+    One pass over the points builds the contingency table; the marginals
+    come from windows partitioned by label and by prediction (each window
+    group is one row of the table), and a single aggregate then yields every
+    sum, using sum_u f(a_u) = sum_cells n_uv f(a_u) / a_u.
     """
     ct = contingency(df, label_col, pred_col)
-    au = ct.groupBy("u").agg(F.sum("nuv").alias("a"))
-    bv = ct.groupBy("v").agg(F.sum("nuv").alias("b"))
-    n = ct.agg(F.sum("nuv").cast("double")).scalar()
-    hu = au.agg(-F.sum(F.col("a") / n * F.log(F.col("a") / n))).scalar()
-    hv = bv.agg(-F.sum(F.col("b") / n * F.log(F.col("b") / n))).scalar()
-    sa = au.agg(F.sum(_c2(F.col("a")))).scalar()
-    sb = bv.agg(F.sum(_c2(F.col("b")))).scalar()
-    best = ct.groupBy("v").agg(F.max("nuv").alias("m")).agg(F.sum("m")).scalar()
-    cells = ct.join(au, "u").join(bv, "v")
-    row = cells.agg(
-        F.sum(F.col("nuv") / n * F.log(n * F.col("nuv") / (F.col("a") * F.col("b"))))
-        .alias("mi"),
-        F.sum(_c2(F.col("nuv"))).alias("suv"))
-    c2n = n * (n - 1) / 2
-    expected = sa * sb / c2n
-    ari_den = (sa + sb) / 2 - expected
-    return row.select(
-        F.when(hu + hv == 0, F.lit(1.0)).otherwise(F.try_divide(F.col("mi"), (hu + hv) / 2)).alias("nmi"),
+    by_u, by_v = Window.partitionBy("u"), Window.partitionBy("v")
+    cells = (ct.withColumn("a", F.sum("nuv").over(by_u))
+             .withColumn("b", F.sum("nuv").over(by_v))
+             .withColumn("m", F.max("nuv").over(by_v)))
+    nuv, a, b = (F.col(c).cast("double") for c in ("nuv", "a", "b"))
+    s = cells.agg(
+        F.sum(nuv).alias("n"),
+        F.sum(nuv * F.log(nuv)).alias("sl"),
+        F.sum(nuv * F.log(a)).alias("sla"),
+        F.sum(nuv * F.log(b)).alias("slb"),
+        F.sum(nuv * (nuv - 1) / 2).alias("suv"),
+        F.sum(nuv * (a - 1) / 2).alias("sa"),
+        F.sum(nuv * (b - 1) / 2).alias("sb"),
+        F.sum(nuv * F.col("m") / b).alias("best"))
+    n = F.col("n")
+    hu = F.log(n) - F.col("sla") / n
+    hv = F.log(n) - F.col("slb") / n
+    # mutual information is never negative; clamp rounding noise of the sums
+    mi = F.greatest(F.log(n) + (F.col("sl") - F.col("sla") - F.col("slb")) / n, F.lit(0.0))
+    expected = F.col("sa") * F.col("sb") / (n * (n - 1) / 2)
+    ari_den = (F.col("sa") + F.col("sb")) / 2 - expected
+    return s.select(
+        F.when(F.abs(hu + hv) < 1e-15, F.lit(1.0))
+        .otherwise(F.try_divide(mi, (hu + hv) / 2)).alias("nmi"),
         F.when(ari_den == 0, F.lit(1.0))
         .otherwise(F.try_divide(F.col("suv") - expected, ari_den)).alias("ari"),
-        (best / n).alias("purity"))
+        F.try_divide(F.col("best"), n).alias("purity"))
