@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import MAX_LITERAL_DOUBLES, matrix_literal, nearest_index, sq_dist
+from ..functions.kernels import with_nearest
+from ..functions.vectors import MAX_LITERAL_DOUBLES, matrix_literal, sq_dist
 
 
 def vector_dim(df: DataFrame, features_col: str = "features") -> int:
@@ -59,13 +60,13 @@ def collect_centres(centres: DataFrame, id_col: str, centre_col: str = "centre",
 
 def assign_nearest(df: DataFrame, centres: list, features_col: str = "features",
                    out: str = "prediction", dist_col: str | None = None) -> DataFrame:
-    """Index of the closest centre (ties -> lower index), optionally its distance."""
-    lit = matrix_literal(centres)
-    near = nearest_index(features_col, lit, len(centres))
-    res = df.withColumn("_near", near).withColumn(out, F.col("_near.idx"))
-    if dist_col:
-        res = res.withColumn(dist_col, F.col("_near.dist"))
-    return res.drop("_near")
+    """Index of the closest centre (ties -> lower index), optionally its distance.
+
+    Runs as a vectorised per-partition kernel (exact squared distances);
+    select the columns you need before calling, the kernel passes every
+    input column through.
+    """
+    return with_nearest(df, [centres], features_col, [out], [dist_col])
 
 
 def distance_to_own_centre(df: DataFrame, centres: list, cluster_col: str,

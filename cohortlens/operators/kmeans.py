@@ -93,12 +93,15 @@ def kmeans_sweep(df: DataFrame, k_range=range(2, 11), *, id_col: str = "user",
                  features_col: str = "features", seed: int = 42, max_iter: int = 50,
                  parallelism: int = 8,
                  prepared: DataFrame | None = None, n: int | None = None,
-                 dim: int | None = None) -> tuple[DataFrame, SweepResult]:
+                 dim: int | None = None,
+                 fitted: dict | None = None) -> tuple[DataFrame, SweepResult]:
     """Fit every k, score each by silhouette, keep the best (ties -> smaller k).
 
     Ks outside ``[2, n]`` are skipped.  ``parallelism > 1`` submits several
     fits at once from driver threads (Spark runs concurrent jobs); the choice
     is made afterwards in k order, so it equals the sequential result.
+    ``fitted`` maps k to an existing fit on the same input, seed and
+    iteration cap (the result would be identical), which is then reused.
     """
     prepared = prepared if prepared is not None else fit_input(df, id_col, features_col, n=n)
     n = prepared.count() if n is None else n
@@ -107,8 +110,10 @@ def kmeans_sweep(df: DataFrame, k_range=range(2, 11), *, id_col: str = "user",
         raise ValueError(f"no k in {list(k_range)} fits {n} rows")
     dim = vector_dim(prepared, features_col) if dim is None else dim
 
+    fitted = fitted or {}
+
     def one(k):
-        return fit_kmeans(prepared, k, seed, max_iter)
+        return fitted[k] if k in fitted else fit_kmeans(prepared, k, seed, max_iter)
 
     if parallelism > 1:
         with ThreadPoolExecutor(max_workers=parallelism) as pool:

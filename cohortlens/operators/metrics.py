@@ -14,7 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import dot, matrix_literal, sq_norm
+from ..functions.kernels import silhouette_scores, with_nearest
+from ..functions.vectors import sq_norm
 from .geometry import vector_dim
 
 # The silhouette of a clustering with fewer than two clusters (undefined).
@@ -32,38 +33,16 @@ def cluster_stats(df: DataFrame, pred_col: str = "prediction", features_col: str
         F.sum(sq_norm(x)).alias("psi"))
 
 
-def _with_silhouette(df: DataFrame, stats, pred: Column, features_col: str, out: str,
-                     tmp: str = "_sil") -> DataFrame:
-    """Add per-point silhouette ``out`` given the collected per-cluster stats.
+def _model(stats) -> tuple:
+    """(ids, n, y, psi) of one clustering from its collected per-cluster rows."""
+    return ([int(r["cluster"]) for r in stats], [float(r["n"]) for r in stats],
+            [list(r["y"]) for r in stats], [float(r["psi"]) for r in stats])
 
-    Cluster ids may be any integers; the statistics are re-indexed so the
-    literal arrays are dense.  Needs at least two clusters.
-    """
-    k = len(stats)
-    ids = [int(r["cluster"]) for r in stats]
-    pos = F.create_map(*[x for i, c in enumerate(ids) for x in (F.lit(c), F.lit(i))])
-    n_arr = F.array(*[F.lit(float(r["n"])) for r in stats])
-    psi_arr = F.array(*[F.lit(float(r["psi"])) for r in stats])
-    y_mat = matrix_literal([r["y"] for r in stats])
-    x = F.col(features_col)
-    nx, own, n_own, a, b = (f"{tmp}_{s}" for s in ("nx", "own", "n", "a", "b"))
-
-    def f_at(i: Column) -> Column:
-        n_i = F.element_at(n_arr, i + 1)
-        return (F.col(nx) + F.element_at(psi_arr, i + 1) / n_i
-                - F.lit(2.0) * dot(x, F.element_at(y_mat, i + 1)) / n_i)
-
-    others = F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: i != F.col(own))
-    res = (df.withColumn(nx, sq_norm(x))
-           .withColumn(own, F.element_at(pos, pred))
-           .withColumn(n_own, F.element_at(n_arr, F.col(own) + 1))
-           .withColumn(a, F.try_divide(f_at(F.col(own)) * F.col(n_own), F.col(n_own) - 1))
-           .withColumn(b, F.array_min(F.transform(others, f_at))))
-    m = F.greatest(F.col(a), F.col(b))
-    s = (F.when(F.col(n_own) <= 1, F.lit(0.0))
-         .when(m == 0, F.lit(0.0))
-         .otherwise(F.try_divide(F.col(b) - F.col(a), m)))
-    return res.withColumn(out, s).drop(nx, own, n_own, a, b)
+
+def _score_models(df: DataFrame, stats_list: list, preds: list[str], features_col: str,
+                  outs: list[str]) -> DataFrame:
+    """Add one per-point silhouette column per clustering (vectorised kernel)."""
+    return silhouette_scores(df, [_model(st) for st in stats_list], features_col, preds, outs)
 
 
 def silhouette_points(df: DataFrame, pred_col: str = "prediction",
@@ -74,7 +53,7 @@ def silhouette_points(df: DataFrame, pred_col: str = "prediction",
         stats = cluster_stats(df, pred_col, features_col, dim).orderBy("cluster").collect()
     if len(stats) < 2:
         return df.withColumn(out, F.lit(None).cast("double"))
-    return _with_silhouette(df, stats, F.col(pred_col), features_col, out)
+    return _score_models(df, [stats], [pred_col], features_col, [out])
 
 
 def silhouette_many(df: DataFrame, centre_sets: list, features_col: str = "features",
@@ -85,32 +64,29 @@ def silhouette_many(df: DataFrame, centre_sets: list, features_col: str = "featu
     points are fanned out over the models before a partially-aggregated
     group-by on ``(model, cluster)``); a second pass scores every model.
     """
-    from ..functions.vectors import nearest_index
-
     dim = vector_dim(df, features_col) if dim is None else dim
     x = F.col(features_col)
-    preds = [nearest_index(features_col, matrix_literal(c), len(c)).getField("idx")
-             for c in centre_sets]
-    pts = df.select(features_col, *[p.alias(f"_p{i}") for i, p in enumerate(preds)])
+    names = [f"_p{i}" for i in range(len(centre_sets))]
+    pts = with_nearest(df.select(features_col), centre_sets, features_col, names)
     fan = pts.select(features_col, F.explode(F.array(*[
-        F.struct(F.lit(i).alias("m"), F.col(f"_p{i}").alias("c"))
-        for i in range(len(centre_sets))])).alias("mc"))
+        F.struct(F.lit(i).alias("m"), F.col(nm).alias("c"))
+        for i, nm in enumerate(names)])).alias("mc"))
     rows = fan.groupBy(F.col("mc.m").alias("m"), F.col("mc.c").alias("cluster")).agg(
         F.count(F.lit(1)).alias("n"),
         F.array(*[F.sum(x.getItem(j)) for j in range(dim)]).alias("y"),
         F.sum(sq_norm(x)).alias("psi")).collect()
-    per_model = {i: sorted([r for r in rows if r["m"] == i], key=lambda r: r["cluster"])
-                 for i in range(len(centre_sets))}
-    scored, cols = pts, []
-    for i, stats in per_model.items():
-        if len(stats) < 2:
-            cols.append(F.lit(NO_SILHOUETTE))
-            continue
-        scored = _with_silhouette(scored, stats, F.col(f"_p{i}"), features_col, f"_s{i}",
-                                  f"_t{i}")
-        cols.append(F.avg(f"_s{i}"))
-    vals = scored.agg(*[c.alias(f"v{i}") for i, c in enumerate(cols)]).first()
-    return [float(vals[f"v{i}"]) for i in range(len(centre_sets))]
+    per_model = [sorted([r for r in rows if r["m"] == i], key=lambda r: r["cluster"])
+                 for i in range(len(centre_sets))]
+    scored_idx = [i for i, st in enumerate(per_model) if len(st) >= 2]
+    result = [NO_SILHOUETTE] * len(centre_sets)
+    if scored_idx:
+        scored = _score_models(pts, [per_model[i] for i in scored_idx],
+                               [names[i] for i in scored_idx], features_col,
+                               [f"_s{i}" for i in scored_idx])
+        vals = scored.agg(*[F.avg(f"_s{i}").alias(f"v{i}") for i in scored_idx]).first()
+        for i in scored_idx:
+            result[i] = float(vals[f"v{i}"])
+    return result
 
 
 def silhouette(df: DataFrame, pred_col: str = "prediction", features_col: str = "features",

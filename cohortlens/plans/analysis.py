@@ -14,7 +14,7 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.vectors import matrix_literal, nearest_index
+from ..functions.kernels import with_nearest
 from ..operators import features as feat
 from ..operators.density import coarse_k, density_peaks
 from ..operators.evaluate import evaluate, metrics_frame
@@ -73,7 +73,8 @@ def run_analysis(features: DataFrame, *, id_col: str = "user", k_baseline: int =
 
         t0 = time.time()
         bk_df, sweep = kmeans_sweep(base, range(k_min, k_max + 1), id_col=id_col, seed=seed,
-                                    parallelism=parallelism, prepared=base, n=n, dim=dim)
+                                    parallelism=parallelism, prepared=base, n=n, dim=dim,
+                                    fitted={k_baseline: bl})
         bk_rt = time.time() - t0
         records.append(evaluate(bk_df, f"KMeans-BestK(k={sweep.best_k})", label_col=label,
                                 inertia=sweep.best.cost, runtime=bk_rt, dim=dim))
@@ -87,12 +88,10 @@ def run_analysis(features: DataFrame, *, id_col: str = "user", k_baseline: int =
                                 runtime=cd_rt, dim=dim))
 
         # all three labels in one projection over the stored fit input: no joins
-        preds = base.select(
-            id_col,
-            *[nearest_index("features", matrix_literal(c), len(c)).getField("idx").alias(name)
-              for name, c in (("prediction_baseline", bl.centres),
-                              ("prediction_bestk", sweep.best.centres),
-                              ("prediction_cdpc", info["peak_centres"]))])
+        preds = with_nearest(
+            base.select(id_col, "features"),
+            [bl.centres, sweep.best.centres, info["peak_centres"]], "features",
+            ["prediction_baseline", "prediction_bestk", "prediction_cdpc"]).drop("features")
         users = features.join(preds, on=id_col, how="left")
         details = {"model": model, "baseline": bl, "sweep": sweep, "cdpc": info,
                    "label_col": label}
