@@ -18,14 +18,18 @@ from ..plans.lineage import materialize
 
 
 def density_rank(points: DataFrame, cluster_col: str = "cluster",
-                 dist_col: str = "dist") -> DataFrame:
+                 dist_col: str = "dist", min_cluster_size: int = 1) -> DataFrame:
     """``(cluster, n, avg_dist, density_rank)``, rank 1 = densest.
 
     The ranking window runs over the per-cluster table (one row per coarse
-    cluster, at most k_coarse rows), never over points.
+    cluster, at most k_coarse rows), never over points.  Clusters with fewer
+    than ``min_cluster_size`` points are left out (a lone outlier has mean
+    distance 0 and would otherwise rank as the densest).
     """
     per = points.groupBy(F.col(cluster_col).alias("cluster")).agg(
         F.count(F.lit(1)).alias("n"), F.avg(dist_col).alias("avg_dist"))
+    if min_cluster_size > 1:
+        per = per.where(F.col("n") >= min_cluster_size)
     w = Window.orderBy("avg_dist", "cluster")
     return per.withColumn("density_rank", F.row_number().over(w))
 
@@ -83,7 +87,8 @@ def coarse_k(k_final: int) -> int:
 def density_peaks(df: DataFrame, k_final: int, k_coarse: int | None = None, *,
                   id_col: str = "user", features_col: str = "features",
                   prediction_col: str = "prediction", seed: int = 42, max_iter: int = 30,
-                  prepared: DataFrame | None = None, n: int | None = None):
+                  prepared: DataFrame | None = None, n: int | None = None,
+                  min_cluster_size: int = 1):
     """Density-peak approximation (C8): coarse k-means -> density -> peaks -> assignment.
 
     Returns ``(labelled df, info)``; ``info`` holds the peaks, the coarse k
@@ -100,7 +105,7 @@ def density_peaks(df: DataFrame, k_final: int, k_coarse: int | None = None, *,
         raise ValueError(f"too few rows ({n}) for a coarse clustering")
     coarse = fit_kmeans(prepared, k_c, seed, max_iter)
     pts = assign_nearest(prepared, coarse.centres, features_col, "_coarse", "_dist")
-    ranked = density_rank(pts, "_coarse", "_dist")
+    ranked = density_rank(pts, "_coarse", "_dist", min_cluster_size)
     cand = density_candidates(ranked, k_final).withColumn(
         "centre", F.element_at(matrix_literal(coarse.centres), F.col("cluster") + 1))
     peaks = farthest_point_peaks(cand, k_final)

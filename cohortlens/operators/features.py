@@ -97,9 +97,22 @@ def latest_directory(snapshots: DataFrame, snapshot_col: str = "snapshot") -> Da
 
 # --- combining (J1, J2, P4) ---------------------------------------------------
 
-def fill_numeric_zero(df: DataFrame, exclude=("user",)) -> DataFrame:
+# Measures that are means, not counts: ``fill="counts_only"`` leaves them null
+# so that mean imputation (not midnight) fills a user without logons.
+MEAN_COLUMNS = ("logon_avg_hour", "logon_hour_std")
+
+
+def fill_numeric_zero(df: DataFrame, exclude=("user",), fill=True) -> DataFrame:
+    """Zero-fill int/bigint/double/float columns.
+
+    ``fill=True`` fills every such column; ``fill="counts_only"`` skips the
+    hour mean and deviation; ``fill=False`` returns ``df`` unchanged.
+    """
+    if fill is False:
+        return df
+    skip = set(exclude) | (set(MEAN_COLUMNS) if fill == "counts_only" else set())
     cols = [f.name for f in df.schema.fields
-            if isinstance(f.dataType, NUMERIC_FILL_TYPES) and f.name not in exclude]
+            if isinstance(f.dataType, NUMERIC_FILL_TYPES) and f.name not in skip]
     return df.na.fill(0, subset=cols) if cols else df
 
 
@@ -116,7 +129,7 @@ def user_features_joined(logon: DataFrame | None = None, device: DataFrame | Non
     combined = reduce(lambda a, b: a.join(b, on="user", how="full"), tables)
     if directory is not None:
         combined = combined.join(directory, on="user", how="left")
-    return fill_numeric_zero(combined) if fill else combined
+    return fill_numeric_zero(combined, fill=fill)
 
 
 def _tag(log: DataFrame, src: str, key: str, activity: bool) -> DataFrame:
@@ -202,4 +215,4 @@ def user_features(logon: DataFrame | None = None, device: DataFrame | None = Non
     combined = per_key.groupBy("user").agg(*aggs)
     if directory is not None:
         combined = combined.join(directory, on="user", how="left")
-    return fill_numeric_zero(combined) if fill else combined
+    return fill_numeric_zero(combined, fill=fill)

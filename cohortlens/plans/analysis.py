@@ -36,7 +36,7 @@ def build_user_features(spark: SparkSession, data_dir: str, *, form: str = "aggr
     logs = {role: src.load_log(spark, found[role], role)
             for role in ("logon", "device", "http") if role in found}
     if "logon" not in logs and "parquet" in found:
-        return spark.read.parquet(*found["parquet"])
+        return src.load_parquet(spark, found["parquet"])
     if not logs:
         raise FileNotFoundError(f"no recognisable source file in {data_dir}")
     directory = src.load_directory(spark, found["ldap"]) if "ldap" in found else None

@@ -204,6 +204,25 @@ def q_header_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.where(~header_row(mixed.columns, "id"))
 
 
+def q_user_features_counts_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_features(spark, sf_dir, feat.user_features, fill="counts_only"))
+
+
+def q_source_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .operators.quality import source_quality
+    return source_quality(tb.activity_logs(spark, sf_dir))
+
+
+def q_directory_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .operators.quality import directory_coverage
+    return rounded(directory_coverage(_features(spark, sf_dir, feat.user_features)))
+
+
+def q_parquet_passthrough(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sources.files import load_parquet
+    return load_parquet(spark, [f"{sf_dir}/customer.parquet"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "logon_features": q_logon_features,
     "device_features": q_device_features,
@@ -214,6 +233,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "user_features_unfilled": q_user_features_unfilled,
     "parse_timestamps": q_parse_timestamps,
     "header_filter": q_header_filter,
+    "user_features_counts_only": q_user_features_counts_only,
+    "source_quality": q_source_quality,
+    "directory_coverage": q_directory_coverage,
+    "parquet_passthrough": q_parquet_passthrough,
 }
 
 
@@ -249,6 +272,20 @@ ORACLE: dict[str, str] = {
     "header_filter": f"WITH logon AS ({LOGON_SQL}) SELECT * FROM logon",
 }
 ORACLE["user_features_joined"] = ORACLE["user_features"]
+ORACLE["user_features_counts_only"] = (
+    f"WITH {FEATURES_RAW_CTE} SELECT \"user\", " + ", ".join(
+        (f"round({c}, {ROUND}) AS {c}" if c in _FEATURE_DOUBLES else f"coalesce({c}, 0) AS {c}")
+        for c in _FEATURE_NUMS) + ", role FROM features_raw")
+ORACLE["source_quality"] = " UNION ALL ".join(
+    f"""SELECT '{src}' AS source, count(*) AS rows,
+        count(*) FILTER (WHERE "user" IS NULL) AS null_users,
+        count(*) FILTER (WHERE try_strptime(date, {_FORMATS_SQL}) IS NULL) AS unparsed_dates
+      FROM ({body})""" for src, body in (("logon", LOGON_SQL), ("device", DEVICE_SQL),
+                                          ("http", HTTP_SQL)))
+ORACLE["directory_coverage"] = (
+    f"WITH {FEATURES_CTE} SELECT count(*) AS users, count(role) AS with_role, "
+    f"round(CAST(count(role) AS DOUBLE) / count(*), {ROUND}) AS match_rate FROM features")
+ORACLE["parquet_passthrough"] = "SELECT * FROM customer"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

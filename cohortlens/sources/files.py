@@ -8,6 +8,8 @@ peek at the first file, so files with and without a header can be mixed.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,19 +52,36 @@ def detect_sources(spark: SparkSession, data_dir: str) -> dict[str, list[str]]:
     return found
 
 
-def load_log(spark: SparkSession, paths: list[str], role: str) -> DataFrame:
+def load_log(spark: SparkSession, paths: list[str], role: str,
+             strict_header: bool = False) -> DataFrame:
     """Fixed-schema permissive CSV scan of one source role, header lines removed.
 
     Short rows get nulls, extra fields are dropped (CSV ``PERMISSIVE``).
     Columns are positional: a header with reordered names is still read by
-    position, as the source files define no header.
+    position, as the source files define no header.  ``strict_header=True``
+    runs one extra job and raises if any header line names the columns in a
+    different order than the schema.
     """
     schema = SCHEMAS[role]
     df = (spark.read.schema(schema)
           .option("header", "false")
           .option("mode", "PERMISSIVE")
           .csv(paths))
-    return df.where(~header_row(schema.fieldNames(), HEADER_KEY[role]))
+    is_header = header_row(schema.fieldNames(), HEADER_KEY[role])
+    if strict_header:
+        in_order = reduce(lambda a, b: a & b, [
+            F.coalesce(F.lower(F.trim(F.col(c))) == c.lower(), F.lit(False))
+            for c in schema.fieldNames()])
+        bad = df.where(is_header & ~in_order).limit(1).collect()
+        if bad:
+            raise ValueError(f"{role}: header line {list(bad[0])} does not match the "
+                             f"column order {schema.fieldNames()}")
+    return df.where(~is_header)
+
+
+def load_parquet(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """A generic user table stored as Parquet, returned as it is."""
+    return spark.read.parquet(*paths)
 
 
 def read_snapshots(spark: SparkSession, paths: list[str]) -> DataFrame:

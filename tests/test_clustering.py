@@ -201,3 +201,13 @@ def test_matrix_literal_bound():
     with pytest.raises(ValueError):
         vectors.matrix_literal([[0.0] * 1000] * (vectors.MAX_LITERAL_DOUBLES // 1000 + 1))
     assert math.isfinite(1.0)
+
+
+def test_min_cluster_size_drops_lone_outlier(spark):
+    pts = spark.createDataFrame(
+        [(0, 0.5), (0, 0.7), (1, 0.0), (2, 0.2), (2, 0.4)], "cluster int, dist double")
+    plain = {r["cluster"]: r["density_rank"] for r in dn.density_rank(pts).collect()}
+    assert plain[1] == 1                                   # the singleton ranks densest
+    guarded = {r["cluster"]: r["density_rank"]
+               for r in dn.density_rank(pts, min_cluster_size=2).collect()}
+    assert 1 not in guarded and guarded[2] == 1

@@ -120,3 +120,16 @@ def test_approx_distinct_option(spark):
     got = _rows(feat.user_features(_logon(spark), _device(spark), _http(spark),
                                    exact_distinct=False))
     assert got["U1"]["logon_distinct_pcs"] == 2
+
+
+def test_counts_only_fill_leaves_means(spark):
+    got = _rows(feat.user_features(_logon(spark), _device(spark), None, fill="counts_only"))
+    assert got["U3"]["logon_count"] == 0 and got["U3"]["logon_avg_hour"] is None
+    assert got["U2"]["logon_hour_std"] is None
+
+
+def test_source_quality_counts(spark):
+    from cohortlens.operators.quality import source_quality
+    got = {r["source"]: r for r in source_quality({"logon": _logon(spark)}).collect()}
+    assert got["logon"]["rows"] == 6 and got["logon"]["null_users"] == 1
+    assert got["logon"]["unparsed_dates"] == 1

@@ -99,3 +99,13 @@ def test_run_pipeline_end_to_end(spark, tmpdir_fresh):
         assert sum(r["cluster_sizes"].values()) == users.count()
         assert all(isinstance(k, str) for k in r["cluster_sizes"])
         assert -1.0 <= r["silhouette"] <= 1.0
+
+
+def test_strict_header_rejects_reordered_columns(spark, tmpdir_fresh):
+    from cohortlens.sources.files import load_log
+    _write(tmpdir_fresh, "logon.csv", ["date,id,user,pc,activity",
+                                       "L1,01/04/2010 07:12:31,U1,PC-1,Logon"])
+    path = [os.path.join(tmpdir_fresh, "logon.csv")]
+    assert load_log(spark, path, "logon").count() == 1          # positional by default
+    with pytest.raises(ValueError):
+        load_log(spark, path, "logon", strict_header=True)
