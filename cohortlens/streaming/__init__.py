@@ -1,0 +1,8 @@
+"""Streaming: intentionally empty.
+
+The analysed program is batch only (no stream source, watermark, window or
+state), so no streaming operator is added here.  The fitted parts of the
+library are stateless projections: ``FeatureModel.transform`` and
+``operators.geometry.assign_nearest`` apply unchanged to a DataFrame from
+``spark.readStream``.
+"""
