@@ -36,12 +36,15 @@ class KMeansResult:
 
 
 def fit_input(df: DataFrame, id_col: str, features_col: str = "features",
-              partitions: int | None = None, keep=(), n: int | None = None) -> DataFrame:
+              partitions: int | None = None, keep=(), n: int | None = None,
+              store: str = "persist") -> DataFrame:
     """Id + features (+ MLlib vector, + ``keep`` columns) in a fixed layout, computed once.
 
     The partition count follows the row count (ROWS_PER_PARTITION), so the
     same rows always give the same layout and the same fitted model.  The
-    result is checkpointed and also kept in memory for the repeated fits.
+    result is persisted (memory, then disk) for the repeated fits; pass
+    ``store="checkpoint"`` to also cut lineage when the input is expensive
+    to recompute.
     """
     cols = df.select(id_col, features_col, *keep)
     if partitions is None:
@@ -51,9 +54,10 @@ def fit_input(df: DataFrame, id_col: str, features_col: str = "features",
               else cols.repartition(1))
     laid = (spread.sortWithinPartitions(id_col)
             .withColumn(VEC, array_to_vector(F.col(features_col))))
-    stored = materialize(laid)
-    if stored.storageLevel == StorageLevel.NONE:
-        stored = stored.persist(StorageLevel.MEMORY_AND_DISK)
+    if store == "checkpoint":
+        laid = materialize(laid)
+    stored = laid.persist(StorageLevel.MEMORY_AND_DISK)
+    stored.count()
     return stored
 
 

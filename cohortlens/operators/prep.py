@@ -101,15 +101,8 @@ def _scan_columns(df: DataFrame, id_col: str, exclude, max_categories: int):
         approx = df.agg(*[F.approx_count_distinct(c, 0.01).alias(c) for c in strings]).first()
         near = [c for c in strings if approx[c] <= 2 * max_categories + 10]
         if near:
-            pairs = F.explode(F.array(*[
-                F.struct(F.lit(i).alias("col"), F.col(c).alias("val"))
-                for i, c in enumerate(near)]))
-            counts = (df.select(pairs.alias("p")).select("p.col", "p.val")
-                      .groupBy("col", "val").count().collect())
-            for i, c in enumerate(near):
-                mine = [(r["val"], r["count"]) for r in counts if r["col"] == i]
-                if len(mine) <= max_categories:
-                    freqs[c] = mine
+            counts = _category_counts(df, near)
+            freqs = {c: v for c, v in counts.items() if len(v) <= max_categories}
     categorical = [c for c in strings if c in freqs]
     return numerical, categorical, freqs
 
@@ -167,19 +160,28 @@ class FeatureModel:
         return df.withColumn(self.features_col, F.array(*scaled).cast("array<double>"))
 
 
-def fit_features(df: DataFrame, numerical: list[str], categorical: list[str],
-                 features_col: str = "features", freqs: dict | None = None) -> FeatureModel:
-    """Fit imputation, label order and scaling statistics.
-
-    One aggregation job for the numeric moments, one for the category
-    frequencies (skipped when ``freqs`` already holds them).
-    """
+def _moment_aggs(numerical: list[str]) -> list[Column]:
     aggs = [F.count(F.lit(1)).alias("_n")]
     for i, c in enumerate(numerical):
         v = _valid(c)
         aggs += [F.count(v).alias(f"_c{i}"), F.avg(v).alias(f"_m{i}"),
                  F.stddev_samp(v).alias(f"_s{i}")]
-    row = df.agg(*aggs).first()
+    return aggs
+
+
+def _category_counts(df: DataFrame, columns: list[str]) -> dict[str, list]:
+    """``{column: [(value, count), ...]}`` for a few low-cardinality columns, one job."""
+    pairs = F.explode(F.array(*[
+        F.struct(F.lit(i).alias("col"), F.col(c).cast("string").alias("val"))
+        for i, c in enumerate(columns)]))
+    counts = (df.select(pairs.alias("p")).select("p.col", "p.val")
+              .groupBy("col", "val").count().collect())
+    return {c: [(r["val"], r["count"]) for r in counts if r["col"] == i]
+            for i, c in enumerate(columns)}
+
+
+def _build_model(row, numerical: list[str], categorical: list[str], freqs: dict,
+                 features_col: str) -> FeatureModel:
     n = int(row["_n"])
     surrogates, mean, std = {}, [], []
     for i, c in enumerate(numerical):
@@ -191,29 +193,32 @@ def fit_features(df: DataFrame, numerical: list[str], categorical: list[str],
         ss = (float(s) ** 2) * (cnt - 1) if s is not None else 0.0
         mean.append(float(m))
         std.append(math.sqrt(ss / (n - 1)) if n > 1 else 0.0)
-
     labels: dict[str, list[str]] = {}
-    if categorical:
-        if freqs is None or any(c not in freqs for c in categorical):
-            pairs = F.explode(F.array(*[
-                F.struct(F.lit(i).alias("col"), F.col(c).cast("string").alias("val"))
-                for i, c in enumerate(categorical)]))
-            counts = (df.select(pairs.alias("p")).select("p.col", "p.val")
-                      .groupBy("col", "val").count().collect())
-            freqs = {c: [(r["val"], r["count"]) for r in counts if r["col"] == i]
-                     for i, c in enumerate(categorical)}
-        for c in categorical:
-            mine = freqs[c]
-            known = sorted([(v, k) for v, k in mine if v is not None], key=lambda t: (-t[1], t[0]))
-            labels[c] = [v for v, _ in known]
-            freq = [k for _, k in known] + [sum(k for v, k in mine if v is None)]
-            for k in freq:
-                p = k / n
-                mean.append(p)
-                std.append(math.sqrt(n * p * (1 - p) / (n - 1)) if n > 1 else 0.0)
+    for c in categorical:
+        mine = freqs[c]
+        known = sorted([(v, k) for v, k in mine if v is not None], key=lambda t: (-t[1], t[0]))
+        labels[c] = [v for v, _ in known]
+        freq = [k for _, k in known] + [sum(k for v, k in mine if v is None)]
+        for k in freq:
+            p = k / n
+            mean.append(p)
+            std.append(math.sqrt(n * p * (1 - p) / (n - 1)) if n > 1 else 0.0)
     return FeatureModel(numerical, categorical, surrogates, labels, mean, std, features_col, n)
 
 
+def fit_features(df: DataFrame, numerical: list[str], categorical: list[str],
+                 features_col: str = "features", freqs: dict | None = None) -> FeatureModel:
+    """Fit imputation, label order and scaling statistics for given columns.
+
+    One aggregation job for the numeric moments, one for the category
+    frequencies (skipped when ``freqs`` already holds them).
+    """
+    row = df.agg(*_moment_aggs(numerical)).first()
+    if categorical and (freqs is None or any(c not in freqs for c in categorical)):
+        freqs = _category_counts(df, categorical)
+    return _build_model(row, numerical, categorical, freqs or {}, features_col)
+
+
 def prepare(df: DataFrame, id_col: str = "user", exclude=LABEL_COLUMNS,
             max_categories: int = MAX_CATEGORIES,
             features_col: str = "features") -> tuple[DataFrame, FeatureModel]:
@@ -225,10 +230,22 @@ def prepare(df: DataFrame, id_col: str = "user", exclude=LABEL_COLUMNS,
     from ..plans.lineage import materialize
 
     df = materialize(df)
-    numerical, categorical, freqs = _scan_columns(df, id_col, exclude, max_categories)
+    skip = {id_col, *exclude}
+    numerical = [f.name for f in df.schema.fields
+                 if isinstance(f.dataType, T.NumericType) and f.name not in skip]
+    strings = _string_cols(df, skip)
+    # job 1: numeric moments and a HyperLogLog screen of the string columns together
+    row = df.agg(*_moment_aggs(numerical),
+                 *[F.approx_count_distinct(c, 0.01).alias(f"_h{i}")
+                   for i, c in enumerate(strings)]).first()
+    near = [c for i, c in enumerate(strings) if row[f"_h{i}"] <= 2 * max_categories + 10]
+    # job 2: exact value counts of the near-categorical columns
+    counts = _category_counts(df, near) if near else {}
+    freqs = {c: v for c, v in counts.items() if len(v) <= max_categories}
+    categorical = [c for c in strings if c in freqs]
     if not numerical and not categorical:
         raise ValueError("no usable feature column (numeric, or string with few values)")
-    model = fit_features(df, numerical, categorical, features_col, freqs)
+    model = _build_model(row, numerical, categorical, freqs, features_col)
     return model.transform(df), model
 
 
