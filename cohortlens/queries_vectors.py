@@ -128,7 +128,21 @@ def q_contingency_metrics(spark, sf_dir):
     return rounded(mt.external_scores(pts, "label", "prediction"))
 
 
+def q_method_record(spark, sf_dir):
+    """E5: the metric record of a deterministic clustering (fixed-centre density peaks)."""
+    from .operators.evaluate import evaluate, metrics_frame
+
+    pts, dim, _, _, _, peak_centres = _peaks(spark, sf_dir)
+    labelled = geo.assign_nearest(pts.drop("cluster", "dist"), peak_centres, "features",
+                                  "prediction")
+    cost = geo.sse(labelled, peak_centres, "prediction").first()["inertia"]
+    rec = evaluate(labelled, "DensityPeaks-fixed", label_col="label", inertia=cost, dim=dim)
+    return metrics_frame(spark, [rec]).select(
+        "method", "n_clusters", "silhouette", "inertia", "within_ss", "nmi", "ari", "purity")
+
+
 QUERIES = {
+    "method_record": q_method_record,
     "label_centroids": q_label_centroids,
     "distance_to_center": q_distance_to_center,
     "nearest_center": q_nearest_center,
@@ -230,6 +244,20 @@ agg AS (SELECT cells.*, hu.*, hv.*, best.m, tot.n,
     hu.sa * hv.sb / (tot.n * (tot.n - 1) / 2) AS expected FROM cells, hu, hv, best, tot)"""
 
 ORACLE = {
+    "method_record": f"""WITH {SILHOUETTE_CTE}, {CONTINGENCY_CTE},
+        sse AS (SELECT sum(d) AS inertia FROM pp JOIN np USING (vec_id)
+                WHERE pp.pick = np.prediction),
+        wss AS (SELECT sum(psi - {sqn('y')} / n) AS within_ss FROM stats)
+        SELECT 'DensityPeaks-fixed' AS method,
+               CAST((SELECT count(*) FROM stats) AS INTEGER) AS n_clusters,
+               round((SELECT avg(s) FROM sv), 4) AS silhouette,
+               round((SELECT inertia FROM sse), 2) AS inertia,
+               round((SELECT within_ss FROM wss), 2) AS within_ss,
+               round(CASE WHEN hu + hv = 0 THEN 1.0 ELSE mi / ((hu + hv) / 2) END, 4) AS nmi,
+               round(CASE WHEN (sa + sb) / 2 - expected = 0 THEN 1.0
+                     ELSE (suv - expected) / ((sa + sb) / 2 - expected) END, 4) AS ari,
+               round(m / n, 4) AS purity
+        FROM agg""",
     "label_centroids": f"WITH {BASE_CTE} SELECT label, CAST(n AS BIGINT) AS n, "
                        f"CAST(i AS INTEGER) AS dim, round(v, 6) AS value FROM cent_long",
     "distance_to_center": f"WITH {BASE_CTE} SELECT vec_id, label, round(d, 6) AS dist "
