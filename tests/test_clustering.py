@@ -171,6 +171,8 @@ def test_farthest_point_matches_greedy(spark):
                 best, best_d = i, d
         chosen.append(best)
     assert [r["cluster"] for r in got] == chosen
+    dists = [r["min_dist"] for r in got][1:]
+    assert all(a >= b for a, b in zip(dists, dists[1:]))      # round distances never rise
 
 
 def test_candidates_run_out(spark):
@@ -211,3 +213,36 @@ def test_min_cluster_size_drops_lone_outlier(spark):
     guarded = {r["cluster"]: r["density_rank"]
                for r in dn.density_rank(pts, min_cluster_size=2).collect()}
     assert 1 not in guarded and guarded[2] == 1
+
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 4)), min_size=3, max_size=40))
+def test_external_scores_match_definitions(spark, pairs):
+    df = spark.createDataFrame(pairs, "label int, p int")
+    got = mt.external_scores(df, "label", "p").first()
+    u = np.array([a for a, _ in pairs])
+    v = np.array([b for _, b in pairs])
+    n = len(u)
+    cont = {}
+    for a, b in pairs:
+        cont[(a, b)] = cont.get((a, b), 0) + 1
+    au = {a: (u == a).sum() for a in set(u)}
+    bv = {b: (v == b).sum() for b in set(v)}
+    mi = sum(c / n * math.log(n * c / (au[a] * bv[b])) for (a, b), c in cont.items())
+    hu = -sum(x / n * math.log(x / n) for x in au.values())
+    hv = -sum(x / n * math.log(x / n) for x in bv.values())
+    nmi = 1.0 if hu + hv == 0 else mi / ((hu + hv) / 2)
+    assert got["nmi"] == pytest.approx(nmi, abs=1e-9)
+    c2 = lambda x: x * (x - 1) / 2
+    suv, sa, sb = (sum(c2(c) for c in cont.values()), sum(c2(x) for x in au.values()),
+                   sum(c2(x) for x in bv.values()))
+    exp = sa * sb / c2(n)
+    den = (sa + sb) / 2 - exp
+    ari = 1.0 if den == 0 else (suv - exp) / den
+    assert got["ari"] == pytest.approx(ari, abs=1e-9)
+    purity = sum(max(c for (a, b), c in cont.items() if b == bb) for bb in bv) / n
+    assert got["purity"] == pytest.approx(purity, abs=1e-12)
