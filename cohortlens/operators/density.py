@@ -53,7 +53,8 @@ def farthest_point_peaks(candidates: DataFrame, k_final: int, centre_col: str =
     ``min_dist`` (distance to the nearer earlier peak; null for pick 0).
     Fewer than ``k_final`` rows when the candidates run out.
     """
-    cand = materialize(candidates)
+    # at most k_coarse rows: one partition, so each round is a single stage
+    cand = materialize(candidates.coalesce(1)).persist()
     first = (cand.orderBy(rank_col).select(rank_col, centre_col).first())
     if first is None:
         raise ValueError("no density candidates")
@@ -71,6 +72,7 @@ def farthest_point_peaks(candidates: DataFrame, k_final: int, centre_col: str =
         ranks.append(best[0])
         centres.append(list(best[1]))
         dists.append(float(best[2]))
+    cand.unpersist()  # the result below reads the checkpointed copy
     pick = F.create_map(*[x for i, r in enumerate(ranks) for x in (F.lit(r), F.lit(i))])
     mind = F.create_map(*[x for r, d in zip(ranks, dists)
                           for x in (F.lit(r), F.lit(d).cast("double"))])
