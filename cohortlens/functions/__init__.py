@@ -8,7 +8,6 @@ from .vectors import (
     nearest_index,
     sq_dist,
     sq_norm,
-    vector_length,
 )
 
 __all__ = [
@@ -22,5 +21,4 @@ __all__ = [
     "parse_event_time",
     "sq_dist",
     "sq_norm",
-    "vector_length",
 ]

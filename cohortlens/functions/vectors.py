@@ -41,10 +41,6 @@ def sq_norm(a: str | Column) -> Column:
     return F.aggregate(_col(a), F.lit(0.0), lambda acc, v: acc + v * v)
 
 
-def vector_length(a: str | Column) -> Column:
-    return F.size(_col(a))
-
-
 def _double_sql(v: float) -> str:
     v = float(v)
     if math.isnan(v):

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.kernels import with_nearest
-from ..functions.vectors import MAX_LITERAL_DOUBLES, matrix_literal, sq_dist
+from ..functions.vectors import MAX_LITERAL_DOUBLES, matrix_literal, sq_dist  # noqa: F401
 
 
 def vector_dim(df: DataFrame, features_col: str = "features") -> int:

@@ -12,7 +12,6 @@ from __future__ import annotations
 import time
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..functions.kernels import with_nearest
 from ..operators import features as feat

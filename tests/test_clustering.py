@@ -246,3 +246,23 @@ def test_external_scores_match_definitions(spark, pairs):
     assert got["ari"] == pytest.approx(ari, abs=1e-9)
     purity = sum(max(c for (a, b), c in cont.items() if b == bb) for bb in bv) / n
     assert got["purity"] == pytest.approx(purity, abs=1e-12)
+
+
+def test_jvm_expression_and_kernel_agree(spark):
+    """The higher-order-function assignment equals the vectorised kernel."""
+    from cohortlens.functions.vectors import matrix_literal, nearest_index
+    df = blobs(spark, per=20)
+    cents = [[1.0, 1.0, 1.0], [9.0, 0.0, 0.0], [0.0, 9.0, 4.0], [5.0, 5.0, 2.0]]
+    jvm = df.select("user", nearest_index("features", matrix_literal(cents), 4).alias("n"))
+    a = {r["user"]: (r["n"]["idx"], r["n"]["dist"]) for r in jvm.collect()}
+    b = {r["user"]: (r["p"], r["d"])
+         for r in geo.assign_nearest(df, cents, "features", "p", "d").collect()}
+    assert a.keys() == b.keys()
+    for u in a:
+        assert a[u][0] == b[u][0] and a[u][1] == pytest.approx(b[u][1], rel=1e-12)
+
+
+def test_cluster_size_map(spark):
+    df = blobs(spark, per=7).withColumn("prediction", F.col("label"))
+    row = mt.cluster_size_map(df).first()
+    assert row["cluster_sizes"] == {0: 7, 1: 7, 2: 7} and row["n_clusters"] == 3
