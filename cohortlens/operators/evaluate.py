@@ -6,7 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .metrics import NO_SILHOUETTE, cluster_stats, external_scores, silhouette_points
+from .metrics import (
+    NO_SILHOUETTE,
+    cluster_stats,
+    external_scores,
+    external_scores_many,
+    silhouette_points,
+    silhouettes_from_stats,
+    sse_from_stats,
+    stats_many,
+    within_ss,
+)
 
 METRIC_SCHEMA = T.StructType([
     T.StructField("method", T.StringType(), False),
@@ -54,6 +64,39 @@ def evaluate(df: DataFrame, method: str, *, prediction_col: str = "prediction",
     return rec
 
 
+def evaluate_many(df: DataFrame, methods: list[dict], *, features_col: str = "features",
+                  label_col: str | None = None, dim: int | None = None) -> list[dict]:
+    """Metric records of several clusterings carried as columns of one DataFrame.
+
+    ``methods`` holds dicts with ``name``, ``pred`` (column), and optionally
+    ``runtime``, ``inertia`` (a number) or ``centres`` (inertia is then the
+    squared distance of each cluster to its centre, from the statistics).
+    Three jobs in all, whatever the number of methods: per-cluster statistics
+    of every column, every silhouette, and every external score.
+    """
+    preds = [m["pred"] for m in methods]
+    stats = stats_many(df, preds, features_col, dim)
+    sils = silhouettes_from_stats(df, stats, features_col)
+    ext = (external_scores_many(df, label_col, preds)
+           if label_col and label_col in df.columns else {})
+    records = []
+    for m in methods:
+        st = stats[m["pred"]]
+        inertia = m.get("inertia")
+        if inertia is None and m.get("centres") is not None:
+            inertia = sse_from_stats(st, m["centres"])
+        rec = {"method": m["name"], "runtime_s": round(float(m.get("runtime", 0.0)), 2),
+               "n_clusters": len(st), "silhouette": round(float(sils[m["pred"]]), 4),
+               "inertia": None if inertia is None else round(float(inertia), 2),
+               "within_ss": round(within_ss(st), 2),
+               "cluster_sizes": {int(r["cluster"]): int(r["n"]) for r in st},
+               "nmi": None, "ari": None, "purity": None}
+        if m["pred"] in ext:
+            rec.update({k: round(float(v), 4) for k, v in ext[m["pred"]].items()})
+        records.append(rec)
+    return records
+
+
 def metrics_frame(spark, records: list[dict]) -> DataFrame:
     """The comparison table: one row per method."""
     rows = [tuple(r.get(f.name) for f in METRIC_SCHEMA.fields) for r in records]

@@ -56,39 +56,69 @@ def silhouette_points(df: DataFrame, pred_col: str = "prediction",
     return _score_models(df, [stats], [pred_col], features_col, [out])
 
 
-def silhouette_many(df: DataFrame, centre_sets: list, features_col: str = "features",
-                    dim: int | None = None) -> list[float]:
-    """Silhouette of several centre sets (nearest-centre labels) in two jobs.
+def stats_many(df: DataFrame, preds: list[str], features_col: str = "features",
+               dim: int | None = None) -> dict[str, list]:
+    """Per-cluster statistics of several prediction columns in one job.
 
-    One pass gathers the per-cluster statistics of every model at once (the
-    points are fanned out over the models before a partially-aggregated
-    group-by on ``(model, cluster)``); a second pass scores every model.
+    The points are fanned out over the prediction columns before a partially
+    aggregated group-by on ``(column, cluster)``, so every clustering costs
+    one pass together.  Returns ``{pred: rows sorted by cluster}``.
     """
     dim = vector_dim(df, features_col) if dim is None else dim
     x = F.col(features_col)
-    names = [f"_p{i}" for i in range(len(centre_sets))]
-    pts = with_nearest(df.select(features_col), centre_sets, features_col, names)
-    fan = pts.select(features_col, F.explode(F.array(*[
-        F.struct(F.lit(i).alias("m"), F.col(nm).alias("c"))
-        for i, nm in enumerate(names)])).alias("mc"))
+    fan = df.select(features_col, F.explode(F.array(*[
+        F.struct(F.lit(i).alias("m"), F.col(p).alias("c")) for i, p in enumerate(preds)]))
+        .alias("mc")).where(F.col("mc.c").isNotNull())
     rows = fan.groupBy(F.col("mc.m").alias("m"), F.col("mc.c").alias("cluster")).agg(
         F.count(F.lit(1)).alias("n"),
         F.array(*[F.sum(x.getItem(j)) for j in range(dim)]).alias("y"),
         F.sum(sq_norm(x)).alias("psi")).collect()
-    per_model = [sorted([r for r in rows if r["m"] == i], key=lambda r: r["cluster"])
-                 for i in range(len(centre_sets))]
-    scored_idx = [i for i, st in enumerate(per_model) if len(st) >= 2]
-    result = [NO_SILHOUETTE] * len(centre_sets)
-    if scored_idx:
-        scored = _score_models(pts, [per_model[i] for i in scored_idx],
-                               [names[i] for i in scored_idx], features_col,
-                               [f"_s{i}" for i in scored_idx])
-        vals = scored.agg(*[F.avg(f"_s{i}").alias(f"v{i}") for i in scored_idx]).first()
-        for i in scored_idx:
-            result[i] = float(vals[f"v{i}"])
+    return {p: sorted([r for r in rows if r["m"] == i], key=lambda r: r["cluster"])
+            for i, p in enumerate(preds)}
+
+
+def silhouettes_from_stats(df: DataFrame, stats: dict[str, list],
+                           features_col: str = "features") -> dict[str, float]:
+    """Mean silhouette of every prediction column in one scoring pass."""
+    scored = [p for p, st in stats.items() if len(st) >= 2]
+    result = {p: NO_SILHOUETTE for p in stats}
+    if scored:
+        outs = [f"_s{i}" for i in range(len(scored))]
+        pts = _score_models(df.select(features_col, *scored), [stats[p] for p in scored],
+                            scored, features_col, outs)
+        vals = pts.agg(*[F.avg(o).alias(o) for o in outs]).first()
+        for p, o in zip(scored, outs):
+            result[p] = float(vals[o])
     return result
 
 
+def sse_from_stats(stats: list, centres: list) -> float:
+    """Sum of squared distances of each cluster's points to a given centre per cluster.
+
+    ``sum |x - c|^2 = psi - 2 y.c + n |c|^2``; ``centres`` is indexed by cluster id.
+    """
+    total = 0.0
+    for r in stats:
+        c = centres[int(r["cluster"])]
+        total += (float(r["psi"]) - 2.0 * sum(a * b for a, b in zip(r["y"], c))
+                  + float(r["n"]) * sum(v * v for v in c))
+    return total
+
+
+def within_ss(stats: list) -> float:
+    """Sum of squared distances to the cluster means."""
+    return sum(float(r["psi"]) - sum(v * v for v in r["y"]) / r["n"] for r in stats)
+
+
+def silhouette_many(df: DataFrame, centre_sets: list, features_col: str = "features",
+                    dim: int | None = None) -> list[float]:
+    """Silhouette of several centre sets (nearest-centre labels) in two jobs."""
+    names = [f"_p{i}" for i in range(len(centre_sets))]
+    pts = with_nearest(df.select(features_col), centre_sets, features_col, names)
+    sils = silhouettes_from_stats(pts, stats_many(pts, names, features_col, dim), features_col)
+    return [sils[nm] for nm in names]
+
+
 def silhouette(df: DataFrame, pred_col: str = "prediction", features_col: str = "features",
                dim: int | None = None) -> DataFrame:
     """One row ``(silhouette)``; -1.0 when fewer than two clusters are used."""
@@ -133,25 +163,15 @@ def _c2(c: Column) -> Column:
     return c.cast("double") * (c.cast("double") - 1) / 2
 
 
-def external_scores(df: DataFrame, label_col: str, pred_col: str) -> DataFrame:
-    """One row ``(nmi, ari, purity)`` against a ground-truth label.
-
-    NMI uses the arithmetic mean of the two entropies (1.0 when both are 0);
-    ARI is Hubert-Arabie's (1.0 when its denominator is 0); purity is
-    ``sum_v max_u n_uv / n``.
-
-    One pass over the points builds the contingency table; the marginals
-    come from windows partitioned by label and by prediction (each window
-    group is one row of the table), and a single aggregate then yields every
-    sum, using sum_u f(a_u) = sum_cells n_uv f(a_u) / a_u.
-    """
-    ct = contingency(df, label_col, pred_col)
-    by_u, by_v = Window.partitionBy("u"), Window.partitionBy("v")
+def _external_from_cells(ct: DataFrame, keys: list[str]) -> DataFrame:
+    """NMI / ARI / purity per ``keys`` group of a contingency table ``(keys.., u, v, nuv)``."""
+    by_u = Window.partitionBy(*keys, "u")
+    by_v = Window.partitionBy(*keys, "v")
     cells = (ct.withColumn("a", F.sum("nuv").over(by_u))
              .withColumn("b", F.sum("nuv").over(by_v))
              .withColumn("m", F.max("nuv").over(by_v)))
     nuv, a, b = (F.col(c).cast("double") for c in ("nuv", "a", "b"))
-    s = cells.agg(
+    s = cells.groupBy(*keys).agg(
         F.sum(nuv).alias("n"),
         F.sum(nuv * F.log(nuv)).alias("sl"),
         F.sum(nuv * F.log(a)).alias("sla"),
@@ -168,8 +188,37 @@ def external_scores(df: DataFrame, label_col: str, pred_col: str) -> DataFrame:
     expected = F.col("sa") * F.col("sb") / (n * (n - 1) / 2)
     ari_den = (F.col("sa") + F.col("sb")) / 2 - expected
     return s.select(
+        *keys,
         F.when(F.abs(hu + hv) < 1e-15, F.lit(1.0))
         .otherwise(F.try_divide(mi, (hu + hv) / 2)).alias("nmi"),
         F.when(ari_den == 0, F.lit(1.0))
         .otherwise(F.try_divide(F.col("suv") - expected, ari_den)).alias("ari"),
         F.try_divide(F.col("best"), n).alias("purity"))
+
+
+def external_scores(df: DataFrame, label_col: str, pred_col: str) -> DataFrame:
+    """One row ``(nmi, ari, purity)`` against a ground-truth label.
+
+    NMI uses the arithmetic mean of the two entropies (1.0 when both are 0);
+    ARI is Hubert-Arabie's (1.0 when its denominator is 0); purity is
+    ``sum_v max_u n_uv / n``.
+
+    One pass over the points builds the contingency table; the marginals
+    come from windows partitioned by label and by prediction (each window
+    group is one row of the table), and a single aggregate then yields every
+    sum, using sum_u f(a_u) = sum_cells n_uv f(a_u) / a_u.
+    """
+    return _external_from_cells(contingency(df, label_col, pred_col), [])
+
+
+def external_scores_many(df: DataFrame, label_col: str, preds: list[str]) -> dict[str, dict]:
+    """``{pred: {nmi, ari, purity}}`` for several prediction columns in one job."""
+    fan = df.select(F.col(label_col).alias("u"), F.explode(F.array(*[
+        F.struct(F.lit(i).alias("m"), F.col(p).alias("v")) for i, p in enumerate(preds)]))
+        .alias("mv"))
+    ct = (fan.where(F.col("u").isNotNull() & F.col("mv.v").isNotNull())
+          .groupBy(F.col("mv.m").alias("mi_"), "u", F.col("mv.v").alias("v"))
+          .agg(F.count(F.lit(1)).alias("nuv")))
+    rows = _external_from_cells(ct, ["mi_"]).collect()
+    return {preds[r["mi_"]]: {"nmi": r["nmi"], "ari": r["ari"], "purity": r["purity"]}
+            for r in rows}

@@ -16,8 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..functions.kernels import with_nearest
 from ..operators import features as feat
 from ..operators.density import coarse_k, density_peaks
-from ..operators.evaluate import evaluate, metrics_frame
-from ..operators.geometry import sse
+from ..operators.evaluate import evaluate_many, metrics_frame
 from ..operators.kmeans import fit_input, kmeans, kmeans_sweep
 from ..operators.prep import find_label_column, prepare
 from ..sources import files as src
@@ -61,37 +60,36 @@ def run_analysis(features: DataFrame, *, id_col: str = "user", k_baseline: int =
     base = fit_input(prepared_df, id_col, "features", partitions, keep, n=n)
     try:
         dim = len(model.mean)
-        records = []
 
         t0 = time.time()
-        bl_df, bl = kmeans(base, k_baseline, id_col=id_col, seed=seed, prepared=base, n=n,
-                           prediction_col="prediction_baseline")
+        _, bl = kmeans(base, k_baseline, id_col=id_col, seed=seed, prepared=base, n=n)
         bl_rt = time.time() - t0
-        records.append(evaluate(bl_df, "KMeans-Baseline", prediction_col="prediction_baseline",
-                                label_col=label, inertia=bl.cost, runtime=bl_rt, dim=dim))
 
         t0 = time.time()
-        bk_df, sweep = kmeans_sweep(base, range(k_min, k_max + 1), id_col=id_col, seed=seed,
-                                    parallelism=parallelism, prepared=base, n=n, dim=dim,
-                                    fitted={k_baseline: bl})
+        _, sweep = kmeans_sweep(base, range(k_min, k_max + 1), id_col=id_col, seed=seed,
+                                parallelism=parallelism, prepared=base, n=n, dim=dim,
+                                fitted={k_baseline: bl})
         bk_rt = time.time() - t0
-        records.append(evaluate(bk_df, f"KMeans-BestK(k={sweep.best_k})", label_col=label,
-                                inertia=sweep.best.cost, runtime=bk_rt, dim=dim))
 
         t0 = time.time()
-        cd_df, info = density_peaks(base, sweep.best_k, coarse_k(sweep.best_k), id_col=id_col,
-                                    seed=seed, prepared=base, n=n)
+        _, info = density_peaks(base, sweep.best_k, coarse_k(sweep.best_k), id_col=id_col,
+                                seed=seed, prepared=base, n=n)
         cd_rt = time.time() - t0
-        peak_cost = sse(cd_df, info["peak_centres"], "prediction").first()["inertia"]
-        records.append(evaluate(cd_df, "CDPC-KNN-Approx", label_col=label, inertia=peak_cost,
-                                runtime=cd_rt, dim=dim))
-
-        # all three labels in one projection over the stored fit input: no joins
-        preds = with_nearest(
-            base.select(id_col, "features"),
-            [bl.centres, sweep.best.centres, info["peak_centres"]], "features",
-            ["prediction_baseline", "prediction_bestk", "prediction_cdpc"]).drop("features")
-        users = features.join(preds, on=id_col, how="left")
+
+        # all three labels in one projection over the stored fit input: no joins,
+        # and every metric of every method from that one DataFrame
+        names = ["prediction_baseline", "prediction_bestk", "prediction_cdpc"]
+        labelled = with_nearest(
+            base.select(id_col, "features", *keep),
+            [bl.centres, sweep.best.centres, info["peak_centres"]], "features", names)
+        records = evaluate_many(labelled, [
+            {"name": "KMeans-Baseline", "pred": names[0], "runtime": bl_rt, "inertia": bl.cost},
+            {"name": f"KMeans-BestK(k={sweep.best_k})", "pred": names[1], "runtime": bk_rt,
+             "inertia": sweep.best.cost},
+            {"name": "CDPC-KNN-Approx", "pred": names[2], "runtime": cd_rt,
+             "centres": info["peak_centres"]},
+        ], label_col=label, dim=dim)
+        users = features.join(labelled.select(id_col, *names), on=id_col, how="left")
         details = {"model": model, "baseline": bl, "sweep": sweep, "cdpc": info,
                    "label_col": label}
         return users, metrics_frame(spark, records), details

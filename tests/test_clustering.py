@@ -266,3 +266,20 @@ def test_cluster_size_map(spark):
     df = blobs(spark, per=7).withColumn("prediction", F.col("label"))
     row = mt.cluster_size_map(df).first()
     assert row["cluster_sizes"] == {0: 7, 1: 7, 2: 7} and row["n_clusters"] == 3
+
+
+def test_evaluate_many_equals_single(spark):
+    from cohortlens.operators.evaluate import evaluate, evaluate_many
+    df = blobs(spark, per=12)
+    c2 = [[0.0, 0.0, 0.0], [5.0, 5.0, 2.0]]
+    c3 = CENTRES.tolist()
+    both = geo.assign_nearest(geo.assign_nearest(df, c2, "features", "p2"), c3, "features", "p3")
+    many = evaluate_many(both, [{"name": "two", "pred": "p2", "centres": c2},
+                                {"name": "three", "pred": "p3", "centres": c3}], label_col="label")
+    for rec, pred, cents in zip(many, ("p2", "p3"), (c2, c3)):
+        cost = geo.sse(both, cents, pred).first()["inertia"]
+        single = evaluate(both, rec["method"], prediction_col=pred, label_col="label", inertia=cost)
+        for k in ("n_clusters", "silhouette", "inertia", "within_ss", "cluster_sizes",
+                  "nmi", "ari", "purity"):
+            assert rec[k] == pytest.approx(single[k]) if isinstance(rec[k], float) \
+                else rec[k] == single[k], k
