@@ -147,7 +147,8 @@ def _std_from_moments(n: Column, s: Column, ss: Column) -> Column:
     """
     dec = "decimal(38,0)"
     num = (n.cast(dec) * ss.cast(dec) - s.cast(dec) * s.cast(dec)).cast("double")
-    var = F.try_divide(num, (n * (n - 1)).cast("double"))
+    # in double: n * (n - 1) overflows bigint beyond ~3e9 events of one user
+    var = F.try_divide(num, n.cast("double") * (n - 1).cast("double"))
     return F.when(n > 1, F.sqrt(F.greatest(var, F.lit(0.0))))
 
 
