@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import matrix_literal, sq_dist
+from ..defaults import COARSE_K_MAX, COARSE_K_MIN, COARSE_K_PER_PEAK, COARSE_MAX_ITER, SEED
 from ..plans.lineage import materialize
 
 
@@ -83,12 +84,13 @@ def farthest_point_peaks(candidates: DataFrame, k_final: int, centre_col: str =
 
 def coarse_k(k_final: int) -> int:
     """Default coarse cluster count for a given number of peaks."""
-    return min(50, max(5 * k_final, 20))
+    return min(COARSE_K_MAX, max(COARSE_K_PER_PEAK * k_final, COARSE_K_MIN))
 
 
 def density_peaks(df: DataFrame, k_final: int, k_coarse: int | None = None, *,
                   id_col: str = "user", features_col: str = "features",
-                  prediction_col: str = "prediction", seed: int = 42, max_iter: int = 30,
+                  prediction_col: str = "prediction", seed: int = SEED,
+                  max_iter: int = COARSE_MAX_ITER,
                   prepared: DataFrame | None = None, n: int | None = None,
                   min_cluster_size: int = 1):
     """Density-peak approximation (C8): coarse k-means -> density -> peaks -> assignment.

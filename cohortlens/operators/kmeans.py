@@ -18,6 +18,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..defaults import K_MAX, K_MIN, KMEANS_MAX_ITER, SEED
 from ..plans.lineage import materialize
 from .geometry import assign_nearest, vector_dim
 from .metrics import NO_SILHOUETTE, silhouette_many
@@ -66,7 +67,7 @@ def check_k(k: int, n: int) -> None:
         raise ValueError(f"k must be between 2 and the number of rows ({n}), got {k}")
 
 
-def fit_kmeans(prepared: DataFrame, k: int, seed: int = 42, max_iter: int = 50) -> KMeansResult:
+def fit_kmeans(prepared: DataFrame, k: int, seed: int = SEED, max_iter: int = KMEANS_MAX_ITER) -> KMeansResult:
     km = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol=VEC, predictionCol="_kp")
     model = km.fit(prepared)
     centres = [list(map(float, c)) for c in model.clusterCenters()]
@@ -75,7 +76,7 @@ def fit_kmeans(prepared: DataFrame, k: int, seed: int = 42, max_iter: int = 50)
 
 
 def kmeans(df: DataFrame, k: int, *, id_col: str = "user", features_col: str = "features",
-           prediction_col: str = "prediction", seed: int = 42, max_iter: int = 50,
+           prediction_col: str = "prediction", seed: int = SEED, max_iter: int = KMEANS_MAX_ITER,
            prepared: DataFrame | None = None,
            n: int | None = None) -> tuple[DataFrame, KMeansResult]:
     """Fixed-k k-means; returns ``df`` with ``prediction_col`` and the fit."""
@@ -93,8 +94,8 @@ class SweepResult:
     scores: list[tuple[int, float, float]]  # (k, silhouette, inertia)
 
 
-def kmeans_sweep(df: DataFrame, k_range=range(2, 11), *, id_col: str = "user",
-                 features_col: str = "features", seed: int = 42, max_iter: int = 50,
+def kmeans_sweep(df: DataFrame, k_range=range(K_MIN, K_MAX + 1), *, id_col: str = "user",
+                 features_col: str = "features", seed: int = SEED, max_iter: int = KMEANS_MAX_ITER,
                  parallelism: int = 8,
                  prepared: DataFrame | None = None, n: int | None = None,
                  dim: int | None = None,

@@ -13,6 +13,7 @@ import time
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..defaults import K_BASELINE, K_MAX, K_MIN, SEED
 from ..functions.kernels import with_nearest
 from ..operators import features as feat
 from ..operators.density import coarse_k, density_peaks
@@ -43,8 +44,8 @@ def build_user_features(spark: SparkSession, data_dir: str, *, form: str = "aggr
                    exact_distinct=exact_distinct)
 
 
-def run_analysis(features: DataFrame, *, id_col: str = "user", k_baseline: int = 5,
-                 k_min: int = 2, k_max: int = 10, seed: int = 42, parallelism: int = 8,
+def run_analysis(features: DataFrame, *, id_col: str = "user", k_baseline: int = K_BASELINE,
+                 k_min: int = K_MIN, k_max: int = K_MAX, seed: int = SEED, parallelism: int = 8,
                  label_col: str | None = None, partitions: int | None = None):
     """Prepare, cluster three ways, evaluate.
 
@@ -97,8 +98,9 @@ def run_analysis(features: DataFrame, *, id_col: str = "user", k_baseline: int =
         release(base)
 
 
-def run_pipeline(spark: SparkSession, data_dir: str, output_dir: str, *, k_baseline: int = 5,
-                 k_min: int = 2, k_max: int = 10, seed: int = 42, parallelism: int = 8,
+def run_pipeline(spark: SparkSession, data_dir: str, output_dir: str, *,
+                 k_baseline: int = K_BASELINE, k_min: int = K_MIN, k_max: int = K_MAX,
+                 seed: int = SEED, parallelism: int = 8,
                  single_file: bool = False):
     """Read the sources, run the analysis, write labelled users and metrics."""
     from ..sources.sinks import write_labelled_users, write_metrics

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .defaults import K_BASELINE, K_MAX, K_MIN
 from .operators import features as feat
 from .operators import prep
 from .operators.density import coarse_k, density_peaks
@@ -76,13 +77,13 @@ def _prepared(spark, sf_dir):
 
 def q_kmeans_baseline(spark, sf_dir):
     base, n, _ = _prepared(spark, sf_dir)
-    labelled, _ = kmeans(base, 5, id_col="user", prepared=base, n=n)
+    labelled, _ = kmeans(base, K_BASELINE, id_col="user", prepared=base, n=n)
     return labelled.select("user", "prediction")
 
 
 def q_kmeans_sweep(spark, sf_dir):
     base, n, dim = _prepared(spark, sf_dir)
-    _, res = kmeans_sweep(base, range(2, 11), id_col="user", parallelism=8, prepared=base,
+    _, res = kmeans_sweep(base, range(K_MIN, K_MAX + 1), id_col="user", parallelism=8, prepared=base,
                           n=n, dim=dim)
     return spark.createDataFrame(
         [(k, s, c, k == res.best_k) for k, s, c in res.scores],
@@ -91,7 +92,7 @@ def q_kmeans_sweep(spark, sf_dir):
 
 def q_density_peaks(spark, sf_dir):
     base, n, dim = _prepared(spark, sf_dir)
-    _, res = kmeans_sweep(base, range(2, 11), id_col="user", parallelism=8, prepared=base,
+    _, res = kmeans_sweep(base, range(K_MIN, K_MAX + 1), id_col="user", parallelism=8, prepared=base,
                           n=n, dim=dim)
     labelled, _ = density_peaks(base, res.best_k, coarse_k(res.best_k), id_col="user",
                                 prepared=base, n=n)
