@@ -133,3 +133,23 @@ def test_source_quality_counts(spark):
     got = {r["source"]: r for r in source_quality({"logon": _logon(spark)}).collect()}
     assert got["logon"]["rows"] == 6 and got["logon"]["null_users"] == 1
     assert got["logon"]["unparsed_dates"] == 1
+
+
+def test_hot_user_holding_a_third_of_rows(spark):
+    """One user with a third of all rows: both forms agree, counts stay whole."""
+    rows = []
+    for i in range(3000):
+        user = "HOT" if i % 3 == 0 else f"U{i % 97}"
+        rows.append((str(i), f"01/{1 + i % 28:02d}/2010 {i % 24:02d}:00:00", user,
+                     f"PC-{i % 13}", "Logon" if i % 2 else "Logoff"))
+    logon = spark.createDataFrame(rows, LOG).repartition(8)
+    web = spark.createDataFrame(
+        [(str(i), "2010-01-04 10:00:00", "HOT" if i % 3 == 0 else f"U{i % 97}", "PC-1",
+          f"http://s{i}.example") for i in range(3000)], HTTP).repartition(8)
+    a = _rows(feat.user_features(logon, None, web))
+    b = _rows(feat.user_features_joined(logon, None, web))
+    assert a["HOT"]["logon_count"] == 1000 and a["HOT"]["http_distinct_urls"] == 1000
+    assert a["HOT"]["logon_distinct_pcs"] == 13
+    for u in a:
+        for k, v in a[u].items():
+            assert (abs(v - b[u][k]) < 1e-9) if isinstance(v, float) else v == b[u][k]

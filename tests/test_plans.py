@@ -28,8 +28,8 @@ def test_feature_build_pushes_down_and_pre_aggregates(spark):
     exchanges = re.findall(r"Exchange\n.*\nArguments: hashpartitioning\(([^)]*)\)", plan)
     assert len(exchanges) == 2, exchanges
     assert "partial_count(1)" in plan and "partial_sum(CASE WHEN" in plan
-    # no join in the default form
-    assert "Join" not in plan
+    # no join and no Expand in the default form
+    assert "Join" not in plan and "Expand" not in plan
 
 
 def test_joined_form_is_the_join_plan(spark):
