@@ -50,8 +50,9 @@ def _peaks(spark, sf_dir, k_final=K_FINAL):
 
 
 def _peak_assigned(spark, sf_dir):
-    pts, dim, _, _, _, peak_centres = _peaks(spark, sf_dir)
-    return geo.assign_nearest(pts.drop("cluster", "dist"), peak_centres, "features",
+    _, dim, _, _, _, peak_centres = _peaks(spark, sf_dir)
+    # from the raw vectors: the coarse assignment is not needed again
+    return geo.assign_nearest(tb.vectors(spark, sf_dir), peak_centres, "features",
                               "prediction"), dim
 
 
@@ -132,8 +133,8 @@ def q_method_record(spark, sf_dir):
     """E5: the metric record of a deterministic clustering (fixed-centre density peaks)."""
     from .operators.evaluate import evaluate, metrics_frame
 
-    pts, dim, _, _, _, peak_centres = _peaks(spark, sf_dir)
-    labelled = geo.assign_nearest(pts.drop("cluster", "dist"), peak_centres, "features",
+    _, dim, _, _, _, peak_centres = _peaks(spark, sf_dir)
+    labelled = geo.assign_nearest(tb.vectors(spark, sf_dir), peak_centres, "features",
                                   "prediction")
     cost = geo.sse(labelled, peak_centres, "prediction").first()["inertia"]
     rec = evaluate(labelled, "DensityPeaks-fixed", label_col="label", inertia=cost, dim=dim)
