@@ -17,6 +17,7 @@ from .operators import prep
 from .operators.density import coarse_k, density_peaks
 from .operators.kmeans import fit_input, kmeans, kmeans_sweep
 from .plans.analysis import run_analysis
+from .plans.lineage import release
 from .sources import tables as tb
 
 
@@ -83,8 +84,9 @@ def q_kmeans_baseline(spark, sf_dir):
 
 def q_kmeans_sweep(spark, sf_dir):
     base, n, dim = _prepared(spark, sf_dir)
-    _, res = kmeans_sweep(base, range(K_MIN, K_MAX + 1), id_col="user", parallelism=8, prepared=base,
-                          n=n, dim=dim)
+    _, res = kmeans_sweep(base, range(K_MIN, K_MAX + 1), id_col="user", parallelism=8,
+                          prepared=base, n=n, dim=dim)
+    release(base)  # the result below is the small score table
     return spark.createDataFrame(
         [(k, s, c, k == res.best_k) for k, s, c in res.scores],
         "k int, silhouette double, inertia double, chosen boolean")

@@ -109,3 +109,11 @@ def test_strict_header_rejects_reordered_columns(spark, tmpdir_fresh):
     assert load_log(spark, path, "logon").count() == 1          # positional by default
     with pytest.raises(ValueError):
         load_log(spark, path, "logon", strict_header=True)
+
+
+def test_parquet_sink_round_trip(spark, tmpdir_fresh):
+    from cohortlens.sources.sinks import write_labelled_users
+    df = spark.createDataFrame([("U1", 0), ("U2", 1)], "user string, prediction int")
+    out = os.path.join(tmpdir_fresh, "users")
+    write_labelled_users(df, out, fmt="parquet")
+    assert sorted(spark.read.parquet(out).collect()) == sorted(df.collect())
