@@ -152,6 +152,39 @@ def _std_from_moments(n: Column, s: Column, ss: Column) -> Column:
     return F.when(n > 1, F.sqrt(F.greatest(var, F.lit(0.0))))
 
 
+def _single_pass(events: DataFrame, has_logon: bool, has_device: bool, has_http: bool,
+                 workday, rsd: float = 0.01) -> DataFrame:
+    """One aggregation by user with HyperLogLog distinct counts: a single exchange."""
+    h, src, key = F.col("hour"), F.col("src"), F.col("key")
+    after = is_after_hours(h, *workday)
+
+    def present(name: str, value: Column) -> Column:
+        # null (not 0) for a user without rows in that source, as the outer join gives
+        return F.when(F.count_if(src == name) > 0, value)
+
+    aggs = []
+    if has_logon:
+        lg = src == "logon"
+        aggs += [present("logon", F.count_if(lg)).alias("logon_count"),
+                 present("logon", F.approx_count_distinct(F.when(lg, key), rsd))
+                 .alias("logon_distinct_pcs"),
+                 F.avg(F.when(lg, h)).alias("logon_avg_hour"),
+                 F.stddev_samp(F.when(lg, h)).alias("logon_hour_std"),
+                 present("logon", F.count_if(lg & after)).alias("afterhours_logons"),
+                 present("logon", F.count_if(lg & (F.col("activity") == LOGON_ACTIVITY)))
+                 .alias("logon_events"),
+                 present("logon", F.count_if(lg & (F.col("activity") == LOGOFF_ACTIVITY)))
+                 .alias("logoff_events")]
+    for name, has, cols in (("device", has_device, DEVICE_COLUMNS),
+                            ("http", has_http, HTTP_COLUMNS)):
+        if has:
+            m = src == name
+            aggs += [present(name, F.count_if(m)).alias(cols[0]),
+                     present(name, F.approx_count_distinct(F.when(m, key), rsd)).alias(cols[1]),
+                     present(name, F.count_if(m & after)).alias(cols[2])]
+    return events.groupBy("user").agg(*aggs)
+
+
 def user_features(logon: DataFrame | None = None, device: DataFrame | None = None,
                   http: DataFrame | None = None, directory: DataFrame | None = None,
                   *, workday=(WORKDAY_START, WORKDAY_END), fill: bool = True,
@@ -159,12 +192,10 @@ def user_features(logon: DataFrame | None = None, device: DataFrame | None = Non
     """One row per user with the logon, device and web measures, plus ``role``.
 
     Same rows as :func:`user_features_joined`, computed with two aggregations
-    and no join.  ``exact_distinct=False`` switches to one HyperLogLog
-    aggregation (no distinct shuffle) for very large url sets.
+    and no join.  ``exact_distinct=False`` computes everything in a single
+    aggregation (one exchange) with HyperLogLog distinct counts, for very
+    large url sets.
     """
-    if not exact_distinct:
-        return user_features_joined(logon, device, http, directory, workday=workday,
-                                    fill=fill, exact_distinct=False)
     parts = []
     if logon is not None:
         parts.append(_tag(logon, "logon", "pc", True))
@@ -175,6 +206,12 @@ def user_features(logon: DataFrame | None = None, device: DataFrame | None = Non
     if not parts:
         raise ValueError("no activity source: give at least one of logon, device, http")
     events = reduce(lambda a, b: a.unionByName(b), parts)
+    if not exact_distinct:
+        combined = _single_pass(events, logon is not None, device is not None,
+                                http is not None, workday)
+        if directory is not None:
+            combined = combined.join(directory, on="user", how="left")
+        return fill_numeric_zero(combined, fill=fill)
 
     h = F.col("hour")
     per_key = events.groupBy("user", "src", "key").agg(

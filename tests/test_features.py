@@ -153,3 +153,18 @@ def test_hot_user_holding_a_third_of_rows(spark):
     for u in a:
         for k, v in a[u].items():
             assert (abs(v - b[u][k]) < 1e-9) if isinstance(v, float) else v == b[u][k]
+
+
+def test_single_pass_approx_matches_exact_on_small_sets(spark):
+    logs = tb.activity_logs(spark, SF)
+    d = feat.latest_directory(tb.directory_snapshots(spark, SF))
+    exact = feat.user_features(logs["logon"], logs["device"], logs["http"], d)
+    approx = feat.user_features(logs["logon"], logs["device"], logs["http"], d,
+                                exact_distinct=False)
+    assert approx.columns == exact.columns
+    ra = sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in approx.collect())
+    rb = sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in exact.collect())
+    assert ra == rb                      # HyperLogLog is exact at these cardinalities
+    unfilled = _rows(feat.user_features(_logon(spark), _device(spark), None, fill=False,
+                                        exact_distinct=False))
+    assert unfilled == _rows(feat.user_features(_logon(spark), _device(spark), None, fill=False))
