@@ -192,23 +192,47 @@ def user_features(logon: DataFrame | None = None, device: DataFrame | None = Non
     """One row per user with the logon, device and web measures, plus ``role``.
 
     Same rows as :func:`user_features_joined`, computed with two aggregations
-    and no join.  ``exact_distinct=False`` computes everything in a single
-    aggregation (one exchange) with HyperLogLog distinct counts, for very
-    large url sets.
+    and no join: the logs are tagged and unioned, then passed to
+    :func:`user_features_from_events`.
     """
-    parts = []
-    if logon is not None:
-        parts.append(_tag(logon, "logon", "pc", True))
-    if device is not None:
-        parts.append(_tag(device, "device", "pc", False))
-    if http is not None:
-        parts.append(_tag(http, "http", "url", False))
+    parts, sources = [], []
+    for src, log, key, activity in (("logon", logon, "pc", True), ("device", device, "pc", False),
+                                     ("http", http, "url", False)):
+        if log is not None:
+            parts.append(_tag(log, src, key, activity))
+            sources.append(src)
     if not parts:
         raise ValueError("no activity source: give at least one of logon, device, http")
     events = reduce(lambda a, b: a.unionByName(b), parts)
+    return user_features_from_events(events, directory, sources=sources, workday=workday,
+                                     fill=fill, exact_distinct=exact_distinct)
+
+
+EVENT_SOURCES = ("logon", "device", "http")
+
+
+def user_features_from_events(events: DataFrame, directory: DataFrame | None = None, *,
+                              sources=EVENT_SOURCES, workday=(WORKDAY_START, WORKDAY_END),
+                              fill: bool = True, exact_distinct: bool = True) -> DataFrame:
+    """:func:`user_features` over one tagged event stream.
+
+    ``events`` holds ``user``, ``src`` (one of ``sources``), ``key`` (the pc
+    for logon/device rows, the url for web rows), ``date`` (string in any of
+    the known spellings, or a timestamp) and ``activity`` (logon rows), or
+    ``hour`` in place of ``date``.  When the three logs live in one table this
+    reads it once instead of once per log.  ``exact_distinct=False`` computes
+    everything in a single aggregation (one exchange) with HyperLogLog
+    distinct counts, for very large url sets.
+    """
+    if not sources:
+        raise ValueError("no activity source: give at least one of logon, device, http")
+    if "hour" not in events.columns:
+        events = _with_hour(events)
+    else:
+        events = events.where(F.col("user").isNotNull())
+    logon, device, http = (s in sources for s in EVENT_SOURCES)
     if not exact_distinct:
-        combined = _single_pass(events, logon is not None, device is not None,
-                                http is not None, workday)
+        combined = _single_pass(events, logon, device, http, workday)
         if directory is not None:
             combined = combined.join(directory, on="user", how="left")
         return fill_numeric_zero(combined, fill=fill)
@@ -233,7 +257,7 @@ def user_features(logon: DataFrame | None = None, device: DataFrame | None = Non
                       F.count(F.when(F.col("src") == src, F.col("key"))))
 
     aggs = []
-    if logon is not None:
+    if logon:
         nh, sh, ssh = of("logon", "nh"), of("logon", "sh"), of("logon", "ssh")
         aggs += [of("logon", "n").alias("logon_count"),
                  keys("logon").alias("logon_distinct_pcs"),
@@ -242,11 +266,11 @@ def user_features(logon: DataFrame | None = None, device: DataFrame | None = Non
                  of("logon", "na").alias("afterhours_logons"),
                  of("logon", "non").alias("logon_events"),
                  of("logon", "noff").alias("logoff_events")]
-    if device is not None:
+    if device:
         aggs += [of("device", "n").alias("device_events"),
                  keys("device").alias("device_distinct_pcs"),
                  of("device", "na").alias("afterhours_device")]
-    if http is not None:
+    if http:
         aggs += [of("http", "n").alias("http_requests"),
                  keys("http").alias("http_distinct_urls"),
                  of("http", "na").alias("afterhours_http")]

@@ -159,8 +159,12 @@ def q_directory_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _features(spark, sf_dir, form, fill=True):
-    logs = tb.activity_logs(spark, sf_dir)
     directory = feat.latest_directory(tb.directory_snapshots(spark, sf_dir))
+    if form is feat.user_features:
+        # the three logs come from one table: read it once
+        return feat.user_features_from_events(tb.activity_events(spark, sf_dir), directory,
+                                              fill=fill)
+    logs = tb.activity_logs(spark, sf_dir)
     return form(logs["logon"], logs["device"], logs["http"], directory, fill=fill)
 
 

@@ -90,8 +90,20 @@ def read_snapshots(spark: SparkSession, paths: list[str]) -> DataFrame:
     return df.withColumn("snapshot", F.col("_metadata.file_name"))
 
 
+def latest_snapshot_paths(paths: list[str]) -> list[str]:
+    """The files whose name is the greatest (the latest snapshot), from the listing."""
+    if not paths:
+        return []
+    last = max(p.rsplit("/", 1)[-1] for p in paths)
+    return [p for p in paths if p.rsplit("/", 1)[-1] == last]
+
+
 def load_directory(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Latest directory snapshot as ``(user, role)``, one row per user."""
+    """Latest directory snapshot as ``(user, role)``, one row per user.
+
+    The latest snapshot is known from the file listing, so only its file is
+    read; older monthly snapshots are never opened.
+    """
     from ..operators.features import latest_directory
 
-    return latest_directory(read_snapshots(spark, paths))
+    return latest_directory(read_snapshots(spark, latest_snapshot_paths(paths)))

@@ -116,6 +116,29 @@ def test_forms_agree_on_driver_tables(spark):
     assert ra == rb and len(ra) > 0
 
 
+def test_one_scan_event_stream_equals_three_logs(spark):
+    logs = tb.activity_logs(spark, SF)
+    d = feat.latest_directory(tb.directory_snapshots(spark, SF))
+    for fill, exact in ((True, True), (False, True), (True, False)):
+        a = feat.user_features(logs["logon"], logs["device"], logs["http"], d,
+                               fill=fill, exact_distinct=exact)
+        b = feat.user_features_from_events(tb.activity_events(spark, SF), d,
+                                           fill=fill, exact_distinct=exact)
+        assert a.columns == b.columns
+        ra = sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r)
+                    for r in a.collect())
+        rb = sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r)
+                    for r in b.collect())
+        assert ra == rb and len(ra) > 0
+
+
+def test_event_stream_reads_events_once(spark):
+    d = feat.latest_directory(tb.directory_snapshots(spark, SF))
+    df = feat.user_features_from_events(tb.activity_events(spark, SF), d)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("events.parquet") == 1
+
+
 def test_approx_distinct_option(spark):
     got = _rows(feat.user_features(_logon(spark), _device(spark), _http(spark),
                                    exact_distinct=False))

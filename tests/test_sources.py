@@ -64,6 +64,19 @@ def test_build_user_features_from_csv(spark, tmpdir_fresh):
     assert rows["U004"]["http_requests"] == 4 and rows["U004"]["http_distinct_urls"] == 4
 
 
+def test_only_latest_snapshot_file_is_read(spark, tmpdir_fresh):
+    from cohortlens.sources.files import latest_snapshot_paths
+    paths = ["/d/LDAP-2010-02.csv", "/d/LDAP-2009-12.csv", "/d/ldap-2010-01.csv"]
+    # the greatest file name, as in a plain sort of the listing
+    assert latest_snapshot_paths(paths) == ["/d/ldap-2010-01.csv"]
+    assert latest_snapshot_paths([]) == []
+    _make_r1(tmpdir_fresh)
+    found = detect_sources(spark, tmpdir_fresh)
+    from cohortlens.sources.files import load_directory
+    plan = load_directory(spark, found["ldap"])._jdf.queryExecution().executedPlan().toString()
+    assert "LDAP-2010-02.csv" in plan and "LDAP-2010-01.csv" not in plan
+
+
 def test_parquet_fallback_and_missing(spark, tmpdir_fresh):
     p = os.path.join(tmpdir_fresh, "users.parquet")
     spark.createDataFrame([("U1", 1.0), ("U2", 2.0)], "user string, x double") \
