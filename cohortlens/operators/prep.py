@@ -101,8 +101,7 @@ def _scan_columns(df: DataFrame, id_col: str, exclude, max_categories: int):
         approx = df.agg(*[F.approx_count_distinct(c, 0.01).alias(c) for c in strings]).first()
         near = [c for c in strings if approx[c] <= 2 * max_categories + 10]
         if near:
-            counts = _category_counts(df, near)
-            freqs = {c: v for c, v in counts.items() if len(v) <= max_categories}
+            freqs = _category_counts(df, near, max_categories)
     categorical = [c for c in strings if c in freqs]
     return numerical, categorical, freqs
 
@@ -169,15 +168,26 @@ def _moment_aggs(numerical: list[str]) -> list[Column]:
     return aggs
 
 
-def _category_counts(df: DataFrame, columns: list[str]) -> dict[str, list]:
-    """``{column: [(value, count), ...]}`` for a few low-cardinality columns, one job."""
+def _category_counts(df: DataFrame, columns: list[str],
+                     max_categories: int = MAX_CATEGORIES) -> dict[str, list]:
+    """``{column: [(value, count), ...]}`` for the columns with at most ``max_categories`` values.
+
+    One job.  Values are counted on the executors; the number of values per
+    column is counted there too, and only columns within the bound come back,
+    so at most ``len(columns) * max_categories`` rows reach the driver.  The
+    per-column table joined back has one row per column.
+    """
     pairs = F.explode(F.array(*[
         F.struct(F.lit(i).alias("col"), F.col(c).cast("string").alias("val"))
         for i, c in enumerate(columns)]))
-    counts = (df.select(pairs.alias("p")).select("p.col", "p.val")
-              .groupBy("col", "val").count().collect())
+    values = (df.select(pairs.alias("p")).select("p.col", "p.val")
+              .groupBy("col", "val").count())
+    small = (values.groupBy("col").agg(F.count(F.lit(1)).alias("_nv"))
+             .where(F.col("_nv") <= max_categories).select("col"))
+    counts = values.join(F.broadcast(small), "col", "left_semi").collect()
+    found = {r["col"] for r in counts}
     return {c: [(r["val"], r["count"]) for r in counts if r["col"] == i]
-            for i, c in enumerate(columns)}
+            for i, c in enumerate(columns) if i in found}
 
 
 def _build_model(row, numerical: list[str], categorical: list[str], freqs: dict,
@@ -216,6 +226,9 @@ def fit_features(df: DataFrame, numerical: list[str], categorical: list[str],
     row = df.agg(*_moment_aggs(numerical)).first()
     if categorical and (freqs is None or any(c not in freqs for c in categorical)):
         freqs = _category_counts(df, categorical)
+        over = [c for c in categorical if c not in freqs]
+        if over:
+            raise ValueError(f"categorical columns with more than {MAX_CATEGORIES} values: {over}")
     return _build_model(row, numerical, categorical, freqs or {}, features_col)
 
 
@@ -240,8 +253,7 @@ def prepare(df: DataFrame, id_col: str = "user", exclude=LABEL_COLUMNS,
                    for i, c in enumerate(strings)]).first()
     near = [c for i, c in enumerate(strings) if row[f"_h{i}"] <= 2 * max_categories + 10]
     # job 2: exact value counts of the near-categorical columns
-    counts = _category_counts(df, near) if near else {}
-    freqs = {c: v for c, v in counts.items() if len(v) <= max_categories}
+    freqs = _category_counts(df, near, max_categories) if near else {}
     categorical = [c for c in strings if c in freqs]
     if not numerical and not categorical:
         raise ValueError("no usable feature column (numeric, or string with few values)")

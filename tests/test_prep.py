@@ -87,3 +87,13 @@ def test_no_usable_column(spark):
     df = spark.createDataFrame([(str(i), f"t{i}") for i in range(100)], "user string, text string")
     with pytest.raises(ValueError):
         prep.prepare(df, "user")
+
+
+def test_category_counts_only_return_columns_within_bound(spark):
+    rows = [(f"a{i % 50}", f"b{i % 51}", None if i % 10 == 0 else f"c{i % 49}") for i in range(510)]
+    df = spark.createDataFrame(rows, "a string, b string, c string")
+    got = prep._category_counts(df, ["a", "b", "c"], 50)
+    assert set(got) == {"a", "c"}                 # b has 51 values
+    assert len(got["a"]) == 50 and len(got["c"]) == 50   # 49 + null
+    with pytest.raises(ValueError, match="more than 50"):
+        prep.fit_features(df, [], ["b"])
