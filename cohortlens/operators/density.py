@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import matrix_literal, sq_dist
 from ..defaults import COARSE_K_MAX, COARSE_K_MIN, COARSE_K_PER_PEAK, COARSE_MAX_ITER, SEED
-from ..plans.lineage import materialize
 
 
 def density_rank(points: DataFrame, cluster_col: str = "cluster",
@@ -46,40 +45,54 @@ def farthest_point_peaks(candidates: DataFrame, k_final: int, centre_col: str =
                          rank_col: str = "density_rank") -> DataFrame:
     """Greedy farthest-point choice of ``k_final`` peaks among ``candidates``.
 
-    Each round is one small aggregation over the candidate table
-    (``max_by`` on ``(min_dist, -rank)``); only the chosen row comes back.
-    The candidate table is materialised once (checkpoint), so the rounds and
-    the result read it instead of recomputing the density pass.
+    Start at the densest candidate (lowest rank); each round takes the
+    candidate with the largest minimum squared distance to the peaks chosen
+    so far, ties going to the denser one.  ``candidates`` is a per-cluster
+    table (at most k_coarse rows, one per coarse cluster), so it is gathered
+    into one rank-sorted array and all rounds run as a single fold
+    (``aggregate``) over it: one lazy plan, one job, no per-round query.  The
+    fold keeps each candidate's running minimum distance, so a round costs
+    O(k_coarse * d).
     Returns the chosen candidate rows with ``pick`` (0 = densest) and
     ``min_dist`` (distance to the nearer earlier peak; null for pick 0).
     Fewer than ``k_final`` rows when the candidates run out.
     """
-    # at most k_coarse rows: one partition, so each round is a single stage
-    cand = materialize(candidates.coalesce(1)).persist()
-    first = (cand.orderBy(rank_col).select(rank_col, centre_col).first())
-    if first is None:
-        raise ValueError("no density candidates")
-    ranks, centres, dists = [first[0]], [list(first[1])], [None]
-    for _ in range(k_final - 1):
-        lit = matrix_literal(centres)
-        md = F.array_min(F.transform(lit, lambda p: sq_dist(F.col(centre_col), p)))
-        best = (cand.where(~F.col(rank_col).isin(ranks))
-                .withColumn("_md", md)
-                .agg(F.max_by(F.struct(F.col(rank_col), F.col(centre_col), F.col("_md")),
-                              F.struct(F.col("_md"), -F.col(rank_col))).alias("b"))
-                .first()["b"])
-        if best is None:
-            break
-        ranks.append(best[0])
-        centres.append(list(best[1]))
-        dists.append(float(best[2]))
-    cand.unpersist()  # the result below reads the checkpointed copy
-    pick = F.create_map(*[x for i, r in enumerate(ranks) for x in (F.lit(r), F.lit(i))])
-    mind = F.create_map(*[x for r, d in zip(ranks, dists)
-                          for x in (F.lit(r), F.lit(d).cast("double"))])
-    return (cand.where(F.col(rank_col).isin(ranks))
-            .withColumn("pick", F.element_at(pick, F.col(rank_col)))
-            .withColumn("min_dist", F.element_at(mind, F.col(rank_col))))
+    if k_final < 1:
+        raise ValueError(f"k_final must be at least 1, got {k_final}")
+    others = [c for c in candidates.columns if c != rank_col]
+    packed = candidates.agg(F.sort_array(F.collect_list(F.struct(
+        F.col(rank_col).alias("_rank"), *[F.col(c) for c in others]))).alias("_c"))
+    c = F.col("_c")
+    # one SQL expression (one call into the JVM); ``b`` binds the round's winner once
+    centre = f"`{centre_col.replace('`', '``')}`"
+
+    def dist(a: str, b: str) -> str:
+        # same arithmetic and order as functions.vectors.sq_dist
+        return (f"aggregate(zip_with({a}, {b}, (p, q) -> (p - q) * (p - q)), 0D, "
+                f"(acc, v) -> acc + v)")
+
+    init = (f"named_struct('picks', array(0), 'dists', array(CAST(NULL AS DOUBLE)), "
+            f"'md', transform(_c, x -> {dist(f'x.{centre}', f'_c[0].{centre}')}))")
+    # (min distance, -rank, index) of every candidate not chosen yet; the
+    # largest is the farthest, ties to the lower rank
+    best = ("array_max(filter(transform(_c, (x, j) -> named_struct('md', s.md[j], "
+            "'nr', -x._rank, 'j', j)), t -> NOT array_contains(s.picks, t.j)))")
+    step = (f"transform(array({best}), b -> CASE WHEN b IS NULL THEN s ELSE named_struct("
+            f"'picks', concat(s.picks, array(b.j)), 'dists', concat(s.dists, array(b.md)), "
+            f"'md', zip_with(s.md, _c, (m, x) -> least(m, "
+            f"{dist(f'x.{centre}', f'_c[b.j].{centre}')}))) END)[0]")
+    state = F.expr(f"aggregate(sequence(1, {k_final - 1}), {init}, (s, i) -> {step})"
+                   if k_final > 1 else init)
+    chosen = (packed.where(F.size(c) > 0)
+              .select(c, state.alias("_s"))
+              .select(c, "_s", F.posexplode("_s.picks").alias("pick", "_j")))
+    return chosen.select(
+        F.try_element_at(c, F.col("_j") + 1).alias("_cand"),
+        F.col("pick").cast("int").alias("pick"),
+        F.try_element_at(F.col("_s.dists"), F.col("pick") + 1).alias("min_dist"),
+    ).select(*[F.col(f"_cand.{x}").alias(x) if x != rank_col
+               else F.col("_cand._rank").alias(rank_col) for x in candidates.columns],
+             "pick", "min_dist")
 
 
 def coarse_k(k_final: int) -> int:
@@ -113,7 +126,10 @@ def density_peaks(df: DataFrame, k_final: int, k_coarse: int | None = None, *,
     cand = density_candidates(ranked, k_final).withColumn(
         "centre", F.element_at(matrix_literal(coarse.centres), F.col("cluster") + 1))
     peaks = farthest_point_peaks(cand, k_final)
+    # at most k_final rows: the whole density pass and the peak choice run in this one job
     peak_rows = peaks.orderBy("pick").select("cluster", "centre", "min_dist").collect()
+    if not peak_rows:
+        raise ValueError("no density candidates")
     peak_centres = [list(r["centre"]) for r in peak_rows]
     labelled = assign_nearest(df, peak_centres, features_col, prediction_col)
     info = {"k_coarse": k_c, "n_peaks": len(peak_centres), "peak_centres": peak_centres,
