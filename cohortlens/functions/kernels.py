@@ -35,13 +35,15 @@ def _matrix(arr: pa.Array, d: int) -> tuple[np.ndarray, np.ndarray]:
     lengths = pc.list_value_length(arr).to_numpy(zero_copy_only=False)
     lengths = np.where(np.isnan(lengths.astype("float64")), -1, lengths).astype(np.int64)
     valid = lengths == d
+    flat = arr.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
     if valid.all():
-        flat = arr.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
         return flat.reshape(-1, d), valid
-    rows = [np.asarray(arr[i].values.to_numpy(zero_copy_only=False), dtype=np.float64)
-            if valid[i] else None for i in range(len(arr))]
-    good = [r for r in rows if r is not None]
-    return (np.vstack(good) if good else np.empty((0, d))), valid
+    # flatten() keeps the values of the non-null lists in order: find where
+    # each valid row starts and gather its d values in one indexing step
+    sizes = np.maximum(lengths, 0)
+    starts = np.cumsum(sizes) - sizes
+    take = starts[valid][:, None] + np.arange(d)[None, :]
+    return flat[take].reshape(-1, d), valid
 
 
 def _scatter(values: np.ndarray, valid: np.ndarray, typ: pa.DataType) -> pa.Array:

@@ -283,3 +283,15 @@ def test_evaluate_many_equals_single(spark):
                   "nmi", "ari", "purity"):
             assert rec[k] == pytest.approx(single[k]) if isinstance(rec[k], float) \
                 else rec[k] == single[k], k
+
+
+def test_kernel_matrix_skips_null_and_short_rows():
+    import pyarrow as pa
+    from cohortlens.functions.kernels import _matrix
+    arr = pa.array([[1.0, 2.0], None, [3.0], [4.0, 5.0], [], [7.0, 8.0]],
+                   type=pa.list_(pa.float64()))
+    for a in (arr, arr.slice(1)):
+        x, valid = _matrix(a, 2)
+        want = [r for r in a.to_pylist() if r is not None and len(r) == 2]
+        assert x.tolist() == want
+        assert valid.tolist() == [r is not None and len(r) == 2 for r in a.to_pylist()]
