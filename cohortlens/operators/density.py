@@ -35,10 +35,15 @@ def density_rank(points: DataFrame, cluster_col: str = "cluster",
 
 
 def density_candidates(ranked: DataFrame, k_final: int) -> DataFrame:
-    """The densest ``max(k_final, n_clusters // 2)`` clusters."""
-    n_clusters = ranked.agg(F.count(F.lit(1))).scalar()
+    """The densest ``max(k_final, n_clusters // 2)`` clusters.
+
+    The cluster count is a window over the per-cluster table (at most k_coarse
+    rows, laid out like the rank window's), so the points are not read again.
+    """
+    n_clusters = F.count(F.lit(1)).over(Window.partitionBy())
     bound = F.greatest(F.lit(k_final), F.floor(n_clusters / 2).cast("bigint"))
-    return ranked.where(F.col("density_rank") <= bound)
+    return (ranked.withColumn("_bound", bound)
+            .where(F.col("density_rank") <= F.col("_bound")).drop("_bound"))
 
 
 def farthest_point_peaks(candidates: DataFrame, k_final: int, centre_col: str = "centre",
