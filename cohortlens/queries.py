@@ -213,8 +213,9 @@ def q_user_features_counts_only(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_source_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .operators.quality import source_quality
-    return source_quality(tb.activity_logs(spark, sf_dir))
+    from .operators.quality import source_quality_events
+    # the three logs come from one table: one scan, one grouping by source
+    return source_quality_events(tb.activity_events(spark, sf_dir))
 
 
 def q_directory_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -158,6 +158,16 @@ def test_source_quality_counts(spark):
     assert got["logon"]["unparsed_dates"] == 1
 
 
+def test_source_quality_one_scan_equals_per_log(spark):
+    from cohortlens.operators.quality import source_quality, source_quality_events
+    a = sorted(source_quality(tb.activity_logs(spark, SF)).collect())
+    b = sorted(source_quality_events(tb.activity_events(spark, SF)).collect())
+    assert a == b and len(a) == 3
+    empty = tb.activity_events(spark, SF).where("src = 'device'")
+    got = {r["source"]: r["rows"] for r in source_quality_events(empty).collect()}
+    assert got["logon"] == 0 and got["http"] == 0 and got["device"] > 0
+
+
 def test_hot_user_holding_a_third_of_rows(spark):
     """One user with a third of all rows: both forms agree, counts stay whole."""
     rows = []
