@@ -240,17 +240,18 @@ def prepare(df: DataFrame, id_col: str = "user", exclude=LABEL_COLUMNS,
     The input is stored once first (checkpoint): fitting reads it twice and
     the transform once more, and it is usually an expensive aggregate.
     """
-    from ..plans.lineage import materialize
+    from ..plans.lineage import materialize_with
 
-    df = materialize(df)
     skip = {id_col, *exclude}
     numerical = [f.name for f in df.schema.fields
                  if isinstance(f.dataType, T.NumericType) and f.name not in skip]
     strings = _string_cols(df, skip)
-    # job 1: numeric moments and a HyperLogLog screen of the string columns together
-    row = df.agg(*_moment_aggs(numerical),
-                 *[F.approx_count_distinct(c, 0.01).alias(f"_h{i}")
-                   for i, c in enumerate(strings)]).first()
+    # job 1: numeric moments and a HyperLogLog screen of the string columns
+    # together; it also stores the input (it reads every partition)
+    df, row = materialize_with(df, lambda d: d.agg(
+        *_moment_aggs(numerical),
+        *[F.approx_count_distinct(c, 0.01).alias(f"_h{i}") for i, c in enumerate(strings)]
+    ).first())
     near = [c for i, c in enumerate(strings) if row[f"_h{i}"] <= 2 * max_categories + 10]
     # job 2: exact value counts of the near-categorical columns
     freqs = _category_counts(df, near, max_categories) if near else {}

@@ -33,6 +33,20 @@ def materialize(df: DataFrame) -> DataFrame:
     return out
 
 
+def materialize_with(df: DataFrame, action):
+    """:func:`materialize`, with ``action(stored)`` as the job that stores it.
+
+    Returns ``(stored, action(stored))``.  Without a checkpoint folder the
+    persisted copy is filled by ``action`` itself (it must read every
+    partition, e.g. a global aggregate), which saves the separate count job.
+    """
+    if checkpoint_dir(df.sparkSession):
+        stored = df.checkpoint(eager=True)
+        return stored, action(stored)
+    stored = df.persist(StorageLevel.MEMORY_AND_DISK)
+    return stored, action(stored)
+
+
 def release(df: DataFrame) -> None:
     """Drop a persisted copy (no-op for checkpointed data)."""
     if df.storageLevel != StorageLevel.NONE:
