@@ -100,8 +100,7 @@ def run_analysis(features: DataFrame, *, id_col: str = "user", k_baseline: int =
 
 def run_pipeline(spark: SparkSession, data_dir: str, output_dir: str, *,
                  k_baseline: int = K_BASELINE, k_min: int = K_MIN, k_max: int = K_MAX,
-                 seed: int = SEED, parallelism: int = 8,
-                 single_file: bool = False):
+                 seed: int = SEED, parallelism: int = 8):
     """Read the sources, run the analysis, write labelled users and metrics."""
     from ..sources.sinks import write_labelled_users, write_metrics
 
@@ -111,6 +110,6 @@ def run_pipeline(spark: SparkSession, data_dir: str, output_dir: str, *,
     features = materialize(build_user_features(spark, data_dir))
     users, metrics, details = run_analysis(features, k_baseline=k_baseline, k_min=k_min,
                                            k_max=k_max, seed=seed, parallelism=parallelism)
-    write_labelled_users(users, f"{output_dir}/clustered_users", single_file=single_file)
+    write_labelled_users(users, f"{output_dir}/clustered_users")
     write_metrics(metrics, f"{output_dir}/metrics")
     return users, metrics, details

@@ -7,16 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def write_labelled_users(df: DataFrame, path: str, fmt: str = "csv",
-                         single_file: bool = False) -> None:
+def write_labelled_users(df: DataFrame, path: str, fmt: str = "csv") -> None:
     """Write one row per user with its predictions.
 
-    The partition count is left to the plan (AQE coalesces small outputs);
-    ``single_file=True`` funnels everything through one writer task and is
-    only meant for small results.
+    The partition count is left to the plan (AQE coalesces small outputs), so
+    every task writes its own part file; no single writer sees all users.
     """
-    out = df.coalesce(1) if single_file else df
-    writer = out.write.mode("overwrite")
+    writer = df.write.mode("overwrite")
     if fmt == "csv":
         writer.option("header", True).csv(path)
     else:
@@ -31,4 +28,5 @@ def write_metrics(metrics: DataFrame, path: str) -> None:
         out = out.withColumn(
             "cluster_sizes",
             F.transform_keys("cluster_sizes", lambda k, v: k.cast("string")))
+    # one row per method: a single small file
     out.coalesce(1).write.mode("overwrite").json(path)
