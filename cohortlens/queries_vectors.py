@@ -43,14 +43,18 @@ def _peaks(spark, sf_dir, k_final=K_FINAL):
     ranked = dn.density_rank(pts, "cluster", "dist")
     cand = dn.density_candidates(ranked, k_final).withColumn(
         "centre", F.element_at(matrix_literal(centres), F.col("cluster") + 1))
-    peaks = dn.farthest_point_peaks(cand, k_final)
-    peak_rows = peaks.orderBy("pick").select("centre").collect()
-    peak_centres = [list(r[0]) for r in peak_rows]
-    return pts, dim, centres, ranked, peaks, peak_centres
+    return pts, dim, centres, ranked, dn.farthest_point_peaks(cand, k_final)
+
+
+def _peak_centres(spark, sf_dir):
+    """The chosen peaks' centres (at most K_FINAL rows), one job."""
+    _, dim, _, _, peaks = _peaks(spark, sf_dir)
+    rows = peaks.orderBy("pick").select("centre").collect()
+    return dim, [list(r[0]) for r in rows]
 
 
 def _peak_assigned(spark, sf_dir):
-    _, dim, _, _, _, peak_centres = _peaks(spark, sf_dir)
+    dim, peak_centres = _peak_centres(spark, sf_dir)
     # from the raw vectors: the coarse assignment is not needed again
     return geo.assign_nearest(tb.vectors(spark, sf_dir), peak_centres, "features",
                               "prediction"), dim
@@ -99,7 +103,8 @@ def q_density_candidates(spark, sf_dir):
 
 
 def q_farthest_point_peaks(spark, sf_dir):
-    _, _, _, _, peaks, _ = _peaks(spark, sf_dir)
+    # lazy: the density pass and the peak choice run once, when the result is read
+    _, _, _, _, peaks = _peaks(spark, sf_dir)
     return rounded(peaks.select("pick", "cluster", "density_rank", "min_dist"))
 
 
@@ -133,7 +138,7 @@ def q_method_record(spark, sf_dir):
     """E5: the metric record of a deterministic clustering (fixed-centre density peaks)."""
     from .operators.evaluate import evaluate, metrics_frame
 
-    _, dim, _, _, _, peak_centres = _peaks(spark, sf_dir)
+    dim, peak_centres = _peak_centres(spark, sf_dir)
     labelled = geo.assign_nearest(tb.vectors(spark, sf_dir), peak_centres, "features",
                                   "prediction")
     cost = geo.sse(labelled, peak_centres, "prediction").first()["inertia"]
