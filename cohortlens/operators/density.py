@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import matrix_literal, sq_dist
+from ..functions.vectors import matrix_literal
 from ..defaults import COARSE_K_MAX, COARSE_K_MIN, COARSE_K_PER_PEAK, COARSE_MAX_ITER, SEED
 
 
