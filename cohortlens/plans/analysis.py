@@ -90,7 +90,11 @@ def run_analysis(features: DataFrame, *, id_col: str = "user", k_baseline: int =
             {"name": "CDPC-KNN-Approx", "pred": names[2], "runtime": cd_rt,
              "centres": info["peak_centres"]},
         ], label_col=label, dim=dim)
-        users = features.join(labelled.select(id_col, *names), on=id_col, how="left")
+        # the copy that preparation stored, so the feature build is not run again
+        # (unless the input had its own ``features`` column, which prepare replaces)
+        rows = (prepared_df.drop("features") if "features" not in features.columns
+                else features)
+        users = rows.join(labelled.select(id_col, *names), on=id_col, how="left")
         details = {"model": model, "baseline": bl, "sweep": sweep, "cdpc": info,
                    "label_col": label}
         return users, metrics_frame(spark, records), details
@@ -104,10 +108,8 @@ def run_pipeline(spark: SparkSession, data_dir: str, output_dir: str, *,
     """Read the sources, run the analysis, write labelled users and metrics."""
     from ..sources.sinks import write_labelled_users, write_metrics
 
-    from .lineage import materialize
-
-    # stored once: the analysis and the labelled-user output both read it
-    features = materialize(build_user_features(spark, data_dir))
+    # preparation stores the features once; the labelled-user output reads that copy
+    features = build_user_features(spark, data_dir)
     users, metrics, details = run_analysis(features, k_baseline=k_baseline, k_min=k_min,
                                            k_max=k_max, seed=seed, parallelism=parallelism)
     write_labelled_users(users, f"{output_dir}/clustered_users")

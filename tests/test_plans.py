@@ -59,3 +59,16 @@ def test_density_candidates_read_the_points_once(spark):
     assert got == min(n, max(2, n // 2))
     peaks = dn.farthest_point_peaks(cand.withColumn("centre", F.array(F.lit(0.0))), 2)
     assert sorted(r["pick"] for r in peaks.collect()) == list(range(min(2, got)))
+
+
+def test_labelled_users_read_the_stored_features(spark):
+    from cohortlens.plans.analysis import run_analysis
+
+    d = feat.latest_directory(tb.directory_snapshots(spark, SF))
+    features = feat.user_features_from_events(tb.activity_events(spark, SF), d)
+    users, _, _ = run_analysis(features, k_baseline=2, k_min=2, k_max=3, parallelism=2)
+    plan = users._jdf.queryExecution().executedPlan().toString()
+    # the predictions are joined onto the copy preparation stored, not onto a
+    # fresh run of the feature build over the raw events
+    assert "events.parquet" not in plan
+    assert users.count() == features.count()
