@@ -24,8 +24,15 @@ def checkpoint_dir(spark) -> str | None:
     return None
 
 
+def _already_stored(df: DataFrame) -> bool:
+    """The caller persisted ``df`` already: keep that copy instead of a second one."""
+    return df.storageLevel != StorageLevel.NONE
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Compute ``df`` once and return a DataFrame that reads the stored result."""
+    if _already_stored(df):
+        return df
     if checkpoint_dir(df.sparkSession):
         return df.checkpoint(eager=True)
     out = df.persist(StorageLevel.MEMORY_AND_DISK)
@@ -40,6 +47,8 @@ def materialize_with(df: DataFrame, action):
     persisted copy is filled by ``action`` itself (it must read every
     partition, e.g. a global aggregate), which saves the separate count job.
     """
+    if _already_stored(df):
+        return df, action(df)
     if checkpoint_dir(df.sparkSession):
         stored = df.checkpoint(eager=True)
         return stored, action(stored)

@@ -97,3 +97,16 @@ def test_category_counts_only_return_columns_within_bound(spark):
     assert len(got["a"]) == 50 and len(got["c"]) == 50   # 49 + null
     with pytest.raises(ValueError, match="more than 50"):
         prep.fit_features(df, [], ["b"])
+
+
+def test_prepare_keeps_a_copy_the_caller_stored(spark):
+    from cohortlens.plans.lineage import materialize, materialize_with
+
+    df = spark.createDataFrame([(f"U{i}", float(i)) for i in range(10)], "user string, x double")
+    cached = df.persist()
+    assert materialize(cached) is cached
+    same, n = materialize_with(cached, lambda d: d.count())
+    assert same is cached and n == 10
+    out, model = prep.prepare(cached, "user")
+    assert out.count() == 10 and model.n_rows == 10
+    cached.unpersist()
