@@ -180,8 +180,8 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
-               text_col: str = "text") -> DataFrame:
-    """``(doc_id, n_tokens, ids_sha256, decoded_sha256)``: encode, decode, digest.
+               text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """``(doc_id, n_tokens, ids_sha256, decoded_sha256)``: encode, decode, digest; ``ids`` on demand.
 
     One row per input row, whole texts, no shuffle.  A null text counts as
     empty; very long texts and long runs without a space cost n log n; other
@@ -191,18 +191,28 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
         encoder = load_encoder(path, pattern)
         name = encoder.names.__getitem__
         for batch in batches:
-            counts, id_hashes, body_hashes = [], [], []
+            counts, id_hashes, body_hashes, all_ids = [], [], [], []
             for value in batch.column(1):
                 ids = encoder.encode(value.as_py() or "")
                 counts.append(len(ids))
                 id_hashes.append(hashlib.sha256(",".join(map(name, ids)).encode()).hexdigest())
                 body_hashes.append(hashlib.sha256(encoder.decode(ids)).hexdigest())
+                if with_ids:
+                    all_ids.append(pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(counts, pa.int64()), pa.array(id_hashes, pa.string()),
-                 pa.array(body_hashes, pa.string())],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                 pa.array(body_hashes, pa.string()), *([_lists(all_ids)] if with_ids else [])],
+                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][:4 + with_ids])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, "
-                                "decoded_sha256 string")
+                                "decoded_sha256 string" + ", ids array<int>" * with_ids)
+
+
+def _lists(parts: list[pa.Array]) -> pa.ListArray:
+    ends = [0]
+    for p in parts:
+        ends.append(ends[-1] + len(p))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()),
+                                    pa.concat_arrays(parts) if parts else pa.array([], pa.int32()))

@@ -102,12 +102,13 @@ def _profile(docs: DataFrame) -> DataFrame:
                 signatures.append(packed(least))
                 bands.append(band_keys(least))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(classes, pa.int64()),
+                [batch.column(0), batch.column(2), pa.array(counts, pa.int64()),
+                 pa.array(classes, pa.int64()),
                  pa.array(signatures, pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.int64()))],
-                names=["doc_id", "n", "class", "sig", "bands"])
+                names=["doc_id", "text_key", "n", "class", "sig", "bands"])
 
-    return docs.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {kind}, n long, class long, sig array<long>, bands array<long>")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(
+        run, f"doc_id {kind}, text_key long, n long, class long, sig array<long>, bands array<long>")
 
 
 def class_key(sets: np.ndarray) -> int:
@@ -283,7 +284,7 @@ def _merged(roots: DataFrame | None, links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, n_shingles, component_id, kept)``, one row per input row.
+    """``(doc_id, n_shingles, component_id, kept, text_key, component)``, one row per input row.
 
     Documents are linked at a Jaccard similarity of their 5-word shingle sets
     of 0.75 or more; ``component_id`` is the least id reachable.
@@ -313,8 +314,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
              .join(roots.withColumnRenamed("node", "class"), "class", "left")
              .withColumn("root", F.coalesce("root", "class")))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = named.join(least, "root").select("class", "component_id")
+    named = named.join(least, "root").select("class", "component_id",
+                                                 F.col("root").alias("component"))
     own = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return (profile.select("doc_id", "n", "class").join(named, "class", "left")
+    return (profile.select("doc_id", "text_key", "n", "class").join(named, "class", "left")
             .select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"),
-                    F.col("doc_id").eqNullSafe(own).alias("kept")))
+                    F.col("doc_id").eqNullSafe(own).alias("kept"), "text_key", "component"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay: one of each group, all columns unchanged.
+
+    Texts without words stay; rows that repeat id and text stay once.
+    """
+    kept = near_duplicates(docs, id_col, text_col).where("kept")
+    best = (kept.where("component is not null").groupBy("component")
+            .agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("m"))
+            .select("m.doc_id", "m.text_key"))
+    stay = best.unionByName(kept.where("component is null").select("doc_id", "text_key").distinct())
+    stay = stay.select(F.col("doc_id").alias("_stay_id"), F.col("text_key").alias("_stay_key"))
+    return (docs.withColumn("_key", F.xxhash64(text_col))
+            .join(stay, (F.col("_key") == F.col("_stay_key")) & F.col(id_col).eqNullSafe(F.col("_stay_id")))
+            .dropDuplicates(["_key", id_col]).select(*docs.columns))

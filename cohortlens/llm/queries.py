@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import pii
+from .ann import nearest_neighbours
 from .bpe import round_trip
 from .common import table
+from .decontam import find_leaks, fit_searchers
 from .neardup import near_duplicates
+from .quality import score_documents, train
 from .secrets import scan_secrets
 from .sharding import shard_documents
 from .substrings import remove_repeats
@@ -17,6 +21,15 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op2_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0)
+
+
+def op3_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return find_leaks(docs, fit_searchers(docs, table(spark, sf_dir, "benchmark")))
+
+
 def op4_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
@@ -25,6 +38,16 @@ def op5_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_bilstm_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.scan_documents(docs, pii.train(docs))
+
+
+def op7_line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score_documents(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
@@ -41,9 +64,17 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries():
-    return {f.__name__: f for f in (op1_warc, op4_jump_sharding, op5_bbit_minhash, op8_secrets, op9_byte_bpe,
-                                    op10_substring_dedup)}
+    return {f.__name__: f for f in (
+        op1_warc, op2_nn_descent, op3_latent_decontamination, op4_jump_sharding,
+        op5_bbit_minhash, op6_bilstm_crf_pii, op7_line_crf_quality, op8_secrets, op9_byte_bpe,
+        op10_substring_dedup, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
