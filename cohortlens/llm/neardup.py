@@ -6,10 +6,11 @@ signatures estimate their similarity by bit counts, corrected for the low bits
 that agree by chance, and only likely pairs are confirmed on the full shingle
 sets.  Documents with one set are one class from the start.
 
-Candidates never are all pairs of a bucket.  Each bucket first pairs its
-members with its least member.  After linking, only buckets whose members lie
-in several components are looked at again, in blocks, and only pairs across
-components that the estimate lets through come out.
+Candidates never are all pairs of a bucket.  First every class is paired with
+one head of its buckets, and linked.  Then only buckets whose members still lie
+in several components are looked at, in blocks: first every class tries its
+likeliest partner in another component, and in the end all pairs that still lie
+across components and that the estimate lets through come out.
 """
 
 from __future__ import annotations
@@ -33,8 +34,10 @@ HASHES = BANDS * BAND_ROWS
 BITS = 2
 PER_LONG = 64 // BITS
 LONGS = -(-HASHES // PER_LONG)
-#: The estimate's standard error at 0.75 is 0.034; five of them.
-SLACK = 0.17
+#: The estimate's standard error at 0.75 is 0.034; four of them.
+SLACK = 0.14
+#: Turns in which every class tries its likeliest partner in another component.
+NEAREST_TURNS = 3
 BLOCK = 512
 _LAST = (1 << 63) - 1
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -128,6 +131,16 @@ def _sets(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "class long, set array<long>")
 
 
+def _needed_sets(classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """``(class, set)`` of the classes that share a bucket with another class."""
+    rows = classes.select("class", "doc_id", F.explode("bands").alias("band"))
+    shared = rows.groupBy("band").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("band")
+    needed = stored(rows.join(shared, "band").select("class", "doc_id").distinct(), "needed")
+    holders = needed.select("doc_id").distinct()
+    return (_sets(texts.join(holders, F.col("id").eqNullSafe(F.col("doc_id"))))
+            .join(needed.select("class"), "class").dropDuplicates(["class"]))
+
+
 def estimate(a: Column, b: Column) -> Column:
     """Collision-corrected similarity of two packed signatures, by bit counts."""
     differ = F.lit(0)
@@ -145,13 +158,20 @@ def _could_link(a: Column, b: Column) -> Column:
     return (F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT)
 
 
+def _banded(classes: DataFrame, roots: DataFrame) -> DataFrame:
+    """Classes with their component, one row per band."""
+    return (classes.join(roots.withColumnRenamed("node", "class"), "class", "left")
+            .select("class", "n", "sig", F.coalesce("root", "class").alias("root"),
+                    F.explode("bands").alias("band")))
+
+
 def _star_pairs(classes: DataFrame) -> DataFrame:
-    """Every bucket's least class with every other of its classes, likely pairs only."""
+    """One likely pair per class: with the least class that heads one of its buckets."""
     rows = classes.select("class", F.explode("bands").alias("band"))
     buckets = (rows.groupBy("band").agg(F.min("class").alias("a"), F.count(F.lit(1)).alias("m"))
                .where("m > 1").select("band", "a"))
     pairs = (rows.join(buckets, "band").where("class != a")
-             .select("a", F.col("class").alias("b")).distinct())
+             .groupBy(F.col("class").alias("b")).agg(F.min("a").alias("a")))
     return _estimated(pairs, classes)
 
 
@@ -163,20 +183,23 @@ def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
             .where(F.col("est") >= PERCENT / 100 - SLACK))
 
 
-def _cross_pairs(classes: DataFrame, roots: DataFrame) -> DataFrame:
-    """Likely pairs across components in the buckets that hold several components."""
-    rows = (classes.join(roots.withColumnRenamed("node", "class"), "class", "left")
-            .select("class", "n", "sig", F.coalesce("root", "class").alias("root"),
-                    F.explode("bands").alias("band")))
+def _dealt(classes: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members of the buckets that hold several components, dealt out by pairs of blocks."""
+    rows = _banded(classes, roots)
     mixed = (rows.groupBy("band").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("lo"),
                                       F.max("root").alias("hi"))
-             .where("lo != hi and m > 2").select("band", F.ceil(F.col("m") / BLOCK).cast("int").alias("nb")))
-    mine = F.pmod(F.xxhash64("class"), F.col("nb")).cast("int")
-    dealt = (rows.join(mixed, "band").withColumn("own", mine)
-             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-             .select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-                     "own", "class", "n", "root", "sig"))
+             .where("lo != hi").select("band", F.ceil(F.col("m") / BLOCK).cast("int").alias("nb")))
+    own = F.pmod(F.xxhash64("class"), F.col("nb")).cast("int")
+    return (rows.join(mixed, "band").withColumn("own", own)
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+            .select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+                    "own", "class", "n", "root", "sig"))
+
 
+_PAIR = "who long, a long, b long, na long, nb long, est double"
+
+
+def _in_blocks(dealt: DataFrame, exact: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
         for batch in batches:
@@ -186,17 +209,34 @@ def _cross_pairs(classes: DataFrame, roots: DataFrame) -> DataFrame:
             cuts = np.flatnonzero(np.any([k[1:] != k[:-1] for k in key], axis=0)) + 1
             edges = [0, *cuts.tolist()]
             for s, e in zip(edges[:-1], edges[1:]):
-                yield from _block_pairs(rows.slice(s, e - s))
+                yield from _block_pairs(rows.slice(s, e - s), exact)
             rest = rows.slice(edges[-1])
         if rest is not None and len(rest):
-            yield from _block_pairs(rest)
+            yield from _block_pairs(rest, exact)
+
+    return (dealt.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+            .mapInArrow(run, _PAIR))
 
-    pairs = (dealt.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
-             .mapInArrow(run, "a long, b long, na long, nb long, est double"))
-    return pairs.dropDuplicates(["a", "b"])
 
+def _nearest_pairs(classes: DataFrame, roots: DataFrame) -> DataFrame:
+    """Every class's likeliest partner in another component of its mixed buckets."""
+    return (_in_blocks(_dealt(classes, roots), exact=False)
+            .groupBy("who").agg(F.max(F.struct("est", "a", "b", "na", "nb")).alias("m"))
+            .select("m.*").dropDuplicates(["a", "b"]))
 
-def _block_pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+
+def _crossing_pairs(classes: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
+    """All pairs across components of mixed buckets that reach the similarity on 32-bit shingles.
+
+    The sets travel with the members, so that no refuted pair leaves its block.
+    Shorter hashes can only add to what two sets share: no link is lost, and
+    the full sets confirm what comes out.
+    """
+    short = sets.select("class", F.transform("set", lambda x: F.shiftright(x, 32).cast("int")).alias("set"))
+    return _in_blocks(_dealt(classes, roots).join(short, "class"), exact=True).dropDuplicates(["a", "b"])
+
+
+def _block_pairs(rows: pa.Table, exact: bool) -> Iterator[pa.RecordBatch]:
     """Likely pairs across components among one block, or between two blocks of a bucket."""
     if len(rows) < 2:
         return
@@ -205,6 +245,21 @@ def _block_pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         return
     sig = rows["sig"].combine_chunks().flatten().to_numpy().reshape(len(rows), LONGS).view(np.uint64)
     two_blocks = rows["i"][0].as_py() != rows["j"][0].as_py()
+    sets: dict[int, np.ndarray | frozenset] = {}
+
+    def members(k: int):
+        if k not in sets:
+            values = rows["set"][k].values.to_numpy()
+            sets[k] = frozenset(values.tolist()) if n[k] <= 1000 else np.unique(values)
+        return sets[k]
+
+    def shared(x: int, y: int) -> int:
+        a, b = members(x), members(y)
+        if isinstance(a, frozenset) and isinstance(b, frozenset):
+            return len(a & b)
+        a, b = (np.array(list(v), np.int32) if isinstance(v, frozenset) else v for v in (a, b))
+        return len(np.intersect1d(a, b, assume_unique=True))
+
     for s in range(0, len(rows), 256):
         x = sig[s:s + 256, None, :] ^ sig[None, :, :]
         x = (x | (x >> np.uint64(1))) & np.uint64(_PAIR_BITS)
@@ -213,14 +268,28 @@ def _block_pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         small = np.minimum(n[s:s + 256, None], n[None, :])
         large = np.maximum(n[s:s + 256, None], n[None, :])
         good = ((est >= PERCENT / 100 - SLACK) & (small * 100 >= large * PERCENT)
-                & (root[s:s + 256, None] != root[None, :]) & (cls[s:s + 256, None] < cls[None, :]))
+                & (root[s:s + 256, None] != root[None, :]))
         if two_blocks:
             good &= own[s:s + 256, None] != own[None, :]
-        i, j = np.nonzero(good)
+        if exact:
+            good &= cls[s:s + 256, None] < cls[None, :]
+            i, j = np.nonzero(good)
+            # distinct short hashes may be fewer than shingles, which only raises the share
+            both = np.array([shared(s + p, q) for p, q in zip(i.tolist(), j.tolist())], np.int64)
+            lost = 2
+            hit = (both + lost) * 100 >= (n[s + i] + n[j] - both - lost) * PERCENT
+            i, j = i[hit], j[hit]
+        else:
+            j = np.where(good, est, -1).argmax(axis=1)
+            i = np.flatnonzero(good[np.arange(len(good)), j])
+            j = j[i]
         if len(i):
+            turn = cls[s + i] > cls[j]
+            first, second = np.where(turn, j, s + i), np.where(turn, s + i, j)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(cls[s + i]), pa.array(cls[j]), pa.array(n[s + i]), pa.array(n[j]),
-                 pa.array(est[i, j])], names=["a", "b", "na", "nb", "est"])
+                [pa.array(cls[s + i]), pa.array(cls[first]), pa.array(cls[second]),
+                 pa.array(n[first]), pa.array(n[second]), pa.array(est[i, j])],
+                names=["who", "a", "b", "na", "nb", "est"])
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -232,31 +301,10 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             .where(both * 100 >= (F.col("na") + F.col("nb") - both) * PERCENT).select("a", "b"))
 
 
-def _settle(pairs: DataFrame, roots: DataFrame | None, classes: DataFrame, docs: DataFrame,
-            group: list[str]) -> DataFrame:
-    """Confirm candidate pairs until each is refuted or lies in one component; the new roots.
-
-    The likeliest pairs of a group go first, as one confirmed pair often makes
-    the others needless; the last turn takes all that are left.
-    """
-    needed = pairs.select(F.col("a").alias("class")).unionByName(
-        pairs.select(F.col("b").alias("class"))).distinct()
-    holders = classes.join(needed, "class").select("doc_id").distinct()
-    sets = stored(_sets(docs.join(holders, F.col("id").eqNullSafe(F.col("doc_id"))))
-                  .join(needed, "class").dropDuplicates(["class"]), "sets")
-    free_shuffles(docs.sparkSession)
-    for turn in (1, 16, None):
-        open_pairs = pairs if roots is None else _across(pairs, roots)
-        if turn is not None:
-            place = Window.partitionBy(*group).orderBy(F.desc("est"), "a", "b")
-            open_pairs = open_pairs.withColumn("place", F.row_number().over(place)).where(F.col("place") <= turn)
-        links = stored(_confirmed(open_pairs, sets), "links")
-        if links.isEmpty():
-            if open_pairs.isEmpty():
-                break
-            continue
-        roots = _merged(roots, links)
-    return roots
+def _linked(pairs: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
+    """Roots after confirming the candidate pairs that lie across components."""
+    links = stored(_confirmed(_across(pairs, roots), sets), "links")
+    return roots if links.isEmpty() else _merged(roots, links)
 
 
 def _rooted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -268,14 +316,11 @@ def _rooted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    return (_rooted(pairs.drop("root_a", "root_b"), roots).where("root_a != root_b")
-            .withColumn("ra", F.least("root_a", "root_b")).withColumn("rb", F.greatest("root_a", "root_b")))
+    return _rooted(pairs, roots).where("root_a != root_b")
 
 
-def _merged(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
     """Roots after adding links: components of the contracted graph, applied to all nodes."""
-    if roots is None:
-        return stored(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "roots")
     linked = _rooted(links, roots).select(F.col("root_a").alias("u"), F.col("root_b").alias("v"))
     moved = components(linked).select(F.col("node").alias("root"), F.col("root").alias("new"))
     old = roots.join(moved, "root", "left").select("node", F.coalesce("new", "root").alias("root"))
@@ -301,15 +346,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sig").alias("sig"),
         F.first("bands").alias("bands")), "classes")
     texts = rows.withColumnRenamed("doc_id", "id").select("id", "text")
-    stars = stored(_star_pairs(classes), "pairs")
-    free_shuffles(docs.sparkSession)
-    roots = _settle(stars, None, classes, texts, ["b"])
-    if roots is None:
-        roots = stars.select(F.col("a").alias("node"), F.col("b").alias("root")).where("false")
-    cross = stored(_cross_pairs(classes, roots), "pairs")
+    none = classes.select(F.col("class").alias("node"), F.col("class").alias("root")).where("false")
+    sets = stored(_needed_sets(classes, texts), "sets")
     free_shuffles(docs.sparkSession)
-    if not cross.isEmpty():
-        roots = _settle(cross, roots, classes, texts, ["ra", "rb"]) or roots
+    roots = _linked(stored(_star_pairs(classes), "pairs"), none, sets)
+    for _ in range(NEAREST_TURNS):
+        near = stored(_nearest_pairs(classes, roots), "pairs")
+        if near.isEmpty():
+            break
+        roots = _linked(near, roots, sets)
+        free_shuffles(docs.sparkSession)
+    roots = _linked(stored(_crossing_pairs(classes, roots, sets), "pairs"), roots, sets)
     named = (classes.select("class", "doc_id")
              .join(roots.withColumnRenamed("node", "class"), "class", "left")
              .withColumn("root", F.coalesce("root", "class")))
