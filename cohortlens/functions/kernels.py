@@ -35,6 +35,8 @@ def _matrix(arr: pa.Array, d: int) -> tuple[np.ndarray, np.ndarray]:
     lengths = pc.list_value_length(arr).to_numpy(zero_copy_only=False)
     lengths = np.where(np.isnan(lengths.astype("float64")), -1, lengths).astype(np.int64)
     valid = lengths == d
+    if (~valid & (lengths >= 0)).any():
+        raise ValueError(f"a vector has not the expected length {d}")
     flat = arr.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
     if valid.all():
         return flat.reshape(-1, d), valid
@@ -126,8 +128,9 @@ def silhouette_scores(df: DataFrame, models: list, features_col: str, preds: lis
             nx = np.einsum("ij,ij->i", x, x)
             cols, names = list(b.columns), list(b.schema.names)
             for (ids, n, y, psi), p, o in zip(packed, preds, outs):
-                pred = b.column(p).to_numpy(zero_copy_only=False)[valid].astype(np.int64)
-                pos = np.searchsorted(ids, pred)
+                pred = b.column(p).to_numpy(zero_copy_only=False).astype(np.float64)[valid]
+                known = ~np.isnan(pred)
+                pos = np.where(known, np.searchsorted(ids, pred), 0)
                 f = nx[:, None] + (psi / n)[None, :] - 2.0 * (x @ y.T) / n[None, :]
                 rows = np.arange(len(pos))
                 n_own = n[pos]
@@ -138,7 +141,9 @@ def silhouette_scores(df: DataFrame, models: list, features_col: str, preds: lis
                     bmin = f_other.min(axis=1)
                     m = np.maximum(a, bmin)
                     s = np.where((n_own <= 1) | (m == 0), 0.0, (bmin - a) / m)
-                cols.append(_scatter(s, valid, pa.float64()))
+                scored = valid.copy()
+                scored[valid] = known
+                cols.append(_scatter(s[known], scored, pa.float64()))
                 names.append(o)
             yield pa.RecordBatch.from_arrays(cols, names=names)
 

@@ -23,11 +23,13 @@ def is_after_hours(hour: str | Column = "hour", start: int = WORKDAY_START,
 
 
 def header_row(columns: list[str], key_name: str) -> Column:
-    """True when any cell, trimmed and lower-cased, equals ``key_name``.
+    """True when every cell, trimmed and lower-cased, is a column name and one is ``key_name``.
 
     Used as a per-row filter so that a header line is dropped wherever it
-    occurs: in the first file, a later file, or not at all.
+    occurs: in the first file, a later file, or not at all.  A row of data with
+    one cell that happens to read like the key column stays.
     """
-    name = key_name.strip().lower()
-    hits = [F.coalesce(F.lower(F.trim(F.col(c))) == name, F.lit(False)) for c in columns]
-    return reduce(lambda a, b: a | b, hits)
+    names = [c.strip().lower() for c in columns]
+    cells = [F.coalesce(F.lower(F.trim(F.col(c))), F.lit("")) for c in columns]
+    every = reduce(lambda a, b: a & b, [c.isin(names) for c in cells])
+    return every & reduce(lambda a, b: a | b, [c == key_name.strip().lower() for c in cells])

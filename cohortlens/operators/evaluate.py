@@ -38,30 +38,15 @@ def evaluate(df: DataFrame, method: str, *, prediction_col: str = "prediction",
              dim: int | None = None) -> dict:
     """Metric record of one clustering.
 
-    One job gathers the per-cluster statistics (sizes and within-cluster sum
-    of squares come from them), one more averages the per-point silhouette,
-    and one computes NMI / ARI / purity when a label column is given.
+    :func:`evaluate_many` with one method; external scores stay empty when
+    every label is null.
     ``inertia`` is the method's own cost (k-means training cost, or squared
     distance to the density peaks); ``within_ss`` is the sum of squared
     distances to the cluster means, available for every method.
     """
-    stats = cluster_stats(df, prediction_col, features_col, dim).orderBy("cluster").collect()
-    sizes = {int(r["cluster"]): int(r["n"]) for r in stats}
-    wss = sum(float(r["psi"]) - sum(v * v for v in r["y"]) / r["n"] for r in stats)
-    if len(stats) < 2:
-        sil = NO_SILHOUETTE
-    else:
-        sil = silhouette_points(df, prediction_col, features_col, dim, "_s",
-                                stats=stats).agg(F.avg("_s")).first()[0]
-    rec = {"method": method, "runtime_s": round(float(runtime), 2),
-           "n_clusters": len(stats), "silhouette": round(float(sil), 4),
-           "inertia": None if inertia is None else round(float(inertia), 2),
-           "within_ss": round(wss, 2), "cluster_sizes": dict(sorted(sizes.items())),
-           "nmi": None, "ari": None, "purity": None}
-    if label_col and label_col in df.columns:
-        ext = external_scores(df, label_col, prediction_col).first()
-        rec.update({k: round(float(ext[k]), 4) for k in ("nmi", "ari", "purity")})
-    return rec
+    return evaluate_many(df, [{"name": method, "pred": prediction_col, "runtime": runtime,
+                               "inertia": inertia}],
+                         features_col=features_col, label_col=label_col, dim=dim)[0]
 
 
 def evaluate_many(df: DataFrame, methods: list[dict], *, features_col: str = "features",

@@ -84,12 +84,13 @@ def http_features(http: DataFrame, *, workday=(WORKDAY_START, WORKDAY_END),
 def latest_directory(snapshots: DataFrame, snapshot_col: str = "snapshot") -> DataFrame:
     """``(user, role)`` from the latest snapshot, one row per user.
 
-    "Latest" is the greatest snapshot name (month names sort in time order).
+    "Latest" is the greatest snapshot name in lower case (month names sort in time order).
     The maximum is a scalar subquery, so the filter stays lazy and reaches the
     scan.  A user listed twice keeps the smallest role, so reruns agree.
     """
-    latest = snapshots.agg(F.max(snapshot_col)).scalar()
-    return (snapshots.where(F.col(snapshot_col) == latest)
+    name = F.lower(F.col(snapshot_col))
+    latest = snapshots.agg(F.max(name)).scalar()
+    return (snapshots.where(name == latest)
             .where(F.col("user_id").isNotNull())
             .groupBy(F.col("user_id").alias("user"))
             .agg(F.min("role").alias("role")))

@@ -2,8 +2,8 @@
 
 Fitting is MLlib's distributed k-means (k-means|| start, Lloyd iterations).
 Its result depends on how rows are split into partitions, so the fit input
-is laid out deterministically first: range-partitioned and sorted by id into
-a fixed number of partitions, and stored once (checkpoint) for all fits.
+is laid out deterministically first: hash-partitioned by id into a fixed number
+of partitions, sorted by id, and stored once for all fits.
 Labels are then assigned natively from the fitted centres.
 """
 
@@ -24,8 +24,9 @@ from .geometry import assign_nearest, vector_dim
 from .metrics import NO_SILHOUETTE, silhouette_many
 
 VEC = "_features_vec"
-# Rows per partition of the fit input; the layout depends only on the data.
-ROWS_PER_PARTITION = 50_000
+# Partitions of the fit input.  A parameter of the caller for larger inputs; it
+# never follows the row count, so the layout depends on the ids alone.
+FIT_PARTITIONS = 8
 
 
 @dataclass
@@ -41,19 +42,15 @@ def fit_input(df: DataFrame, id_col: str, features_col: str = "features",
               store: str = "persist") -> DataFrame:
     """Id + features (+ MLlib vector, + ``keep`` columns) in a fixed layout, computed once.
 
-    The partition count follows the row count (ROWS_PER_PARTITION), so the
-    same rows always give the same layout and the same fitted model.  The
+    Rows go to ``partitions`` (FIT_PARTITIONS) by the hash of their id, so the
+    same ids always give the same layout and the same fitted model.  The
     result is persisted (memory, then disk) for the repeated fits; pass
     ``store="checkpoint"`` to also cut lineage when the input is expensive
     to recompute.
     """
     cols = df.select(id_col, features_col, *keep)
-    if partitions is None:
-        n = cols.count() if n is None else n
-        partitions = max(1, -(-n // ROWS_PER_PARTITION))
-    spread = (cols.repartitionByRange(partitions, id_col) if partitions > 1
-              else cols.repartition(1))
-    laid = (spread.sortWithinPartitions(id_col)
+    laid = (cols.repartition(partitions or FIT_PARTITIONS, id_col)
+            .sortWithinPartitions(id_col, features_col)
             .withColumn(VEC, array_to_vector(F.col(features_col))))
     if store == "checkpoint":
         laid = materialize(laid)

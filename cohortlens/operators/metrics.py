@@ -11,7 +11,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.kernels import silhouette_scores, with_nearest
@@ -27,7 +27,7 @@ def cluster_stats(df: DataFrame, pred_col: str = "prediction", features_col: str
     """``(cluster, n, y, psi)``: size, sum vector, sum of squared norms per cluster."""
     dim = vector_dim(df, features_col) if dim is None else dim
     x = F.col(features_col)
-    return df.groupBy(F.col(pred_col).alias("cluster")).agg(
+    return df.where(F.col(pred_col).isNotNull()).groupBy(F.col(pred_col).alias("cluster")).agg(
         F.count(F.lit(1)).alias("n"),
         F.array(*[F.sum(x.getItem(i)) for i in range(dim)]).alias("y"),
         F.sum(sq_norm(x)).alias("psi"))
@@ -135,7 +135,7 @@ def silhouette_by_cluster(df: DataFrame, pred_col: str = "prediction",
 
 def cluster_sizes(df: DataFrame, pred_col: str = "prediction") -> DataFrame:
     """``(cluster, size)``."""
-    return df.groupBy(F.col(pred_col).alias("cluster")).agg(F.count(F.lit(1)).alias("size"))
+    return df.where(F.col(pred_col).isNotNull()).groupBy(F.col(pred_col).alias("cluster")).agg(F.count(F.lit(1)).alias("size"))
 
 
 def cluster_size_map(df: DataFrame, pred_col: str = "prediction") -> DataFrame:
@@ -165,11 +165,11 @@ def _c2(c: Column) -> Column:
 
 def _external_from_cells(ct: DataFrame, keys: list[str]) -> DataFrame:
     """NMI / ARI / purity per ``keys`` group of a contingency table ``(keys.., u, v, nuv)``."""
-    by_u = Window.partitionBy(*keys, "u")
-    by_v = Window.partitionBy(*keys, "v")
-    cells = (ct.withColumn("a", F.sum("nuv").over(by_u))
-             .withColumn("b", F.sum("nuv").over(by_v))
-             .withColumn("m", F.max("nuv").over(by_v)))
+    # marginals are aggregated before the shuffle and joined back, so a cluster
+    # that holds every label is no hot group
+    by_u = ct.groupBy(*keys, "u").agg(F.sum("nuv").alias("a"))
+    by_v = ct.groupBy(*keys, "v").agg(F.sum("nuv").alias("b"), F.max("nuv").alias("m"))
+    cells = ct.join(by_u, [*keys, "u"]).join(by_v, [*keys, "v"])
     nuv, a, b = (F.col(c).cast("double") for c in ("nuv", "a", "b"))
     s = cells.groupBy(*keys).agg(
         F.sum(nuv).alias("n"),
@@ -179,19 +179,22 @@ def _external_from_cells(ct: DataFrame, keys: list[str]) -> DataFrame:
         F.sum(nuv * (nuv - 1) / 2).alias("suv"),
         F.sum(nuv * (a - 1) / 2).alias("sa"),
         F.sum(nuv * (b - 1) / 2).alias("sb"),
-        F.sum(nuv * F.col("m") / b).alias("best"))
+        F.sum(nuv * F.col("m") / b).alias("best"),
+        (F.min("a") == F.sum("nuv")).alias("one_label"),
+        (F.min("b") == F.sum("nuv")).alias("one_cluster"))
     n = F.col("n")
     hu = F.log(n) - F.col("sla") / n
     hv = F.log(n) - F.col("slb") / n
     # mutual information is never negative; clamp rounding noise of the sums
     mi = F.greatest(F.log(n) + (F.col("sl") - F.col("sla") - F.col("slb")) / n, F.lit(0.0))
-    expected = F.col("sa") * F.col("sb") / (n * (n - 1) / 2)
+    # a single labelled row has no pairs: the defined value is 1
+    expected = F.try_divide(F.col("sa") * F.col("sb"), n * (n - 1) / 2)
     ari_den = (F.col("sa") + F.col("sb")) / 2 - expected
     return s.select(
         *keys,
-        F.when(F.abs(hu + hv) < 1e-15, F.lit(1.0))
+        F.when(F.col("one_label") & F.col("one_cluster"), F.lit(1.0))
         .otherwise(F.try_divide(mi, (hu + hv) / 2)).alias("nmi"),
-        F.when(ari_den == 0, F.lit(1.0))
+        F.when((n <= 1) | (ari_den == 0), F.lit(1.0))
         .otherwise(F.try_divide(F.col("suv") - expected, ari_den)).alias("ari"),
         F.try_divide(F.col("best"), n).alias("purity"))
 
@@ -203,10 +206,8 @@ def external_scores(df: DataFrame, label_col: str, pred_col: str) -> DataFrame:
     ARI is Hubert-Arabie's (1.0 when its denominator is 0); purity is
     ``sum_v max_u n_uv / n``.
 
-    One pass over the points builds the contingency table; the marginals
-    come from windows partitioned by label and by prediction (each window
-    group is one row of the table), and a single aggregate then yields every
-    sum, using sum_u f(a_u) = sum_cells n_uv f(a_u) / a_u.
+    One pass over the points builds the contingency table; its marginals are
+    joined back to the cells, and a single aggregate then yields every sum, using sum_u f(a_u) = sum_cells n_uv f(a_u) / a_u.
     """
     return _external_from_cells(contingency(df, label_col, pred_col), [])
 

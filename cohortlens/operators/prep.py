@@ -198,6 +198,8 @@ def _build_model(row, numerical: list[str], categorical: list[str], freqs: dict,
         cnt, m, s = row[f"_c{i}"], row[f"_m{i}"], row[f"_s{i}"]
         if cnt == 0:
             raise ValueError(f"column {c!r} has no value to impute from")
+        if not math.isfinite(m) or (s is not None and not math.isfinite(s)):
+            raise ValueError(f"column {c!r} holds an infinite value")
         surrogates[c] = float(m)
         # imputed rows sit on the mean, so they add nothing to the squared deviations
         ss = (float(s) ** 2) * (cnt - 1) if s is not None else 0.0
@@ -261,9 +263,3 @@ def prepare(df: DataFrame, id_col: str = "user", exclude=LABEL_COLUMNS,
     model = _build_model(row, numerical, categorical, freqs, features_col)
     return model.transform(df), model
 
-
-def to_ml_vector(df: DataFrame, features_col: str = "features",
-                 out: str = "features_vec") -> DataFrame:
-    """Dense MLlib vector column next to the array column."""
-    from pyspark.ml.functions import array_to_vector
-    return df.withColumn(out, array_to_vector(F.col(features_col)))

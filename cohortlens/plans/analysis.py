@@ -19,7 +19,7 @@ from ..operators import features as feat
 from ..operators.density import coarse_k, density_peaks
 from ..operators.evaluate import evaluate_many, metrics_frame
 from ..operators.kmeans import fit_input, kmeans, kmeans_sweep
-from ..operators.prep import find_label_column, prepare
+from ..operators.prep import LABEL_COLUMNS, find_label_column, prepare
 from ..sources import files as src
 from .lineage import release
 
@@ -35,7 +35,7 @@ def build_user_features(spark: SparkSession, data_dir: str, *, form: str = "aggr
     logs = {role: src.load_log(spark, found[role], role)
             for role in ("logon", "device", "http") if role in found}
     if "logon" not in logs and "parquet" in found:
-        return src.load_parquet(spark, found["parquet"])
+        return src.load_parquet(spark, *found["parquet"])
     if not logs:
         raise FileNotFoundError(f"no recognisable source file in {data_dir}")
     directory = src.load_directory(spark, found["ldap"]) if "ldap" in found else None
@@ -55,7 +55,11 @@ def run_analysis(features: DataFrame, *, id_col: str = "user", k_baseline: int =
     """
     spark = features.sparkSession
     label = label_col if label_col is not None else find_label_column(features)
-    prepared_df, model = prepare(features, id_col)
+    # a column that already has the name of the prepared vector is set aside
+    own = "_own_features"
+    rows = features.withColumnRenamed("features", own) if "features" in features.columns else features
+    # the ground truth is never a feature
+    prepared_df, model = prepare(rows, id_col, exclude=(*LABEL_COLUMNS, *([label] if label else [])))
     keep = [label] if label else []
     n = model.n_rows
     base = fit_input(prepared_df, id_col, "features", partitions, keep, n=n)
@@ -90,11 +94,11 @@ def run_analysis(features: DataFrame, *, id_col: str = "user", k_baseline: int =
             {"name": "CDPC-KNN-Approx", "pred": names[2], "runtime": cd_rt,
              "centres": info["peak_centres"]},
         ], label_col=label, dim=dim)
-        # the copy that preparation stored, so the feature build is not run again
-        # (unless the input had its own ``features`` column, which prepare replaces)
-        rows = (prepared_df.drop("features") if "features" not in features.columns
-                else features)
-        users = rows.join(labelled.select(id_col, *names), on=id_col, how="left")
+        # one projection over the copy that preparation stored: no join, so every
+        # input row comes out once, repeated and null ids included
+        users = (with_nearest(prepared_df, [bl.centres, sweep.best.centres, info["peak_centres"]],
+                              "features", names)
+                 .drop("features").withColumnRenamed(own, "features"))
         details = {"model": model, "baseline": bl, "sweep": sweep, "cdpc": info,
                    "label_col": label}
         return users, metrics_frame(spark, records), details

@@ -35,26 +35,31 @@ def rounded(df: DataFrame, places: int = ROUND) -> DataFrame:
 _FORMATS_SQL = "['%m/%d/%Y %H:%M:%S', '%Y-%m-%d %H:%M:%S', '%-m/%-d/%Y %-H:%M']"
 _K_SQL = "regexp_extract(props, '([0-9]+)', 1)"
 
+_SOURCE_SQL = """CASE WHEN event_type IN ('click', 'view') THEN 'logon'
+    WHEN event_type = 'purchase' AND user_id % 10 >= 4 THEN 'device'
+    WHEN event_type IN ('signup', 'error') AND user_id % 10 = 9 THEN 'device'
+    ELSE 'http' END"""
+
 LOGON_SQL = f"""SELECT CAST(event_id AS VARCHAR) AS id,
     strftime(ts, '%m/%d/%Y %H:%M:%S') AS date,
     CAST(user_id AS VARCHAR) AS "user",
     'PC-' || {_K_SQL} AS pc,
     CASE WHEN event_type = 'click' THEN 'Logon' ELSE 'Logoff' END AS activity
-  FROM events WHERE event_type IN ('click', 'view')"""
+  FROM events WHERE {_SOURCE_SQL} = 'logon'"""
 
 DEVICE_SQL = f"""SELECT CAST(event_id AS VARCHAR) AS id,
     strftime(ts, '%-m/%-d/%Y %-H:%M') AS date,
     CAST(user_id AS VARCHAR) AS "user",
     'PC-' || {_K_SQL} AS pc,
     'Connect' AS activity
-  FROM events WHERE event_type = 'purchase' AND value > 150"""
+  FROM events WHERE {_SOURCE_SQL} = 'device'"""
 
 HTTP_SQL = f"""SELECT CAST(event_id AS VARCHAR) AS id,
     strftime(ts, '%Y-%m-%d %H:%M:%S') AS date,
     CAST(user_id AS VARCHAR) AS "user",
     'PC-' || {_K_SQL} AS pc,
     'http://site' || {_K_SQL} || '.example' AS url
-  FROM events WHERE event_type IN ('signup', 'error') AND value < 5"""
+  FROM events WHERE {_SOURCE_SQL} = 'http'"""
 
 SNAPSHOTS_SQL = """SELECT employee_name, user_id, email, domain, role,
     'LDAP-2010-' || lpad(CAST(m AS VARCHAR), 2, '0') AS snapshot
@@ -225,7 +230,7 @@ def q_directory_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_parquet_passthrough(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sources.files import load_parquet
-    return load_parquet(spark, [f"{sf_dir}/customer.parquet"])
+    return load_parquet(spark, f"{sf_dir}/customer.parquet")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

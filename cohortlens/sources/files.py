@@ -1,8 +1,7 @@
 """File sources.
 
-Discovery lists file *names* only (a ``binaryFile`` listing with the content
-column pruned), so it works on any Hadoop file system and never opens a file
-on the driver.  Header lines are removed by a per-row filter instead of a
+Discovery lists file *names* of one folder level through Hadoop's file systems
+and never opens a file on the driver.  Header lines are removed by a per-row filter instead of a
 peek at the first file, so files with and without a header can be mixed.
 """
 
@@ -27,28 +26,26 @@ ROLE_GLOBS = {
 }
 
 
-def _list(spark: SparkSession, data_dir: str, glob: str, recursive: bool = False) -> list[str]:
-    listing = (spark.read.format("binaryFile")
-               .option("pathGlobFilter", glob)
-               .option("recursiveFileLookup", str(recursive).lower())
-               .load(data_dir)
-               .select("path"))
-    return sorted(r[0] for r in listing.collect())
+def _list(spark: SparkSession, data_dir: str, glob: str) -> list[str]:
+    """Entries of the folder itself whose name matches; nothing below it is listed."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(data_dir).getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(hadoop.Path(data_dir)):
+        raise FileNotFoundError(data_dir)
+    return sorted(str(s.getPath()) for s in fs.globStatus(hadoop.Path(f"{data_dir}/{glob}")) or [])
 
 
 def detect_sources(spark: SparkSession, data_dir: str) -> dict[str, list[str]]:
-    """Map role -> sorted file paths, keeping only roles with at least one file."""
+    """Map role -> sorted file paths, keeping only roles with at least one file.
+
+    The Parquet role maps to one glob over the entries of the folder itself, so
+    a partitioned table keeps its partition columns and nested tables stay out.
+    """
     found = {}
     for role, glob in ROLE_GLOBS.items():
-        try:
-            # a Parquet table may be a folder of part files
-            paths = _list(spark, data_dir, glob, recursive=(role == "parquet"))
-        except Exception as exc:  # missing directory
-            if "PATH_NOT_FOUND" in str(exc) or "does not exist" in str(exc):
-                raise FileNotFoundError(data_dir) from exc
-            raise
+        paths = _list(spark, data_dir, glob)
         if paths:
-            found[role] = paths
+            found[role] = [f"{data_dir}/{glob}"] if role == "parquet" else paths
     return found
 
 
@@ -79,7 +76,7 @@ def load_log(spark: SparkSession, paths: list[str], role: str,
     return df.where(~is_header)
 
 
-def load_parquet(spark: SparkSession, paths: list[str]) -> DataFrame:
+def load_parquet(spark: SparkSession, *paths: str) -> DataFrame:
     """A generic user table stored as Parquet, returned as it is."""
     return spark.read.parquet(*paths)
 
@@ -91,11 +88,11 @@ def read_snapshots(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def latest_snapshot_paths(paths: list[str]) -> list[str]:
-    """The files whose name is the greatest (the latest snapshot), from the listing."""
+    """The files whose name is the greatest in lower case (the latest snapshot), from the listing."""
     if not paths:
         return []
-    last = max(p.rsplit("/", 1)[-1] for p in paths)
-    return [p for p in paths if p.rsplit("/", 1)[-1] == last]
+    last = max(p.rsplit("/", 1)[-1].lower() for p in paths)
+    return [p for p in paths if p.rsplit("/", 1)[-1].lower() == last]
 
 
 def load_directory(spark: SparkSession, paths: list[str]) -> DataFrame:

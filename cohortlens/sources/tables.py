@@ -9,8 +9,14 @@ and its work grows with the tables.  The same views exist as SQL text in
 Role of each table:
 
 * logon log   = events of type click (Logon) or view (Logoff)
-* device log  = purchase events worth more than 150 (a USB connect)
-* web log     = signup / error events worth less than 5 (a page visit)
+* device log  = purchase events (a USB connect), and the signup / error events
+  of users whose id ends in 9
+* web log     = every other event (a page visit): signup / error events, and
+  the purchases of users whose id ends in 0 to 3
+
+Every event is in exactly one log.  The routing by user leaves some users
+without device events and others without web events, so the outer join of the
+logs meets missing sides.
 * directory   = customers, one snapshot per month they were active; a negative
   balance means the person left before the last month; balances above 9000
   are also listed a second time as ``IT Admin`` in the last month
@@ -22,8 +28,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-DEVICE_MIN_VALUE = 150.0
-WEB_MAX_VALUE = 5.0
+# Last digits of the users whose purchases go to the web log (below the first)
+# and whose signup / error events go to the device log (the second).
+FIRST_BUYER_DIGIT = 4
+NO_WEB_DIGIT = 9
 LAST_MONTH = 12
 ADMIN_BALANCE = 9000.0
 
@@ -36,9 +44,18 @@ def _k(props: str = "props"):
     return F.regexp_extract(F.col(props), r"([0-9]+)", 1)
 
 
+def event_source():
+    """The log an event belongs to: ``logon``, ``device`` or ``http``; never null."""
+    et, digit = F.col("event_type"), F.col("user_id") % 10
+    return (F.when(et.isin("click", "view"), "logon")
+            .when((et == "purchase") & (digit >= FIRST_BUYER_DIGIT), "device")
+            .when(et.isin("signup", "error") & (digit == NO_WEB_DIGIT), "device")
+            .otherwise("http"))
+
+
 def logon_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events")
-    return ev.where(F.col("event_type").isin("click", "view")).select(
+    return ev.where(event_source() == "logon").select(
         F.col("event_id").cast("string").alias("id"),
         F.date_format("ts", "MM/dd/yyyy HH:mm:ss").alias("date"),
         F.col("user_id").cast("string").alias("user"),
@@ -49,8 +66,7 @@ def logon_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def device_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events")
-    return ev.where((F.col("event_type") == "purchase")
-                    & (F.col("value") > DEVICE_MIN_VALUE)).select(
+    return ev.where(event_source() == "device").select(
         F.col("event_id").cast("string").alias("id"),
         F.date_format("ts", "M/d/yyyy H:mm").alias("date"),
         F.col("user_id").cast("string").alias("user"),
@@ -61,8 +77,7 @@ def device_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def http_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events")
-    return ev.where(F.col("event_type").isin("signup", "error")
-                    & (F.col("value") < WEB_MAX_VALUE)).select(
+    return ev.where(event_source() == "http").select(
         F.col("event_id").cast("string").alias("id"),
         F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("date"),
         F.col("user_id").cast("string").alias("user"),
@@ -75,18 +90,13 @@ def activity_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three logs as one tagged stream ``(user, src, key, date, activity)``, one scan.
 
     Same rows as tagging and unioning :func:`logon_log`, :func:`device_log`
-    and :func:`http_log` (the event types of the three logs are disjoint), but
-    the events table is read once instead of three times.  Each row keeps the
-    date spelling of its log.
+    and :func:`http_log`, but the events table is read once instead of three
+    times.  Each row keeps the date spelling of its log.
     """
     ev = table(spark, sf_dir, "events")
-    et, value = F.col("event_type"), F.col("value")
-    src = (F.when(et.isin("click", "view"), "logon")
-           .when((et == "purchase") & (value > DEVICE_MIN_VALUE), "device")
-           .when(et.isin("signup", "error") & (value < WEB_MAX_VALUE), "http"))
-    tagged = ev.select("ts", "user_id", "event_type", "props", src.alias("src"))
+    tagged = ev.select("ts", "user_id", "event_type", "props", event_source().alias("src"))
     s = F.col("src")
-    return tagged.where(s.isNotNull()).select(
+    return tagged.select(
         F.col("user_id").cast("string").alias("user"),
         s,
         F.when(s == "http", F.concat(F.lit("http://site"), _k(), F.lit(".example")))

@@ -106,7 +106,8 @@ def test_kmeans_recovers_blobs_and_sweep_picks_k(spark):
     assert sweep.best_k == 3
     assert sweep.best_silhouette == max(s for _, s, _ in sweep.scores)
     _, seq = kmeans_sweep(base, range(2, 7), prepared=base, parallelism=1)
-    assert seq.scores == sweep.scores
+    # sums over several partitions may differ in the last place
+    assert [x for r in seq.scores for x in r] == pytest.approx([x for r in sweep.scores for x in r], rel=1e-12)
 
 
 def test_k_checks(spark):

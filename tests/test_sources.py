@@ -67,8 +67,8 @@ def test_build_user_features_from_csv(spark, tmpdir_fresh):
 def test_only_latest_snapshot_file_is_read(spark, tmpdir_fresh):
     from cohortlens.sources.files import latest_snapshot_paths
     paths = ["/d/LDAP-2010-02.csv", "/d/LDAP-2009-12.csv", "/d/ldap-2010-01.csv"]
-    # the greatest file name, as in a plain sort of the listing
-    assert latest_snapshot_paths(paths) == ["/d/ldap-2010-01.csv"]
+    # the greatest file name, whatever its letter case
+    assert latest_snapshot_paths(paths) == ["/d/LDAP-2010-02.csv"]
     assert latest_snapshot_paths([]) == []
     _make_r1(tmpdir_fresh)
     found = detect_sources(spark, tmpdir_fresh)
