@@ -131,11 +131,20 @@ def _sets(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "class long, set array<long>")
 
 
-def _needed_sets(classes: DataFrame, texts: DataFrame) -> DataFrame:
+def _shared_bands(classes: DataFrame) -> DataFrame:
+    """``(class, band)`` of the buckets that hold more than one class; stored.
+
+    The only shuffle of all band rows; every later step reads what is left.
+    """
+    rows = classes.select("class", F.explode("bands").alias("band"))
+    several = rows.groupBy("band").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("band")
+    return stored(rows.join(several, "band").select("class", "band"), "bands")
+
+
+def _needed_sets(classes: DataFrame, shared: DataFrame, texts: DataFrame) -> DataFrame:
     """``(class, set)`` of the classes that share a bucket with another class."""
-    rows = classes.select("class", "doc_id", F.explode("bands").alias("band"))
-    shared = rows.groupBy("band").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("band")
-    needed = stored(rows.join(shared, "band").select("class", "doc_id").distinct(), "needed")
+    needed = stored(classes.select("class", "doc_id").join(shared.select("class").distinct(), "class"),
+                    "needed")
     holders = needed.select("doc_id").distinct()
     return (_sets(texts.join(holders, F.col("id").eqNullSafe(F.col("doc_id"))))
             .join(needed.select("class"), "class").dropDuplicates(["class"]))
@@ -158,19 +167,10 @@ def _could_link(a: Column, b: Column) -> Column:
     return (F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT)
 
 
-def _banded(classes: DataFrame, roots: DataFrame) -> DataFrame:
-    """Classes with their component, one row per band."""
-    return (classes.join(roots.withColumnRenamed("node", "class"), "class", "left")
-            .select("class", "n", "sig", F.coalesce("root", "class").alias("root"),
-                    F.explode("bands").alias("band")))
-
-
-def _star_pairs(classes: DataFrame) -> DataFrame:
+def _star_pairs(classes: DataFrame, shared: DataFrame) -> DataFrame:
     """One likely pair per class: with the least class that heads one of its buckets."""
-    rows = classes.select("class", F.explode("bands").alias("band"))
-    buckets = (rows.groupBy("band").agg(F.min("class").alias("a"), F.count(F.lit(1)).alias("m"))
-               .where("m > 1").select("band", "a"))
-    pairs = (rows.join(buckets, "band").where("class != a")
+    heads = shared.groupBy("band").agg(F.min("class").alias("a"))
+    pairs = (shared.join(heads, "band").where("class != a")
              .groupBy(F.col("class").alias("b")).agg(F.min("a").alias("a")))
     return _estimated(pairs, classes)
 
@@ -183,14 +183,16 @@ def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
             .where(F.col("est") >= PERCENT / 100 - SLACK))
 
 
-def _dealt(classes: DataFrame, roots: DataFrame) -> DataFrame:
+def _dealt(classes: DataFrame, shared: DataFrame, roots: DataFrame) -> DataFrame:
     """Members of the buckets that hold several components, dealt out by pairs of blocks."""
-    rows = _banded(classes, roots)
+    rows = (shared.join(roots.withColumnRenamed("node", "class"), "class", "left")
+            .select("class", "band", F.coalesce("root", "class").alias("root")))
     mixed = (rows.groupBy("band").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("lo"),
                                       F.max("root").alias("hi"))
              .where("lo != hi").select("band", F.ceil(F.col("m") / BLOCK).cast("int").alias("nb")))
     own = F.pmod(F.xxhash64("class"), F.col("nb")).cast("int")
     return (rows.join(mixed, "band").withColumn("own", own)
+            .join(classes.select("class", "n", "sig"), "class")
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
             .select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
                     "own", "class", "n", "root", "sig"))
@@ -218,14 +220,15 @@ def _in_blocks(dealt: DataFrame, exact: bool) -> DataFrame:
             .mapInArrow(run, _PAIR))
 
 
-def _nearest_pairs(classes: DataFrame, roots: DataFrame) -> DataFrame:
+def _nearest_pairs(classes: DataFrame, shared: DataFrame, roots: DataFrame) -> DataFrame:
     """Every class's likeliest partner in another component of its mixed buckets."""
-    return (_in_blocks(_dealt(classes, roots), exact=False)
+    return (_in_blocks(_dealt(classes, shared, roots), exact=False)
             .groupBy("who").agg(F.max(F.struct("est", "a", "b", "na", "nb")).alias("m"))
             .select("m.*").dropDuplicates(["a", "b"]))
 
 
-def _crossing_pairs(classes: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
+def _crossing_pairs(classes: DataFrame, shared: DataFrame, roots: DataFrame,
+                    sets: DataFrame) -> DataFrame:
     """All pairs across components of mixed buckets that reach the similarity on 32-bit shingles.
 
     The sets travel with the members, so that no refuted pair leaves its block.
@@ -233,7 +236,7 @@ def _crossing_pairs(classes: DataFrame, roots: DataFrame, sets: DataFrame) -> Da
     the full sets confirm what comes out.
     """
     short = sets.select("class", F.transform("set", lambda x: F.shiftright(x, 32).cast("int")).alias("set"))
-    return _in_blocks(_dealt(classes, roots).join(short, "class"), exact=True).dropDuplicates(["a", "b"])
+    return _in_blocks(_dealt(classes, shared, roots).join(short, "class"), exact=True).dropDuplicates(["a", "b"])
 
 
 def _block_pairs(rows: pa.Table, exact: bool) -> Iterator[pa.RecordBatch]:
@@ -347,16 +350,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.first("bands").alias("bands")), "classes")
     texts = rows.withColumnRenamed("doc_id", "id").select("id", "text")
     none = classes.select(F.col("class").alias("node"), F.col("class").alias("root")).where("false")
-    sets = stored(_needed_sets(classes, texts), "sets")
+    shared = _shared_bands(classes)
+    free_shuffles(docs.sparkSession)
+    sets = stored(_needed_sets(classes, shared, texts), "sets")
     free_shuffles(docs.sparkSession)
-    roots = _linked(stored(_star_pairs(classes), "pairs"), none, sets)
+    roots = _linked(stored(_star_pairs(classes, shared), "pairs"), none, sets)
     for _ in range(NEAREST_TURNS):
-        near = stored(_nearest_pairs(classes, roots), "pairs")
+        near = stored(_nearest_pairs(classes, shared, roots), "pairs")
         if near.isEmpty():
             break
         roots = _linked(near, roots, sets)
         free_shuffles(docs.sparkSession)
-    roots = _linked(stored(_crossing_pairs(classes, roots, sets), "pairs"), roots, sets)
+    roots = _linked(stored(_crossing_pairs(classes, shared, roots, sets), "pairs"), roots, sets)
     named = (classes.select("class", "doc_id")
              .join(roots.withColumnRenamed("node", "class"), "class", "left")
              .withColumn("root", F.coalesce("root", "class")))
