@@ -94,3 +94,18 @@ def lloyd_step(df: DataFrame, centres: list, features_col: str = "features",
     dim = len(centres[0]) if dim is None else dim
     assigned = assign_nearest(df, centres, features_col, "cluster")
     return centroids(assigned, "cluster", features_col, dim)
+
+
+def lloyd(df: DataFrame, centres: list, rounds: int, features_col: str = "features",
+          out: str = "prediction") -> tuple[DataFrame, list]:
+    """``rounds`` Lloyd steps from given centres; ``df`` with the labels, and the last centres.
+
+    A centre that loses all its points stays where it is.  Only the centres
+    (k vectors) come to the driver between the steps.
+    """
+    dim = len(centres[0])
+    for _ in range(rounds):
+        moved = {r["cluster"]: list(r["centre"])
+                 for r in lloyd_step(df.select(features_col), centres, features_col, dim).collect()}
+        centres = [moved.get(i, c) for i, c in enumerate(centres)]
+    return assign_nearest(df, centres, features_col, out), centres

@@ -18,6 +18,7 @@ from .functions.predicates import header_row
 from .functions.timeparse import parse_event_time
 from .operators import features as feat
 from .sources import tables as tb
+from .sources.files import parse_lines
 
 ROUND = 6
 
@@ -213,6 +214,20 @@ def q_header_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.where(~header_row(mixed.columns, "id"))
 
 
+def q_csv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Web log as CSV lines (one header a day, short, long and quoted lines), parsed back."""
+    log = tb.http_log(spark, sf_dir)
+    last = F.col("id").cast("long") % 10
+    start = F.concat_ws(",", "id", "date", "user", "pc")
+    line = (F.when(last == 1, start)
+            .when(last == 2, F.concat(start, F.lit(","), "url", F.lit(",more")))
+            .when(last == 3, F.concat(start, F.lit(',"'), "url", F.lit(',q"')))
+            .otherwise(F.concat(start, F.lit(","), "url")))
+    headers = log.select(F.substring("date", 1, 10).alias("day")).distinct().select(
+        F.lit("id,date,user,pc,url").alias("line"))
+    return parse_lines(log.select(line.alias("line")).unionByName(headers), "http")
+
+
 def q_user_features_counts_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_features(spark, sf_dir, feat.user_features, fill="counts_only"))
 
@@ -243,6 +258,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "user_features_unfilled": q_user_features_unfilled,
     "parse_timestamps": q_parse_timestamps,
     "header_filter": q_header_filter,
+    "csv_lines": q_csv_lines,
     "user_features_counts_only": q_user_features_counts_only,
     "source_quality": q_source_quality,
     "directory_coverage": q_directory_coverage,
@@ -280,6 +296,10 @@ ORACLE: dict[str, str] = {
       SELECT event_id, raw, strftime(ts, '%Y-%m-%d %H:%M:%S') AS parsed,
              CAST(hour(ts) AS INTEGER) AS hour FROM p""",
     "header_filter": f"WITH logon AS ({LOGON_SQL}) SELECT * FROM logon",
+    "csv_lines": f"""SELECT id, date, "user", pc,
+        CASE CAST(id AS BIGINT) % 10 WHEN 1 THEN NULL WHEN 3 THEN url || ',q' ELSE url END AS url,
+        CAST(id AS BIGINT) % 10 IN (1, 2) AS malformed
+      FROM ({HTTP_SQL})""",
 }
 ORACLE["user_features_joined"] = ORACLE["user_features"]
 ORACLE["user_features_counts_only"] = (

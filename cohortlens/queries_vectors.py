@@ -17,6 +17,10 @@ from .operators import geometry as geo
 from .operators import metrics as mt
 from .sources import tables as tb
 
+# start centres and steps of the unrolled k-means query
+LLOYD_K = 5
+LLOYD_ROUNDS = 3
+
 K_FINAL = 4
 
 
@@ -119,6 +123,14 @@ def q_lloyd_step(spark, sf_dir):
     return rounded(new.select("cluster", "n", F.posexplode("centre").alias("dim", "value")))
 
 
+def q_lloyd_rounds(spark, sf_dir):
+    """k-means iterations from the vectors of the smallest ids as start centres."""
+    v = tb.vectors(spark, sf_dir)
+    start = [list(r["features"]) for r in v.orderBy("vec_id").limit(LLOYD_K).collect()]
+    labelled, _ = geo.lloyd(v.select("vec_id", "features"), start, LLOYD_ROUNDS)
+    return labelled.select("vec_id", "prediction")
+
+
 def q_silhouette(spark, sf_dir):
     pts, dim = _peak_assigned(spark, sf_dir)
     return rounded(mt.silhouette(pts, "prediction", "features", dim))
@@ -160,6 +172,7 @@ QUERIES = {
     "farthest_point_peaks": q_farthest_point_peaks,
     "nearest_peak": q_nearest_peak,
     "lloyd_step": q_lloyd_step,
+    "lloyd_rounds": q_lloyd_rounds,
     "silhouette": q_silhouette,
     "silhouette_by_cluster": q_silhouette_by_cluster,
     "contingency_metrics": q_contingency_metrics,
@@ -194,6 +207,20 @@ cand AS (SELECT dens.*, cent.c FROM dens JOIN cent USING (cluster)
   WHERE density_rank <= greatest({K_FINAL}, (SELECT count(*) FROM dens) // 2))"""
 
 
+def _lloyd_ctes() -> str:
+    """The rounds unrolled: labels ``a<r>`` and centres ``c<r>`` of every round."""
+    parts = [f"c0 AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS k, x AS c FROM pts "
+             f"ORDER BY vec_id LIMIT {LLOYD_K})"]
+    for r in range(LLOYD_ROUNDS + 1):
+        parts.append(f"""a{r} AS (SELECT vec_id, x, k FROM (SELECT vec_id, x, k, row_number() OVER (
+            PARTITION BY vec_id ORDER BY {sqd('x', 'c')}, k) AS rn FROM pts CROSS JOIN c{r}) WHERE rn = 1)""")
+        parts.append(f"""c{r + 1} AS (SELECT c{r}.k, coalesce(m.c, c{r}.c) AS c FROM c{r} LEFT JOIN (
+            SELECT k, list(v ORDER BY i) AS c FROM (SELECT k, i, avg(v) AS v FROM (
+              SELECT k, unnest(generate_series(0, len(x) - 1)) AS i, unnest(x) AS v FROM a{r})
+              GROUP BY k, i) GROUP BY k) m ON m.k = c{r}.k)""")
+    return ", ".join(parts)
+
+
 def _peak_ctes(k_final: int = K_FINAL) -> str:
     parts = ["prev0 AS (SELECT cluster, density_rank, c, CAST(NULL AS DOUBLE) AS min_dist, "
              "0 AS pick FROM cand WHERE density_rank = 1)"]
@@ -288,6 +315,8 @@ ORACLE = {
         nl AS (SELECT cluster, unnest(generate_series(0, len(x) - 1)) AS i, unnest(x) AS v FROM near)
         SELECT CAST(cluster AS INTEGER) AS cluster, count(*) AS n, CAST(i AS INTEGER) AS dim,
                round(avg(v), 6) AS value FROM nl GROUP BY cluster, i""",
+    "lloyd_rounds": f"""WITH {BASE_CTE}, {_lloyd_ctes()}
+        SELECT vec_id, CAST(k AS INTEGER) AS prediction FROM a{LLOYD_ROUNDS}""",
     "silhouette": f"WITH {SILHOUETTE_CTE} SELECT round(avg(s), 6) AS silhouette FROM sv",
     "silhouette_by_cluster": f"WITH {SILHOUETTE_CTE} SELECT prediction AS cluster, "
                              f"count(*) AS n, round(avg(s), 6) AS silhouette "

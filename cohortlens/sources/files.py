@@ -76,6 +76,24 @@ def load_log(spark: SparkSession, paths: list[str], role: str,
     return df.where(~is_header)
 
 
+def parse_lines(lines: DataFrame, role: str, line_col: str = "line") -> DataFrame:
+    """CSV lines of one source role as its columns plus ``malformed``, header lines removed.
+
+    The same schema and rules as :func:`load_log`, for lines that are already
+    a column (a text file, a message value).  ``malformed`` marks lines with
+    too few or too many fields; they stay, with nulls or without the excess.
+    A null or blank line gives a row of nulls that is malformed.
+    """
+    schema = SCHEMAS[role]
+    fields = ", ".join(f"`{c}` string" for c in schema.fieldNames())
+    parsed = F.from_csv(F.coalesce(F.col(line_col), F.lit("")), f"{fields}, _bad string",
+                        {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    rows = lines.select(F.col(line_col).alias("_line"), parsed.alias("_row")).select(
+        *[F.col("_row")[c].alias(c) for c in schema.fieldNames()],
+        (F.col("_row._bad").isNotNull() | (F.trim(F.coalesce("_line", F.lit(""))) == "")).alias("malformed"))
+    return rows.where(~header_row(schema.fieldNames(), HEADER_KEY[role]))
+
+
 def load_parquet(spark: SparkSession, *paths: str) -> DataFrame:
     """A generic user table stored as Parquet, returned as it is."""
     return spark.read.parquet(*paths)

@@ -95,3 +95,20 @@ def test_wrong_length_and_infinity_are_errors(spark):
     inf = spark.createDataFrame([("a", float("inf")), ("b", 1.0)], "user string, x double")
     with pytest.raises(ValueError, match="'x'"):
         prep.prepare(inf, "user")
+
+
+def test_parse_lines_keeps_malformed_lines(spark):
+    lines = spark.createDataFrame([("id,date,user,pc,url",), ('1,d,u,p,"http://a,b"',), ("2,d,u,p",),
+                                   ("3,d,u,p,x,more",), ("",), (None,), (" ID ,Date,user,PC,Url",)], "line string")
+    got = {r["id"]: (r["url"], r["malformed"])
+           for r in files.parse_lines(lines, "http").where("id is not null").collect()}
+    assert got == {"1": ("http://a,b", False), "2": (None, True), "3": ("x", True)}
+    assert files.parse_lines(lines, "http").where("id is null and malformed").count() == 2
+
+
+def test_lloyd_keeps_a_centre_without_points(spark):
+    from cohortlens.operators.geometry import lloyd
+    df = spark.createDataFrame([([0.0],), ([2.0],), ([10.0],)], "features array<double>")
+    labelled, centres = lloyd(df, [[0.0], [9.0], [500.0]], 3)
+    assert centres == [[1.0], [10.0], [500.0]]
+    assert sorted((r[0][0], r[1]) for r in labelled.collect()) == [(0.0, 0), (2.0, 0), (10.0, 1)]
