@@ -181,3 +181,38 @@ def test_nearest_neighbours(spark):
         order = sorted((i for i in range(120) if i != q), key=lambda i: (-round(s[i], 12), i))
         assert [got[q][r] for r in range(1, 6)] == order[:5]
     assert 200 not in got
+
+
+def test_hashed_words_are_the_words():
+    texts = [None, "", " \n", "İstanbul Straße—a_b “q” naïve x² ٣ 日本、語", "a b A\tB", "x" * 70_000 + " end"]
+    seen = {}
+    for text in texts:
+        words, hashed = decontam.words_of(text), decontam.hashed_words(text)
+        assert len(hashed) == len(words)
+        assert (hashed.part(0, len(words)) if words else []) == words
+        for word, bucket in zip(words, hashed.buckets.tolist()):
+            assert 0 <= bucket < decontam.BUCKETS and seen.setdefault(word, bucket) == bucket
+
+
+def test_leaks_of_edited_passages(spark):
+    rng = np.random.default_rng(5)
+    vocabulary = ["w%d" % i for i in range(2000)]
+    draw = lambda n: list(rng.choice(vocabulary, n))
+    items = [draw(50) for _ in range(6)]
+    edited = items[2][:20] + ["other"] + items[2][21:]
+    rows = [(i, " ".join(draw(200))) for i in range(60)]
+    rows += [(100, " ".join(draw(300) + items[1] + draw(40))), (101, " ".join(draw(30) + edited)),
+             (101, " ".join(edited)), (102, None), (103, ""), (None, " ".join(items[0])),
+             (104, " ".join(draw(20_000) + items[3] + draw(5000)))]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, item_id string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)] + [(9, None), (10, "")],
+                                  "item_id long, text string")
+    found = decontam.find_leaks(docs, decontam.fit_searchers(docs, bench)).collect()
+    assert sorted(((r.doc_id or -1), r.item_id) for r in found) == [
+        (-1, "0"), (100, "1"), (101, "2"), (101, "2"), (104, "3")]
+    clean = decontam.keep_clean(docs, decontam.fit_searchers(docs, bench))
+    assert clean.columns == docs.columns and clean.count() == len(rows) - 5
+    assert decontam.fit_searchers(docs, bench.limit(0)) == []
+    assert decontam.find_leaks(docs, []).count() == 0
+    empty = docs.limit(0)
+    assert decontam.find_leaks(empty, decontam.fit_searchers(empty, bench)).count() == 0
