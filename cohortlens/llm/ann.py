@@ -23,11 +23,13 @@ NEIGHBOURS = 20
 REVERSE = 20
 #: Nodes of a random starting block, and how often blocks are drawn.
 BLOCK, DRAWS = 1000, 2
-ROUNDS = 4
+#: Rounds go on until they change less than this share of the edges.
+CHANGED = 0.001
+#: Limits that fail: what has not settled by then is an error, never a result.
+MOST_ROUNDS, MOST_HOPS = 100, 400
 #: Candidates a node takes home from each meeting.
 TAKEN = 6
 BEAM = 256
-HOPS = 8
 #: Nodes whose exact scores are compared at the end, a multiple of the wanted.
 SPARE = 6
 
@@ -152,26 +154,45 @@ def _round(edges: DataFrame, nodes: DataFrame, turn: int) -> DataFrame:
     return _reduced(edges.unionByName(better), NEIGHBOURS)
 
 
-def build_graph(nodes: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """Edges ``(node, nbr, sim)``, ``NEIGHBOURS`` per node, from ``(node, vec)``; stored."""
+def build_graph(nodes: DataFrame, changed: float = CHANGED, most: int = MOST_ROUNDS) -> DataFrame:
+    """Edges ``(node, nbr, sim)``, ``NEIGHBOURS`` per node, from ``(node, vec)``; stored.
+
+    Rounds go on until one replaces less than the share ``changed`` of the edges.
+    """
     count = nodes.count()
     edges = _block_edges(nodes, count, 0)
     for draw in range(1, DRAWS if count > BLOCK else 1):
         edges = edges.unionByName(_block_edges(nodes, count, draw))
     edges = stored(_reduced(edges, NEIGHBOURS), "graph")
-    for turn in range(rounds if count > BLOCK else 0):
-        edges = stored(_round(edges, nodes, turn), "graph")
+    if count <= BLOCK:
+        return edges
+    for turn in range(most):
+        before, edges = edges, stored(_round(edges, nodes, turn), "graph")
         free_shuffles(nodes.sparkSession)
-    return edges
+        if _changed_share(before, edges) < changed:
+            return edges
+    raise RuntimeError(f"the neighbour graph has not settled after {most} rounds")
+
+
+def _changed_share(before: DataFrame, after: DataFrame) -> float:
+    """Share of the edges of ``after`` that ``before`` does not have."""
+    def kept(edges: DataFrame, name: str) -> DataFrame:
+        return edges.groupBy("node").agg(F.collect_set("nbr").alias(name))
+
+    both = kept(after, "new").join(kept(before, "old"), "node", "left")
+    fresh = F.size(F.array_except("new", F.coalesce("old", F.array().cast("array<long>"))))
+    row = both.agg(F.sum(fresh).alias("fresh"), F.sum(F.size("new")).alias("all")).first()
+    return (row["fresh"] or 0) / max(row["all"] or 0, 1)
 
 
 def search(edges: DataFrame, nodes: DataFrame, queries: DataFrame, wanted: int,
-           beam: int = BEAM, hops: int = HOPS) -> DataFrame:
+           beam: int = BEAM, most: int = MOST_HOPS) -> DataFrame:
     """``(query, node)``: the ``wanted`` best nodes of each query ``(query, node, vec)``.
 
     A query is a node of the graph and starts at its own neighbours.  Every hop
     expands all beam members that were not expanded; an expansion is a join
-    with the node's neighbour list, which carries the neighbours' vectors.
+    with the node's neighbour list, which carries the neighbours' vectors.  The
+    hops end when no beam has a member left to expand.
     """
     spark = nodes.sparkSession
     lists = (_both_ways(edges, -1, 2 * REVERSE)
@@ -231,7 +252,7 @@ def search(edges: DataFrame, nodes: DataFrame, queries: DataFrame, wanted: int,
     front = asked.select("query", F.col("own").alias("node"), "own", "query_vec",
                          F.lit(-9.0).cast("float").alias("worst"))
     beams = None
-    for _ in range(hops):
+    for _ in range(most):
         reached = (front.join(lists, "node")
                    .select("query", "own", "query_vec", "worst", "ids", "vecs")
                    .mapInArrow(expand, "query long, node long, sim float, done boolean"))
@@ -243,9 +264,9 @@ def search(edges: DataFrame, nodes: DataFrame, queries: DataFrame, wanted: int,
         free_shuffles(spark)
         todo = beams.where("not done")
         if todo.isEmpty():
-            break
+            return beams.where(F.col("rank") < wanted).select("query", "node")
         front = todo.join(asked, "query").select("query", "node", "own", "query_vec", "worst")
-    return beams.where(F.col("rank") < wanted).select("query", "node")
+    raise RuntimeError(f"beams have members to expand after {most} hops")
 
 
 def nearest_neighbours(vectors: DataFrame, is_query, id_col: str = "vec_id",

@@ -216,3 +216,15 @@ def test_leaks_of_edited_passages(spark):
     assert decontam.find_leaks(docs, []).count() == 0
     empty = docs.limit(0)
     assert decontam.find_leaks(empty, decontam.fit_searchers(empty, bench)).count() == 0
+
+
+def test_graph_and_search_go_on_until_settled(spark):
+    x = np.random.default_rng(4).normal(size=(2500, 32)).astype(np.float16)
+    nodes = spark.createDataFrame([(i, r.tobytes()) for i, r in enumerate(x)], "node long, vec binary").cache()
+    edges = ann.build_graph(nodes)
+    assert ann._changed_share(edges, ann._round(edges, nodes, 50)) < 0.005
+    queries = nodes.where("node < 5").selectExpr("node AS query", "node", "vec")
+    with pytest.raises(RuntimeError):
+        ann.search(edges, nodes, queries, 5, most=1)
+    with pytest.raises(RuntimeError):
+        ann.build_graph(nodes, most=1)
