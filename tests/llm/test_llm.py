@@ -228,3 +228,31 @@ def test_graph_and_search_go_on_until_settled(spark):
         ann.search(edges, nodes, queries, 5, most=1)
     with pytest.raises(RuntimeError):
         ann.build_graph(nodes, most=1)
+
+
+def test_short_items_are_found_as_by_full_search(spark):
+    rng = np.random.default_rng(8)
+    vocabulary = ["w%d" % i for i in (rng.pareto(0.7, 200_000) * 40).astype(int) % 20_000]
+    draw = lambda n: list(rng.choice(vocabulary, n))
+    items = [draw(int(rng.integers(1, 30))) for _ in range(600)]
+    texts = [" ".join(draw(70) + items[k] + draw(90) + items[k + 1][1:]) for k in range(0, 600, 4)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    searcher, = decontam.fit_searchers(docs, bench)
+    got = {(r.doc_id, int(r.item_id), r.common_words)
+           for r in decontam.find_leaks(docs, [searcher]).collect()}
+    want = set()
+    for d, text in enumerate(texts):
+        w = text.split()
+        for item in searcher.items:
+            m, best = len(item.words), 0
+            for at in range(0, max(len(w) - 32, 1), 32):
+                region = w[max(0, at - m):at + 64 + m]
+                common = decontam.common_words(item.words, region)
+                answer = (item.answer and decontam.common_words(item.answer, region) >= 0.9 * len(item.answer)
+                          and common - len(item.answer) >= 0.6 * (m - len(item.answer)))
+                if common >= 0.75 * m or common >= 0.6 * m and answer:
+                    best = max(best, common)
+            if best:
+                want.add((d, item.item_id, best))
+    assert got == want and len(want) >= 150
