@@ -256,3 +256,15 @@ def test_short_items_are_found_as_by_full_search(spark):
             if best:
                 want.add((d, item.item_id, best))
     assert got == want and len(want) >= 150
+
+
+def test_basis_is_fitted_on_all_passages_of_all_items(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(decontam, "ITEMS_TOGETHER", 3)
+    monkeypatch.setattr(decontam, "latent_basis", lambda passages, idf: (
+        seen.append(passages.count()) or np.zeros((decontam.BUCKETS, decontam.RANK), np.float32)))
+    docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, f"x{i} y{i}") for i in range(9)] + [(9, "z " * 64 * 40)],
+                                  "item_id long, text string")
+    assert len(decontam.fit_searchers(docs, bench)) == 4
+    assert seen == [1 + 9 + 40]
