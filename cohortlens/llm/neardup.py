@@ -36,6 +36,9 @@ PER_LONG = 64 // BITS
 LONGS = -(-HASHES // PER_LONG)
 #: The estimate's standard error at 0.75 is 0.034; four of them.
 SLACK = 0.14
+#: Below this many shingles the same few win many minima, whose low bits agree all
+#: or never, and the estimate can be off by any amount: such pairs are confirmed always.
+SMALL = 64
 #: Turns in which every class tries its likeliest partner in another component.
 NEAREST_TURNS = 3
 BLOCK = 512
@@ -180,7 +183,7 @@ def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     right = classes.select(F.col("class").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
     return (pairs.join(left, "a").join(right, "b").where(_could_link(F.col("na"), F.col("nb")))
             .select("a", "b", "na", "nb", estimate(F.col("sa"), F.col("sb")).alias("est"))
-            .where(F.col("est") >= PERCENT / 100 - SLACK))
+            .where((F.col("est") >= PERCENT / 100 - SLACK) | (F.least("na", "nb") < SMALL)))
 
 
 def _dealt(classes: DataFrame, shared: DataFrame, roots: DataFrame) -> DataFrame:
@@ -270,7 +273,7 @@ def _block_pairs(rows: pa.Table, exact: bool) -> Iterator[pa.RecordBatch]:
         est = (1 - differ / HASHES - 0.25) / 0.75
         small = np.minimum(n[s:s + 256, None], n[None, :])
         large = np.maximum(n[s:s + 256, None], n[None, :])
-        good = ((est >= PERCENT / 100 - SLACK) & (small * 100 >= large * PERCENT)
+        good = (((est >= PERCENT / 100 - SLACK) | (small < SMALL)) & (small * 100 >= large * PERCENT)
                 & (root[s:s + 256, None] != root[None, :]))
         if two_blocks:
             good &= own[s:s + 256, None] != own[None, :]

@@ -268,3 +268,19 @@ def test_basis_is_fitted_on_all_passages_of_all_items(spark, monkeypatch):
                                   "item_id long, text string")
     assert len(decontam.fit_searchers(docs, bench)) == 4
     assert seen == [1 + 9 + 40]
+
+
+def test_small_sets_link_whatever_the_estimate(spark):
+    rows = []
+    for k in range(3000):
+        text = " ".join(f"w{k}x{i}" for i in range(7))
+        pair = text, f"{text} w{k}x7"
+        a, b = (neardup.packed(neardup.minima(neardup.shingles(t))).view(np.uint64) for t in pair)
+        x = (a ^ b) | ((a ^ b) >> np.uint64(1))
+        differ = int(np.bitwise_count(x & np.uint64(0x5555555555555555)).sum())
+        if (1 - differ / neardup.HASHES - 0.25) / 0.75 < 0.75 - neardup.SLACK:
+            rows += [(2 * k, pair[0]), (2 * k + 1, pair[1])]
+    assert len(rows) > 20
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for r in neardup.near_duplicates(docs).collect():
+        assert r["component_id"] == r["doc_id"] // 2 * 2
