@@ -235,8 +235,9 @@ def _crossing_pairs(classes: DataFrame, shared: DataFrame, roots: DataFrame,
     """All pairs across components of mixed buckets that reach the similarity on 32-bit shingles.
 
     The sets travel with the members, so that no refuted pair leaves its block.
-    Shorter hashes can only add to what two sets share: no link is lost, and
-    the full sets confirm what comes out.
+    Shorter hashes add to what two sets share, but fall together inside a set: the
+    test allows for as many as the set that has fewer of these lost, so no link is
+    lost, and the full sets confirm what comes out.
     """
     short = sets.select("class", F.transform("set", lambda x: F.shiftright(x, 32).cast("int")).alias("set"))
     return _in_blocks(_dealt(classes, shared, roots).join(short, "class"), exact=True).dropDuplicates(["a", "b"])
@@ -280,9 +281,10 @@ def _block_pairs(rows: pa.Table, exact: bool) -> Iterator[pa.RecordBatch]:
         if exact:
             good &= cls[s:s + 256, None] < cls[None, :]
             i, j = np.nonzero(good)
-            # distinct short hashes may be fewer than shingles, which only raises the share
             both = np.array([shared(s + p, q) for p, q in zip(i.tolist(), j.tolist())], np.int64)
-            lost = 2
+            # shared shingles that fall together do so in either set
+            lost = np.array([min(n[s + p] - len(members(s + p)), n[q] - len(members(q)))
+                             for p, q in zip(i.tolist(), j.tolist())], np.int64)
             hit = (both + lost) * 100 >= (n[s + i] + n[j] - both - lost) * PERCENT
             i, j = i[hit], j[hit]
         else:

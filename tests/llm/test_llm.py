@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import tiktoken
 import public_tokenizers as P
@@ -284,3 +285,14 @@ def test_small_sets_link_whatever_the_estimate(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     for r in neardup.near_duplicates(docs).collect():
         assert r["component_id"] == r["doc_id"] // 2 * 2
+
+
+def test_short_hashes_that_fall_together_lose_no_link():
+    both = list(range(848)) + list(range(10))  # 858 shared shingles, ten of equal short hash
+    rows = pa.table({
+        "class": [1, 2], "n": [1000, 1000], "root": [1, 2], "own": [0, 0], "i": [0, 0], "j": [0, 0],
+        "sig": pa.array([[0] * neardup.LONGS] * 2, pa.list_(pa.int64())),
+        "set": pa.array([both + list(range(1000, 1142)), both + list(range(2000, 2142))], pa.list_(pa.int32()))})
+    assert 858 * 100 >= (2000 - 858) * neardup.PERCENT
+    out = list(neardup._block_pairs(rows, True))
+    assert [b.column("a").to_pylist() for b in out] == [[1]]
