@@ -341,14 +341,16 @@ def tag_spans(tags: np.ndarray) -> list[tuple[int, int, int]]:
 
 
 def added_spans(text: str, base: list, tagged: list) -> list[tuple[int, int, int]]:
-    """Tagged spans that read like their kind throughout and touch no base span."""
+    """All spans inside a tagged run that read like its kind and touch no base span."""
     if not tagged:
         return []
     out = []
     for kind, start, end in tagged:
-        m = _SHAPE[kind].search(text, start, end)
-        if m and not any(s < m.end() and m.start() < e for _, s, e in base):
-            out.append((kind, *m.span()))
+        while m := _SHAPE[kind].search(text, start, end):
+            touched = [e for _, s, e in base if s < m.end() and m.start() < e]
+            if not touched:
+                out.append((kind, *m.span()))
+            start = min(touched, default=m.end())
     return out
 
 

@@ -296,3 +296,15 @@ def test_short_hashes_that_fall_together_lose_no_link():
     assert 858 * 100 >= (2000 - 858) * neardup.PERCENT
     out = list(neardup._block_pairs(rows, True))
     assert [b.column("a").to_pylist() for b in out] == [[1]]
+
+
+def test_every_item_of_a_tagged_run_is_added():
+    text = "ann (at) host (dot) com, bob [at] site [dot] org, eve@mail.example.com"
+    email = pii.KINDS.index("email")
+    run = [(email, 0, len(text))]
+    base = pii.base_spans(text)
+    assert [text[a:b] for _, a, b in base] == ["eve@mail.example.com"]
+    assert [text[a:b] for _, a, b in pii.added_spans(text, base, run)] == [
+        "ann (at) host (dot) com", "bob [at] site [dot] org"]
+    first = [(email, 0, len("ann (at) host (dot) com"))]
+    assert [text[a:b] for _, a, b in pii.added_spans(text, first + base, run)] == ["bob [at] site [dot] org"]
