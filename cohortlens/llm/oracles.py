@@ -95,4 +95,68 @@ SELECT l.doc_id, len(l.ws) AS n_words, coalesce(n_removed, 0) AS n_removed,
   sha256(coalesce(body, '')) AS kept_sha256
 FROM listed l LEFT JOIN kept k ON k.doc_id = l.doc_id"""
 
-ORACLE = {"op1_warc": OP1, "op5_bbit_minhash": OP5, "op8_secrets": OP8, "op10_substring_dedup": OP10}
+# --- vector codes: three assignments, two moves, unrolled -----------------------
+
+_FINITE = "list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))"
+
+
+def _assign(k: int) -> str:
+    """Nearest entry of every part for codebook ``k``: least distance, then least index."""
+    return f"""pairs{k} AS (SELECT p.vec_row, p.part, b.entry, sum((p.x - b.x) * (p.x - b.x)) AS d
+    FROM cells p JOIN book{k} b ON b.part = p.part AND b.pos = p.pos GROUP BY ALL),
+near{k} AS (SELECT vec_row, part, entry, d FROM (SELECT *, row_number() OVER (
+    PARTITION BY vec_row, part ORDER BY d, entry) AS o FROM pairs{k}) WHERE o = 1)"""
+
+
+def _move(k: int) -> str:
+    """Codebook ``k + 1``: floors of the means; the remainder is taken off before the division."""
+    return f"""sums{k} AS (SELECT n.part, n.entry, c.pos, sum(c.x) AS s, count(*) AS n
+    FROM near{k} n JOIN cells c ON c.vec_row = n.vec_row AND c.part = n.part GROUP BY ALL),
+book{k + 1} AS (SELECT b.part, b.entry, b.pos,
+    CAST(coalesce((s - (s % n + n) % n) // n, b.x) AS BIGINT) AS x
+  FROM book{k} b LEFT JOIN sums{k} s ON s.part = b.part AND s.entry = b.entry AND s.pos = b.pos)"""
+
+
+OP11 = f"""
+WITH kept AS (SELECT row_number() OVER (ORDER BY vec_id, embedding) AS vec_row, vec_id, label, embedding,
+    len(embedding) // 16 AS width
+  FROM embeddings WHERE embedding IS NOT NULL AND len({_FINITE}) = 0),
+flat AS (SELECT vec_row, width, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS spot FROM kept),
+cells AS MATERIALIZED (SELECT vec_row, spot // width AS part, spot % width AS pos,
+    CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) AS x FROM flat),
+book0 AS (SELECT part, vec_row - 1 AS entry, pos, x FROM cells WHERE vec_row <= 64),
+{_assign(0)}, {_move(0)}, {_assign(1)}, {_move(1)}, {_assign(2)},
+named AS (SELECT vec_row, string_agg(printf('%02x', entry), '' ORDER BY part) AS code,
+    CAST(sum(d) AS BIGINT) AS error FROM near2 GROUP BY vec_row),
+books AS (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY part, entry, pos)) AS digest FROM book2)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  digest AS codebooks_sha256
+FROM kept JOIN named USING (vec_row) CROSS JOIN books"""
+
+_TOKENS = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+"
+
+
+def _group(k: int) -> str:
+    return f"CAST(CAST('0x' || substr(h, {8 * k + 1}, 8) AS UBIGINT) AS BIGINT)"
+
+
+OP12 = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS body, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+  FROM documents),
+t AS (SELECT *, regexp_extract_all(body, '{_TOKENS}') AS ws, {_group(0)} AS h1, {_group(1)} AS h2,
+    {_group(2)} AS h3, {_group(3)} AS h4 FROM d),
+c AS (SELECT *, len(ws) AS n, least(h1 % (len(ws) + 1), h2 % (len(ws) + 1)) AS lo,
+    greatest(h1 % (len(ws) + 1), h2 % (len(ws) + 1)) AS hi,
+    CASE WHEN body = '' OR contains(body, '<P>') OR contains(body, '<S>') OR contains(body, '<M>')
+      OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM t),
+p AS (SELECT *, array_to_string(ws[1:lo], '') AS a, array_to_string(ws[lo + 1:hi], '') AS m,
+    array_to_string(ws[hi + 1:], '') AS s FROM c)
+SELECT doc_id, n, form, CASE WHEN form != 'plain' THEN length(a) END AS prefix_chars,
+  CASE WHEN form != 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'psm' THEN '<P>' || a || '<S>' || s || '<M>' || m
+    WHEN 'spm' THEN '<S>' || s || '<P>' || a || '<M>' || m ELSE body END) AS output_sha256,
+  sha256(body) AS restored_sha256
+FROM p"""
+
+ORACLE = {"op1_warc": OP1, "op5_bbit_minhash": OP5, "op8_secrets": OP8, "op10_substring_dedup": OP10,
+          "op11_hadamard_codes": OP11, "op12_fill_in_middle": OP12}

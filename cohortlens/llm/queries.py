@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import oracles, pii
+from . import codes, oracles, pii
 from .ann import nearest_neighbours
 from .bpe import round_trip
 from .common import table
 from .decontam import find_leaks, fit_searchers
+from .fim import fill_in_middle, restored
 from .neardup import near_duplicates
+from .packing import pack_documents
 from .quality import score_documents, train
 from .secrets import scan_secrets
 from .sharding import shard_documents
@@ -65,6 +68,27 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op11_hadamard_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = codes.compress(table(spark, sf_dir, "embeddings"), keep=("label",))
+    return codes.label_errors(coded, "label").select(
+        F.col("id").alias("vec_id"), F.lower(F.hex("code")).alias("code"), "error", "label_error",
+        F.lit(codes.codebooks_digest(books)).alias("codebooks_sha256"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(restored(), 256).alias("restored_sha256"))
+
+
+def op13_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    pieces = pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
+                         "sequence_id", "offset")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -75,7 +99,8 @@ def queries():
     return {f.__name__: f for f in (
         op1_warc, op2_nn_descent, op3_latent_decontamination, op4_jump_sharding,
         op5_bbit_minhash, op6_bilstm_crf_pii, op7_line_crf_quality, op8_secrets, op9_byte_bpe,
-        op10_substring_dedup, pipeline)}
+        op10_substring_dedup, op11_hadamard_codes, op12_fill_in_middle, op13_sum_of_squares_packing,
+        pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
