@@ -286,13 +286,13 @@ def test_evaluate_many_equals_single(spark):
                 else rec[k] == single[k], k
 
 
-def test_kernel_matrix_skips_null_and_short_rows():
+def test_kernel_matrix_skips_null_rows_and_refuses_short_ones():
     import pyarrow as pa
     from cohortlens.functions.kernels import _matrix
-    arr = pa.array([[1.0, 2.0], None, [3.0], [4.0, 5.0], [], [7.0, 8.0]],
-                   type=pa.list_(pa.float64()))
+    arr = pa.array([[1.0, 2.0], None, [4.0, 5.0], None, [7.0, 8.0]], type=pa.list_(pa.float64()))
     for a in (arr, arr.slice(1)):
         x, valid = _matrix(a, 2)
-        want = [r for r in a.to_pylist() if r is not None and len(r) == 2]
-        assert x.tolist() == want
-        assert valid.tolist() == [r is not None and len(r) == 2 for r in a.to_pylist()]
+        assert x.tolist() == [r for r in a.to_pylist() if r is not None]
+        assert valid.tolist() == [r is not None for r in a.to_pylist()]
+    with pytest.raises(ValueError, match="length"):
+        _matrix(pa.array([[1.0, 2.0], [3.0]], type=pa.list_(pa.float64())), 2)
