@@ -13,7 +13,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import matrix_literal
 from ..defaults import COARSE_K_MAX, COARSE_K_MIN, COARSE_K_PER_PEAK, COARSE_MAX_ITER, SEED
 
 
@@ -28,6 +27,11 @@ def density_rank(points: DataFrame, cluster_col: str = "cluster",
     """
     per = points.groupBy(F.col(cluster_col).alias("cluster")).agg(
         F.count(F.lit(1)).alias("n"), F.avg(dist_col).alias("avg_dist"))
+    return rank_clusters(per, min_cluster_size)
+
+
+def rank_clusters(per: DataFrame, min_cluster_size: int = 1) -> DataFrame:
+    """A per-cluster table ``(cluster, n, avg_dist, ...)`` with ``density_rank``."""
     if min_cluster_size > 1:
         per = per.where(F.col("n") >= min_cluster_size)
     w = Window.orderBy("avg_dist", "cluster")
@@ -110,33 +114,37 @@ def density_peaks(df: DataFrame, k_final: int, k_coarse: int | None = None, *,
                   prediction_col: str = "prediction", seed: int = SEED,
                   max_iter: int = COARSE_MAX_ITER,
                   prepared: DataFrame | None = None, n: int | None = None,
-                  min_cluster_size: int = 1):
+                  min_cluster_size: int = 1, partitions: int | None = None, starts=None):
     """Density-peak approximation (C8): coarse k-means -> density -> peaks -> assignment.
 
-    Returns ``(labelled df, info)``; ``info`` holds the peaks, the coarse k
-    used and the peak centres.  Fewer peaks than ``k_final`` are possible when
-    the candidates run out; ``info['n_peaks']`` reports it.
+    The density of a coarse cluster comes from the sums of the fit's last
+    pass, so the points are not read again for it.  Returns ``(labelled df,
+    info)``; ``info`` holds the peaks, the coarse k used and the peak centres.
+    Fewer peaks than ``k_final`` are possible when the candidates run out;
+    ``info['n_peaks']`` reports it.
     """
-    from .geometry import assign_nearest
-    from .kmeans import fit_input, fit_kmeans
+    from ..functions.grid import with_grid_nearest
+    from .kmeans import fit_all, fit_input, seeded_starts
 
-    prepared = prepared if prepared is not None else fit_input(df, id_col, features_col, n=n)
-    n = prepared.count() if n is None else n
-    k_c = min(coarse_k(k_final) if k_coarse is None else k_coarse, n - 1)
+    prepared = prepared if prepared is not None else fit_input(df, id_col, features_col, partitions, n=n)
+    starts = starts or seeded_starts(prepared, id_col, features_col, seed, max(COARSE_K_MAX, k_coarse or 0))
+    k_c = min(coarse_k(k_final) if k_coarse is None else k_coarse, starts.n - 1)
     if k_c < 2:
-        raise ValueError(f"too few rows ({n}) for a coarse clustering")
-    coarse = fit_kmeans(prepared, k_c, seed, max_iter)
-    pts = assign_nearest(prepared, coarse.centres, features_col, "_coarse", "_dist")
-    ranked = density_rank(pts, "_coarse", "_dist", min_cluster_size)
-    cand = density_candidates(ranked, k_final).withColumn(
-        "centre", F.element_at(matrix_literal(coarse.centres), F.col("cluster") + 1))
+        raise ValueError(f"too few rows ({starts.n}) for a coarse clustering")
+    coarse = fit_all(prepared, [k_c], starts, features_col=features_col, max_iter=max_iter)[k_c]
+    # at most k_coarse rows
+    unit = coarse.scale * coarse.scale
+    per = df.sparkSession.createDataFrame(
+        [(s["cluster"], s["n"], float(int(s["cost"])) / s["n"] / unit, coarse.centres[s["cluster"]])
+         for s in coarse.stats], "cluster int, n long, avg_dist double, centre array<double>")
+    cand = density_candidates(rank_clusters(per, min_cluster_size), k_final)
     peaks = farthest_point_peaks(cand, k_final)
-    # at most k_final rows: the whole density pass and the peak choice run in this one job
-    peak_rows = peaks.orderBy("pick").select("cluster", "centre", "min_dist").collect()
-    if not peak_rows:
+    # at most k_final rows
+    chosen = [r["cluster"] for r in peaks.orderBy("pick").select("cluster").collect()]
+    if not chosen:
         raise ValueError("no density candidates")
-    peak_centres = [list(r["centre"]) for r in peak_rows]
-    labelled = assign_nearest(df, peak_centres, features_col, prediction_col)
-    info = {"k_coarse": k_c, "n_peaks": len(peak_centres), "peak_centres": peak_centres,
-            "peak_clusters": [r["cluster"] for r in peak_rows], "coarse": coarse}
+    grid_peaks = [coarse.grid_centres[c] for c in chosen]
+    labelled = with_grid_nearest(df, [grid_peaks], coarse.scale, features_col, [prediction_col])
+    info = {"k_coarse": k_c, "n_peaks": len(chosen), "peak_centres": [coarse.centres[c] for c in chosen],
+            "grid_peaks": grid_peaks, "peak_clusters": chosen, "coarse": coarse}
     return labelled, info

@@ -13,12 +13,12 @@ import time
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..defaults import K_BASELINE, K_MAX, K_MIN, SEED
-from ..functions.kernels import with_nearest
+from ..defaults import COARSE_K_MAX, K_BASELINE, K_MAX, K_MIN, SEED
+from ..functions.grid import with_grid_nearest
 from ..operators import features as feat
 from ..operators.density import coarse_k, density_peaks
 from ..operators.evaluate import evaluate_many, metrics_frame
-from ..operators.kmeans import fit_input, kmeans, kmeans_sweep
+from ..operators.kmeans import fit_input, kmeans, kmeans_sweep, seeded_starts
 from ..operators.prep import LABEL_COLUMNS, find_label_column, prepare
 from ..sources import files as src
 from .lineage import release
@@ -45,7 +45,7 @@ def build_user_features(spark: SparkSession, data_dir: str, *, form: str = "aggr
 
 
 def run_analysis(features: DataFrame, *, id_col: str = "user", k_baseline: int = K_BASELINE,
-                 k_min: int = K_MIN, k_max: int = K_MAX, seed: int = SEED, parallelism: int = 8,
+                 k_min: int = K_MIN, k_max: int = K_MAX, seed: int = SEED,
                  label_col: str | None = None, partitions: int | None = None):
     """Prepare, cluster three ways, evaluate.
 
@@ -66,27 +66,28 @@ def run_analysis(features: DataFrame, *, id_col: str = "user", k_baseline: int =
     try:
         dim = len(model.mean)
 
+        # the start serves all three methods; its time counts for the first
         t0 = time.time()
-        _, bl = kmeans(base, k_baseline, id_col=id_col, seed=seed, prepared=base, n=n)
+        starts = seeded_starts(base, id_col, "features", seed, max(k_max, k_baseline, COARSE_K_MAX))
+        _, bl = kmeans(base, k_baseline, id_col=id_col, seed=seed, prepared=base, n=n, starts=starts)
         bl_rt = time.time() - t0
 
         t0 = time.time()
         _, sweep = kmeans_sweep(base, range(k_min, k_max + 1), id_col=id_col, seed=seed,
-                                parallelism=parallelism, prepared=base, n=n, dim=dim,
-                                fitted={k_baseline: bl})
+                                prepared=base, n=n, fitted={k_baseline: bl}, starts=starts)
         bk_rt = time.time() - t0
 
         t0 = time.time()
         _, info = density_peaks(base, sweep.best_k, coarse_k(sweep.best_k), id_col=id_col,
-                                seed=seed, prepared=base, n=n)
+                                seed=seed, prepared=base, n=n, starts=starts)
         cd_rt = time.time() - t0
 
         # all three labels in one projection over the stored fit input: no joins,
         # and every metric of every method from that one DataFrame
         names = ["prediction_baseline", "prediction_bestk", "prediction_cdpc"]
-        labelled = with_nearest(
-            base.select(id_col, "features", *keep),
-            [bl.centres, sweep.best.centres, info["peak_centres"]], "features", names)
+        sets = [bl.grid_centres, sweep.best.grid_centres, info["grid_peaks"]]
+        labelled = with_grid_nearest(base.select(id_col, "features", *keep), sets, starts.scale,
+                                     "features", names)
         records = evaluate_many(labelled, [
             {"name": "KMeans-Baseline", "pred": names[0], "runtime": bl_rt, "inertia": bl.cost},
             {"name": f"KMeans-BestK(k={sweep.best_k})", "pred": names[1], "runtime": bk_rt,
@@ -96,8 +97,7 @@ def run_analysis(features: DataFrame, *, id_col: str = "user", k_baseline: int =
         ], label_col=label, dim=dim)
         # one projection over the copy that preparation stored: no join, so every
         # input row comes out once, repeated and null ids included
-        users = (with_nearest(prepared_df, [bl.centres, sweep.best.centres, info["peak_centres"]],
-                              "features", names)
+        users = (with_grid_nearest(prepared_df, sets, starts.scale, "features", names)
                  .drop("features").withColumnRenamed(own, "features"))
         details = {"model": model, "baseline": bl, "sweep": sweep, "cdpc": info,
                    "label_col": label}
@@ -115,7 +115,7 @@ def run_pipeline(spark: SparkSession, data_dir: str, output_dir: str, *,
     # preparation stores the features once; the labelled-user output reads that copy
     features = build_user_features(spark, data_dir)
     users, metrics, details = run_analysis(features, k_baseline=k_baseline, k_min=k_min,
-                                           k_max=k_max, seed=seed, parallelism=parallelism)
+                                           k_max=k_max, seed=seed)
     write_labelled_users(users, f"{output_dir}/clustered_users")
     write_metrics(metrics, f"{output_dir}/metrics")
     return users, metrics, details

@@ -1,9 +1,6 @@
 """Registered queries for feature preparation and the three clustering methods.
 
-Preparation steps are deterministic and have SQL oracles.  The fitted
-methods (k-means, k sweep, density peaks, method comparison) depend on
-MLlib's randomised k-means|| start, so they are registered without SQL and
-checked by property tests instead.
+All have SQL oracles.
 """
 
 from __future__ import annotations
@@ -15,9 +12,10 @@ from .defaults import K_BASELINE, K_MAX, K_MIN
 from .operators import features as feat
 from .operators import prep
 from .operators.density import coarse_k, density_peaks
-from .operators.kmeans import fit_input, kmeans, kmeans_sweep
+from .operators.kmeans import fit_input, kmeans, kmeans_sweep, seeded_starts
 from .plans.analysis import run_analysis
 from .plans.lineage import release
+from .queries_fits import fit_oracles
 from .sources import tables as tb
 
 
@@ -72,43 +70,58 @@ def q_feature_matrix(spark, sf_dir):
 
 def _prepared(spark, sf_dir):
     out, model = prep.prepare(_features(spark, sf_dir), "user")
-    base = fit_input(out, "user", n=model.n_rows)
-    return base, model.n_rows, len(model.mean)
+    return fit_input(out, "user", n=model.n_rows)
 
 
 def q_kmeans_baseline(spark, sf_dir):
-    base, n, _ = _prepared(spark, sf_dir)
-    labelled, _ = kmeans(base, K_BASELINE, id_col="user", prepared=base, n=n)
+    base = _prepared(spark, sf_dir)
+    labelled, _ = kmeans(base, K_BASELINE, id_col="user", prepared=base)
     return labelled.select("user", "prediction")
 
 
 def q_kmeans_sweep(spark, sf_dir):
-    base, n, dim = _prepared(spark, sf_dir)
-    _, res = kmeans_sweep(base, range(K_MIN, K_MAX + 1), id_col="user", parallelism=8,
-                          prepared=base, n=n, dim=dim)
+    base = _prepared(spark, sf_dir)
+    _, res = kmeans_sweep(base, range(K_MIN, K_MAX + 1), id_col="user", prepared=base)
     release(base)  # the result below is the small score table
-    return spark.createDataFrame(
+    return rounded(spark.createDataFrame(
         [(k, s, c, k == res.best_k) for k, s, c in res.scores],
-        "k int, silhouette double, inertia double, chosen boolean")
+        "k int, silhouette double, inertia double, chosen boolean"))
 
 
 def q_density_peaks(spark, sf_dir):
-    base, n, dim = _prepared(spark, sf_dir)
-    _, res = kmeans_sweep(base, range(K_MIN, K_MAX + 1), id_col="user", parallelism=8, prepared=base,
-                          n=n, dim=dim)
+    """Density peaks with the number of peaks that the silhouette sweep chooses."""
+    base = _prepared(spark, sf_dir)
+    starts = seeded_starts(base)
+    _, res = kmeans_sweep(base, range(K_MIN, K_MAX + 1), id_col="user", prepared=base, starts=starts)
     labelled, _ = density_peaks(base, res.best_k, coarse_k(res.best_k), id_col="user",
-                                prepared=base, n=n)
+                                prepared=base, starts=starts)
     return labelled.select("user", "prediction")
 
 
-def q_compare_methods(spark, sf_dir):
-    _, metrics, _ = run_analysis(_features(spark, sf_dir), parallelism=8)
+def q_density_peaks_fixed(spark, sf_dir):
+    """Density peaks with a given number of peaks, no sweep before it."""
+    base = _prepared(spark, sf_dir)
+    labelled, _ = density_peaks(base, K_BASELINE, id_col="user", prepared=base)
+    return labelled.select("user", "prediction")
+
+
+def method_records(spark, sf_dir):
+    """The comparison table of the three methods, run times included."""
+    _, metrics, _ = run_analysis(_features(spark, sf_dir))
     return metrics
 
 
+def q_compare_methods(spark, sf_dir):
+    """The comparison table without the run times, the sizes as text."""
+    sizes = F.array_join(F.transform(F.array_sort(F.map_entries("cluster_sizes")), lambda e: F.concat_ws(
+        ":", e["key"].cast("string"), e["value"].cast("string"))), ",")
+    return (method_records(spark, sf_dir).drop("runtime_s")
+            .withColumn("cluster_sizes", sizes))
+
+
 def q_attach_predictions(spark, sf_dir):
-    users, _, _ = run_analysis(_features(spark, sf_dir), parallelism=8)
-    return users
+    users, _, _ = run_analysis(_features(spark, sf_dir))
+    return rounded(users)
 
 
 QUERIES = {
@@ -121,6 +134,7 @@ QUERIES = {
     "kmeans_baseline": q_kmeans_baseline,
     "kmeans_sweep": q_kmeans_sweep,
     "density_peaks": q_density_peaks,
+    "density_peaks_fixed": q_density_peaks_fixed,
     "compare_methods": q_compare_methods,
     "attach_predictions": q_attach_predictions,
 }
@@ -144,7 +158,24 @@ enc AS (SELECT f."user", f.role, coalesce(ord.slot, nl.nl) AS slot
         f"SELECT \"user\", {i} AS dim, CASE WHEN coalesce(s{i}, 0) = 0 THEN 0.0 "
         f"ELSE ({c} - m{i}) / s{i} END AS value FROM imp, nst" for i, c in enumerate(nums))
     d0 = len(nums)
+    matrix_ctes = f"""{role_order},
+            imp AS (SELECT "user", {imp} FROM features),
+            nst AS (SELECT {nst} FROM imp),
+            num AS ({num}),
+            slots AS (SELECT unnest(generate_series(0, nl)) AS j FROM nl),
+            oh AS (SELECT enc."user", slots.j, CASE WHEN enc.slot = slots.j THEN 1.0 ELSE 0.0 END AS x
+              FROM enc CROSS JOIN slots),
+            ohs AS (SELECT j, avg(x) AS m, stddev_samp(x) AS s FROM oh GROUP BY j),
+            cat AS (SELECT oh."user", {d0} + oh.j AS dim,
+                CASE WHEN coalesce(s, 0) = 0 THEN 0.0 ELSE (x - m) / s END AS value
+              FROM oh JOIN ohs USING (j))"""
+    matrix = """SELECT "user", CAST(dim AS INTEGER) AS dim, value
+              FROM (SELECT * FROM num UNION ALL SELECT * FROM cat)"""
+    shown = ", ".join(f'round(f.{c}, 6) AS {c}' if c in ("logon_avg_hour", "logon_hour_std") else f'f."{c}"'
+                      for c in ["user", *nums, "role"])
+    fits = fit_oracles(f"{FEATURES_CTE}, {matrix_ctes}", matrix, shown)
     return {
+        **fits,
         "string_cardinality": """SELECT 'event_type' AS "column",
               count(DISTINCT event_type) + CAST(max(event_type IS NULL) AS BIGINT) AS n_values
             FROM events
@@ -167,19 +198,8 @@ enc AS (SELECT f."user", f.role, coalesce(ord.slot, nl.nl) AS slot
             SELECT "user", array_to_string(list_transform(range(0, nl + 1),
                 lambda j: CASE WHEN j = slot THEN '1.0' ELSE '0.0' END), ',') AS role_ohe
             FROM enc CROSS JOIN nl""",
-        "feature_matrix": f"""WITH {FEATURES_CTE}, {role_order},
-            imp AS (SELECT "user", {imp} FROM features),
-            nst AS (SELECT {nst} FROM imp),
-            num AS ({num}),
-            slots AS (SELECT unnest(generate_series(0, nl)) AS j FROM nl),
-            oh AS (SELECT enc."user", slots.j, CASE WHEN enc.slot = slots.j THEN 1.0 ELSE 0.0 END AS x
-              FROM enc CROSS JOIN slots),
-            ohs AS (SELECT j, avg(x) AS m, stddev_samp(x) AS s FROM oh GROUP BY j),
-            cat AS (SELECT oh."user", {d0} + oh.j AS dim,
-                CASE WHEN coalesce(s, 0) = 0 THEN 0.0 ELSE (x - m) / s END AS value
-              FROM oh JOIN ohs USING (j))
-            SELECT "user", CAST(dim AS INTEGER) AS dim, round(value, 6) AS value
-            FROM (SELECT * FROM num UNION ALL SELECT * FROM cat)""",
+        "feature_matrix": f"""WITH {FEATURES_CTE}, {matrix_ctes}
+            SELECT "user", dim, round(value, 6) AS value FROM ({matrix})""",
     }
 
 

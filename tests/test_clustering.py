@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from cohortlens.operators import density as dn
 from cohortlens.operators import geometry as geo
 from cohortlens.operators import metrics as mt
-from cohortlens.operators.kmeans import fit_input, kmeans, kmeans_sweep
+from cohortlens.operators.kmeans import fit_all, fit_input, kmeans, kmeans_sweep, seeded_starts
 
 RNG = np.random.default_rng(7)
 CENTRES = np.array([[0, 0, 0], [10, 0, 0], [0, 10, 5]], dtype=float)
@@ -102,12 +102,69 @@ def test_kmeans_recovers_blobs_and_sweep_picks_k(spark):
     # every point sits at its nearest centre; inertia equals the sum of own distances
     inertia = geo.sse(labelled, res.centres, "prediction").first()["inertia"]
     assert inertia == pytest.approx(res.cost, rel=1e-6)
-    _, sweep = kmeans_sweep(base, range(2, 7), prepared=base, parallelism=3)
+    _, sweep = kmeans_sweep(base, range(2, 7), prepared=base)
     assert sweep.best_k == 3
     assert sweep.best_silhouette == max(s for _, s, _ in sweep.scores)
-    _, seq = kmeans_sweep(base, range(2, 7), prepared=base, parallelism=1)
-    # sums over several partitions may differ in the last place
-    assert [x for r in seq.scores for x in r] == pytest.approx([x for r in sweep.scores for x in r], rel=1e-12)
+    _, again = kmeans_sweep(base, range(2, 7), prepared=base, fitted={3: res})
+    assert again.scores == sweep.scores
+
+
+def test_fits_do_not_depend_on_partitions(spark):
+    df = spark.createDataFrame(
+        [(f"u{i % 700}" if i else None, [float(v) for v in RNG.normal(i % 4, 1.0, 6)]) for i in range(900)],
+        "user string, features array<double>")
+    df = df.union(df.limit(50)).union(spark.createDataFrame([("gap", None)], df.schema)).cache()
+    fits = []
+    for parts in (1, 8, 64):
+        base = fit_input(df, "user", partitions=parts)
+        starts = seeded_starts(base)
+        fits.append((starts.centres, {k: (f.grid_centres, f.cost, f.iterations)
+                                      for k, f in fit_all(base, [2, 5, 9], starts).items()}))
+        base.unpersist()
+    assert fits[0] == fits[1] == fits[2]
+
+
+def test_lloyd_passes_equal_numpy(spark):
+    df = blobs(spark, per=30)
+    starts = seeded_starts(df)
+    got = fit_all(df, [3, 6], starts)
+    x = np.floor(np.array([r["features"] for r in df.collect()]) * starts.scale + 0.5).astype(np.int64)
+    for k in (3, 6):
+        centres = np.array(starts.centres[:k])
+        for _ in range(50):
+            own = ((x[:, None] - centres[None]) ** 2).sum(-1).argmin(1)
+            fresh = np.array([(2 * x[own == c].sum(0) + (own == c).sum()) // (2 * (own == c).sum())
+                              if (own == c).any() else centres[c] for c in range(k)])
+            if (fresh == centres).all():
+                break
+            centres = fresh
+        assert got[k].grid_centres == centres.tolist()
+        cost = ((x - centres[own]) ** 2).sum()
+        assert got[k].cost == float(cost) / starts.scale ** 2
+
+
+def test_one_job_per_iteration_for_all_k(spark):
+    base = fit_input(blobs(spark), "user")
+    starts = seeded_starts(base)
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("all-k", "fits")
+    fits = fit_all(base, range(2, 11), starts)
+    jobs = len(tracker.getJobIdsForGroup("all-k"))
+    spark.sparkContext.setJobGroup("rest", "rest")
+    assert jobs <= max(f.iterations for f in fits.values()) + 1
+
+
+def test_equal_rows_and_few_distinct_ones(spark):
+    df = spark.createDataFrame([(f"u{i}", [float(i % 2), 1.0]) for i in range(12)],
+                               "user string, features array<double>")
+    _, res = kmeans(df, 3)
+    assert sorted(res.centres) == [[0.0, 1.0], [1.0, 1.0]] and res.cost == 0.0
+    big = spark.createDataFrame([("a", [1e30, 0.0]), ("b", [-1e30, 1.0]), ("c", [0.0, 5.0])],
+                                "user string, features array<double>")
+    assert kmeans(big, 2)[0].count() == 3
+    with pytest.raises(Exception, match="finite"):
+        kmeans(spark.createDataFrame([("a", [float("nan")]), ("b", [1.0]), ("c", [2.0])],
+                                     "user string, features array<double>"), 2)
 
 
 def test_k_checks(spark):
@@ -126,7 +183,8 @@ def test_density_peaks_match_numpy(spark):
     labelled, info = dn.density_peaks(df, 3, 20)
     rows = labelled.orderBy("user").collect()
     x = np.array([r["features"] for r in rows])
-    coarse = np.array(info["coarse"].centres)
+    coarse = np.array(info["coarse"].grid_centres, dtype=float)
+    x = np.floor(x * info["coarse"].scale + 0.5)
     d_all = ((x[:, None, :] - coarse[None, :, :]) ** 2).sum(-1)
     own = d_all.argmin(1)
     dist = d_all[np.arange(len(x)), own]

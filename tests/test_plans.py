@@ -68,7 +68,7 @@ def test_labelled_users_read_the_stored_features(spark):
 
     d = feat.latest_directory(tb.directory_snapshots(spark, SF))
     features = feat.user_features_from_events(tb.activity_events(spark, SF), d)
-    users, _, _ = run_analysis(features, k_baseline=2, k_min=2, k_max=3, parallelism=2)
+    users, _, _ = run_analysis(features, k_baseline=2, k_min=2, k_max=3)
     plan = users._jdf.queryExecution().executedPlan().toString()
     # the predictions are joined onto the copy preparation stored, not onto a
     # fresh run of the feature build over the raw events
