@@ -28,7 +28,9 @@ FINEST = 20
 BLOCK = 4_000_000
 
 SUMS_SCHEMA = ("model int, cluster int, n long, sums array<long>, cost decimal(38,0), "
-               "squares decimal(38,0)")
+               "squares decimal(38,0), compared long")
+# Columns of a point's bounds: nearest centre, distance to it, distance to the second nearest.
+BOUNDS = ("_near", "_upper", "_lower")
 
 
 def grid_scale(largest: float, dim: int) -> float:
@@ -79,12 +81,10 @@ class _Sums:
     def __init__(self):
         self.found: dict[tuple[int, int], list] = {}
 
-    def add(self, model: int, cluster: int, n: int, sums: np.ndarray, cost: int, squares: int) -> None:
+    def add(self, model: int, cluster: int, *values) -> None:
+        """``values``: n, sums, cost, squares, compared."""
         old = self.found.get((model, cluster))
-        if old is None:
-            self.found[model, cluster] = [n, sums, cost, squares]
-        else:
-            self.found[model, cluster] = [old[0] + n, old[1] + sums, old[2] + cost, old[3] + squares]
+        self.found[model, cluster] = values if old is None else [a + b for a, b in zip(old, values)]
 
     def batch(self) -> pa.RecordBatch:
         keys, rows = list(self.found), list(self.found.values())
@@ -94,17 +94,66 @@ class _Sums:
              pa.array([r[0] for r in rows], pa.int64()),
              pa.array([r[1].tolist() for r in rows], pa.list_(pa.int64())),
              pa.array([Decimal(r[2]) for r in rows], number),
-             pa.array([Decimal(r[3]) for r in rows], number)],
-            names=["model", "cluster", "n", "sums", "cost", "squares"])
+             pa.array([Decimal(r[3]) for r in rows], number), pa.array([r[4] for r in rows], pa.int64())],
+            names=["model", "cluster", "n", "sums", "cost", "squares", "compared"])
+
+
+def with_bounds(points: DataFrame, centres: list, scale: float, features_col: str = "features") -> DataFrame:
+    """Features with the BOUNDS of each point for ``centres`` (two or more), in grid units."""
+    mat = np.asarray(centres, np.float64)
+    _check_size([mat])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, valid = grid_matrix(b.column(features_col), mat.shape[1], scale)
+            index, dist = exact_nearest(x, mat)
+            second = np.full(len(x), np.inf)
+            for s in range(0, len(x), max(1, BLOCK // len(mat))):
+                part = x[s:s + max(1, BLOCK // len(mat))]
+                d = (part * part).sum(axis=1)[:, None] + (mat * mat).sum(axis=1)[None, :] - 2.0 * (part @ mat.T)
+                d[np.arange(len(d)), index[s:s + len(d)]] = np.inf
+                second[s:s + len(d)] = d.min(axis=1)
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns, _scatter(index.astype(np.int32), valid, pa.int32()),
+                 _scatter(np.sqrt(dist), valid, pa.float64()), _scatter(np.sqrt(second), valid, pa.float64())],
+                names=[*b.schema.names, *BOUNDS])
+
+    kinds = (T.IntegerType(), T.DoubleType(), T.DoubleType())
+    return points.mapInArrow(run, T.StructType(
+        [*points.schema.fields, *[T.StructField(c, k, True) for c, k in zip(BOUNDS, kinds)]]))
+
+
+def bounded_nearest(x: np.ndarray, bounds: tuple[np.ndarray, ...], then: np.ndarray,
+                    now: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """:func:`exact_nearest` of ``now`` with bounds taken for ``then``, and how many points it compared.
+
+    A point whose nearest centre cannot have come as near as any other, by how
+    far the centres moved, keeps it and only its distance is computed.
+    """
+    near, upper, lower = bounds
+    index = near.astype(np.int64)
+    drift = np.sqrt(((now - then) ** 2).sum(axis=1))
+    most = int(drift.argmax())
+    others = np.full(len(drift), drift[most])
+    others[most] = np.delete(drift, most).max()
+    # for the rounding of the roots
+    slack = 1e-6 * (1.0 + upper + np.where(np.isfinite(lower), lower, 0.0))
+    is_open = upper + drift[index] + others[index] + slack >= lower
+    dist = ((x - now[index]) ** 2).sum(axis=1)
+    if is_open.any():
+        index[is_open], dist[is_open] = exact_nearest(x[is_open], now)
+    return index, dist, int(is_open.sum())
 
 
 def cluster_sums(points: DataFrame, models: dict[int, np.ndarray], scale: float,
-                 features_col: str = "features") -> list:
+                 features_col: str = "features", then: list | None = None) -> list:
     """Exact sums of every cluster of several models, in one pass: rows of SUMS_SCHEMA.
 
     Points go to their nearest centre.  A task sends one row per model and
     cluster; over several partitions those rows are dealt out by model and
-    cluster and added up.  ``squares`` sums the squared lengths of the points.
+    cluster and added up.  ``squares`` sums the squared lengths of the points,
+    ``compared`` counts those that were compared with every centre: all, unless
+    ``points`` carry bounds for the centres ``then`` (of a single model).
     """
     mats = {m: np.asarray(c, np.float64) for m, c in models.items()}
     _check_size(mats.values())
@@ -117,7 +166,11 @@ def cluster_sums(points: DataFrame, models: dict[int, np.ndarray], scale: float,
             squares = (x * x).sum(axis=1)
             whole = x.astype(np.int64)
             for m, centres in mats.items():
-                index, dist = exact_nearest(x, centres)
+                if then is None:
+                    index, dist = exact_nearest(x, centres)
+                    compared = len(x)
+                else:
+                    index, dist, compared = bounded_nearest(x, _bounds_of(b), before, centres)
                 order = np.argsort(index, kind="stable")
                 used, starts = np.unique(index[order], return_index=True)
                 if not len(used):
@@ -125,7 +178,8 @@ def cluster_sums(points: DataFrame, models: dict[int, np.ndarray], scale: float,
                 totals = np.add.reduceat(whole[order], starts, axis=0)
                 for c, s, e, t in zip(used.tolist(), starts.tolist(),
                                       [*starts[1:].tolist(), len(order)], totals):
-                    sums.add(m, c, e - s, t, _whole(dist[order[s:e]]), _whole(squares[order[s:e]]))
+                    sums.add(m, c, e - s, t, _whole(dist[order[s:e]]), _whole(squares[order[s:e]]), compared)
+                    compared = 0  # counted once a batch
         yield sums.batch()
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,15 +187,21 @@ def cluster_sums(points: DataFrame, models: dict[int, np.ndarray], scale: float,
         for b in batches:
             for r in b.to_pylist():
                 sums.add(r["model"], r["cluster"], r["n"], np.array(r["sums"], np.int64),
-                         int(r["cost"]), int(r["squares"]))
+                         int(r["cost"]), int(r["squares"]), r["compared"])
         yield sums.batch()
 
-    rows = points.select(features_col).mapInArrow(run, SUMS_SCHEMA)
+    before = None if then is None else np.asarray(then, np.float64)
+    rows = points.select(features_col, *(BOUNDS if then is not None else ())).mapInArrow(run, SUMS_SCHEMA)
     if points.rdd.getNumPartitions() > 1:
         rows = rows.repartition("model", "cluster").mapInArrow(fold, SUMS_SCHEMA)
     return rows.collect()
 
 
+def _bounds_of(batch: pa.RecordBatch, valid: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    got = [batch.column(c).to_numpy(zero_copy_only=False) for c in BOUNDS]
+    return tuple(v if valid is None else v[valid] for v in got)
+
+
 def moved_centre(sums: list[int], n: int) -> list[int]:
     """The mean on the grid, halves rounded up."""
     return [(2 * int(s) + n) // (2 * n) for s in sums]
@@ -220,40 +280,39 @@ def with_grid_nearest(df: DataFrame, centre_sets: list, scale: float, features_c
     return df.mapInArrow(run, T.StructType(fields))
 
 
-def with_bounded_nearest(df: DataFrame, coarse: list, peaks: list[int], scale: float, features_col: str,
-                         label_col: str, dist_col: str, out: str) -> DataFrame:
-    """Add the index in ``peaks`` of the nearest peak, comparing only points that their bounds leave open.
+def with_bounded_peaks(bounded: DataFrame, then: list, coarse: list, peaks: list[int], scale: float,
+                       features_col: str, out: str) -> DataFrame:
+    """Add the index in ``peaks`` of the nearest peak, and drop the bounds.
 
-    ``peaks`` are indexes of ``coarse`` centres; ``label_col`` and ``dist_col``
-    hold a point's coarse centre and its squared distance.  By the triangle
-    inequality a point that is nearer to its centre than half the gap between
-    the centre's nearest and second nearest peak goes to the nearest.
+    ``bounded`` carries bounds for the centres ``then``; ``peaks`` are indexes
+    of the ``coarse`` centres those have become.  By the triangle inequality a
+    point nearer to its coarse centre than half the gap between that centre's
+    nearest and second nearest peak goes to the nearest; only the others are
+    compared with the peaks.
     """
-    centres = np.asarray(coarse, np.float64)
+    centres, before = np.asarray(coarse, np.float64), np.asarray(then, np.float64)
     targets = centres[peaks]
     _check_size([centres])
-    between = np.sqrt(((centres[:, None, :] - targets[None, :, :]) ** 2).sum(axis=2)) / scale
+    between = np.sqrt(((centres[:, None, :] - targets[None, :, :]) ** 2).sum(axis=2))
     best = between.argmin(axis=1)
     if len(peaks) > 1:
         two = np.partition(between, 1, axis=1)
         # a little less than half the gap, for the rounding of the roots
-        reach = (two[:, 1] - two[:, 0]) / 2 * (1 - 1e-9)
+        reach = (two[:, 1] - two[:, 0]) / 2 * (1 - 1e-9) - 1e-6
     else:
         reach = np.full(len(centres), np.inf)
-    fields = [*df.schema.fields, T.StructField(out, T.IntegerType(), True)]
-    dim = centres.shape[1]
+    kept = [f for f in bounded.schema.fields if f.name not in BOUNDS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, valid = grid_matrix(b.column(features_col), dim, scale)
-            label = b.column(label_col).to_numpy(zero_copy_only=False)[valid].astype(np.int64)
-            dist = b.column(dist_col).to_numpy(zero_copy_only=False)[valid].astype(np.float64)
+            x, valid = grid_matrix(b.column(features_col), centres.shape[1], scale)
+            label, dist, _ = bounded_nearest(x, _bounds_of(b, valid), before, centres)
             index = best[label]
             is_open = np.sqrt(dist) >= reach[label]
             if is_open.any():
                 index[is_open] = exact_nearest(x[is_open], targets)[0]
             yield pa.RecordBatch.from_arrays(
-                [*b.columns, _scatter(index.astype(np.int32), valid, pa.int32())],
-                names=[*b.schema.names, out])
+                [*[b.column(f.name) for f in kept], _scatter(index.astype(np.int32), valid, pa.int32())],
+                names=[*[f.name for f in kept], out])
 
-    return df.mapInArrow(run, T.StructType(fields))
+    return bounded.mapInArrow(run, T.StructType([*kept, T.StructField(out, T.IntegerType(), True)]))

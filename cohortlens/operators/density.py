@@ -114,24 +114,31 @@ def density_peaks(df: DataFrame, k_final: int, k_coarse: int | None = None, *,
                   prediction_col: str = "prediction", seed: int = SEED,
                   max_iter: int = COARSE_MAX_ITER,
                   prepared: DataFrame | None = None, n: int | None = None,
-                  min_cluster_size: int = 1, partitions: int | None = None, starts=None):
+                  min_cluster_size: int = 1, partitions: int | None = None, starts=None,
+                  bounds: bool = True):
     """Density-peak approximation (C8): coarse k-means -> density -> peaks -> assignment.
 
     The density of a coarse cluster comes from the sums of the fit's last
-    pass, so the points are not read again for it.  Returns ``(labelled df,
-    info)``; ``info`` holds the peaks, the coarse k used and the peak centres.
-    Fewer peaks than ``k_final`` are possible when the candidates run out;
-    ``info['n_peaks']`` reports it.
+    pass, so the points are not read again for it.  With ``bounds`` the points
+    keep their distance bounds from the coarse fit to the assignment, and
+    those that cannot move are not compared again; the labels are the same
+    without.  Returns ``(labelled df, info)``; ``info`` holds the peaks, the
+    coarse k used, the peak centres and ``bounded``, the persisted points with
+    their bounds (None without).  Fewer peaks than ``k_final`` are possible
+    when the candidates run out; ``info['n_peaks']`` reports it.
     """
-    from ..functions.grid import with_grid_nearest
-    from .kmeans import fit_all, fit_input, seeded_starts
+    from ..functions.grid import with_bounded_peaks, with_grid_nearest
+    from .kmeans import fit_all, fit_bounded, fit_input, seeded_starts
 
     prepared = prepared if prepared is not None else fit_input(df, id_col, features_col, partitions, n=n)
     starts = starts or seeded_starts(prepared, id_col, features_col, seed, max(COARSE_K_MAX, k_coarse or 0))
     k_c = min(coarse_k(k_final) if k_coarse is None else k_coarse, starts.n - 1)
     if k_c < 2:
         raise ValueError(f"too few rows ({starts.n}) for a coarse clustering")
-    coarse = fit_all(prepared, [k_c], starts, features_col=features_col, max_iter=max_iter)[k_c]
+    if bounds:
+        coarse = fit_bounded(prepared, k_c, starts, features_col=features_col, max_iter=max_iter)
+    else:
+        coarse = fit_all(prepared, [k_c], starts, features_col=features_col, max_iter=max_iter)[k_c]
     # at most k_coarse rows
     unit = coarse.scale * coarse.scale
     per = df.sparkSession.createDataFrame(
@@ -144,7 +151,12 @@ def density_peaks(df: DataFrame, k_final: int, k_coarse: int | None = None, *,
     if not chosen:
         raise ValueError("no density candidates")
     grid_peaks = [coarse.grid_centres[c] for c in chosen]
-    labelled = with_grid_nearest(df, [grid_peaks], coarse.scale, features_col, [prediction_col])
+    if coarse.bounded is not None and df is prepared:
+        labelled = with_bounded_peaks(coarse.bounded, coarse.bounds_for, coarse.grid_centres, chosen,
+                                      coarse.scale, features_col, prediction_col)
+    else:
+        labelled = with_grid_nearest(df, [grid_peaks], coarse.scale, features_col, [prediction_col])
     info = {"k_coarse": k_c, "n_peaks": len(chosen), "peak_centres": [coarse.centres[c] for c in chosen],
-            "grid_peaks": grid_peaks, "peak_clusters": chosen, "coarse": coarse}
+            "grid_peaks": grid_peaks, "peak_clusters": chosen, "coarse": coarse,
+            "bounded": coarse.bounded}
     return labelled, info

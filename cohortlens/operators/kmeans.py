@@ -30,6 +30,7 @@ from ..functions.grid import (
     moved_centre,
     on_grid,
     silhouette_sums,
+    with_bounds,
     with_grid_nearest,
 )
 from ..plans.lineage import materialize
@@ -45,6 +46,8 @@ DRAWN = 2 * COARSE_K_MAX
 # Rows of a round that may reach the driver, in multiples of the average; more
 # has no chance and is an error.
 DRAWN_LIMIT = 20
+# Share of points that had to be compared, beyond which new bounds are taken.
+RENEW = 0.3
 _HASH_RANGE = 1 << 32
 
 
@@ -68,6 +71,9 @@ class KMeansResult:
     scale: float = 1.0
     grid_centres: list[list[int]] = field(default_factory=list)
     stats: list = field(default_factory=list)  # rows of cluster_sums for the final centres
+    compared: list[int] = field(default_factory=list)  # points compared with every centre, by iteration
+    bounded: DataFrame | None = None  # points with their bounds, persisted
+    bounds_for: list[list[int]] | None = None  # the centres those bounds were taken for
 
 
 def fit_input(df: DataFrame, id_col: str, features_col: str = "features",
@@ -206,6 +212,44 @@ def fit_all(points: DataFrame, ks, starts: Starts, *, features_col: str = "featu
     return {k: out[k] for k in ks}
 
 
+def fit_bounded(points: DataFrame, k: int, starts: Starts, *, features_col: str = "features",
+                max_iter: int = KMEANS_MAX_ITER, renew: float = RENEW) -> KMeansResult:
+    """The fit of :func:`fit_all` for one (large) k, with distance bounds kept per point.
+
+    The points are stored with the distances to their nearest and second
+    nearest centre.  As long as the centres have moved less than the gap, a
+    point keeps its centre without being compared with the others.  When more
+    than ``renew`` of the points had to be compared, the next pass stores new
+    bounds; that is no job of its own.  The result carries the last bounds;
+    release them with ``unpersist``.
+    """
+    now = [list(c) for c in starts.centres[:k]]
+    if len(now) < 2:
+        return fit_all(points, [k], starts, features_col=features_col, max_iter=max_iter)[k]
+    bounded, taken, compared, worn = None, now, [], True
+    for i in range(max_iter + 1):
+        if worn:
+            old, taken = bounded, now
+            bounded = with_bounds(points, now, starts.scale, features_col).persist(StorageLevel.MEMORY_AND_DISK)
+        sums = cluster_sums(bounded.where(F.col(features_col).isNotNull()), {k: now}, starts.scale, features_col,
+                            taken)
+        if worn and old is not None:
+            old.unpersist()
+        open_points = sum(s["compared"] for s in sums)
+        compared.append(starts.n if worn else open_points)
+        worn = not worn and open_points > renew * starts.n
+        fresh = list(now)
+        for s in sums:
+            fresh[s["cluster"]] = moved_centre(s["sums"], s["n"])
+        if fresh == now or i == max_iter:
+            break
+        now = fresh
+    unit = starts.scale
+    return KMeansResult(k, [[v / unit for v in c] for c in now],
+                        float(sum(int(s["cost"]) for s in sums)) / (unit * unit), i, unit, now,
+                        sorted(sums, key=lambda s: s["cluster"]), compared, bounded, taken)
+
+
 def label(df: DataFrame, res: KMeansResult, features_col: str = "features", out: str = "prediction",
           dist_col: str | None = None) -> DataFrame:
     """``df`` with the nearest centre of a fit, compared on its grid."""

@@ -63,6 +63,7 @@ def run_analysis(features: DataFrame, *, id_col: str = "user", k_baseline: int =
     keep = [label] if label else []
     n = model.n_rows
     base = fit_input(prepared_df, id_col, "features", partitions, keep, n=n)
+    info = None
     try:
         dim = len(model.mean)
 
@@ -103,6 +104,8 @@ def run_analysis(features: DataFrame, *, id_col: str = "user", k_baseline: int =
                    "label_col": label}
         return users, metrics_frame(spark, records), details
     finally:
+        if info and info["bounded"] is not None:
+            release(info["bounded"])
         release(base)
 
 

@@ -154,6 +154,22 @@ def test_one_job_per_iteration_for_all_k(spark):
     assert jobs <= max(f.iterations for f in fits.values()) + 1
 
 
+@pytest.mark.parametrize("parts", [1, 8])
+def test_bounds_change_no_label_and_save_comparisons(spark, parts):
+    df = spark.createDataFrame(
+        [(f"u{i}", [float(v) for v in RNG.normal((i % 5) * 3.0, 1.0, 4)]) for i in range(600)]
+        + [("gap", None)], "user string, features array<double>")
+    base = fit_input(df, "user", partitions=parts)
+    starts = seeded_starts(base)
+    plain, a = dn.density_peaks(base, 4, 25, prepared=base, starts=starts, bounds=False)
+    kept, b = dn.density_peaks(base, 4, 25, prepared=base, starts=starts)
+    assert a["coarse"].grid_centres == b["coarse"].grid_centres and a["peak_clusters"] == b["peak_clusters"]
+    assert a["coarse"].cost == b["coarse"].cost and a["coarse"].iterations == b["coarse"].iterations
+    assert (sorted(map(str, kept.select(*plain.columns).collect())) == sorted(map(str, plain.collect())))
+    compared = b["coarse"].compared
+    assert compared[0] == 600 and sum(compared) < 0.7 * 600 * len(compared)
+
+
 def test_equal_rows_and_few_distinct_ones(spark):
     df = spark.createDataFrame([(f"u{i}", [float(i % 2), 1.0]) for i in range(12)],
                                "user string, features array<double>")
