@@ -90,8 +90,12 @@ def latest_directory(snapshots: DataFrame, snapshot_col: str = "snapshot") -> Da
     """
     name = F.lower(F.col(snapshot_col))
     latest = snapshots.agg(F.max(name)).scalar()
-    return (snapshots.where(name == latest)
-            .where(F.col("user_id").isNotNull())
+    return directory_roles(snapshots.where(name == latest))
+
+
+def directory_roles(snapshot: DataFrame) -> DataFrame:
+    """``(user, role)`` of one snapshot, one row per user: the smallest role."""
+    return (snapshot.where(F.col("user_id").isNotNull())
             .groupBy(F.col("user_id").alias("user"))
             .agg(F.min("role").alias("role")))
 

@@ -17,10 +17,11 @@ from __future__ import annotations
 import hashlib
 import math
 from dataclasses import dataclass, field
+from decimal import Decimal
 
 import numpy as np
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..defaults import COARSE_K_MAX, K_MAX, K_MIN, KMEANS_MAX_ITER, SEED
@@ -76,6 +77,22 @@ class KMeansResult:
     bounds_for: list[list[int]] | None = None  # the centres those bounds were taken for
 
 
+def fit_record(res: KMeansResult) -> dict:
+    """A fit as plain values, without its stored points."""
+    return {"k": res.k, "cost": res.cost, "iterations": res.iterations, "scale": res.scale,
+            "grid_centres": res.grid_centres,
+            "stats": [[s["model"], s["cluster"], s["n"], list(s["sums"]), str(s["cost"]), str(s["squares"]),
+                       s["compared"]] for s in res.stats]}
+
+
+def fit_from_record(found: dict) -> KMeansResult:
+    stat = Row("model", "cluster", "n", "sums", "cost", "squares", "compared")
+    return KMeansResult(found["k"], [[v / found["scale"] for v in c] for c in found["grid_centres"]],
+                        found["cost"], found["iterations"], found["scale"], found["grid_centres"],
+                        [stat(m, c, n, sums, Decimal(cost), Decimal(squares), seen)
+                         for m, c, n, sums, cost, squares, seen in found["stats"]])
+
+
 def fit_input(df: DataFrame, id_col: str, features_col: str = "features",
               partitions: int | None = None, keep=(), n: int | None = None,
               store: str = "persist", rows_per_partition: int = ROWS_PER_PARTITION) -> DataFrame:

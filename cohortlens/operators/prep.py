@@ -51,59 +51,56 @@ def string_cardinality(df: DataFrame, columns: list[str] | None = None) -> DataF
     return row.selectExpr(f"stack({len(cols)}, {pairs}) AS (column, n_values)")
 
 
+# Sketches hold up to 2 ** SKETCH_BITS hashes and count exactly below that.
+SKETCH_BITS = 12
+
+
+def _value_count(c: str) -> Column:
+    """Distinct values of a string column, null counted, as a mergeable aggregate of bounded size.
+
+    A sketch keeps the smallest hashes of the values, so a task sends at most
+    2 ** SKETCH_BITS of them whatever the column holds.  Exact up to that many
+    values, an estimate beyond; ``MAX_CATEGORIES`` is far below.
+    """
+    # by the hash, since sketches of strings leave the empty one out
+    hashed = F.when(F.col(c).isNotNull(), F.xxhash64(F.col(c)))
+    sketch = F.theta_sketch_agg(hashed, F.lit(SKETCH_BITS))
+    return F.coalesce(F.theta_sketch_estimate(sketch), F.lit(0)) + F.coalesce(
+        F.max(F.col(c).isNull()).cast("bigint"), F.lit(0))
+
+
 def column_types(df: DataFrame, id_col: str = "user", exclude=LABEL_COLUMNS,
                  max_categories: int = MAX_CATEGORIES) -> DataFrame:
-    """``(column, kind)`` with kind numerical / categorical / dropped (P5)."""
+    """``(column, kind)`` with kind numerical / categorical / dropped (P5).
+
+    String columns are told apart by one aggregate of sketches: no value is
+    shuffled and no row is repeated per column.
+    """
+    if max_categories >= 1 << SKETCH_BITS:
+        raise ValueError(f"at most {(1 << SKETCH_BITS) - 1} categories")
     skip = {id_col, *exclude}
-    rows = []
-    strings = []
+    rows, strings = [], []
     for f in df.schema.fields:
         if f.name in skip:
             continue
-        if isinstance(f.dataType, T.NumericType):
-            rows.append((f.name, "numerical"))
-        elif isinstance(f.dataType, T.StringType):
+        if isinstance(f.dataType, T.StringType):
             strings.append(f.name)
         else:
-            rows.append((f.name, "dropped"))
-    spark = df.sparkSession
-    fixed = spark.createDataFrame(rows, "column string, kind string")
+            rows.append((f.name, "numerical" if isinstance(f.dataType, T.NumericType) else "dropped"))
+    fixed = df.sparkSession.createDataFrame(rows, "column string, kind string")
     if not strings:
         return fixed
-    card = string_cardinality(df, strings).select(
-        "column", F.when(F.col("n_values") <= max_categories, "categorical")
-        .otherwise("dropped").alias("kind"))
-    return fixed.unionByName(card)
+    counts = df.agg(F.array(*[F.struct(F.lit(c).alias("column"), _value_count(c).alias("n"))
+                              for c in strings]).alias("all")).select(F.inline("all"))
+    return fixed.unionByName(counts.select("column", F.when(
+        F.col("n") <= max_categories, "categorical").otherwise("dropped").alias("kind")))
 
 
 def detect_column_types(df: DataFrame, id_col: str = "user", exclude=LABEL_COLUMNS,
                         max_categories: int = MAX_CATEGORIES) -> tuple[list[str], list[str]]:
     """(numerical, categorical) column names in schema order."""
-    numerical, categorical, _ = _scan_columns(df, id_col, exclude, max_categories)
-    return numerical, categorical
-
-
-def _scan_columns(df: DataFrame, id_col: str, exclude, max_categories: int):
-    """Column roles plus the label frequencies of the categorical ones.
-
-    String columns are screened with HyperLogLog first (no distinct shuffle);
-    only columns whose estimate is near or below the bound are grouped by
-    value, which gives their exact distinct count (null included) and their
-    label frequencies in the same job.  Returns (numerical, categorical,
-    {column: [(value, count), ...]}).
-    """
-    skip = {id_col, *exclude}
-    numerical = [f.name for f in df.schema.fields
-                 if isinstance(f.dataType, T.NumericType) and f.name not in skip]
-    strings = _string_cols(df, skip)
-    freqs: dict[str, list] = {}
-    if strings:
-        approx = df.agg(*[F.approx_count_distinct(c, 0.01).alias(c) for c in strings]).first()
-        near = [c for c in strings if approx[c] <= 2 * max_categories + 10]
-        if near:
-            freqs = _category_counts(df, near, max_categories)
-    categorical = [c for c in strings if c in freqs]
-    return numerical, categorical, freqs
+    kinds = {r["column"]: r["kind"] for r in column_types(df, id_col, exclude, max_categories).collect()}
+    return tuple([c for c in df.columns if kinds.get(c) == kind] for kind in ("numerical", "categorical"))
 
 
 def _valid(c: str) -> Column:
@@ -248,16 +245,15 @@ def prepare(df: DataFrame, id_col: str = "user", exclude=LABEL_COLUMNS,
     numerical = [f.name for f in df.schema.fields
                  if isinstance(f.dataType, T.NumericType) and f.name not in skip]
     strings = _string_cols(df, skip)
-    # job 1: numeric moments and a HyperLogLog screen of the string columns
+    # job 1: numeric moments and the value counts of the string columns
     # together; it also stores the input (it reads every partition)
     df, row = materialize_with(df, lambda d: d.agg(
-        *_moment_aggs(numerical),
-        *[F.approx_count_distinct(c, 0.01).alias(f"_h{i}") for i, c in enumerate(strings)]
+        *_moment_aggs(numerical), *[_value_count(c).alias(f"_h{i}") for i, c in enumerate(strings)]
     ).first())
-    near = [c for i, c in enumerate(strings) if row[f"_h{i}"] <= 2 * max_categories + 10]
-    # job 2: exact value counts of the near-categorical columns
-    freqs = _category_counts(df, near, max_categories) if near else {}
-    categorical = [c for c in strings if c in freqs]
+    categorical = [c for i, c in enumerate(strings) if row[f"_h{i}"] <= max_categories]
+    # job 2: the label frequencies
+    freqs = _category_counts(df, categorical, max_categories) if categorical else {}
+    categorical = [c for c in categorical if c in freqs]
     if not numerical and not categorical:
         raise ValueError("no usable feature column (numeric, or string with few values)")
     model = _build_model(row, numerical, categorical, freqs, features_col)

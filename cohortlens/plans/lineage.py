@@ -8,6 +8,9 @@ memory and disk instead (lost blocks are then recomputed from lineage).
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
@@ -24,6 +27,16 @@ def checkpoint_dir(spark) -> str | None:
     return None
 
 
+def shared_path(spark, name: str) -> str:
+    """A new path in the checkpoint folder; in an own folder only on a local master without one."""
+    folder = checkpoint_dir(spark)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        folder = tempfile.mkdtemp(prefix="cohortlens-")
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
 def _already_stored(df: DataFrame) -> bool:
     """The caller persisted ``df`` already: keep that copy instead of a second one."""
     return df.storageLevel != StorageLevel.NONE

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from .functions.predicates import header_row
 from .functions.timeparse import parse_event_time
 from .operators import features as feat
+from .plans.lineage import shared_path
 from .sources import tables as tb
 from .sources.files import parse_lines
 
@@ -248,6 +249,81 @@ def q_parquet_passthrough(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load_parquet(spark, f"{sf_dir}/customer.parquet")
 
 
+def _source_folder(spark, sf_dir) -> str:
+    """The logs and directory snapshots as CSV sources in the shared folder, headers in some."""
+    folder = shared_path(spark, "sources")
+    log = tb.logon_log(spark, sf_dir)
+    even = F.col("id").cast("long") % 2 == 0
+    parts = {"logon_a.csv": (log.where(even), True), "logon_b.csv": (log.where(~even), False),
+             "device.csv": (tb.device_log(spark, sf_dir), True), "HTTP-1.csv": (tb.http_log(spark, sf_dir), False)}
+    snapshots = tb.directory_snapshots(spark, sf_dir)
+    last = F.col("snapshot") == f"LDAP-2010-{tb.LAST_MONTH:02d}"
+    parts[f"LDAP-2010-{tb.LAST_MONTH:02d}.csv"] = (snapshots.where(last).drop("snapshot"), True)
+    parts["ldap-2010-01.csv"] = (snapshots.where(~last).drop("snapshot"), False)
+    for name, (df, header) in parts.items():
+        df.write.option("header", header).csv(f"{folder}/{name}")
+    return folder
+
+
+def q_features_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logs and snapshots written as CSV sources, discovered and read back in one scan per schema."""
+    from .plans.analysis import build_user_features
+    return rounded(build_user_features(spark, _source_folder(spark, sf_dir)))
+
+
+def q_users_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The user table through the verified CSV sink."""
+    from .sources.sinks import read_labelled_users, write_labelled_users
+    users = _features(spark, sf_dir, feat.user_features)
+    path = shared_path(spark, "users")
+    write_labelled_users(users, path)
+    return rounded(read_labelled_users(spark, path, users.schema))
+
+
+def _spelled(key, digit):
+    """Users as the logs of several systems may spell them."""
+    return (F.when(digit == 1, F.concat(F.lit("CORP\\"), key))
+            .when(digit == 2, F.concat(key, F.lit("@Corp.example")))
+            .when(digit == 3, F.concat(F.lit("  "), key, F.lit(" "))).otherwise(key))
+
+
+def _mixed_directory(spark, sf_dir) -> DataFrame:
+    """The directory with some names spelled otherwise, and some listed twice under two spellings."""
+    directory = feat.latest_directory(tb.directory_snapshots(spark, sf_dir))
+    number = F.col("user").cast("long")
+    twice = directory.where(number % 7 == 3).select(F.concat(F.lit("corp/"), "user").alias("user"),
+                                                    F.lit("Contractor").alias("role"))
+    return directory.withColumn("user", F.when(number % 5 == 0, F.concat(F.lit("corp/"), "user"))
+                                .otherwise(F.col("user"))).unionByName(twice)
+
+
+def q_directory_coverage_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Match rates of the directory join, verbatim and on canonical spellings."""
+    from .operators.identity import canonical_coverage, join_canonical
+    users = _features(spark, sf_dir, feat.user_features).withColumn(
+        "user", _spelled(F.col("user"), F.col("user").cast("long") % 4))
+    return rounded(canonical_coverage(join_canonical(users, _mixed_directory(spark, sf_dir))))
+
+
+def q_roles_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user with its role and how the directory matched it."""
+    from .operators.identity import join_canonical
+    users = _features(spark, sf_dir, feat.user_features).withColumn(
+        "user", _spelled(F.col("user"), F.col("user").cast("long") % 4))
+    return join_canonical(users, _mixed_directory(spark, sf_dir)).select("user", "role", "role_match")
+
+
+def q_daily_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct keys per user and log from merged daily sketches, held against the exact counts."""
+    from .operators.sketches import daily_sketches, merged_counts, within_bound
+    events = tb.activity_events(spark, sf_dir)
+    merged = merged_counts(daily_sketches(events), "user", "src")
+    exact = (events.where(F.col("user").isNotNull()).groupBy("user", "src")
+             .agg(F.count_distinct("key").alias("exact_keys")))
+    return merged.join(exact, ["user", "src"]).select(
+        "user", "src", "n", "exact_keys", within_bound("distinct_keys", "exact_keys").alias("within_bound"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "logon_features": q_logon_features,
     "device_features": q_device_features,
@@ -263,6 +339,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "source_quality": q_source_quality,
     "directory_coverage": q_directory_coverage,
     "parquet_passthrough": q_parquet_passthrough,
+    "features_from_files": q_features_from_files,
+    "users_sink": q_users_sink,
+    "directory_coverage_canonical": q_directory_coverage_canonical,
+    "roles_canonical": q_roles_canonical,
+    "daily_sketches": q_daily_sketches,
 }
 
 
@@ -316,6 +397,36 @@ ORACLE["directory_coverage"] = (
     f"WITH {FEATURES_CTE} SELECT count(*) AS users, count(role) AS with_role, "
     f"round(CAST(count(role) AS DOUBLE) / count(*), {ROUND}) AS match_rate FROM features")
 ORACLE["parquet_passthrough"] = "SELECT * FROM customer"
+ORACLE["features_from_files"] = ORACLE["users_sink"] = ORACLE["user_features"]
+
+_CANONICAL_SQL = r"nullif(lower(trim(regexp_replace(regexp_replace(trim({}), '^[^\\/]*[\\/]', ''), '@.*$', ''))), '')"
+_ROLES_CTE = f"""{FEATURES_CTE},
+spelled AS (SELECT CASE CAST("user" AS BIGINT) % 4 WHEN 1 THEN 'CORP\\' || "user" WHEN 2 THEN "user" || '@Corp.example'
+    WHEN 3 THEN '  ' || "user" || ' ' ELSE "user" END AS "user" FROM features),
+mixed AS (SELECT CASE WHEN CAST("user" AS BIGINT) % 5 = 0 THEN 'corp/' || "user" ELSE "user" END AS "user", role
+    FROM directory
+  UNION ALL SELECT 'corp/' || "user", 'Contractor' FROM directory WHERE CAST("user" AS BIGINT) % 7 = 3),
+exact AS (SELECT "user", min(role) AS role FROM mixed GROUP BY "user"),
+near AS (SELECT {_CANONICAL_SQL.format('"user"')} AS key, min(role) AS role,
+    count(DISTINCT coalesce('=' || role, '-')) AS n FROM mixed GROUP BY 1),
+roles AS (SELECT s."user",
+    CASE WHEN e."user" IS NOT NULL THEN e.role WHEN n.n = 1 THEN n.role END AS role,
+    CASE WHEN e."user" IS NOT NULL THEN 'exact' WHEN n.n > 1 THEN 'ambiguous'
+      WHEN n.n = 1 THEN 'canonical' ELSE 'none' END AS role_match
+  FROM spelled s LEFT JOIN exact e ON e."user" = s."user"
+    LEFT JOIN near n ON n.key = {_CANONICAL_SQL.format('s."user"')})"""
+ORACLE["roles_canonical"] = f"WITH {_ROLES_CTE} SELECT * FROM roles"
+ORACLE["directory_coverage_canonical"] = f"""WITH {_ROLES_CTE}
+  SELECT count(*) AS users, count(*) FILTER (role_match = 'exact') AS exact,
+    count(*) FILTER (role_match = 'canonical') AS canonical, count(*) FILTER (role_match = 'ambiguous') AS ambiguous,
+    round(CAST(count(*) FILTER (role_match = 'exact') AS DOUBLE) / count(*), {ROUND}) AS match_rate,
+    round(CAST(count(*) FILTER (role_match IN ('exact', 'canonical')) AS DOUBLE) / count(*), {ROUND})
+      AS canonical_match_rate FROM roles"""
+ORACLE["daily_sketches"] = f"""WITH {LOGS_CTE},
+  keyed AS (SELECT "user", 'logon' AS src, pc AS key FROM logon UNION ALL SELECT "user", 'device', pc FROM device
+    UNION ALL SELECT "user", 'http', url FROM http)
+  SELECT "user", src, count(*) AS n, count(DISTINCT key) AS exact_keys, true AS within_bound
+  FROM keyed WHERE "user" IS NOT NULL GROUP BY "user", src"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1,19 +1,24 @@
 """File sources.
 
-Discovery lists file *names* of one folder level through Hadoop's file systems
-and never opens a file on the driver.  Header lines are removed by a per-row filter instead of a
-peek at the first file, so files with and without a header can be mixed.
+A source is a file, or a folder of part files, whose name matches its role's
+pattern.  Spark resolves the patterns and names the files of a scan; nothing is
+opened on the driver.  Inside a scan a row's role and snapshot come from its
+``_metadata.file_path``.  Header lines are removed by a per-row filter instead
+of a peek at the first file, so files with and without a header can be mixed.
 """
 
 from __future__ import annotations
 
+from fnmatch import fnmatchcase
 from functools import reduce
+from urllib.parse import unquote, urlparse
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.predicates import header_row
-from .schemas import HEADER_KEY, SCHEMAS
+from .schemas import HEADER_KEY, SCHEMAS, TAGGED_SCHEMA
 
 # File-name pattern of each source role.  ``http`` and ``ldap``
 # accept either letter case.
@@ -26,17 +31,32 @@ ROLE_GLOBS = {
 }
 
 
+def _entry_of(path: str, glob: str) -> str | None:
+    """The path of the file or folder that matches ``glob`` and holds ``path``."""
+    head, _, name = path.rpartition("/")
+    folder = unquote(head.rpartition("/")[2])
+    if fnmatchcase(folder, glob):
+        return head
+    return path if fnmatchcase(unquote(name), glob) else None
+
+
 def _list(spark: SparkSession, data_dir: str, glob: str) -> list[str]:
-    """Entries of the folder itself whose name matches; nothing below it is listed."""
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    fs = hadoop.Path(data_dir).getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(hadoop.Path(data_dir)):
-        raise FileNotFoundError(data_dir)
-    return sorted(str(s.getPath()) for s in fs.globStatus(hadoop.Path(f"{data_dir}/{glob}")) or [])
+    """Sources of the folder itself whose name matches, as Spark resolves the pattern."""
+    base = data_dir.rstrip("/")
+    try:
+        files = spark.read.text(f"{base}/{glob}").inputFiles()
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return []
+        raise
+    # a folder that is itself named like a source holds its own files only
+    own = unquote(urlparse(base).path).rpartition("/")[2]
+    found = {_entry_of(f, glob) if unquote(f.rpartition("/")[0].rpartition("/")[2]) != own else f for f in files}
+    return sorted(f for f in found if f)
 
 
 def detect_sources(spark: SparkSession, data_dir: str) -> dict[str, list[str]]:
-    """Map role -> sorted file paths, keeping only roles with at least one file.
+    """Map role -> sorted source paths, keeping only roles with at least one.
 
     The Parquet role maps to one glob over the entries of the folder itself, so
     a partitioned table keeps its partition columns and nested tables stay out.
@@ -44,11 +64,49 @@ def detect_sources(spark: SparkSession, data_dir: str) -> dict[str, list[str]]:
     found = {}
     for role, glob in ROLE_GLOBS.items():
         paths = _list(spark, data_dir, glob)
+        if role == "parquet" and not paths:
+            # partitioned tables have their files deeper
+            try:
+                paths = spark.read.parquet(f"{data_dir.rstrip('/')}/{glob}").inputFiles()
+            except AnalysisException as e:
+                if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                    raise
         if paths:
             found[role] = [f"{data_dir}/{glob}"] if role == "parquet" else paths
     return found
 
 
+def entry_name(sources: list[str], path: str | Column = "_metadata.file_path") -> Column:
+    """The source a row was read from: the name of its file, or of the folder of part files.
+
+    ``sources`` are the paths of one folder's sources, which tell how deep it lies.
+    """
+    depth = len(urlparse(sources[0]).path.rstrip("/").split("/"))
+    col = F.col(path) if isinstance(path, str) else path
+    return F.split_part(F.regexp_replace(col, "^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?", ""), F.lit("/"), F.lit(depth))
+
+
+def load_events(spark: SparkSession, found: dict[str, list[str]]) -> DataFrame:
+    """All activity logs as one tagged stream ``(user, src, key, date, activity)``, one scan.
+
+    The three schemas have the same shape, so one permissive CSV scan reads
+    them; the role of a row comes from the name of its source, and its header
+    filter from the role.
+    """
+    roles = [r for r in ("logon", "device", "http") if r in found]
+    names = TAGGED_SCHEMA.fieldNames()
+    paths = [p for r in roles for p in found[r]]
+    name = F.lower(entry_name(paths))
+    src = reduce(lambda c, r: c.when(name.startswith(r), r), roles, F.when(F.lit(False), ""))
+    rows = (spark.read.schema(TAGGED_SCHEMA).option("header", "false").option("mode", "PERMISSIVE")
+            .csv(paths).withColumn("src", src))
+    header = reduce(lambda c, r: c.when(F.col("src") == r, header_row(
+        names, HEADER_KEY[r], SCHEMAS[r].fieldNames())), roles, F.when(F.lit(False), F.lit(False)))
+    return rows.where(~header).select(
+        "user", "src", F.when(F.col("src") == "http", F.col("last")).otherwise(F.col("pc")).alias("key"),
+        "date", F.when(F.col("src") == "logon", F.col("last")).alias("activity"))
+
+
 def load_log(spark: SparkSession, paths: list[str], role: str,
              strict_header: bool = False) -> DataFrame:
     """Fixed-schema permissive CSV scan of one source role, header lines removed.
@@ -100,9 +158,11 @@ def load_parquet(spark: SparkSession, *paths: str) -> DataFrame:
 
 
 def read_snapshots(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """All directory snapshots, with ``snapshot`` = the file name."""
-    df = load_log(spark, paths, "ldap")
-    return df.withColumn("snapshot", F.col("_metadata.file_name"))
+    """All directory snapshots, with ``snapshot`` = the name of the file or folder."""
+    schema = SCHEMAS["ldap"]
+    rows = (spark.read.schema(schema).option("header", "false").option("mode", "PERMISSIVE").csv(paths)
+            .withColumn("snapshot", entry_name(paths)))
+    return rows.where(~header_row(schema.fieldNames(), HEADER_KEY["ldap"]))
 
 
 def latest_snapshot_paths(paths: list[str]) -> list[str]:
@@ -117,8 +177,8 @@ def load_directory(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Latest directory snapshot as ``(user, role)``, one row per user.
 
     The latest snapshot is known from the file listing, so only its file is
-    read; older monthly snapshots are never opened.
+    read, once; older monthly snapshots are never opened.
     """
-    from ..operators.features import latest_directory
+    from ..operators.features import directory_roles
 
-    return latest_directory(read_snapshots(spark, latest_snapshot_paths(paths)))
+    return directory_roles(load_log(spark, latest_snapshot_paths(paths), "ldap"))

@@ -13,6 +13,9 @@ DEVICE_SCHEMA = _strings("id", "date", "user", "pc", "activity")
 HTTP_SCHEMA = _strings("id", "date", "user", "pc", "url")
 LDAP_SCHEMA = _strings("employee_name", "user_id", "email", "domain", "role")
 
+# The activity logs in one scan: ``last`` is the activity, or the url of the web log.
+TAGGED_SCHEMA = _strings("id", "date", "user", "pc", "last")
+
 SCHEMAS = {
     "logon": LOGON_SCHEMA,
     "device": DEVICE_SCHEMA,
