@@ -1,18 +1,18 @@
 """Centres and assignments on ``array<double>`` feature columns.
 
-Centre matrices are small (k x d, k a parameter) and enter the plan as one
-literal, the way MLlib broadcasts its centres; ``collect_centres`` checks the
-size before anything reaches the driver.  Points are never paired with each
+Centre matrices are small (k x d, k a parameter); they travel with the task or
+as a broadcast table, size-checked.  ``collect_centres`` checks the size before
+anything reaches the driver.  Points are never paired with each
 other: every operator here is O(n * k * d) in one pass over the points.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.kernels import with_nearest
-from ..functions.vectors import MAX_LITERAL_DOUBLES, matrix_literal, sq_dist  # noqa: F401
+from ..functions.vectors import MAX_LITERAL_DOUBLES, sq_dist
 
 
 def vector_dim(df: DataFrame, features_col: str = "features") -> int:
@@ -69,12 +69,24 @@ def assign_nearest(df: DataFrame, centres: list, features_col: str = "features",
     return with_nearest(df, [centres], features_col, [out], [dist_col])
 
 
+def centre_table(spark, centres: list, id_name: str = "cluster", out: str = "centre") -> DataFrame:
+    """Centres as a table ``(cluster, centre)``, size-checked for a broadcast."""
+    if sum(len(c) for c in centres) > MAX_LITERAL_DOUBLES:
+        raise ValueError(f"more than {MAX_LITERAL_DOUBLES} doubles of centres")
+    return spark.createDataFrame([(i, [float(v) for v in c]) for i, c in enumerate(centres)],
+                                 f"`{id_name}` int, `{out}` array<double>")
+
+
 def distance_to_own_centre(df: DataFrame, centres: list, cluster_col: str,
-                           features_col: str = "features", out: str = "dist") -> Column | DataFrame:
-    """Squared distance from each point to the centre of its own cluster (C4)."""
-    lit = matrix_literal(centres)
-    return df.withColumn(out, sq_dist(features_col,
-                                      F.element_at(lit, F.col(cluster_col) + 1)))
+                           features_col: str = "features", out: str = "dist") -> DataFrame:
+    """Squared distance from each point to the centre of its own cluster (C4).
+
+    The size-checked centre table is broadcast and joined; a null or unknown
+    cluster has no distance.
+    """
+    own = F.broadcast(centre_table(df.sparkSession, centres, "_own_id", "_own_centre"))
+    return (df.join(own, F.col(cluster_col) == F.col("_own_id"), "left")
+            .withColumn(out, sq_dist(features_col, "_own_centre")).drop("_own_id", "_own_centre"))
 
 
 def sse(df: DataFrame, centres: list, cluster_col: str,

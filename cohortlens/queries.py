@@ -249,7 +249,7 @@ def q_parquet_passthrough(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load_parquet(spark, f"{sf_dir}/customer.parquet")
 
 
-def _source_folder(spark, sf_dir) -> str:
+def source_folder(spark, sf_dir) -> str:
     """The logs and directory snapshots as CSV sources in the shared folder, headers in some."""
     folder = shared_path(spark, "sources")
     log = tb.logon_log(spark, sf_dir)
@@ -268,7 +268,7 @@ def _source_folder(spark, sf_dir) -> str:
 def q_features_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Logs and snapshots written as CSV sources, discovered and read back in one scan per schema."""
     from .plans.analysis import build_user_features
-    return rounded(build_user_features(spark, _source_folder(spark, sf_dir)))
+    return rounded(build_user_features(spark, source_folder(spark, sf_dir)))
 
 
 def q_users_sink(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,11 +13,11 @@ from .operators import features as feat
 from .operators import prep
 from .operators.density import coarse_k, density_peaks
 from .operators.kmeans import fit_input, kmeans, kmeans_sweep, seeded_starts
-from .plans.analysis import run_analysis
+from .plans.analysis import run_analysis, run_pipeline
 from .plans.lineage import release, shared_path
-from .queries_fits import fit_oracles
+from .queries_fits import TRUTH_SQL, fit_oracles
 from .sources import tables as tb
-from .sources.sinks import read_metrics, write_metrics
+from .sources.sinks import read_labelled_users, read_metrics, write_metrics
 
 
 def rounded(df: DataFrame) -> DataFrame:
@@ -112,24 +112,41 @@ def method_records(spark, sf_dir):
     return metrics
 
 
+def sizes_as_text(metrics: DataFrame) -> DataFrame:
+    """Metric records without run times, the map of sizes as ``cluster:size`` by cluster."""
+    pairs = F.transform(F.map_entries("cluster_sizes"), lambda e: F.struct(
+        e["key"].cast("int").alias("c"), e["value"].cast("string").alias("n")))
+    text = F.array_join(F.transform(F.array_sort(pairs), lambda e: F.concat_ws(
+        ":", e["c"].cast("string"), e["n"])), ",")
+    return metrics.drop("runtime_s").withColumn("cluster_sizes", text)
+
+
 def q_compare_methods(spark, sf_dir):
-    """The comparison table without the run times, the sizes as text."""
-    sizes = F.array_join(F.transform(F.array_sort(F.map_entries("cluster_sizes")), lambda e: F.concat_ws(
-        ":", e["key"].cast("string"), e["value"].cast("string"))), ",")
-    return (method_records(spark, sf_dir).drop("runtime_s")
-            .withColumn("cluster_sizes", sizes))
+    return sizes_as_text(method_records(spark, sf_dir))
+
+
+def q_compare_methods_labelled(spark, sf_dir):
+    """The comparison against a ground truth, whose column the analysis finds by its name."""
+    users = _features(spark, sf_dir).withColumn("insider", F.expr(TRUTH_SQL))
+    _, metrics, _ = run_analysis(users)
+    return sizes_as_text(metrics)
 
 
 def q_metrics_sink(spark, sf_dir):
-    """The comparison table through the verified JSON-array sink, without the run times."""
-    metrics = method_records(spark, sf_dir).drop("runtime_s")
+    """The comparison table through the verified JSON-array sink."""
+    metrics = method_records(spark, sf_dir)
     path = shared_path(spark, "metrics")
     write_metrics(metrics, path, form="array")
-    back = read_metrics(spark, path, metrics.schema)
-    sizes = F.array_join(F.transform(F.array_sort(F.transform(F.map_entries("cluster_sizes"), lambda e: F.struct(
-        e["key"].cast("int").alias("key"), e["value"].alias("value")))), lambda e: F.concat_ws(
-        ":", e["key"].cast("string"), e["value"].cast("string"))), ",")
-    return back.withColumn("cluster_sizes", sizes)
+    return sizes_as_text(read_metrics(spark, path, metrics.schema))
+
+
+def q_whole_run(spark, sf_dir):
+    """From CSV sources to the labelled users that the whole run publishes."""
+    from .queries import source_folder
+
+    out = shared_path(spark, "run")
+    users, _, _ = run_pipeline(spark, source_folder(spark, sf_dir), out)
+    return rounded(read_labelled_users(spark, f"{out}/clustered_users", users.schema))
 
 
 def q_attach_predictions(spark, sf_dir):
@@ -149,7 +166,9 @@ QUERIES = {
     "density_peaks": q_density_peaks,
     "density_peaks_fixed": q_density_peaks_fixed,
     "compare_methods": q_compare_methods,
+    "compare_methods_labelled": q_compare_methods_labelled,
     "metrics_sink": q_metrics_sink,
+    "whole_run": q_whole_run,
     "attach_predictions": q_attach_predictions,
 }
 
@@ -191,6 +210,7 @@ enc AS (SELECT f."user", f.role, coalesce(ord.slot, nl.nl) AS slot
     return {
         **fits,
         "metrics_sink": fits["compare_methods"],
+        "whole_run": fits["attach_predictions"],
         "string_cardinality": """SELECT 'event_type' AS "column",
               count(DISTINCT event_type) + CAST(max(event_type IS NULL) AS BIGINT) AS n_values
             FROM events

@@ -22,6 +22,8 @@ from .functions.grid import EXACT_BITS, FINEST
 from .operators.kmeans import DRAWN, START_ROUNDS
 
 _RANGE = 4294967296
+#: A ground truth for the labelled comparison, the same text in both engines.
+TRUTH_SQL = "CAST(logon_count % 3 = 0 AS INT)"
 
 
 def _dist(a: str, b: str) -> str:
@@ -169,12 +171,27 @@ def fit_oracles(features_cte: str, matrix_sql: str, feature_columns: str) -> dic
     base_ks = f"base_ks AS (SELECT {K_BASELINE} AS k)"
     best = "(SELECT k FROM best)"
 
-    def record(method: str, labels: str, clause: str, score: str, cost: str) -> str:
+    def external(labels: str, clause: str, out: str) -> str:
+        """``out (nmi, ari, purity)`` of labels (user, c) against ``truth`` (user, u)."""
+        return f"""{out}_cells AS (SELECT u, c, CAST(count(*) AS DOUBLE) AS x, sum(count(*)) OVER (PARTITION BY u) AS a,
+    sum(count(*)) OVER (PARTITION BY c) AS b, sum(count(*)) OVER () AS n, max(count(*)) OVER (PARTITION BY c) AS m
+  FROM (SELECT * FROM {labels} {clause}) JOIN truth USING ("user") GROUP BY u, c),
+{out}_sums AS (SELECT sum(x / n * ln(n * x / (a * b))) AS mi, -sum(x / n * ln(a / n)) AS hu, -sum(x / n * ln(b / n)) AS hv,
+    sum(x * (x - 1) / 2) AS suv, sum(x * (a - 1) / 2) AS sa, sum(x * (b - 1) / 2) AS sb, sum(x * m / b) AS best,
+    CAST(any_value(n) AS DOUBLE) AS n FROM {out}_cells),
+{out} AS (SELECT round(CASE WHEN hu + hv = 0 THEN 1.0 ELSE mi / ((hu + hv) / 2) END, 4) AS nmi,
+    round(CASE WHEN (sa + sb) / 2 = e THEN 1.0 ELSE (suv - e) / ((sa + sb) / 2 - e) END, 4) AS ari,
+    round(best / n, 4) AS purity
+  FROM (SELECT *, sa * sb / (n * (n - 1) / 2) AS e FROM {out}_sums))"""
+
+    def record(method: str, labels: str, clause: str, score: str, cost: str, outer: str | None = None) -> str:
         return f"""SELECT {method} AS method, CAST((SELECT count(DISTINCT c) FROM {labels} {clause}) AS INTEGER) AS n_clusters,
   round(({score}), 4) AS silhouette, round(({cost}), 2) AS inertia,
   (SELECT round(sum(v2 - v * v / n), 2) FROM (SELECT c, dim, sum(value * value) AS v2, sum(value) AS v, count(*) AS n
     FROM (SELECT * FROM {labels} {clause}) JOIN matrix USING ("user") GROUP BY c, dim)) AS within_ss,
-  CAST(NULL AS DOUBLE) AS nmi, CAST(NULL AS DOUBLE) AS ari, CAST(NULL AS DOUBLE) AS purity,
+  {'CAST(NULL AS DOUBLE)' if outer is None else f'(SELECT nmi FROM {outer})'} AS nmi,
+  {'CAST(NULL AS DOUBLE)' if outer is None else f'(SELECT ari FROM {outer})'} AS ari,
+  {'CAST(NULL AS DOUBLE)' if outer is None else f'(SELECT purity FROM {outer})'} AS purity,
   (SELECT string_agg(c || ':' || n, ',' ORDER BY c) FROM (SELECT c, count(*) AS n FROM {labels} {clause} GROUP BY c))
     AS cluster_sizes"""
 
@@ -182,6 +199,21 @@ def fit_oracles(features_cte: str, matrix_sql: str, feature_columns: str) -> dic
     whole = f"""{head}, {base_ks}, {base}, {sweep_cte()}, {peaks_cte(best)}, {peaks_as_k},
 {_silhouettes('base_label', 'base_score')}, {_silhouettes('peak_model', 'peak_score')}"""
     unit = "(SELECT s * s FROM grid)"
+
+    def records(labelled: bool) -> str:
+        outer = [f"outer{i}" if labelled else None for i in range(3)]
+        return "\nUNION ALL ".join([
+            record("'KMeans-Baseline'", "base_label", "", "SELECT silhouette FROM base_score",
+                   f"SELECT CAST(sum(d) AS DOUBLE) / {unit} FROM base_label", outer[0]),
+            record(f"'KMeans-BestK(k=' || {best} || ')'", "sweep_label", f"WHERE k = {best}",
+                   f"SELECT silhouette FROM sweep_score WHERE k = {best}",
+                   f"SELECT inertia FROM sweep_cost WHERE k = {best}", outer[1]),
+            record("'CDPC-KNN-Approx'", "peak_label", "", "SELECT silhouette FROM peak_score",
+                   f"SELECT CAST(sum(d) AS DOUBLE) / {unit} FROM peak_label", outer[2])])
+
+    truth = f"""truth AS (SELECT "user", {TRUTH_SQL} AS u FROM features),
+{external('base_label', '', 'outer0')}, {external('sweep_label', f'WHERE k = {best}', 'outer1')},
+{external('peak_label', '', 'outer2')}"""
     return {
         "kmeans_baseline": f"""{head}, {base_ks}, {base}
 SELECT "user", CAST(c AS INTEGER) AS prediction FROM base_label""",
@@ -197,12 +229,6 @@ SELECT {feature_columns}, CAST(b.c AS INTEGER) AS prediction_baseline, CAST(w.c
   CAST(p.c AS INTEGER) AS prediction_cdpc
 FROM features f JOIN base_label b ON b."user" = f."user"
   JOIN sweep_label w ON w."user" = f."user" AND w.k = {best} JOIN peak_label p ON p."user" = f."user\"""",
-        "compare_methods": f"""{whole}
-{record("'KMeans-Baseline'", 'base_label', '', 'SELECT silhouette FROM base_score',
-        f'SELECT CAST(sum(d) AS DOUBLE) / {unit} FROM base_label')}
-UNION ALL {record(f"'KMeans-BestK(k=' || {best} || ')'", 'sweep_label', f'WHERE k = {best}',
-                  f'SELECT silhouette FROM sweep_score WHERE k = {best}',
-                  f'SELECT inertia FROM sweep_cost WHERE k = {best}')}
-UNION ALL {record("'CDPC-KNN-Approx'", 'peak_label', '', 'SELECT silhouette FROM peak_score',
-                  f'SELECT CAST(sum(d) AS DOUBLE) / {unit} FROM peak_label')}""",
+        "compare_methods": f"{whole} {records(False)}",
+        "compare_methods_labelled": f"{whole}, {truth} {records(True)}",
     }

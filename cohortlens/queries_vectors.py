@@ -11,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.vectors import matrix_literal
 from .operators import density as dn
 from .operators import geometry as geo
 from .operators import metrics as mt
@@ -45,8 +44,8 @@ def _assigned(spark, sf_dir):
 def _peaks(spark, sf_dir, k_final=K_FINAL):
     pts, dim, centres = _assigned(spark, sf_dir)
     ranked = dn.density_rank(pts, "cluster", "dist")
-    cand = dn.density_candidates(ranked, k_final).withColumn(
-        "centre", F.element_at(matrix_literal(centres), F.col("cluster") + 1))
+    cand = dn.density_candidates(ranked, k_final).join(
+        F.broadcast(geo.centre_table(spark, centres)), "cluster")
     return pts, dim, centres, ranked, dn.farthest_point_peaks(cand, k_final)
 
 
@@ -156,7 +155,10 @@ def q_method_record(spark, sf_dir):
     cost = geo.sse(labelled, peak_centres, "prediction").first()["inertia"]
     rec = evaluate(labelled, "DensityPeaks-fixed", label_col="label", inertia=cost, dim=dim)
     return metrics_frame(spark, [rec]).select(
-        "method", "n_clusters", "silhouette", "inertia", "within_ss", "nmi", "ari", "purity")
+        "method", "n_clusters", "silhouette", "inertia", "within_ss", F.concat_ws(",", F.transform(
+            F.array_sort(F.map_entries("cluster_sizes")), lambda e: F.concat_ws(
+                ":", e["key"].cast("string"), e["value"].cast("string")))).alias("cluster_sizes"),
+        "nmi", "ari", "purity")
 
 
 QUERIES = {
@@ -286,6 +288,7 @@ ORACLE = {
                round((SELECT avg(s) FROM sv), 4) AS silhouette,
                round((SELECT inertia FROM sse), 2) AS inertia,
                round((SELECT within_ss FROM wss), 2) AS within_ss,
+               (SELECT string_agg(cluster || ':' || n, ',' ORDER BY cluster) FROM stats) AS cluster_sizes,
                round(CASE WHEN hu + hv = 0 THEN 1.0 ELSE mi / ((hu + hv) / 2) END, 4) AS nmi,
                round(CASE WHEN (sa + sb) / 2 - expected = 0 THEN 1.0
                      ELSE (suv - expected) / ((sa + sb) / 2 - expected) END, 4) AS ari,
