@@ -2,7 +2,7 @@
 
 Every stage works on all rows its predecessor kept.  Null and empty texts pass
 the stages as each operator's docstring defines; all stages but the last keep
-the columns of ``documents``.
+the columns of ``documents``, and further columns of any names.
 """
 
 from __future__ import annotations
@@ -15,30 +15,50 @@ from cohortlens.llm.common import fresh_path, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents whose lines score below the threshold."""
+    """Drop documents whose lines score below the threshold.
+
+    Rows with null, empty or blank texts are scored as one blank line; rows that
+    repeat go or stay together; an empty table gives an empty one.
+    """
     return quality.keep_good(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near copies."""
+    """Keep one document of each group of near copies: the one with the least id.
+
+    Texts without words are no copies of each other and stay; rows that repeat
+    id and text stay once; an empty table gives an empty one.
+    """
     return neardup.keep_one(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a benchmark passage."""
+    """Drop documents that hold a benchmark passage.
+
+    Null and empty texts hold none; without benchmark items all rows stay; an
+    empty table gives an empty one.
+    """
     searchers = decontam.fit_searchers(docs, table(spark, sf_dir, "benchmark"))
     return decontam.keep_clean(docs, searchers)
 
 
 def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace personal data by its kind; ``n_chars`` follows the text."""
+    """Replace personal data by its kind; ``n_chars`` follows the text.
+
+    A null text stays null and keeps its ``n_chars``; all rows stay; an empty
+    table gives an empty one.
+    """
     out = pii.redact(docs, pii.train(docs))
     return out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars"))
                           .otherwise(F.length("text").cast("long")))
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, with digests of the ids and of their decoded bytes."""
+    """Token ids of every document, with digests of the ids and of their decoded bytes.
+
+    A null text has no ids; one row per row of ``docs``, repeated ids included;
+    an empty table gives an empty one.
+    """
     import public_tokenizers
 
     return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
