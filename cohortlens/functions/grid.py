@@ -146,12 +146,12 @@ def bounded_nearest(x: np.ndarray, bounds: tuple[np.ndarray, ...], then: np.ndar
 
 
 def cluster_sums(points: DataFrame, models: dict[int, np.ndarray], scale: float,
-                 features_col: str = "features", then: list | None = None) -> list:
+                 features_col: str = "features", then: list | None = None, single: bool = False) -> list:
     """Exact sums of every cluster of several models, in one pass: rows of SUMS_SCHEMA.
 
     Points go to their nearest centre.  A task sends one row per model and
-    cluster; over several partitions those rows are dealt out by model and
-    cluster and added up.  ``squares`` sums the squared lengths of the points,
+    cluster; unless the points are a ``single`` partition, those rows are dealt
+    out by model and cluster and added up.  ``squares`` sums the squared lengths of the points,
     ``compared`` counts those that were compared with every centre: all, unless
     ``points`` carry bounds for the centres ``then`` (of a single model).
     """
@@ -192,7 +192,7 @@ def cluster_sums(points: DataFrame, models: dict[int, np.ndarray], scale: float,
 
     before = None if then is None else np.asarray(then, np.float64)
     rows = points.select(features_col, *(BOUNDS if then is not None else ())).mapInArrow(run, SUMS_SCHEMA)
-    if points.rdd.getNumPartitions() > 1:
+    if not single:
         rows = rows.repartition("model", "cluster").mapInArrow(fold, SUMS_SCHEMA)
     return rows.collect()
 

@@ -115,6 +115,11 @@ def fit_input(df: DataFrame, id_col: str, features_col: str = "features",
     return stored
 
 
+def is_single(points: DataFrame) -> bool:
+    """Whether stored points are one partition, so that their sums need no second stage."""
+    return points.storageLevel != StorageLevel.NONE and points.rdd.getNumPartitions() == 1
+
+
 def check_k(k: int, n: int) -> None:
     if k < 2 or k > n:
         raise ValueError(f"k must be between 2 and the number of rows ({n}), got {k}")
@@ -141,6 +146,7 @@ def seeded_starts(points: DataFrame, id_col: str = "user", features_col: str = "
     x = F.col(features_col)
     name = F.col(id_col).cast("string")
     rows = points.where(x.isNotNull())
+    single = is_single(points)
     top = rows.agg(
         F.max(F.greatest(F.array_max(x), -F.array_min(x))).alias("largest"), F.max(F.size(x)).alias("dim"),
         F.count(F.lit(1)).alias("n"),
@@ -153,7 +159,8 @@ def seeded_starts(points: DataFrame, id_col: str = "user", features_col: str = "
     drawn = max(DRAWN, 2 * most)
     for r in range(1, START_ROUNDS + 1):
         centres = sorted(found)
-        total = sum(int(s["cost"]) for s in cluster_sums(rows, {0: centres}, scale, features_col))
+        total = sum(int(s["cost"]) for s in cluster_sums(rows, {0: centres}, scale, features_col,
+                                                        single=single))
         if not total:
             break
         chance = F.col("_dist") * F.lit(float(scale * scale)) * F.lit(float(drawn))
@@ -166,7 +173,8 @@ def seeded_starts(points: DataFrame, id_col: str = "user", features_col: str = "
             raise ValueError("far more rows were drawn than the draw allows")
         found |= {tuple(g[0]) for g in got}
     candidates = sorted(found)
-    weights = {s["cluster"]: s["n"] for s in cluster_sums(rows, {0: candidates}, scale, features_col)}
+    weights = {s["cluster"]: s["n"] for s in cluster_sums(rows, {0: candidates}, scale, features_col,
+                                                           single=single)}
     order = _weighted_walk(np.array(candidates, object).reshape(len(candidates), -1),
                            [weights.get(i, 0) for i in range(len(candidates))], most, seed)
     return Starts(scale, [list(candidates[i]) for i in order], int(top["n"]), int(top["dim"]), seed)
@@ -202,6 +210,7 @@ def fit_all(points: DataFrame, ks, starts: Starts, *, features_col: str = "featu
     sums of its last centres.
     """
     rows = points.where(F.col(features_col).isNotNull())
+    single = is_single(points)
     now = {k: [list(c) for c in starts.centres[:k]] for k in ks}
     out: dict[int, KMeansResult] = {}
 
@@ -216,7 +225,7 @@ def fit_all(points: DataFrame, ks, starts: Starts, *, features_col: str = "featu
         if not live:
             break
         got: dict[int, list] = {k: [] for k in live}
-        for s in cluster_sums(rows, live, starts.scale, features_col):
+        for s in cluster_sums(rows, live, starts.scale, features_col, single=single):
             got[s["model"]].append(s)
         for k, sums in got.items():
             fresh = list(now[k])
@@ -243,13 +252,13 @@ def fit_bounded(points: DataFrame, k: int, starts: Starts, *, features_col: str
     now = [list(c) for c in starts.centres[:k]]
     if len(now) < 2:
         return fit_all(points, [k], starts, features_col=features_col, max_iter=max_iter)[k]
-    bounded, taken, compared, worn = None, now, [], True
+    bounded, taken, compared, worn, single = None, now, [], True, is_single(points)
     for i in range(max_iter + 1):
         if worn:
             old, taken = bounded, now
             bounded = with_bounds(points, now, starts.scale, features_col).persist(StorageLevel.MEMORY_AND_DISK)
         sums = cluster_sums(bounded.where(F.col(features_col).isNotNull()), {k: now}, starts.scale, features_col,
-                            taken)
+                            taken, single)
         if worn and old is not None:
             old.unpersist()
         open_points = sum(s["compared"] for s in sums)
