@@ -119,7 +119,7 @@ def test_fits_do_not_depend_on_partitions(spark):
         base = fit_input(df, "user", partitions=parts)
         starts = seeded_starts(base)
         fits.append((starts.centres, {k: (f.grid_centres, f.cost, f.iterations)
-                                      for k, f in fit_all(base, [2, 5, 9], starts).items()}))
+                                      for k, f in fit_all(base, [2, 5, 9], starts, max_iter=5).items()}))
         base.unpersist()
     assert fits[0] == fits[1] == fits[2]
 
@@ -161,8 +161,8 @@ def test_bounds_change_no_label_and_save_comparisons(spark, parts):
         + [("gap", None)], "user string, features array<double>")
     base = fit_input(df, "user", partitions=parts)
     starts = seeded_starts(base)
-    plain, a = dn.density_peaks(base, 4, 25, prepared=base, starts=starts, bounds=False)
-    kept, b = dn.density_peaks(base, 4, 25, prepared=base, starts=starts)
+    plain, a = dn.density_peaks(base, 4, 25, prepared=base, starts=starts, bounds=False, max_iter=8)
+    kept, b = dn.density_peaks(base, 4, 25, prepared=base, starts=starts, max_iter=8)
     assert a["coarse"].grid_centres == b["coarse"].grid_centres and a["peak_clusters"] == b["peak_clusters"]
     assert a["coarse"].cost == b["coarse"].cost and a["coarse"].iterations == b["coarse"].iterations
     assert (sorted(map(str, kept.select(*plain.columns).collect())) == sorted(map(str, plain.collect())))
