@@ -18,11 +18,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Stretches, by_bytes, cut_points
+
 WINDOW = 1024
 #: Id after every document.
 END = 0
@@ -33,23 +34,6 @@ SLICE_BYTES = 8 << 20
 TEXT_BYTES = 1 << 15
 #: Windows of one task come before those of the next.
 TASK_SHIFT = 33
-#: First bytes of characters among which white space is (fixed values, UTF-8).
-_LEADS = np.array([0xC2, 0xE1, 0xE2, 0xE3], np.uint8)
-
-
-def cut_points(data: np.ndarray) -> np.ndarray:
-    """Places of single spaces between a word's end and a word's start.
-
-    No piece of the byte-level pattern reaches across them, so the stretches
-    between them can be encoded on their own.  Characters that may be white
-    space beyond ASCII are left uncut.
-    """
-    at = np.flatnonzero(data[1:-1] == 0x20) + 1
-    before, after = data[at - 1], data[at + 1]
-    two, three = data[np.maximum(at - 2, 0)], data[np.maximum(at - 3, 0)]
-    odd = (before >= 0x7F) & ((before == 0x7F) | np.isin(two, _LEADS) | np.isin(three, _LEADS))
-    good = (before > 0x20) & ~odd & (after > 0x20) & (after != 0x7F) & ~np.isin(after, _LEADS)
-    return at[good]
 
 
 class Encoder:
@@ -90,28 +74,10 @@ class Encoder:
 
         Every distinct stretch between cut points is encoded once.
         """
-        rows = pc.fill_null(texts, "").cast(pa.large_binary())
-        ends = np.frombuffer(rows.buffers()[1], np.int64)[rows.offset:rows.offset + len(rows) + 1]
-        lo, hi = int(ends[0]), int(ends[-1])
-        ends = ends - lo
-        if hi == lo:
-            return np.empty(0, np.uint32), np.zeros(len(rows), np.int64)
-        data = np.frombuffer(rows.buffers()[2], np.uint8)[lo:hi]
-        edge = np.zeros(len(data) + 1, bool)
-        edge[cut_points(data)] = True
-        edge[ends] = True
-        edges = np.flatnonzero(edge).astype(np.int32)
-        coded = pa.BinaryArray.from_buffers(
-            pa.binary(), len(edges) - 1, [None, pa.py_buffer(edges), pa.py_buffer(data)]).dictionary_encode()
-        words, code = coded.dictionary, coded.indices.to_numpy()
-        word_edges = np.frombuffer(words.buffers()[1], np.int32)[:len(words) + 1].astype(np.int64)
-        flat, stops = self._together(np.frombuffer(words.buffers()[2], np.uint8)[:word_edges[-1]], word_edges)
-        begins = np.concatenate([[0], stops[:-1]])
-        counts = (stops - begins)[code]
-        done = np.concatenate([[0], np.cumsum(counts)])
-        take = np.repeat(begins[code] - done[:-1], counts)
-        take += np.arange(len(take))
-        return flat[take], done[np.searchsorted(edges, ends[1:])]
+        found = Stretches(texts)
+        if not len(found.words):
+            return np.empty(0, np.uint32), np.zeros(len(texts), np.int64)
+        return found.spread(*self._together(found.data, found.edges))
 
 
 @functools.lru_cache(maxsize=1)
@@ -236,14 +202,6 @@ class Packer:
             yield target
 
 
-def _slices(column: pa.Array) -> Iterator[tuple[int, int]]:
-    """Ranges of rows of some ``SLICE_BYTES`` each."""
-    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    group = (np.cumsum(sizes) - sizes) // SLICE_BYTES
-    edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(column)]
-    return ((a, b) for a, b in zip(edges[:-1], edges[1:]) if b > a)
-
-
 def pack_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text",
                    window: int = WINDOW, end_id: int = END) -> DataFrame:
     """``(doc_id, start, length, ids, doc_tokens, sequence_id, offset)``, one row per piece.
@@ -287,11 +245,10 @@ def pack_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
         kind = None
         for batch in batches:
             kind = batch.schema.field(0).type
-            names = batch.column(0).to_pylist()
-            for low, high in _slices(batch.column(1)):
-                ids, ends = encoder.encode(batch.column(1).slice(low, high - low))
+            for part in by_bytes(batch, 1, SLICE_BYTES):
+                ids, ends = encoder.encode(part.column(1))
                 ready, begin = [], 0
-                for name, end in zip(names[low:high], ends.tolist()):
+                for name, end in zip(part.column(0).to_pylist(), ends.tolist()):
                     ready.extend(packer.add(name, np.append(ids[begin:end], np.uint32(end_id))))
                     begin = end
                     if len(ready) >= 512:
