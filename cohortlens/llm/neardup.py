@@ -9,8 +9,10 @@ sets.  Documents with one set are one class from the start.
 Candidates never are all pairs of a bucket.  First every class is paired with
 one head of its buckets, and linked.  Then only buckets whose members still lie
 in several components are looked at, in blocks: first every class tries its
-likeliest partner in another component, and in the end all pairs that still lie
-across components and that the estimate lets through come out.
+likeliest partner in another component, a share of the buckets at a time so that
+each share meets the components the shares before it have put together, and in
+the end all pairs that still lie across components and that the estimate lets
+through come out.
 """
 
 from __future__ import annotations
@@ -20,10 +22,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_shuffles, stored
+from .common import by_bytes, free_shuffles, stored
 from .components import components
 
 SHINGLE_WORDS = 5
@@ -34,15 +36,20 @@ HASHES = BANDS * BAND_ROWS
 BITS = 2
 PER_LONG = 64 // BITS
 LONGS = -(-HASHES // PER_LONG)
-#: The estimate's standard error at 0.75 is 0.034; four of them.
-SLACK = 0.14
+#: The estimate's standard error at 0.75 is 0.034; five of them, beyond which a pair is with 3e-7.
+SLACK = 0.17
+#: Estimate from which a pair is tried before all that may link are looked at: two errors below.
+LIKELY = 0.68
 #: Below this many shingles the same few win many minima, whose low bits agree all
 #: or never, and the estimate can be off by any amount: such pairs are confirmed always.
 SMALL = 64
-#: Turns in which every class tries its likeliest partner in another component.
+#: Turns in which every class tries its likeliest partner in another component; each has
+#: its share of the buckets.
 NEAREST_TURNS = 3
 BLOCK = 512
-_LAST = (1 << 63) - 1
+#: Text bytes whose sets are held together, and likeliest partners before they are reduced.
+SLICE_BYTES = 4 << 20
+PARTNERS = 100_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _PAIR_BITS = 0x5555555555555555
 
@@ -94,44 +101,53 @@ def _profile(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts, classes, signatures, bands = [], [], [], []
-            for value in batch.column(1):
-                sets = shingles(value.as_py())
-                counts.append(len(sets))
-                if not len(sets):
-                    classes.append(None)
-                    signatures.append(None)
-                    bands.append(None)
-                    continue
-                least = minima(sets)
-                classes.append(class_key(sets))
-                signatures.append(packed(least))
-                bands.append(band_keys(least))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(counts, pa.int64()),
-                 pa.array(classes, pa.int64()),
-                 pa.array(signatures, pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.int64()))],
-                names=["doc_id", "text_key", "n", "class", "sig", "bands"])
+            for part in by_bytes(batch, 1, SLICE_BYTES):
+                counts, names, signatures, bands = [], [], [], []
+                for value in part.column(1):
+                    sets = shingles(value.as_py())
+                    counts.append(len(sets))
+                    if not len(sets):
+                        names.append((None, None))
+                        signatures.append(None)
+                        bands.append(None)
+                        continue
+                    least = minima(sets)
+                    names.append(set_name(sets))
+                    signatures.append(packed(least))
+                    bands.append(band_keys(least))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(2), pa.array(counts, pa.int64()),
+                     *[pa.array([x[i] for x in names], pa.int64()) for i in (0, 1)],
+                     pa.array(signatures, pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.int64()))],
+                    names=["doc_id", "text_key", "n", *NAME, "sig", "bands"])
 
     return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(
-        run, f"doc_id {kind}, text_key long, n long, class long, sig array<long>, bands array<long>")
+        run, f"doc_id {kind}, text_key long, n long, name_high long, name_low long, sig array<long>, "
+             "bands array<long>")
+
+
+#: Columns of a set's 128-bit name; among 10^10 sets two share one with 1e-19.
+NAME = ["name_high", "name_low"]
 
 
-def class_key(sets: np.ndarray) -> int:
-    """64-bit name of a shingle set."""
-    return int(np.uint64(xxhash.xxh3_64_intdigest(sets.tobytes())).view(np.int64))
+def set_name(sets: np.ndarray) -> tuple[int, int]:
+    """128-bit name of a shingle set, as two signed halves."""
+    body = xxhash.xxh3_128_digest(sets.tobytes())
+    return tuple(int.from_bytes(body[i:i + 8], "big", signed=True) for i in (0, 8))
 
 
 def _sets(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shingles(v.as_py()) for v in batch.column(0)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([class_key(s) for s in found], pa.int64()),
-                 pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))],
-                names=["class", "set"])
+            for part in by_bytes(batch, 0, SLICE_BYTES):
+                found = [shingles(v.as_py()) for v in part.column(0)]
+                names = [set_name(s) for s in found]
+                yield pa.RecordBatch.from_arrays(
+                    [*[pa.array([x[i] for x in names], pa.int64()) for i in (0, 1)],
+                     pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))],
+                    names=[*NAME, "set"])
 
-    return docs.select("text").mapInArrow(run, "class long, set array<long>")
+    return docs.select("text").mapInArrow(run, "name_high long, name_low long, set array<long>")
 
 
 def _shared_bands(classes: DataFrame) -> DataFrame:
@@ -146,11 +162,12 @@ def _shared_bands(classes: DataFrame) -> DataFrame:
 
 def _needed_sets(classes: DataFrame, shared: DataFrame, texts: DataFrame) -> DataFrame:
     """``(class, set)`` of the classes that share a bucket with another class."""
-    needed = stored(classes.select("class", "doc_id").join(shared.select("class").distinct(), "class"),
+    needed = stored(classes.select("class", *NAME, "doc_id").join(shared.select("class").distinct(), "class"),
                     "needed")
-    holders = needed.select("doc_id").distinct()
+    # ids alone: a small table that can be sent to the texts for longer
+    holders = stored(needed.select("doc_id").distinct(), "holders")
     return (_sets(texts.join(holders, F.col("id").eqNullSafe(F.col("doc_id"))))
-            .join(needed.select("class"), "class").dropDuplicates(["class"]))
+            .join(needed.select("class", *NAME), NAME).dropDuplicates(NAME).select("class", "set"))
 
 
 def estimate(a: Column, b: Column) -> Column:
@@ -183,7 +200,7 @@ def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     right = classes.select(F.col("class").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
     return (pairs.join(left, "a").join(right, "b").where(_could_link(F.col("na"), F.col("nb")))
             .select("a", "b", "na", "nb", estimate(F.col("sa"), F.col("sb")).alias("est"))
-            .where((F.col("est") >= PERCENT / 100 - SLACK) | (F.least("na", "nb") < SMALL)))
+            .where(F.col("est") >= LIKELY))
 
 
 def _dealt(classes: DataFrame, shared: DataFrame, roots: DataFrame) -> DataFrame:
@@ -204,8 +221,30 @@ def _dealt(classes: DataFrame, shared: DataFrame, roots: DataFrame) -> DataFrame
 _PAIR = "who long, a long, b long, na long, nb long, est double"
 
 
+def _best_partners(found: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+    """The likeliest partner of every class among those found so far."""
+    rows = pa.concat_tables([pa.Table.from_batches([b]) for b in found])
+    order = np.lexsort((-rows["est"].to_numpy(), rows["who"].to_numpy()))
+    _, first = np.unique(rows["who"].to_numpy()[order], return_index=True)
+    return rows.take(pa.array(order[first])).combine_chunks().to_batches()
+
+
 def _in_blocks(dealt: DataFrame, exact: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if exact:
+            yield from blocks(batches)
+            return
+        found, size = [], 0
+        for pairs in blocks(batches):
+            found.append(pairs)
+            size += len(pairs)
+            if size > PARTNERS:
+                found = _best_partners(found)
+                size = sum(map(len, found)) // 2
+        if found:
+            yield from _best_partners(found)
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
         for batch in batches:
             t = pa.Table.from_batches([batch])
@@ -274,8 +313,8 @@ def _block_pairs(rows: pa.Table, exact: bool) -> Iterator[pa.RecordBatch]:
         est = (1 - differ / HASHES - 0.25) / 0.75
         small = np.minimum(n[s:s + 256, None], n[None, :])
         large = np.maximum(n[s:s + 256, None], n[None, :])
-        good = (((est >= PERCENT / 100 - SLACK) | (small < SMALL)) & (small * 100 >= large * PERCENT)
-                & (root[s:s + 256, None] != root[None, :]))
+        likely = (est >= PERCENT / 100 - SLACK) | (small < SMALL) if exact else est >= LIKELY
+        good = likely & (small * 100 >= large * PERCENT) & (root[s:s + 256, None] != root[None, :])
         if two_blocks:
             good &= own[s:s + 256, None] != own[None, :]
         if exact:
@@ -339,6 +378,9 @@ def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept, text_key, component)``, one row per input row.
 
+    A link at 0.75 is missed with probability 2e-6 (no band in common), plus
+    3e-7 where the estimate is off by more than five errors.
+
     Documents are linked at a Jaccard similarity of their 5-word shingle sets
     of 0.75 or more; ``component_id`` is the least id reachable.
 
@@ -350,9 +392,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     profile = stored(_profile(rows), "profiles")
-    classes = stored(profile.where("class is not null").groupBy("class").agg(
+    # the number is fixed by the copy that is written
+    classes = stored(profile.where("name_high is not null").groupBy(*NAME).agg(
         F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sig").alias("sig"),
-        F.first("bands").alias("bands")), "classes")
+        F.first("bands").alias("bands")).withColumn("class", F.monotonically_increasing_id()), "classes")
     texts = rows.withColumnRenamed("doc_id", "id").select("id", "text")
     none = classes.select(F.col("class").alias("node"), F.col("class").alias("root")).where("false")
     shared = _shared_bands(classes)
@@ -360,21 +403,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = stored(_needed_sets(classes, shared, texts), "sets")
     free_shuffles(docs.sparkSession)
     roots = _linked(stored(_star_pairs(classes, shared), "pairs"), none, sets)
-    for _ in range(NEAREST_TURNS):
-        near = stored(_nearest_pairs(classes, shared, roots), "pairs")
-        if near.isEmpty():
-            break
-        roots = _linked(near, roots, sets)
+    for turn in range(NEAREST_TURNS):
+        share = shared.where(F.pmod(F.xxhash64("band"), F.lit(NEAREST_TURNS)) == turn)
+        near = stored(_nearest_pairs(classes, share, roots), "pairs")
+        if not near.isEmpty():
+            roots = _linked(near, roots, sets)
         free_shuffles(docs.sparkSession)
     roots = _linked(stored(_crossing_pairs(classes, shared, roots, sets), "pairs"), roots, sets)
-    named = (classes.select("class", "doc_id")
+    named = (classes.select("class", *NAME, "doc_id")
              .join(roots.withColumnRenamed("node", "class"), "class", "left")
              .withColumn("root", F.coalesce("root", "class")))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = named.join(least, "root").select("class", "component_id",
-                                                 F.col("root").alias("component"))
-    own = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return (profile.select("doc_id", "text_key", "n", "class").join(named, "class", "left")
+    named = named.join(least, "root").select(*NAME, "component_id", F.col("root").alias("component"))
+    own = F.when(F.col("name_high").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return (profile.select("doc_id", "text_key", "n", *NAME).join(named, NAME, "left")
             .select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"),
                     F.col("doc_id").eqNullSafe(own).alias("kept"), "text_key", "component"))
 
@@ -382,14 +424,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay: one of each group, all columns unchanged.
 
-    Texts without words stay; rows that repeat id and text stay once.
+    Of a group the row with the least id stays; among rows that repeat this id
+    with several texts, the one whose text has the least hash.  Null, empty and
+    blank texts stay; rows that repeat id and text stay once, null ids
+    included.  The columns may have any names; an empty table gives an empty
+    result.
     """
     kept = near_duplicates(docs, id_col, text_col).where("kept")
     best = (kept.where("component is not null").groupBy("component")
             .agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("m"))
             .select("m.doc_id", "m.text_key"))
     stay = best.unionByName(kept.where("component is null").select("doc_id", "text_key").distinct())
-    stay = stay.select(F.col("doc_id").alias("_stay_id"), F.col("text_key").alias("_stay_key"))
-    return (docs.withColumn("_key", F.xxhash64(text_col))
-            .join(stay, (F.col("_key") == F.col("_stay_key")) & F.col(id_col).eqNullSafe(F.col("_stay_id")))
-            .dropDuplicates(["_key", id_col]).select(*docs.columns))
+    key, stay_id, stay_key = _unused(docs.columns, "text_key", "stay_id", "stay_key")
+    stay = stay.select(F.col("doc_id").alias(stay_id), F.col("text_key").alias(stay_key))
+    return (docs.withColumn(key, F.xxhash64(text_col))
+            .join(stay, (F.col(key) == F.col(stay_key)) & F.col(id_col).eqNullSafe(F.col(stay_id)))
+            .dropDuplicates([key, id_col]).select(*docs.columns))
+
+
+def _unused(columns: list[str], *names: str) -> list[str]:
+    """The names, lengthened until no column has them (names differ by more than case)."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name in taken:
+            name += "_"
+        taken.add(name)
+        out.append(name)
+    return out
