@@ -28,7 +28,11 @@ def _norm(row):
 
 @pytest.mark.parametrize("name", ["user_features", "directory_latest", "parse_timestamps",
                                   "feature_matrix", "farthest_point_peaks", "silhouette",
-                                  "contingency_metrics", "string_index"])
+                                  "contingency_metrics", "string_index", "column_types", "csv_lines",
+                                  "features_from_files", "users_sink", "roles_canonical",
+                                  "directory_coverage_canonical", "daily_sketches", "method_record",
+                                  "kmeans_baseline", "kmeans_sweep", "density_peaks_fixed",
+                                  "compare_methods_labelled", "whole_run"])
 def test_query_matches_oracle(spark, name):
     con = duckdb.connect()
     for t in TABLES:
