@@ -12,20 +12,23 @@ import base64
 import functools
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Stretches, by_bytes
+
 #: White space of the pattern as Unicode defines it (fixed values), written
 #: out because the standard library counts four control characters more.
 _SPACE = "\\t-\\r \x85\xa0  -     　"
 _CHUNKS = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
-#: Bound of the remembered chunks and pieces per Python worker.
-CACHE_ENTRIES = 700_000
+#: Text bytes whose distinct words are encoded together.
+SLICE_BYTES = 8 << 20
 #: Children of a tree node, and the key of a pair that cannot merge.
 FAN = 32
 NONE = 1 << 62
@@ -99,43 +102,43 @@ def merge_bytes(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
     return tuple(out)
 
 
-class _Remembered(dict):
-    """A dict that computes missing values and starts anew when it is full."""
-
-    def __init__(self, compute):
-        super().__init__()
-        self.compute = compute
-
-    def __missing__(self, key):
-        value = self.compute(key)
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        self[key] = value
-        return value
-
-
 class Encoder:
-    """Ranks, pattern and the remembered chunks of one Python process."""
+    """Ranks and pattern of one Python process."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
         self.tokens = {v: k for k, v in ranks.items()}
         self.names = {v: str(v) for v in self.tokens}
         self._split = regex.compile(pattern)
-        self._pieces = _Remembered(lambda p: merge_bytes(p.encode(), self.ranks))
-        self._chunks = _Remembered(self._chunk)
 
-    def _chunk(self, chunk: str) -> tuple[int, ...]:
-        pieces = self._pieces
-        found = [m.group() for m in self._split.finditer(chunk)]
-        if len(found) == 1:
-            return pieces[chunk]
-        return tuple(chain.from_iterable(pieces[p] for p in found))
+    def _ids(self, text: str, pieces: dict[str, tuple[int, ...]]) -> Iterator[int]:
+        for chunk in _CHUNKS.findall(text):
+            for m in self._split.finditer(chunk):
+                piece = m.group()
+                ids = pieces.get(piece)
+                if ids is None:
+                    ids = pieces[piece] = merge_bytes(piece.encode(), self.ranks)
+                yield from ids
 
     def encode(self, text: str) -> list[int]:
         """Token ids.  The text is first cut where no piece of the pattern can cross:
         before the one space in front of a word, and around other white space."""
-        return list(chain.from_iterable(map(self._chunks.__getitem__, _CHUNKS.findall(text))))
+        return list(self._ids(text, {}))
+
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, and where each text's ids end.
+
+        Every distinct stretch between words is encoded once; nothing is kept
+        between calls.
+        """
+        found = Stretches(texts)
+        pieces: dict[str, tuple[int, ...]] = {}
+        flat, stops = array("i"), []
+        for word in found.words.to_pylist():
+            flat.extend(self._ids(word.decode(), pieces))
+            stops.append(len(flat))
+        return found.spread(np.frombuffer(flat, np.int32) if flat else np.empty(0, np.int32),
+                            np.array(stops, np.int64))
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -156,9 +159,9 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = load_encoder(path, pattern)
         for batch in batches:
-            ids = [encoder.encode(t or "") for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+            for part in by_bytes(batch, 1, SLICE_BYTES):
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), _lists(*encoder.encode_all(part.column(1)))], names=["doc_id", "ids"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -191,18 +194,19 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
         encoder = load_encoder(path, pattern)
         name = encoder.names.__getitem__
         for batch in batches:
-            counts, id_hashes, body_hashes, all_ids = [], [], [], []
-            for value in batch.column(1):
-                ids = encoder.encode(value.as_py() or "")
-                counts.append(len(ids))
-                id_hashes.append(hashlib.sha256(",".join(map(name, ids)).encode()).hexdigest())
-                body_hashes.append(hashlib.sha256(encoder.decode(ids)).hexdigest())
-                if with_ids:
-                    all_ids.append(pa.array(ids, pa.int32()))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(id_hashes, pa.string()),
-                 pa.array(body_hashes, pa.string()), *([_lists(all_ids)] if with_ids else [])],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][:4 + with_ids])
+            for part in by_bytes(batch, 1, SLICE_BYTES):
+                flat, ends = encoder.encode_all(part.column(1))
+                counts, id_hashes, body_hashes, begin = [], [], [], 0
+                for end in ends.tolist():
+                    ids = flat[begin:end].tolist()
+                    begin = end
+                    counts.append(len(ids))
+                    id_hashes.append(hashlib.sha256(",".join(map(name, ids)).encode()).hexdigest())
+                    body_hashes.append(hashlib.sha256(encoder.decode(ids)).hexdigest())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(counts, pa.int64()), pa.array(id_hashes, pa.string()),
+                     pa.array(body_hashes, pa.string()), *([_lists(flat, ends)] if with_ids else [])],
+                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][:4 + with_ids])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -210,9 +214,5 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
                                 "decoded_sha256 string" + ", ids array<int>" * with_ids)
 
 
-def _lists(parts: list[pa.Array]) -> pa.ListArray:
-    ends = [0]
-    for p in parts:
-        ends.append(ends[-1] + len(p))
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()),
-                                    pa.concat_arrays(parts) if parts else pa.array([], pa.int32()))
+def _lists(flat: np.ndarray, ends: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(flat))
