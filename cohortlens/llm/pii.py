@@ -475,7 +475,8 @@ def redact(docs: DataFrame, tagger: Tagger, text_col: str = "text") -> DataFrame
     """The rows of ``docs`` with every span replaced by its kind in angle brackets.
 
     Where spans overlap the union is replaced under the kind of the first.
-    All other columns and all rows stay; a null text stays null.
+    All other columns, of any names, and all rows stay, repeated ones too; a
+    null or empty text stays as it is; an empty table gives an empty result.
     """
     at = docs.columns.index(text_col)
 
