@@ -256,7 +256,8 @@ def source_folder(spark, sf_dir) -> str:
     even = F.col("id").cast("long") % 2 == 0
     parts = {"logon_a.csv": (log.where(even), True), "logon_b.csv": (log.where(~even), False),
              "device.csv": (tb.device_log(spark, sf_dir), True), "HTTP-1.csv": (tb.http_log(spark, sf_dir), False)}
-    snapshots = tb.directory_snapshots(spark, sf_dir)
+    # dealt out: a small table in one file grows by the months of every person
+    snapshots = tb.directory_snapshots(spark, sf_dir, spark.sparkContext.defaultParallelism)
     last = F.col("snapshot") == f"LDAP-2010-{tb.LAST_MONTH:02d}"
     parts[f"LDAP-2010-{tb.LAST_MONTH:02d}.csv"] = (snapshots.where(last).drop("snapshot"), True)
     parts["ldap-2010-01.csv"] = (snapshots.where(~last).drop("snapshot"), False)

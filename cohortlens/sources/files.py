@@ -100,8 +100,10 @@ def load_events(spark: SparkSession, found: dict[str, list[str]]) -> DataFrame:
     src = reduce(lambda c, r: c.when(name.startswith(r), r), roles, F.when(F.lit(False), ""))
     rows = (spark.read.schema(TAGGED_SCHEMA).option("header", "false").option("mode", "PERMISSIVE")
             .csv(paths).withColumn("src", src))
-    header = reduce(lambda c, r: c.when(F.col("src") == r, header_row(
-        names, HEADER_KEY[r], SCHEMAS[r].fieldNames())), roles, F.when(F.lit(False), F.lit(False)))
+    headers = {r: header_row(names, HEADER_KEY[r], SCHEMAS[r].fieldNames()) for r in roles}
+    # the role is looked up for rows only that some role's header reads like
+    header = reduce(lambda a, b: a | b, headers.values()) & reduce(
+        lambda c, r: c.when(F.col("src") == r, headers[r]), roles, F.when(F.lit(False), F.lit(False)))
     return rows.where(~header).select(
         "user", "src", F.when(F.col("src") == "http", F.col("last")).otherwise(F.col("pc")).alias("key"),
         "date", F.when(F.col("src") == "logon", F.col("last")).alias("activity"))

@@ -119,9 +119,14 @@ def activity_logs(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     }
 
 
-def directory_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Monthly snapshots ``(employee_name, user_id, email, domain, role, snapshot)``."""
+def directory_snapshots(spark: SparkSession, sf_dir: str, partitions: int | None = None) -> DataFrame:
+    """Monthly snapshots ``(employee_name, user_id, email, domain, role, snapshot)``.
+
+    With ``partitions`` the people are dealt out before their months are listed.
+    """
     c = table(spark, sf_dir, "customer")
+    if partitions:
+        c = c.select("c_name", "c_custkey", "c_acctbal", "c_mktsegment").repartition(partitions)
     last = F.when(
         F.col("c_acctbal") < 0,
         F.least(F.lit(LAST_MONTH - 1),
@@ -146,7 +151,7 @@ def directory_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
                    ).otherwise(F.array().cast(f"array<{entry}>"))
     return (c.select(*person, F.explode(F.concat(monthly, admin)).alias("e"))
             .select("employee_name", "user_id", "email", "domain", "e.role",
-                    F.format_string("LDAP-2010-%02d", F.col("e.month")).alias("snapshot")))
+                    F.concat(F.lit("LDAP-2010-"), F.lpad(F.col("e.month").cast("string"), 2, "0")).alias("snapshot")))
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -206,3 +206,20 @@ def test_single_pass_approx_matches_exact_on_small_sets(spark):
     unfilled = rounded(feat.user_features(_logon(spark), _device(spark), None, fill=False,
                                           exact_distinct=False))
     assert unfilled == rounded(feat.user_features(_logon(spark), _device(spark), None, fill=False))
+
+
+def test_times_parse_as_by_every_format_in_turn(spark):
+    """A text goes to the format it is spelled like; all others give what trying each gives."""
+    from cohortlens.functions.timeparse import TIMESTAMP_FORMATS
+
+    texts = ["01/02/2010 03:04:05", "2010-01-02 03:04:05", "1/2/2010 3:04", "12/31/2010 23:59", "1/2/2010 13:04",
+             "02/30/2010 01:00:00", "2010-02-30 01:00:00", "2/30/2010 1:00", "13/01/2010 01:00", "1/2/2010 3:4",
+             "001/2/2010 3:04", "01/02/10 03:04:05", "+12010-01-02 03:04:05", " 1/2/2010 3:04", "1/2/2010 3:04 ",
+             "2010/01/02 03:04:05", "n/a 7", "Date", "", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, d string")
+    plain = F.coalesce(*[F.try_to_timestamp("d", F.lit(f)) for f in TIMESTAMP_FORMATS])
+    rows = df.select(parse_event_time("d").cast("string").alias("got"), plain.cast("string").alias("want")).collect()
+    assert [r["got"] for r in rows] == [r["want"] for r in rows]
+    assert sum(r["got"] is not None for r in rows) >= 5
+    # the first thing tried is a format that is kept to its own spelling
+    assert "CASE WHEN" in str(parse_event_time("d")).split("try_to_timestamp")[0].upper()

@@ -257,3 +257,26 @@ def test_a_killed_run_goes_on_after_the_fits(spark, tmpdir_fresh, monkeypatch):
     # so is changed input
     _write(data, "logon_c.csv", ["N1,01/04/2010 07:12:31,U999,PC-1,Logon"])
     assert run_pipeline(spark, data, out, **kw)[0].count() == 41
+
+
+def test_snapshots_are_written_by_many_tasks(spark, tmp_path):
+    """One small file of people must not be listed month by month in a single task."""
+    from cohortlens.queries import source_folder
+    from cohortlens.sources import tables as tb
+
+    spark.range(200).selectExpr(
+        "id AS c_custkey", "concat('Customer#', id) AS c_name", "CAST(id % 5 AS INT) AS c_nationkey",
+        "CAST(id * 97 % 10000 - 900 AS DOUBLE) AS c_acctbal", "concat('S', id % 3) AS c_mktsegment",
+    ).coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(50).selectExpr(
+        "id AS event_id", "timestamp'2010-01-02 08:30:00' AS ts", "id % 7 AS user_id",
+        "element_at(array('click', 'view', 'purchase', 'error'), CAST(id % 4 + 1 AS INT)) AS event_type",
+        "0D AS value", "concat('{\"k\": ', id, '}') AS props").write.parquet(f"{tmp_path}/events.parquet")
+    folder = source_folder(spark, str(tmp_path))
+    assert spark.sparkContext.defaultParallelism > 1
+    assert len(spark.read.text(f"{folder}/LDAP-2010-12.csv").inputFiles()) > 1
+    assert len(spark.read.text(f"{folder}/ldap-2010-01.csv").inputFiles()) > 1
+    plain, dealt = (sorted(map(str, tb.directory_snapshots(spark, str(tmp_path), n).collect())) for n in (None, 3))
+    assert plain == dealt
+    assert {r[0] for r in tb.directory_snapshots(spark, str(tmp_path)).select("snapshot").distinct().collect()} == {
+        f"LDAP-2010-{m:02d}" for m in range(1, 13)}
