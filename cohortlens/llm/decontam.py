@@ -1,11 +1,11 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Texts are cut into overlapping passages, weighted by TF-IDF over hashed words
-and projected on a latent basis from a distributed randomised SVD.  Passages
-whose cosine with a benchmark item is high are candidates, and so is every other
-passage that holds enough of the item's rare words for a leak; the longest
-common subsequence of words and a check of the item's answer decide, so that
-edited passages are found too.
+and projected on a latent basis from a distributed randomised factorisation of
+all of them.  Passages whose cosine with a benchmark item is high are
+candidates, and so is every other passage that holds enough of the item's rare
+words for a leak; the longest common subsequence of words and a check of the
+item's answer decide, so that edited passages are found too.
 """
 
 from __future__ import annotations
@@ -27,9 +27,8 @@ BUCKETS = 1 << 15
 RANK, EXTRA = 96, 8
 #: A passage is two blocks of words; neighbours share one.
 BLOCK = 32
-#: Bounds of what the basis is fitted on: documents, and passages of each.
-FIT_DOCUMENTS = 1000
-FIT_PASSAGES = 16
+#: Rows that are gathered at once.
+GATHERED = 2048
 #: Benchmark items that are searched for together.
 ITEMS_TOGETHER = 5000
 CANDIDATE = 0.55
@@ -111,48 +110,108 @@ def bucket_ids(words: list[str]) -> np.ndarray:
     return hashed_words(" ".join(words)).buckets
 
 
-def document_frequency(docs: DataFrame, text_col: str = "text") -> tuple[int, np.ndarray]:
-    """Number of texts, and in how many of them each bucket occurs; all texts count."""
+def cut_passages(texts: DataFrame, text_col: str = "text") -> DataFrame:
+    """``(ids, fresh)`` for every passage of every text, buckets as 16-bit numbers.
+
+    The words whose bucket occurs for the first time in their text come first;
+    ``fresh`` counts them.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, counts, last = 0, np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+        last = np.zeros(BUCKETS, np.int64)
         for batch in batches:
+            ids, fresh = [], []
             for value in batch.column(0):
-                ids = hashed_words(value.as_py()).buckets
-                places = np.arange(len(ids))
-                last[ids] = places
-                counts[ids[last[ids] == places]] += 1  # one place of each bucket
-                total += 1
+                words = hashed_words(value.as_py()).buckets
+                places = np.arange(len(words))
+                last[words[::-1]] = places[::-1]
+                first = last[words] == places  # one place of each bucket
+                words = words.astype(np.uint16)
+                for s in range(0, len(words), 2 * BLOCK):
+                    part, new = words[s:s + 2 * BLOCK], first[s:s + 2 * BLOCK]
+                    ids.append(np.concatenate([part[new], part[~new]]).tobytes())
+                    fresh.append(int(np.count_nonzero(new)))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(fresh, pa.int32())],
+                                             names=["ids", "fresh"])
+
+    return texts.select(text_col).mapInArrow(run, "ids binary, fresh int")
+
+
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of all passages of a batch one after the other, and their edges."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    if not len(column) or ends[-1] == ends[0]:
+        return np.empty(0, np.uint16), np.zeros(len(column) + 1, np.int64)
+    flat = np.frombuffer(data, np.uint8)[ends[0]:ends[-1]].view(np.uint16)
+    return flat, (ends - ends[0]).astype(np.int64) // 2
+
+
+def document_frequency(passages: DataFrame) -> np.ndarray:
+    """In how many texts each bucket occurs, from the passages of all of them."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            flat, edges = _flat(batch.column(0))
+            inside = np.arange(len(flat)) - np.repeat(edges[:-1], np.diff(edges))
+            counts += np.bincount(flat[inside < np.repeat(batch.column(1).to_numpy(), np.diff(edges))],
+                                  minlength=BUCKETS)
         here = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.append(here, -1)), pa.array(np.append(counts[here], total))],
-            names=["bucket", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(here), pa.array(counts[here])], names=["bucket", "n"])
+
+    # one row per bucket, so at most BUCKETS rows reach the driver
+    rows = (passages.select("ids", "fresh").mapInArrow(run, "bucket long, n long")
+            .groupBy("bucket").agg(F.sum("n").alias("n")).toArrow())
+    out = np.zeros(BUCKETS, np.int64)
+    out[rows["bucket"].to_numpy()] = rows["n"].to_numpy()
+    return out
 
-    # one row per bucket, so at most BUCKETS + 1 rows reach the driver
-    rows = (docs.select(text_col).mapInArrow(run, "bucket long, n long")
-            .groupBy("bucket").agg(F.sum("n").alias("n")).collect())
-    out, total = np.zeros(BUCKETS, np.int64), 0
-    for r in rows:
-        if r["bucket"] < 0:
-            total = r["n"]
-        else:
-            out[r["bucket"]] = r["n"]
-    return total, out
+
+def _added(table: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The sum of a table's rows at each row of places."""
+    out = np.empty((len(places), 1, table.shape[1]), table.dtype)
+    step = max(1, GATHERED // places.shape[1])
+    one = np.ones((1, places.shape[1]), table.dtype)
+    taken = np.empty((min(step, len(places)), *places.shape[1:], table.shape[1]), table.dtype)
+    for s in range(0, len(places), step):
+        here = places[s:s + step]
+        np.take(table, here, axis=0, out=taken[:len(here)], mode="clip")
+        # a product with ones adds faster than reduceat or sum
+        np.matmul(one, taken[:len(here)], out=out[s:s + step])
+    return out[:, 0]
 
 
 def _normal_product(passages: DataFrame, idf: np.ndarray, right: np.ndarray) -> np.ndarray:
     """``A'(A right)`` for the TF-IDF matrix ``A`` of the passages, summed over partitions."""
     stripe = 2048
     width = right.shape[1]
-    right = right.astype(np.float32)
+    # a row of A is its words' idf times one factor, so words are only gathered and added
+    right = np.vstack([right * idf[:, None], np.zeros((1, width))]).astype(np.float32)
+    squares = idf ** 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((BUCKETS, width), np.float32)
         for batch in batches:
-            for ids, weight in zip(batch.column(0), batch.column(1)):
-                ids = np.array(ids.as_py())
-                values = idf[ids]
-                values = (values * (weight.as_py() / max(np.linalg.norm(values), 1e-9))).astype(np.float32)
-                np.add.at(total, ids, values[:, None] * (values @ right[ids]))
+            flat, edges = _flat(batch.column(0))
+            if not len(flat):
+                continue
+            sizes = np.diff(edges)
+            factor = batch.column(1).to_numpy() / np.maximum(
+                np.sqrt(np.add.reduceat(squares[flat], edges[:-1])), 1e-9)
+            words = np.full((len(sizes), 2 * BLOCK), BUCKETS, np.int64)
+            words[np.arange(2 * BLOCK) < sizes[:, None]] = flat
+            rows = np.zeros((len(sizes) + 1, width), np.float32)
+            rows[:-1] = _added(right, words) * (factor ** 2).astype(np.float32)[:, None]
+            order = np.argsort(flat, kind="stable")
+            flat, owner = flat[order], np.repeat(np.arange(len(sizes)), sizes)[order]
+            first = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
+            count = np.diff(np.append(first, len(flat)))
+            # the passages of a bucket by eights, the last ones filled with a row of zeros
+            eights = -(-count // 8)
+            begin = np.cumsum(eights) - eights
+            holders = np.full(8 * int(eights.sum()), len(sizes), np.int64)
+            holders[np.arange(len(flat)) + np.repeat(8 * begin - first, count)] = owner
+            total[flat[first]] += np.add.reduceat(_added(rows, holders.reshape(-1, 8)), begin)
+        total *= idf[:, None].astype(np.float32)
         parts = list(range(0, BUCKETS, stripe))
         yield pa.RecordBatch.from_arrays(
             [pa.array(parts, pa.int64()),
@@ -172,15 +231,21 @@ def _normal_product(passages: DataFrame, idf: np.ndarray, right: np.ndarray) ->
 
 
 def latent_basis(passages: DataFrame, idf: np.ndarray, rank: int = RANK) -> np.ndarray:
-    """Right singular vectors (buckets x rank) by a randomised range finder with one power step."""
-    rng = np.random.default_rng(11)
-    guess = rng.normal(size=(BUCKETS, rank + EXTRA)).astype(np.float32)
-    for _ in range(2):
-        guess, _ = np.linalg.qr(_normal_product(passages, idf, guess))
-    small = guess.T @ _normal_product(passages, idf, guess)
-    values, turn = np.linalg.eigh((small + small.T) / 2)
+    """Right singular vectors (buckets x rank) by a randomised Nystroem approximation of ``A'A``.
+
+    One pass over all passages.  Directions that the passages do not have are columns of zeros.
+    """
+    guess = np.random.default_rng(11).normal(size=(BUCKETS, rank + EXTRA)).astype(np.float32)
+    seen = _normal_product(passages, idf, guess)
+    values, turn = np.linalg.eigh((guess.T @ seen + seen.T @ guess).astype(np.float64) / 2)
+    found = values > 1e-5 * max(values[-1], 1e-30)
+    root = seen @ (turn[:, found] / np.sqrt(values[found])).astype(np.float32)
+    values, turn = np.linalg.eigh((root.T @ root).astype(np.float64))
     best = np.argsort(-values)[:rank]
-    return guess @ turn[:, best].astype(np.float32)
+    best = best[values[best] > 1e-6 * max(values[-1:], default=0)]
+    out = np.zeros((BUCKETS, rank), np.float32)
+    out[:, :len(best)] = root @ (turn[:, best] / np.sqrt(values[best])).astype(np.float32)
+    return out
 
 
 @dataclass
@@ -299,8 +364,10 @@ class Searcher:
         words = hashed_words(text)
         if not len(words) or not len(self.pieces):
             return []
-        blocks = np.add.reduceat(self.projection.take(words.buckets, axis=0),
-                                 np.arange(0, len(words), BLOCK))
+        whole = len(words) // BLOCK * BLOCK
+        blocks = _added(self.projection, words.buckets[:whole].reshape(-1, BLOCK))
+        if whole < len(words):
+            blocks = np.vstack([blocks, self.projection[words.buckets[whole:]].sum(axis=0)])
         passages = blocks if len(blocks) == 1 else blocks[:-1] + blocks[1:]
         size = np.linalg.norm(passages, axis=1, keepdims=True)
         places = set()
@@ -348,42 +415,24 @@ class Searcher:
 
 def fit_searchers(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                   text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
-                  answer_col: str | None = None, bound: int = FIT_DOCUMENTS) -> list[Searcher]:
-    """One searcher per ``ITEMS_TOGETHER`` items.
+                  answer_col: str | None = None) -> list[Searcher]:
+    """One searcher per ``ITEMS_TOGETHER`` items; the ids of documents take no part.
 
-    Word statistics cover all documents; the basis is fitted on passages of at
-    most ``bound`` documents (least id hashes) and on all passages of all items,
-    weighted to count as much together as the documents.
+    Word statistics cover all documents; the basis is fitted on all passages of
+    all documents and of all items, the latter weighted to count as much
+    together as the documents.
     """
-    total, frequency = document_frequency(docs, text_col)
-    # squared, because hashed rare words share buckets and would weigh too little
-    idf = (np.log((total + 1) / (frequency + 1)) + 0.05) ** 2
     items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text"),
                              (F.col(answer_col) if answer_col else F.lit(None).cast("string")).alias("answer"))
     rounds = -(-items.count() // ITEMS_TOGETHER)
     if not rounds:
         return []
-    ids = (docs.select(F.col(id_col).alias("doc_id")).distinct()
-           .orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound))
-    sample = (docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-              .join(F.broadcast(ids), "doc_id").select("text"))
-
-    def cut(texts: DataFrame, most: int | None) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                out = []
-                for value in batch.column(0):
-                    ids = hashed_words(value.as_py()).buckets
-                    starts = range(0, len(ids), 2 * BLOCK)
-                    for s in starts[::max(1, -(-len(starts) // most))] if most else starts:
-                        out.append(ids[s:s + 2 * BLOCK])
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int64()))], names=["ids"])
-
-        return texts.select("text").mapInArrow(run, "ids array<long>")
-
-    corpus = cut(sample, FIT_PASSAGES).withColumn("weight", F.lit(1.0))
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(rounds))
-    passages = stored(corpus.unionByName(cut(items, None).withColumn("weight", F.lit(0.0))), "passages")
+    passages = stored(cut_passages(docs, text_col).withColumn("weight", F.lit(1.0))
+                      .unionByName(cut_passages(items).withColumn("weight", F.lit(0.0))), "passages")
+    frequency = document_frequency(passages.where("weight = 1"))
+    # squared, because hashed rare words share buckets and would weigh too little
+    idf = (np.log((docs.count() + 1) / (frequency + 1)) + 0.05) ** 2
     n = {r["weight"]: r["count"] for r in passages.groupBy("weight").count().collect()}
     even = (max(n.get(1.0, 0), 1) / max(n.get(0.0, 0), 1)) ** 0.5
     passages = passages.withColumn("weight", F.when(F.col("weight") == 0, F.lit(even)).otherwise(1.0))

@@ -308,3 +308,50 @@ def test_every_item_of_a_tagged_run_is_added():
         "ann (at) host (dot) com", "bob [at] site [dot] org"]
     first = [(email, 0, len("ann (at) host (dot) com"))]
     assert [text[a:b] for _, a, b in pii.added_spans(text, first + base, run)] == ["bob [at] site [dot] org"]
+
+
+def test_basis_is_fitted_on_all_passages_of_all_documents(spark, monkeypatch):
+    seen = []
+
+    def basis(passages, idf):
+        words = [np.frombuffer(r["ids"], np.uint16) for r in passages.select("ids").collect()]
+        seen.append((len(words), sum(map(len, words)), idf))
+        return np.zeros((decontam.BUCKETS, decontam.RANK), np.float32)
+
+    monkeypatch.setattr(decontam, "latent_basis", basis)
+    rows = [(i, f"a{i} b c b") for i in range(1200)] + [(1200, "long " * 64 * 40 + "end"), (1201, None), (1202, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "x y z")], "item_id long, text string")
+    decontam.fit_searchers(docs, bench)
+    (count, words, idf), = seen
+    assert (count, words) == (1200 + 41 + 1, 1200 * 4 + 64 * 40 + 1 + 3)
+    # a word counts once per text, and texts without words count
+    held = [set(decontam.hashed_words(t).buckets.tolist()) for _, t in rows]
+    for word in ("b", "long", "end", "nowhere"):
+        at, = decontam.bucket_ids([word])
+        assert idf[at] == pytest.approx((np.log(1204 / (sum(at in h for h in held) + 1)) + 0.05) ** 2)
+
+
+def test_basis_is_that_of_the_passages(spark):
+    rng = np.random.default_rng(2)
+    texts = [" ".join(f"t{k}w{i}" for i in rng.integers(0, 40, int(rng.integers(1, 200)))) for k in range(5)
+             for _ in range(30)]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    passages = decontam.cut_passages(docs).selectExpr("*", "1D AS weight")
+    idf = rng.uniform(0.5, 2, decontam.BUCKETS)
+    rows = []
+    for r in passages.collect():
+        row = np.zeros(decontam.BUCKETS)
+        ids = np.frombuffer(r["ids"], np.uint16)
+        np.add.at(row, ids, idf[ids])
+        rows.append(row / np.linalg.norm(idf[ids]))
+    whole = np.array(rows)
+    right = rng.normal(size=(decontam.BUCKETS, 7))
+    want = whole.T @ (whole @ right)
+    assert np.abs(decontam._normal_product(passages, idf, right) - want).max() < 1e-4 * np.abs(want).max()
+    basis = decontam.latent_basis(passages, idf, rank=5).astype(np.float64)
+    assert np.abs(basis.T @ basis - np.eye(5)).max() < 1e-2
+    # five topics without a word in common: five leading directions
+    best = np.linalg.svd(whole, compute_uv=False)[:5]
+    assert np.linalg.norm(whole @ basis) ** 2 > 0.9 * (best ** 2).sum()
+    assert not decontam.latent_basis(passages.limit(0), idf).any()
