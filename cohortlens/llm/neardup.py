@@ -188,11 +188,13 @@ def _could_link(a: Column, b: Column) -> Column:
 
 
 def _star_pairs(classes: DataFrame, shared: DataFrame) -> DataFrame:
-    """One likely pair per class: with the least class that heads one of its buckets."""
+    """One likely pair per class: with the likeliest of the classes that head its buckets."""
     heads = shared.groupBy("band").agg(F.min("class").alias("a"))
     pairs = (shared.join(heads, "band").where("class != a")
-             .groupBy(F.col("class").alias("b")).agg(F.min("a").alias("a")))
-    return _estimated(pairs, classes)
+             .select("a", F.col("class").alias("b")).distinct())
+    return (_estimated(pairs, classes).groupBy("b")
+            .agg(F.max(F.struct("est", "a", "na", "nb")).alias("m"))
+            .select("m.a", "b", "m.na", "m.nb", "m.est"))
 
 
 def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -204,16 +206,26 @@ def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _dealt(classes: DataFrame, shared: DataFrame, roots: DataFrame) -> DataFrame:
-    """Members of the buckets that hold several components, dealt out by pairs of blocks."""
+    """Members of the buckets that hold several components, dealt out by pairs of blocks.
+
+    The members of a bucket's largest component are compared with the others only, so
+    they are in blocks of their own (numbered -1, -2, ...) that never meet each other:
+    while the others fill one block, rows grow with the members and not their square.
+    """
     rows = (shared.join(roots.withColumnRenamed("node", "class"), "class", "left")
             .select("class", "band", F.coalesce("root", "class").alias("root")))
-    mixed = (rows.groupBy("band").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("lo"),
-                                      F.max("root").alias("hi"))
-             .where("lo != hi").select("band", F.ceil(F.col("m") / BLOCK).cast("int").alias("nb")))
-    own = F.pmod(F.xxhash64("class"), F.col("nb")).cast("int")
+    mixed = (rows.groupBy("band", "root").agg(F.count(F.lit(1)).alias("m"))
+             .groupBy("band").agg(F.count(F.lit(1)).alias("parts"), F.sum("m").alias("m"),
+                                  F.max(F.struct("m", "root")).alias("most")).where("parts > 1")
+             .select("band", F.col("most.root").alias("largest"),
+                     F.ceil(F.col("most.m") / BLOCK).cast("int").alias("nl"),
+                     F.ceil((F.col("m") - F.col("most.m")) / BLOCK).cast("int").alias("nb")))
+    large = F.col("root") == F.col("largest")
+    own = (F.when(large, -1 - F.pmod(F.xxhash64("class"), F.col("nl")))
+           .otherwise(F.pmod(F.xxhash64("class"), F.col("nb"))).cast("int"))
     return (rows.join(mixed, "band").withColumn("own", own)
             .join(classes.select("class", "n", "sig"), "class")
-            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+            .withColumn("other", F.explode(F.sequence(F.when(large, 0).otherwise(-F.col("nl")), F.col("nb") - 1)))
             .select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
                     "own", "class", "n", "root", "sig"))
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.llm import bpe, decontam, neardup, pii, quality
-from cohortlens.llm.common import fresh_path, table
+from cohortlens.llm.common import free_shuffles, fresh_path, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -83,5 +83,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, stage in STAGES:
         path = fresh_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
+        # the driver's share of a stage goes with it
+        free_shuffles(spark)
         docs = spark.read.parquet(path)
     return docs

@@ -12,6 +12,8 @@ import pytest
 import tiktoken
 import public_tokenizers as P
 
+from pyspark.sql import functions as F
+
 from cohortlens.llm import ann, bpe, decontam, neardup, pii, quality, secrets, sharding, substrings, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, class long"
@@ -355,3 +357,38 @@ def test_basis_is_that_of_the_passages(spark):
     best = np.linalg.svd(whole, compute_uv=False)[:5]
     assert np.linalg.norm(whole @ basis) ** 2 > 0.9 * (best ** 2).sum()
     assert not decontam.latent_basis(passages.limit(0), idf).any()
+
+
+def test_rows_of_a_large_bucket_grow_with_its_members(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+
+    def dealt(members, others):
+        """One bucket: ``members`` classes of one component and ``others`` each alone."""
+        sig = F.array(*[F.lit(0).cast("long")] * neardup.LONGS)
+        classes = spark.range(members + others).select(F.col("id").alias("class"), F.lit(100).cast("long").alias("n"),
+                                                       sig.alias("sig"))
+        shared = classes.select("class", F.lit(7).cast("long").alias("band"))
+        roots = spark.range(1, members).select(F.col("id").alias("node"), F.lit(0).cast("long").alias("root"))
+        rows = neardup._dealt(classes, shared, roots).select("i", "j", "own", "class", "root").collect()
+        blocks = {}
+        for r in rows:
+            blocks.setdefault((r["i"], r["j"]), []).append(r)
+        met = {frozenset((x["class"], y["class"])) for (i, j), b in blocks.items() for x in b for y in b
+               if x["root"] != y["root"] and (i == j or x["own"] != y["own"])}
+        far = {frozenset((x, y)) for x in range(members + others) for y in range(max(members, x + 1), members + others)}
+        assert met == far  # every pair across components meets
+        return len(rows)
+
+    assert dealt(160, 3) <= 2 * 163 and dealt(640, 3) <= 2 * 643
+    assert dealt(20, 30) > 0
+
+
+def test_a_class_is_first_tried_with_its_likeliest_head(spark):
+    rng = np.random.default_rng(6)
+    sig = rng.integers(0, 1 << 62, neardup.LONGS).tolist()
+    near = [sig[0] ^ 3, *sig[1:]]
+    far = [sig[0] ^ 0x5555_5555_5555, *sig[1:]]
+    classes = spark.createDataFrame([(0, 100, far), (1, 100, near), (2, 100, sig)],
+                                    "class long, n long, sig array<long>")
+    shared = spark.createDataFrame([(0, 10), (2, 10), (1, 11), (2, 11)], "class long, band long")
+    assert [(r["a"], r["b"]) for r in neardup._star_pairs(classes, shared).collect()] == [(1, 2)]
