@@ -11,7 +11,7 @@ item's answer decide, so that edited passages are found too.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,6 +29,8 @@ RANK, EXTRA = 96, 8
 BLOCK = 32
 #: Rows that are gathered at once.
 GATHERED = 2048
+#: Characters of texts that are hashed at once.
+TOGETHER = 1 << 15
 #: Benchmark items that are searched for together.
 ITEMS_TOGETHER = 5000
 CANDIDATE = 0.55
@@ -43,7 +45,7 @@ LEAK, LEAK_WITH_ANSWER, ANSWER = 0.75, 0.6, 0.9
 _WORD = re.compile(r"[^\W_]+")
 _SENTENCE = re.compile(r"[.!?\n]+")
 #: Bytes that belong to words once other characters than letters and digits are blanks.
-_WORD_BYTE = np.array([chr(b).isalnum() or b > 127 for b in range(128)] + [True] * 128)
+_WORD_BYTE = bytes(b > 127 or chr(b).isalnum() for b in range(256))
 #: Odd factor of the polynomial word hash and its inverse modulo 2^64.
 _FACTOR = 0x9E3779B97F4A7C15
 _INVERSE = pow(_FACTOR, -1, 1 << 64)
@@ -56,7 +58,7 @@ def _powers(base: int, count: int) -> np.ndarray:
     return np.multiply.accumulate(steps)
 
 
-_POWERS, _INVERSES = _powers(_FACTOR, 1 << 16), _powers(_INVERSE, 1 << 16)
+_POWERS, _INVERSES = _powers(_FACTOR, 1 << 17), _powers(_INVERSE, 1 << 17)
 
 
 def words_of(text: str | None) -> list[str]:
@@ -83,15 +85,38 @@ class Words:
 
 def hashed_words(text: str | None) -> Words:
     """The words that ``words_of`` finds, hashed all at once instead of one by one."""
-    low = (text or "").lower()
-    if not low.isascii():
-        for c in set(low):
-            if c > "\x7f" and not c.isalnum():
-                low = low.replace(c, " ")
-    body = low.encode()
+    return _hashed([(text or "").lower()])[0]
+
+
+def hashed_together(texts: Iterable[str | None]) -> Iterator[list[Words]]:
+    """``hashed_words`` of each text, for about ``TOGETHER`` characters of texts at once."""
+    held, size = [], 0
+    for text in texts:
+        low = (text or "").lower()
+        if held and size + len(low) > TOGETHER:
+            yield _hashed(held)
+            held, size = [], 0
+        held.append(low)
+        size += len(low)
+    if held:
+        yield _hashed(held)
+
+
+def _hashed(lows: list[str]) -> list[Words]:
+    whole = "".join(lows)
+    if not whole.isascii():
+        points = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
+        odd = [c for c in map(chr, np.unique(points[points > 127]).tolist()) if not c.isalnum()]
+        for i, low in enumerate(lows):
+            if not low.isascii():
+                for c in odd:
+                    low = low.replace(c, " ")
+                lows[i] = low
+    bodies = [low.encode() for low in lows]
+    body = b" ".join(bodies)
     data = np.frombuffer(body, np.uint8)
     inside = np.zeros(len(data) + 2, bool)
-    inside[1:-1] = _WORD_BYTE[data]
+    inside[1:-1] = np.frombuffer(body.translate(_WORD_BYTE), bool)
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     starts, ends = edges[::2], edges[1::2]
     if len(data) <= len(_POWERS):
@@ -102,8 +127,10 @@ def hashed_words(text: str | None) -> Words:
     np.cumsum(data * powers[:len(data)], out=sums[1:])
     hashes = (sums[ends] - sums[starts]) * inverses[starts]
     hashes = (hashes ^ (hashes >> np.uint64(32))) * _MIX
-    return Words(body, starts, ends, (hashes >> np.uint64(49)).astype(np.int64),
-                 (hashes >> np.uint64(64 - CODE_BITS)).astype(np.int64))
+    buckets = (hashes >> np.uint64(49)).astype(np.int64)
+    codes = (hashes >> np.uint64(64 - CODE_BITS)).astype(np.int64)
+    stops = np.searchsorted(starts, np.cumsum([len(b) + 1 for b in bodies])).tolist()
+    return [Words(body, starts[a:b], ends[a:b], buckets[a:b], codes[a:b]) for a, b in zip([0, *stops], stops)]
 
 
 def bucket_ids(words: list[str]) -> np.ndarray:
@@ -120,18 +147,19 @@ def cut_passages(texts: DataFrame, text_col: str = "text") -> DataFrame:
         last = np.zeros(BUCKETS, np.int64)
         for batch in batches:
             ids, fresh = [], []
-            for value in batch.column(0):
-                words = hashed_words(value.as_py()).buckets
+            for words in (x.buckets for many in hashed_together(batch.column(0).to_pylist()) for x in many):
                 places = np.arange(len(words))
                 last[words[::-1]] = places[::-1]
-                first = last[words] == places  # one place of each bucket
-                words = words.astype(np.uint16)
-                for s in range(0, len(words), 2 * BLOCK):
-                    part, new = words[s:s + 2 * BLOCK], first[s:s + 2 * BLOCK]
-                    ids.append(np.concatenate([part[new], part[~new]]).tobytes())
-                    fresh.append(int(np.count_nonzero(new)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(fresh, pa.int32())],
-                                             names=["ids", "fresh"])
+                new = last[words] == places  # one place of each bucket
+                # of each passage, the new words first
+                order = np.argsort(places // (2 * BLOCK) * 2 + ~new, kind="stable")
+                body = words.astype(np.uint16)[order].tobytes()
+                ids += [body[s:s + 4 * BLOCK] for s in range(0, len(body), 4 * BLOCK)]
+                if len(words):
+                    fresh.append(np.add.reduceat(new, np.arange(0, len(words), 2 * BLOCK), dtype=np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.binary()), pa.array(np.concatenate([np.empty(0, np.int32), *fresh]))],
+                names=["ids", "fresh"])
 
     return texts.select(text_col).mapInArrow(run, "ids binary, fresh int")
 
@@ -297,31 +325,40 @@ class RareWords:
     least: np.ndarray    # words wanted of each item
     sizes: np.ndarray    # words of each item
 
-    def stretches(self, words: Words, passages: int) -> list[list[int]]:
-        """``[item, first, last]`` passages around which enough rare words of an item stand."""
-        hits = np.flatnonzero(self.known[words.codes])
+    def stretches(self, texts: list[Words], passages: np.ndarray) -> list[list[list[int]]]:
+        """For each text ``[item, first, last]`` passages around which enough rare words of an item stand."""
+        out: list[list[list[int]]] = [[] for _ in texts]
+        codes = np.concatenate([words.codes for words in texts])
+        hits = np.flatnonzero(self.known[codes])
         if not len(hits):
-            return []
-        place = np.searchsorted(self.codes, words.codes[hits])
+            return out
+        place = np.searchsorted(self.codes, codes[hits])
         count = self.offsets[place + 1] - self.offsets[place]
         ends = np.cumsum(count)
         item = self.holders[np.repeat(self.offsets[place] - (ends - count), count) + np.arange(ends[-1])]
         at = np.repeat(hits, count)
-        order = np.argsort(item, kind="stable")
-        item, at = item[order], at[order]
-        last = np.arange(len(item)) + self.least[item] - 1
-        inside = last < len(item)
-        last = np.minimum(last, len(item) - 1)
+        stops = np.cumsum([len(words) for words in texts])
+        text = np.searchsorted(stops, at, side="right")
+        at = at - (stops - [len(words) for words in texts])[text]
+        key = text * len(self.sizes) + item
+        order = np.argsort(key, kind="stable")
+        key, at = key[order], at[order]
+        item = key % len(self.sizes)
+        last = np.arange(len(key)) + self.least[item] - 1
+        inside = last < len(key)
+        last = np.minimum(last, len(key) - 1)
+        good = np.flatnonzero(inside & (key[last] == key))
+        key, item, text = key[good], item[good], text[order][good]
         m = self.sizes[item]
-        low = np.maximum((at[last] - BLOCK - m) // BLOCK, 0)
-        high = np.minimum((at + m) // BLOCK, passages - 1)
-        good = inside & (item[last] == item) & (low <= high)
-        out: list[list[int]] = []
-        for i, a, b in zip(item[good].tolist(), low[good].tolist(), high[good].tolist()):
-            if out and out[-1][0] == i and a <= out[-1][2] + 1:
-                out[-1][2] = max(b, out[-1][2])
+        low = np.maximum((at[last[good]] - BLOCK - m) // BLOCK, 0)
+        high = np.minimum((at[good] + m) // BLOCK, passages[text] - 1)
+        good = low <= high
+        for t, i, a, b in zip(*(x[good].tolist() for x in (text, item, low, high))):
+            mine = out[t]
+            if mine and mine[-1][0] == i and a <= mine[-1][2] + 1:
+                mine[-1][2] = max(b, mine[-1][2])
             else:
-                out.append([i, a, b])
+                mine.append([i, a, b])
         return out
 
 
@@ -350,7 +387,7 @@ class Searcher:
     """Projection of words, and the latent vectors and rare words of the items."""
 
     items: list[Item]
-    projection: np.ndarray  # buckets x rank, idf included
+    projection: np.ndarray  # buckets x rank, idf included, and a last row of zeros
     pieces: np.ndarray      # pieces x rank, unit length
     owner: np.ndarray       # item of each piece
     buckets: list[np.ndarray]  # of each item's words
@@ -361,21 +398,48 @@ class Searcher:
 
         Of several passages that hold an item, the one with the most words in common counts.
         """
-        words = hashed_words(text)
-        if not len(words) or not len(self.pieces):
-            return []
-        whole = len(words) // BLOCK * BLOCK
-        blocks = _added(self.projection, words.buckets[:whole].reshape(-1, BLOCK))
-        if whole < len(words):
-            blocks = np.vstack([blocks, self.projection[words.buckets[whole:]].sum(axis=0)])
-        passages = blocks if len(blocks) == 1 else blocks[:-1] + blocks[1:]
-        size = np.linalg.norm(passages, axis=1, keepdims=True)
-        places = set()
+        return next(self.leaks_of([text]))
+
+    def leaks_of(self, texts: Iterable[str | None]) -> Iterator[list[tuple[int, int, bool]]]:
+        """``leaks`` of each text."""
+        for together in hashed_together(texts):
+            yield from self.held(together)
+
+    def held(self, texts: list[Words]) -> list[list[tuple[int, int, bool]]]:
+        """``leaks`` of texts whose words are hashed."""
+        if not len(self.pieces):
+            return [[] for _ in texts]
+        count = np.array([-(-len(words) // BLOCK) for words in texts])
+        begin = np.cumsum(count) - count
+        # every text's last block is filled with rows of zeros
+        places = np.full(int(count.sum()) * BLOCK, BUCKETS, np.int64)
+        for words, at in zip(texts, (begin * BLOCK).tolist()):
+            places[at:at + len(words)] = words.buckets
+        blocks = _added(self.projection, places.reshape(-1, BLOCK))
+        # a passage is a block and the next one, or a text's only block
+        many = np.where(count > 1, count - 1, count)
+        first = np.arange(len(blocks))
+        if len(blocks):
+            first = first[np.repeat(count == 1, count) | (first != np.repeat(begin + count - 1, count))]
+        passages = blocks[first]
+        two = np.repeat(count > 1, many)
+        passages[two] += blocks[first[two] + 1]
+        size = np.maximum(np.sqrt(np.einsum("ij,ij->i", passages, passages)), 1e-9)[:, None]
+        near: list[set] = [set() for _ in texts]
+        stops = np.cumsum(many)
         # by stretches, so a long text against many pieces needs no more memory
         step = max(1, COMPARED // len(self.pieces))
         for s in range(0, len(passages), step):
-            near = (passages[s:s + step] / np.maximum(size[s:s + step], 1e-9)) @ self.pieces.T >= CANDIDATE
-            places.update((int(self.owner[piece]), s + int(at)) for at, piece in zip(*np.nonzero(near)))
+            high = (passages[s:s + step] / size[s:s + step]) @ self.pieces.T >= CANDIDATE
+            at, piece = np.divmod(np.flatnonzero(high), len(self.pieces))
+            text = np.searchsorted(stops, at + s, side="right")
+            for t, a, i in zip(text.tolist(), (at + s - (stops - many)[text]).tolist(), self.owner[piece].tolist()):
+                near[t].add((i, a))
+        rare = self.rare.stretches(texts, many)
+        return [self._judged(*x) if x[1] or x[2] else [] for x in zip(texts, near, rare)]
+
+    def _judged(self, words: Words, places: set[tuple[int, int]], stretches: list[list[int]]):
+        """The items that the candidate passages of a text hold."""
         here = np.zeros(BUCKETS, bool)
 
         def possible(i: int, first: int, stop: int) -> bool:
@@ -387,7 +451,7 @@ class Searcher:
             here[around] = False
             return found >= LEAK_WITH_ANSWER * len(self.items[i].words)
 
-        for i, low, high in self.rare.stretches(words, len(passages)):
+        for i, low, high in stretches:
             m = len(self.items[i].words)
             if possible(i, low * BLOCK - m, (high + 2) * BLOCK + m):
                 places.update((i, at) for at in range(low, high + 1))
@@ -436,7 +500,7 @@ def fit_searchers(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     n = {r["weight"]: r["count"] for r in passages.groupBy("weight").count().collect()}
     even = (max(n.get(1.0, 0), 1) / max(n.get(0.0, 0), 1)) ** 0.5
     passages = passages.withColumn("weight", F.when(F.col("weight") == 0, F.lit(even)).otherwise(1.0))
-    projection = latent_basis(passages, idf) * idf[:, None].astype(np.float32)
+    projection = np.pad(latent_basis(passages, idf) * idf[:, None].astype(np.float32), ((0, 1), (0, 0)))
     out = []
     for i in range(rounds):
         block = [make_item(r["item_id"], r["text"], r["answer"]) for r in items.where(part == i).collect()]
@@ -471,10 +535,11 @@ def find_leaks(docs: DataFrame, searchers: list[Searcher], id_col: str = "doc_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             place, found = [], []
-            for row, value in enumerate(batch.column(1)):
-                text = value.as_py()
-                for searcher in sent.value:
-                    for i, common, answer in searcher.leaks(text):
+            by_row = (x for many in hashed_together(batch.column(1).to_pylist())
+                      for x in zip(*(searcher.held(many) for searcher in sent.value)))
+            for row, leaks in enumerate(by_row):
+                for searcher, held in zip(sent.value, leaks):
+                    for i, common, answer in held:
                         item = searcher.items[i]
                         place.append(row)
                         found.append((str(item.item_id), common, len(item.words), answer))
@@ -502,7 +567,9 @@ def keep_clean(docs: DataFrame, searchers: list[Searcher], text_col: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [not any(s.leaks(v.as_py()) for s in sent.value) for v in batch.column(at)]
+            keep = np.ones(len(batch), bool)
+            for searcher in sent.value:
+                keep &= [not held for held in searcher.leaks_of(batch.column(at).to_pylist())]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

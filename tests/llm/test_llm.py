@@ -392,3 +392,22 @@ def test_a_class_is_first_tried_with_its_likeliest_head(spark):
                                     "class long, n long, sig array<long>")
     shared = spark.createDataFrame([(0, 10), (2, 10), (1, 11), (2, 11)], "class long, band long")
     assert [(r["a"], r["b"]) for r in neardup._star_pairs(classes, shared).collect()] == [(1, 2)]
+
+
+def test_texts_together_hold_the_leaks_of_each(spark, monkeypatch):
+    rng = random.Random(6)
+    draw = lambda n: [f"w{rng.randrange(900)}" for _ in range(n)]
+    items = [draw(rng.randint(3, 90)) for _ in range(40)]
+    texts = [" ".join(draw(rng.randint(0, 130)) + items[k % 40] + draw(rng.randint(0, 90))) for k in range(120)]
+    texts += [None, "", " …", "“" + " ".join(items[0]) + "”", "Σ ΑΣ " + " ".join(items[1]), " ".join(texts)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    searcher, = decontam.fit_searchers(docs, bench)
+    hashed, calls = decontam._hashed, []
+    monkeypatch.setattr(decontam, "_hashed", lambda lows: calls.append(len(lows)) or hashed(lows))
+    together = list(searcher.leaks_of(texts))
+    assert sum(calls) == len(texts) and len(calls) < 10
+    assert together == [searcher.leaks(t) for t in texts] and sum(map(bool, together)) >= 120
+    assert all(held[:1] != [] for t, held in zip(texts, together) if t and len(t) > 40)
+    for many in decontam.hashed_together(texts):
+        assert all(len(w) == len(w.buckets) == len(w.codes) for w in many)
