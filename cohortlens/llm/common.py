@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 #: A word is a run without the six ASCII white-space characters (fixed rule).
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
+TASKS_A_CORE = 4
+
 #: First bytes of the characters beyond ASCII that may be white space (fixed values, UTF-8).
 _LEADS = np.array([0xC2, 0xE1, 0xE2, 0xE3], np.uint8)
 
@@ -51,6 +53,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def few_tasks(df: DataFrame) -> DataFrame:
+    """``df`` in at most ``TASKS_A_CORE`` tasks a core, each with whole partitions one after the other.
+
+    Nothing is shuffled and each partition keeps its rows and their order, so
+    what was grouped or sorted in partitions still is.  A task with almost no
+    rows costs as much as its Python worker, its file and its blocks for every
+    later task, which many small partitions would each pay.
+    """
+    return df.coalesce(TASKS_A_CORE * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of stages whose result is stored.
 

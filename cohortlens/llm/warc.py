@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, stored
+from .common import few_tasks, fresh_path, stored
 
 MIN_SHARED_BYTES = 1000
 BLOCK_LINES = 256
@@ -157,7 +157,7 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
         if out is not None:
             out.close()
 
-    return stored(tagged.mapInArrow(write, CAPTURE_SCHEMA), "captures")
+    return stored(few_tasks(tagged).mapInArrow(write, CAPTURE_SCHEMA), "captures")
 
 
 class _Blocks:
@@ -277,8 +277,8 @@ def lookup(keys: DataFrame, index: list[tuple], key_col: str = "url_key") -> Dat
             yield _capture_batch(out)
 
     wanted = keys.select(F.col(key_col)).where(F.col(key_col).isNotNull()).distinct()
-    return (wanted.mapInArrow(assign, "path string, key string")
-            .repartition("path").sortWithinPartitions("path", "key")
+    return (few_tasks(few_tasks(wanted).mapInArrow(assign, "path string, key string")
+                      .repartition("path").sortWithinPartitions("path", "key"))
             .mapInArrow(read, CAPTURE_SCHEMA))
 
 
@@ -321,8 +321,8 @@ def read_records(captures: DataFrame) -> DataFrame:
                  ("payload_bytes", pa.int64()), ("payload_digest", pa.string())]))
 
     stretch = F.floor(F.col("offset") / F.lit(1 << 26))
-    return (captures.select("archive", "offset", "length")
-            .repartition("archive", stretch).sortWithinPartitions("archive", "offset")
+    return (few_tasks(captures.select("archive", "offset", "length")
+                      .repartition("archive", stretch).sortWithinPartitions("archive", "offset"))
             .mapInArrow(read, RECORD_SCHEMA))
 
 
@@ -335,11 +335,11 @@ def resolve(records: DataFrame) -> DataFrame:
                .agg(F.max("page_id").alias("refers_to"),
                     F.max("payload_bytes").alias("full_bytes"),
                     F.max("payload_digest").alias("full_digest")))
-    revisits = (records.where("record_type = 'revisit'")
-                .join(answers.withColumnRenamed("record_id", "refers_id"), "refers_id", "left")
-                .select("page_id", F.col("full_bytes").alias("payload_bytes"),
-                        F.col("full_digest").alias("payload_digest"), "record_type",
-                        "refers_to"))
+    revisits = few_tasks(records.where("record_type = 'revisit'")
+                         .join(answers.withColumnRenamed("record_id", "refers_id"), "refers_id", "left")
+                         .select("page_id", F.col("full_bytes").alias("payload_bytes"),
+                                 F.col("full_digest").alias("payload_digest"), "record_type",
+                                 "refers_to"))
     return records.where("record_type = 'response'").select(
         "page_id", "payload_bytes", "payload_digest", "record_type",
         F.lit(None).cast("long").alias("refers_to")).unionByName(revisits)

@@ -411,3 +411,31 @@ def test_texts_together_hold_the_leaks_of_each(spark, monkeypatch):
     assert all(held[:1] != [] for t, held in zip(texts, together) if t and len(t) > 40)
     for many in decontam.hashed_together(texts):
         assert all(len(w) == len(w.buckets) == len(w.codes) for w in many)
+
+
+@pytest.fixture
+def many_partitions(spark):
+    """97 shuffle partitions that stay; gives the most tasks that small results are written by."""
+    conf = {"spark.sql.shuffle.partitions": "97", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    yield min(4 * spark.sparkContext.defaultParallelism, 90)
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_archives_of_many_partitions_are_few_files(spark, many_partitions):
+    pages = spark.createDataFrame([(i, f"http://a.example/{i % 150}", "<p>é</p>" * (i % 200 + 1))
+                                   for i in range(400)], "page_id long, url string, html string")
+    captures = warc.write_archives(pages)
+    assert len(captures.inputFiles()) <= many_partitions
+    assert captures.select("archive").distinct().count() <= many_partitions
+    assert warc.read_records(captures).rdd.getNumPartitions() <= many_partitions
+    rows = {r["page_id"]: r for r in warc.archive_round_trip(pages).collect()}
+    assert sorted(rows) == list(range(400))
+    for i, r in rows.items():
+        size = 9 * (i % 200 + 1)
+        shared = size >= 1000 and i < 200
+        assert r["payload_bytes"] == size
+        assert (r["record_type"], r["refers_to"]) == (("revisit", i + 200) if shared else ("response", None))
