@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free_shuffles, stored
+from .common import few_tasks, free_shuffles, stored
 
 NEIGHBOURS = 20
 REVERSE = 20
@@ -34,6 +34,8 @@ BEAM = 256
 SPARE = 6
 
 _EDGE = "node long, nbr long, sim float"
+#: ``last``: the worst edge of its node; ``fresh``: not an edge of the graph before.
+_KEPT = f"{_EDGE}, last boolean, fresh boolean"
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -103,17 +105,30 @@ def _block_edges(nodes: DataFrame, count: int, draw: int) -> DataFrame:
                                  np.take_along_axis(sims, top, 1).ravel())
 
     block = F.pmod(F.xxhash64("node", F.lit(draw)), F.lit(blocks))
-    return (nodes.select("node", "vec", block.alias("block")).repartition("block")
-            .sortWithinPartitions("block").mapInArrow(run, _EDGE))
+    return (few_tasks(nodes.select("node", "vec", block.alias("block")).repartition("block")
+                      .sortWithinPartitions("block")).mapInArrow(run, _EDGE))
 
 
-def _reduced(edges: DataFrame, most: int) -> DataFrame:
+def _reduced(edges: DataFrame, most: int, before: DataFrame | None = None) -> DataFrame:
+    """The ``most`` largest edges of each node, of ``edges`` and the graph ``before`` (``_KEPT``)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _groups(batches, ["node"]):
-            yield _edges(*_best(*(rows[c].to_numpy() for c in ("node", "nbr", "sim")), most))
+            node, nbr, sim, old = (rows[c].to_numpy() for c in ("node", "nbr", "sim", "old"))
+            known = np.unique(np.stack([node[old], nbr[old]], 1), axis=0)
+            node, nbr, sim = _best(node, nbr, sim, most)
+            both = np.concatenate([known, np.stack([node, nbr], 1)])
+            order = np.lexsort((both[:, 1], both[:, 0]))  # stable, so a known pair comes first
+            again = np.zeros(len(both), bool)
+            again[order[1:]] = (both[order[1:]] == both[order[:-1]]).all(axis=1)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(node), pa.array(nbr), pa.array(sim, pa.float32()),
+                 pa.array(np.append(node[1:] != node[:-1], True)[:len(node)]),
+                 pa.array(~again[len(known):])], names=["node", "nbr", "sim", "last", "fresh"])
 
-    return (edges.select("node", "nbr", "sim").repartition("node").sortWithinPartitions("node")
-            .mapInArrow(run, _EDGE))
+    edges = edges.select("node", "nbr", "sim", F.lit(False).alias("old"))
+    if before is not None:
+        edges = edges.unionByName(before.select("node", "nbr", "sim", F.lit(True).alias("old")))
+    return few_tasks(edges.repartition("node").sortWithinPartitions("node")).mapInArrow(run, _KEPT)
 
 
 def _both_ways(edges: DataFrame, turn: int, reverse: int) -> DataFrame:
@@ -121,12 +136,14 @@ def _both_ways(edges: DataFrame, turn: int, reverse: int) -> DataFrame:
     place = Window.partitionBy("node").orderBy(F.xxhash64("nbr", F.lit(turn)), "nbr")
     back = (edges.select(F.col("nbr").alias("node"), F.col("node").alias("nbr"))
             .withColumn("place", F.row_number().over(place)).where(F.col("place") <= reverse))
-    return edges.select("node", "nbr").unionByName(back.select("node", "nbr")).distinct()
+    # dealt by ``nbr``, as the join with its vector wants them
+    return (edges.select("node", "nbr").unionByName(few_tasks(back.select("node", "nbr")))
+            .repartition("nbr").distinct())
 
 
 def _round(edges: DataFrame, nodes: DataFrame, turn: int) -> DataFrame:
     """One round of neighbours of neighbours; returns the better edges."""
-    worst = edges.groupBy(F.col("node").alias("nbr")).agg(F.min("sim").alias("worst"))
+    worst = edges.where("last").select(F.col("node").alias("nbr"), F.col("sim").alias("worst"))
     known = nodes.select(F.col("node").alias("nbr"), "vec").join(worst, "nbr", "left")
     met = _both_ways(edges, turn, REVERSE).join(known, "nbr")
 
@@ -149,9 +166,9 @@ def _round(edges: DataFrame, nodes: DataFrame, turn: int) -> DataFrame:
             if out:
                 yield _edges(*_best(*(np.concatenate(c) for c in zip(*out)), NEIGHBOURS))
 
-    better = (met.select("node", "nbr", "vec", "worst").repartition("node")
-              .sortWithinPartitions("node").mapInArrow(run, _EDGE))
-    return _reduced(edges.unionByName(better), NEIGHBOURS)
+    better = (few_tasks(few_tasks(met.select("node", "nbr", "vec", "worst")).repartition("node")
+                        .sortWithinPartitions("node")).mapInArrow(run, _EDGE))
+    return _reduced(better, NEIGHBOURS, edges)
 
 
 def build_graph(nodes: DataFrame, changed: float = CHANGED, most: int = MOST_ROUNDS) -> DataFrame:
@@ -167,13 +184,19 @@ def build_graph(nodes: DataFrame, changed: float = CHANGED, most: int = MOST_ROU
     if count <= BLOCK:
         return edges
     for turn in range(most):
-        before, edges = edges, stored(_round(edges, nodes, turn), "graph")
+        edges = stored(_round(edges, nodes, turn), "graph")
         free_shuffles(nodes.sparkSession)
-        if _changed_share(before, edges) < changed:
+        if _fresh_share(edges) < changed:
             return edges
     raise RuntimeError(f"the neighbour graph has not settled after {most} rounds")
 
 
+def _fresh_share(edges: DataFrame) -> float:
+    """Share of the edges that the graph before did not have, by their marks."""
+    row = edges.agg(F.count_if("fresh").alias("fresh"), F.count(F.lit(1)).alias("all")).first()
+    return row["fresh"] / max(row["all"], 1)
+
+
 def _changed_share(before: DataFrame, after: DataFrame) -> float:
     """Share of the edges of ``after`` that ``before`` does not have."""
     def kept(edges: DataFrame, name: str) -> DataFrame:
@@ -208,8 +231,8 @@ def search(edges: DataFrame, nodes: DataFrame, queries: DataFrame, wanted: int,
                  pa.array([b"".join(vecs[a:b]) for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())],
                 names=["node", "ids", "vecs"])
 
-    lists = stored(lists.select("node", "nbr", "vec").repartition("node")
-                   .sortWithinPartitions("node")
+    lists = stored(few_tasks(few_tasks(lists.select("node", "nbr", "vec")).repartition("node")
+                             .sortWithinPartitions("node"))
                    .mapInArrow(pack, "node long, ids binary, vecs binary"), "lists")
     free_shuffles(spark)
 
@@ -253,13 +276,13 @@ def search(edges: DataFrame, nodes: DataFrame, queries: DataFrame, wanted: int,
                          F.lit(-9.0).cast("float").alias("worst"))
     beams = None
     for _ in range(most):
-        reached = (front.join(lists, "node")
-                   .select("query", "own", "query_vec", "worst", "ids", "vecs")
+        reached = (few_tasks(front.join(lists, "node")
+                             .select("query", "own", "query_vec", "worst", "ids", "vecs"))
                    .mapInArrow(expand, "query long, node long, sim float, done boolean"))
         if beams is not None:
             reached = reached.unionByName(
                 beams.select("query", "node", "sim", F.lit(True).alias("done")))
-        beams = stored(reached.repartition("query").sortWithinPartitions("query")
+        beams = stored(few_tasks(reached.repartition("query").sortWithinPartitions("query"))
                        .mapInArrow(merge, state), "beams")
         free_shuffles(spark)
         todo = beams.where("not done")
@@ -292,11 +315,11 @@ def nearest_neighbours(vectors: DataFrame, is_query, id_col: str = "vec_id",
     rows = rows.where(F.size("x") == (length["d"] if length else 0))
     rows = rows.select("vec_id", "x", F.xxhash64("x").alias("node"))
     place = Window.partitionBy("node").orderBy("vec_id")
-    members = stored(rows.distinct().withColumn("place", F.row_number().over(place))
-                     .where(F.col("place") <= k + 1), "members")
+    members = stored(few_tasks(rows.distinct().withColumn("place", F.row_number().over(place))
+                               .where(F.col("place") <= k + 1)), "members")
     kinds = rows.schema["vec_id"].dataType.simpleString()
-    asked_ids = stored(rows.where(is_query(F.col("vec_id"))).select("vec_id", "node", "x").distinct(),
-                       "asked")
+    asked_ids = stored(few_tasks(rows.where(is_query(F.col("vec_id"))).select("vec_id", "node", "x")
+                                 .distinct()), "asked")
 
     def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -312,8 +335,8 @@ def nearest_neighbours(vectors: DataFrame, is_query, id_col: str = "vec_id",
                    .mapInArrow(shrink, "node long, vec binary"), "nodes")
     edges = build_graph(nodes)
     # copies of a query vector share the search of its node
-    queries = asked_ids.select("node").distinct().join(nodes, "node").select(
-        F.col("node").alias("query"), "node", "vec")
+    queries = stored(few_tasks(asked_ids.select("node").distinct().join(nodes, "node").select(
+        F.col("node").alias("query"), "node", "vec")), "queries")
     found = search(edges, nodes, queries, wanted=SPARE * k)
     found = found.unionByName(queries.select("query", F.col("node").alias("node")))
     pairs = (found.join(members.select("node", F.col("vec_id").alias("hit"), F.col("x").alias("y")), "node")
@@ -331,7 +354,7 @@ def nearest_neighbours(vectors: DataFrame, is_query, id_col: str = "vec_id",
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score)],
                                              names=["query_id", "vec_id", "score"])
 
-    scored = pairs.mapInArrow(exact, f"query_id {kinds}, vec_id {kinds}, score double")
+    scored = few_tasks(pairs).mapInArrow(exact, f"query_id {kinds}, vec_id {kinds}, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return (scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return (few_tasks(scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
             .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))

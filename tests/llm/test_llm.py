@@ -439,3 +439,18 @@ def test_archives_of_many_partitions_are_few_files(spark, many_partitions):
         shared = size >= 1000 and i < 200
         assert r["payload_bytes"] == size
         assert (r["record_type"], r["refers_to"]) == (("revisit", i + 200) if shared else ("response", None))
+
+
+def test_graph_of_many_partitions_is_few_files(spark, many_partitions):
+    x = np.random.default_rng(9).normal(size=(1500, 24)).astype(np.float16)
+    nodes = spark.createDataFrame([(i, r.tobytes()) for i, r in enumerate(x)], "node long, vec binary").cache()
+    edges = ann.stored(ann._reduced(ann._block_edges(nodes, 1500, 0), 20), "graph")
+    assert edges.where("fresh").count() == edges.count() == 1500 * 20
+    for turn in range(3):
+        before, edges = edges, ann.stored(ann._round(edges, nodes, turn), "graph")
+        assert len(edges.inputFiles()) <= many_partitions
+        # the marks of new edges, with no join to the graph before
+        assert ann._fresh_share(edges) == ann._changed_share(before, edges)
+        worst = edges.groupBy("node").agg(F.min("sim").alias("sim"))
+        assert not worst.exceptAll(edges.where("last").select("node", "sim")).count()
+        assert edges.where("last").count() == edges.count() / 20 == 1500
